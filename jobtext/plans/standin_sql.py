@@ -60,7 +60,7 @@ PREDICTION_HISTORY = f"""prediction_history AS (
     ON d.doc_id = e.event_id % (SELECT max(doc_id) + 1 FROM documents))"""
 
 FEEDBACK_EVENTS = """feedback_events AS (
-  SELECT 'p' || CAST(event_id - event_id % 3 AS VARCHAR) AS prediction_id,
+  SELECT event_id AS seq, 'p' || CAST(event_id - event_id % 3 AS VARCHAR) AS prediction_id,
          'u' || CAST(user_id AS VARCHAR) AS user_id,
          CASE WHEN event_id % 5 <> 0 THEN (['backend', 'frontend', 'data_science', 'analytics'])[event_id % 4 + 1] END AS correct_category,
          CASE WHEN event_id % 7 <> 0 THEN (['intern', 'junior', 'middle', 'senior'])[event_id % 4 + 1] END AS correct_level,

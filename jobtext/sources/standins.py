@@ -171,6 +171,7 @@ def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     cats = F.array(*[F.lit(c) for c in ["backend", "frontend", "data_science", "analytics"]])
     lvls = F.array(*[F.lit(c) for c in ["intern", "junior", "middle", "senior"]])
     return e.select(
+        i.alias("seq"),
         F.concat(F.lit("p"), (i - i % 3).cast("string")).alias("prediction_id"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"),
         F.when(i % 5 != 0, F.element_at(cats, (i % 4 + 1).cast("int"))).alias("correct_category"),
