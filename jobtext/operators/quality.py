@@ -67,14 +67,13 @@ def level_fallback(tagged: DataFrame) -> DataFrame:
 
 def drop_funnel(raw: DataFrame, tagged: DataFrame, ds: DataFrame) -> DataFrame:
     """A7 + A9: rows lost per step in pipeline order; steps that lose none are omitted."""
-    raw_n = raw.agg(F.count(F.lit(1)).alias("raw_rows"))
     steps = tagged.agg(
         F.count(F.lit(1)).alias("distinct_rows"),
         *[F.count_if(F.col("step") == s).alias(s) for s in tx.FUNNEL_STEPS[1:4]],
         F.count_if(F.col("step").isNull()).alias("kept_rows"),
     )
-    final_n = ds.agg(F.count(F.lit(1)).alias("final_rows"))
-    row = raw_n.crossJoin(steps).crossJoin(final_n)  # single-row aggregates
+    row = steps.withColumn("raw_rows", raw.agg(F.count(F.lit(1))).scalar()) \
+        .withColumn("final_rows", ds.agg(F.count(F.lit(1))).scalar())
     row = row.withColumn("duplicate_rows", F.col("raw_rows") - F.col("distinct_rows")) \
         .withColumn("duplicate_dataset_rows", F.col("kept_rows") - F.col("final_rows"))
     stack = ", ".join(f"{i}, '{s}', `{s}`" for i, s in enumerate(tx.FUNNEL_STEPS))
@@ -85,11 +84,10 @@ def drop_funnel(raw: DataFrame, tagged: DataFrame, ds: DataFrame) -> DataFrame:
 
 def report(raw: DataFrame, tagged: DataFrame, ds: DataFrame) -> DataFrame:
     """S4 + A8: the whole report as (section, key, value) rows."""
-    raw_n = raw.agg(F.count(F.lit(1)).alias("raw_rows"))
-    dist_n = tagged.agg(F.count(F.lit(1)).alias("distinct_rows"))
     sizes = ds.agg(F.count(F.lit(1)).alias("final_rows"), F.countDistinct("category").alias("n_categories"),
                    F.countDistinct("level").alias("n_levels"))
-    s = raw_n.crossJoin(dist_n).crossJoin(sizes)
+    s = sizes.withColumn("raw_rows", raw.agg(F.count(F.lit(1))).scalar()) \
+        .withColumn("distinct_rows", tagged.agg(F.count(F.lit(1))).scalar())
     summary = s.select(
         F.col("raw_rows"), F.col("distinct_rows"), F.col("final_rows"), F.col("n_categories"), F.col("n_levels"),
         pct1(F.col("final_rows"), F.col("raw_rows")).alias("retention_pct"),

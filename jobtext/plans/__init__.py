@@ -1,4 +1,4 @@
 """Named queries (one per operator of the coverage list) and their oracles."""
 
-from jobtext.plans import curate_queries, history_queries, match_queries  # noqa: F401  (registers queries)
+from jobtext.plans import curate_queries, eval_queries, history_queries, match_queries  # noqa: F401  (registers queries)
 from jobtext.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -133,8 +133,7 @@ def predict_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     request text is a document picked by the event id."""
     e = read(spark, sf_dir, "events", "event_id", "user_id", "ts")
     d = read(spark, sf_dir, "documents", "doc_id", "text")
-    e = e.crossJoin(F.broadcast(doc_count(spark, sf_dir)))  # one row
-    e = e.withColumn("doc_id", F.pmod("event_id", "n_docs"))
+    e = e.withColumn("doc_id", F.pmod("event_id", doc_count(spark, sf_dir).scalar()))
     return e.join(d, "doc_id").select(
         F.col("event_id").alias("seq"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"),
@@ -147,8 +146,7 @@ def prediction_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     cached, model_version, created_at) from the event log and documents."""
     e = read(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type")
     d = read(spark, sf_dir, "documents", "doc_id", "lang", "n_chars")
-    e = e.crossJoin(F.broadcast(doc_count(spark, sf_dir)))
-    e = e.withColumn("doc_id", F.pmod("event_id", "n_docs"))
+    e = e.withColumn("doc_id", F.pmod("event_id", doc_count(spark, sf_dir).scalar()))
     j = e.join(d, "doc_id")
     return j.select(
         F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("id"),
