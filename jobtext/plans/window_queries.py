@@ -32,13 +32,19 @@ r AS (SELECT key, rn, seq, t AS a, 1 AS n FROM ev WHERE rn = 1
 _FP_SQL = f"sha256('{tx.MODEL_VERSION}:' || regexp_replace(lower(text), '^[{SPACE}]+|[{SPACE}]+$', '', 'g'))"
 
 
-@query("cache_flags", sql=_fold_sql(_FP_SQL, tx.CACHE_TTL_SECONDS) + """SELECT e.seq, e.key AS fingerprint,
+_VALID = f"length(text) BETWEEN {tx.MIN_REQUEST_LENGTH} AND {tx.MAX_REQUEST_LENGTH}"
+
+
+@query("cache_flags", sql=_fold_sql(_FP_SQL, tx.CACHE_TTL_SECONDS).replace(
+    "FROM predict_requests))", f"FROM predict_requests WHERE {_VALID}))", 1) + """SELECT e.seq, e.key AS fingerprint,
   make_timestamp(r.a) AS window_start, CAST(r.n AS BIGINT) AS n, r.n > 1 AS cached
 FROM r JOIN ev e ON e.key = r.key AND e.rn = r.rn""")
 def q_cache_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A request is a cache hit when an earlier miss of the same
-    fingerprint opened a 24 h validity window that still covers it."""
-    req = standins.predict_requests(spark, sf_dir)
+    """An accepted request is a cache hit when an earlier miss of the
+    same fingerprint opened a 24 h validity window that still covers it."""
+    from jobtext.operators.validate import validate_predict
+
+    req = validate_predict(standins.predict_requests(spark, sf_dir)).filter("accepted")
     req = req.withColumn("fingerprint", fingerprint("text", tx.MODEL_VERSION)).select("seq", "fingerprint", "ts")
     out = W.cache_flags(req, "fingerprint", "ts", "seq", tx.CACHE_TTL_SECONDS)
     return out.select("seq", "fingerprint", "window_start", "n", "cached")
