@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtext.functions.text import tokens as token_runs
+from jobtext.sources.tables import parallelism
 
 
 def terms(text: Column, stop_words: list[str] | None = None, bigrams: bool = True) -> Column:
@@ -33,11 +34,26 @@ def terms(text: Column, stop_words: list[str] | None = None, bigrams: bool = Tru
     return F.when(n >= 2, F.concat(toks, grams)).otherwise(toks)
 
 
+def with_terms(df: DataFrame, text_col: str, out_col: str, stop_words: list[str] | None = None) -> DataFrame:
+    """Adds ``out_col`` = terms of ``text_col``; the token array is its own
+    projection so the tokenizer runs once per row."""
+    toks = token_runs(F.lower(F.col(text_col)))
+    if stop_words:
+        stop = F.array(*[F.lit(w) for w in stop_words])
+        toks = F.filter(toks, lambda t: ~F.array_contains(stop, t))
+    t = "_toks"
+    out = df.withColumn(t, toks)
+    n = F.size(t)
+    grams = F.zip_with(F.slice(t, 1, F.greatest(n - 1, F.lit(0))), F.slice(t, 2, F.greatest(n - 1, F.lit(0))),
+                       lambda a, b: F.concat(a, F.lit(" "), b))
+    return out.withColumn(out_col, F.when(n >= 2, F.concat(F.col(t), grams)).otherwise(F.col(t))).drop(t)
+
+
 def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               stop_words: list[str] | None = None) -> DataFrame:
     """(doc_id, term, tf): term counts per document, co-partitioned by doc_id."""
-    d = docs.select(id_col, text_col).repartition(id_col)
-    e = d.select(id_col, F.explode(terms(F.col(text_col), stop_words)).alias("term"))
+    d = docs.select(id_col, text_col).repartition(parallelism(docs.sparkSession), id_col)
+    e = with_terms(d, text_col, "_terms", stop_words).select(id_col, F.explode("_terms").alias("term"))
     return e.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtext.functions.match import explanation, match_score, score_percent, skill_match_cols
-from jobtext.operators.skills import skills_column
+from jobtext.operators.skills import extract_skills
 
 
 def analyse_texts(texts: DataFrame, dictionary: dict[str, list[str]] | None = None) -> DataFrame:
@@ -23,11 +23,9 @@ def analyse_texts(texts: DataFrame, dictionary: dict[str, list[str]] | None = No
     category/level/confidence come from a classifier (``score.score_texts``)
     or from given labels; skills are extracted here.
     """
-    return texts.select(
-        "text_id", "category", "level",
-        skills_column("text", dictionary).alias("skills"),
-        F.col("confidence").cast("decimal(12,4)").alias("confidence"),
-    )
+    a = extract_skills(texts.select("text_id", "category", "level", "text", "confidence"), "text", "skills", dictionary)
+    return a.select("text_id", "category", "level", "skills",
+                    F.col("confidence").cast("decimal(12,4)").alias("confidence"))
 
 
 def match_pairs(pairs: DataFrame, analysis: DataFrame) -> DataFrame:

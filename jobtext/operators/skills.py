@@ -31,20 +31,16 @@ def _is_word_only(variant: str) -> bool:
     return bool(_ALL_WORD.match(variant))
 
 
-def skills_column(text: Column | str, dictionary: dict[str, list[str]] | None = None) -> Column:
-    """array<string> of skill names found in ``text`` (dictionary order)."""
-    dictionary = dictionary or tx.SKILLS_DICTIONARY
-    t = F.lower(F.col(text) if isinstance(text, str) else text)
-    word_variants = sorted({v for vs in dictionary.values() for v in vs if _is_word_only(v)})
-    hits = F.array_intersect(word_runs(t), F.array(*[F.lit(v) for v in word_variants]))
+def _lookup(hits: Column, low: Column, dictionary: dict[str, list[str]]) -> Column:
+    """Skill names (dictionary order) from the word-run hit set and phrase regexes."""
     found = []
     for name, variants in dictionary.items():
         conds = []
         for v in variants:
             if _is_word_only(v):
                 conds.append(F.array_contains(hits, F.lit(v)))
-            else:
-                conds.append(t.rlike(bounded(v)))
+            else:  # cheap substring test first; the boundary regex only runs on candidates
+                conds.append(low.contains(F.lit(v)) & low.rlike(bounded(v)))
         cond = conds[0]
         for c in conds[1:]:
             cond = cond | c
@@ -54,4 +50,16 @@ def skills_column(text: Column | str, dictionary: dict[str, list[str]] | None =
 
 def extract_skills(df: DataFrame, text_col: str = "text", out_col: str = "skills",
                    dictionary: dict[str, list[str]] | None = None) -> DataFrame:
-    return df.withColumn(out_col, skills_column(text_col, dictionary))
+    """Adds ``out_col`` = skills found in ``text_col``.
+
+    Staged projections: the lower-cased text and the hit set are separate
+    columns, so the optimizer keeps each computed once per row (it does not
+    inline a non-trivial expression into several consumers).
+    """
+    dictionary = dictionary or tx.SKILLS_DICTIONARY
+    word_variants = sorted({v for vs in dictionary.values() for v in vs if _is_word_only(v)})
+    low, hits = "_skills_low", "_skills_hits"
+    out = df.withColumn(low, F.lower(F.col(text_col)))
+    out = out.withColumn(hits, F.array_intersect(word_runs(F.col(low)), F.array(*[F.lit(v) for v in word_variants])))
+    out = out.withColumn(out_col, _lookup(F.col(hits), F.col(low), dictionary))
+    return out.drop(low, hits)

@@ -15,6 +15,7 @@ from jobtext.plans import standin_sql as S
 from jobtext.plans.registry import query
 from jobtext.session import scratch_path
 from jobtext.sources import standins
+from jobtext.sources.tables import spread
 
 SPACE = S.SPACE_CHARS
 WORD = S.WORD_CHARS
@@ -96,7 +97,7 @@ TAGGED_SQL = S.with_(
 
 
 def _raw(spark, sf_dir):
-    return standins.raw_resume(spark, sf_dir)
+    return spread(standins.raw_resume(spark, sf_dir))
 
 
 def _tagged(spark, sf_dir):

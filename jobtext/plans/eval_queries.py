@@ -12,7 +12,7 @@ from jobtext.operators import naive_bayes as NB
 from jobtext.plans import standin_sql as S
 from jobtext.plans.registry import query
 from jobtext.sources import standins
-from jobtext.sources.tables import read
+from jobtext.sources.tables import read, spread
 
 WORD = S.WORD_CHARS
 TARGET_CLASS = "1"
@@ -133,9 +133,9 @@ def q_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT doc_id, {terms_sql('text', tx.STOP_WORDS)} AS tk FROM documents)""")
 def q_tokens_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1: unigrams without stop words plus bigrams, per document (counts)."""
-    d = read(spark, sf_dir, "documents", "doc_id", "text")
-    t = FT.terms(F.col("text"), tx.STOP_WORDS)
-    return d.select("doc_id", F.size(t).alias("n_terms"), F.size(F.array_distinct(t)).alias("n_distinct"))
+    d = spread(read(spark, sf_dir, "documents", "doc_id", "text"))
+    t = FT.with_terms(d, "text", "t", tx.STOP_WORDS)
+    return t.select("doc_id", F.size("t").alias("n_terms"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
 @query("term_stats", sql=f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM ({doc_terms_sql('documents')}) GROUP BY term")

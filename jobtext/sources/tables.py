@@ -13,6 +13,21 @@ TABLES = [
 ]
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Task slots to fill: the larger of default parallelism and shuffle partitions."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan over all task slots when it has fewer input splits
+    than slots (a file written as one row group).  With many splits — the
+    normal case on a cluster — this is a no-op and adds no shuffle."""
+    n = parallelism(df.sparkSession)
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n)
