@@ -13,6 +13,7 @@ without further shuffles.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,25 +36,31 @@ def terms(text: Column, stop_words: list[str] | None = None, bigrams: bool = Tru
 
 
 def with_terms(df: DataFrame, text_col: str, out_col: str, stop_words: list[str] | None = None) -> DataFrame:
-    """Adds ``out_col`` = terms of ``text_col``; the token array is its own
-    projection so the tokenizer runs once per row."""
-    toks = token_runs(F.lower(F.col(text_col)))
+    """Adds ``out_col`` = unigrams (stop words removed) ++ bigrams of ``text_col``.
+
+    Tokens are their own projection (tokenizer runs once per row); stop-word
+    removal and bigrams use Spark ML's JVM transformers rather than
+    interpreted higher-order lambdas.
+    """
+    out = df.withColumn("_tok", token_runs(F.lower(F.col(text_col))))
+    uni = "_tok"
     if stop_words:
-        stop = F.array(*[F.lit(w) for w in stop_words])
-        toks = F.filter(toks, lambda t: ~F.array_contains(stop, t))
-    t = "_toks"
-    out = df.withColumn(t, toks)
-    n = F.size(t)
-    grams = F.zip_with(F.slice(t, 1, F.greatest(n - 1, F.lit(0))), F.slice(t, 2, F.greatest(n - 1, F.lit(0))),
-                       lambda a, b: F.concat(a, F.lit(" "), b))
-    return out.withColumn(out_col, F.when(n >= 2, F.concat(F.col(t), grams)).otherwise(F.col(t))).drop(t)
+        out = StopWordsRemover(inputCol="_tok", outputCol="_uni", stopWords=stop_words,
+                               caseSensitive=True).transform(out)
+        uni = "_uni"
+    out = NGram(n=2, inputCol=uni, outputCol="_bi").transform(out)
+    out = out.withColumn(out_col, F.concat(F.col(uni), F.col("_bi")))
+    return out.drop(*[c for c in ("_tok", "_uni", "_bi") if c != out_col])
 
 
 def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               stop_words: list[str] | None = None) -> DataFrame:
     """(doc_id, term, tf): term counts per document, co-partitioned by doc_id."""
     d = docs.select(id_col, text_col).repartition(parallelism(docs.sparkSession), id_col)
-    e = with_terms(d, text_col, "_terms", stop_words).select(id_col, F.explode("_terms").alias("term"))
+    # explode_outer: a plain explode lets the optimizer infer size(terms) > 0 and push
+    # that (a second tokenization) below the repartition, into the scan task
+    e = with_terms(d, text_col, "_terms", stop_words).select(id_col, F.explode_outer("_terms").alias("term"))
+    e = e.filter(F.col("term").isNotNull())
     return e.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

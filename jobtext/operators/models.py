@@ -31,6 +31,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobtext.session import materialize
+
 from jobtext.functions.scoring import blended_confidence, softmax
 from jobtext.functions.text import WORD
 from jobtext.operators import evaluate as E
@@ -126,7 +128,7 @@ class TextModels:
     def train(train: DataFrame, max_features: int, stop_words: list[str] | None, version: str,
               name: str = "logistic_regression") -> "TextModels":
         feat = fit_featurizer(train, max_features, stop_words)
-        x = featurize(feat, train).checkpoint()  # fitted twice below; cut lineage once
+        x = materialize(featurize(feat, train), persist=True)  # fitted twice below; cut lineage once
         return TextModels(feat, fit_classifier(x, "category", name), fit_classifier(x, "level", name), version)
 
     def score(self, texts: DataFrame) -> DataFrame:
@@ -162,11 +164,11 @@ def compare(spark, data: DataFrame, targets: list[str], max_features: int, model
     evaluate on the test split; train seconds, ms per text, size, path."""
     rows = []
     for target in targets:
-        sp = E.stratified_split(data, target, "doc_id").checkpoint()
+        sp = materialize(E.stratified_split(data, target, "doc_id"))
         train, test = sp.filter(~F.col("is_test")), sp.filter(F.col("is_test"))
         feat = fit_featurizer(train, max_features)
-        xtr = featurize(feat, train).checkpoint()
-        xte = featurize(feat, test).checkpoint()
+        xtr = materialize(featurize(feat, train), persist=True)
+        xte = materialize(featurize(feat, test), persist=True)
         n_test = xte.count()
         for name in names or MODEL_NAMES:
             t0 = time.perf_counter()

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobtext.session import shared_dir
+from jobtext.session import shared_dir, materialize
 
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -45,13 +45,13 @@ def global_sort(df: DataFrame, order: list[Column]) -> DataFrame:
     0-based global position _g; materialised."""
     s = df.orderBy(*order).withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid").orderBy(*order)
-    s = s.withColumn("_pos", F.row_number().over(w) - 1).checkpoint()
+    s = materialize(s.withColumn("_pos", F.row_number().over(w) - 1))
     sizes = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # partition-sized table: offset of each partition in the global order
     wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select("_pid", F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_off"))
-    return s.join(F.broadcast(offs), "_pid").withColumn("_g", F.col("_off") + F.col("_pos")) \
-        .drop("_off", "_pos").checkpoint()
+    return materialize(s.join(F.broadcast(offs), "_pid").withColumn("_g", F.col("_off") + F.col("_pos"))
+                       .drop("_off", "_pos"))
 
 
 def fill_forward(s: DataFrame, order: list[Column], value: Column, out: str) -> DataFrame:
@@ -83,21 +83,21 @@ def next_at_least(ev: DataFrame, length_us: int) -> DataFrame:
 
 def chain_starts(ev: DataFrame, nxt: DataFrame) -> DataFrame:
     """(id) of window starts: the chains first-event -> nxt -> … of every key."""
-    table = nxt.select("id", F.col("nxt").alias("j")).checkpoint()
+    table = materialize(nxt.select("id", F.col("nxt").alias("j")))
     jumps = [table]
     while True:  # pointer doubling: jumps[i].j = nxt^(2^i)(id)
         last = jumps[-1]
         if last.filter(F.col("j").isNotNull()).isEmpty():
             break
         b = last.select(F.col("id").alias("_m"), F.col("j").alias("_j2"))
-        nxt_round = last.join(b, last["j"] == b["_m"], "left").select("id", F.col("_j2").alias("j")).checkpoint()
+        nxt_round = materialize(last.join(b, last["j"] == b["_m"], "left").select("id", F.col("_j2").alias("j")))
         jumps.append(nxt_round)
     # every chain is shorter than 2^(len(jumps)-1) steps
     first = ev.groupBy("key").agg(F.min_by("id", F.struct("t", "id")).alias("id"))
     starts = first.select("id")
     for jt in reversed(jumps[:-1]):
         step = starts.join(jt, "id").filter(F.col("j").isNotNull()).select(F.col("j").alias("id"))
-        starts = starts.unionByName(step).checkpoint()
+        starts = materialize(starts.unionByName(step))
     return starts
 
 
@@ -107,9 +107,10 @@ def anchored_windows(df: DataFrame, key_col: str, ts_col: str, id_col: str, leng
     unique; order within equal timestamps is by id."""
     shared_dir(df.sparkSession)  # checkpoints go to the cluster's checkpoint folder
     length_us = int(length_seconds) * 1_000_000
-    base = df.filter(F.col(key_col).isNotNull() & F.col(ts_col).isNotNull())
+    # the input is read several times below: materialise it once (callers pass narrow frames)
+    base = materialize(df.filter(F.col(key_col).isNotNull() & F.col(ts_col).isNotNull()), persist=True)
     ev = base.select(F.col(key_col).cast("string").alias("key"), micros(ts_col).alias("t"),
-                     F.col(id_col).cast("long").alias("id")).checkpoint()
+                     F.col(id_col).cast("long").alias("id"))
     nxt = next_at_least(ev, length_us)
     starts = chain_starts(ev, nxt).withColumn("_start", F.lit(True))
     order = [F.col("key"), F.col("t"), F.col("id")]

@@ -12,6 +12,7 @@ from jobtext.operators import naive_bayes as NB
 from jobtext.plans import standin_sql as S
 from jobtext.plans.registry import query
 from jobtext.sources import standins
+from jobtext.session import shared_dir, materialize
 from jobtext.sources.tables import read, spread
 
 WORD = S.WORD_CHARS
@@ -164,21 +165,25 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) A
 @query("tfidf", sql=_TFIDF_SQL)
 def q_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2: smooth-idf TF-IDF weights (L2-normalised) over the 5,000-term vocabulary."""
+    shared_dir(spark)
     d = read(spark, sf_dir, "documents", "doc_id", "text")
-    dt = FT.doc_terms(d, stop_words=tx.STOP_WORDS)
+    dt = materialize(FT.doc_terms(d, stop_words=tx.STOP_WORDS), persist=True)  # read for the vocabulary and the weights
     idf = FT.idf_table(FT.vocabulary(FT.term_stats(dt), tx.VOCAB_TRAIN), d.agg(F.count(F.lit(1))).scalar())
     return FT.tfidf(dt, idf).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 def nb_split_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the stratified train split, predict the test split."""
+    shared_dir(spark)
     d = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    sp = E.stratified_split(d, "lang", "doc_id")
+    sp = materialize(E.stratified_split(d, "lang", "doc_id"))
     train = sp.filter(~F.col("is_test"))
     test = sp.filter(F.col("is_test"))
-    idf = FT.fit_tfidf(train, tx.VOCAB_COMPARE)
+    dt_train = materialize(FT.doc_terms(train), persist=True)  # read for the vocabulary and the weights
+    idf = materialize(FT.idf_table(FT.vocabulary(FT.term_stats(dt_train), tx.VOCAB_COMPARE),
+                                   train.agg(F.count(F.lit(1))).scalar()))
     v = idf.count()  # vocabulary size (a number)
-    w_train = FT.tfidf(FT.doc_terms(train), idf)
+    w_train = FT.tfidf(dt_train, idf)
     model = NB.fit(w_train, train.select("doc_id", F.col("lang").alias("label")), v)
     w_test = FT.tfidf(FT.doc_terms(test), idf)
     pred = model.predict(test.select("doc_id"), w_test)

@@ -12,7 +12,7 @@ from jobtext.operators import models as MD
 from jobtext.operators.skills import extract_skills
 from jobtext.operators.validate import validate_predict
 from jobtext.plans.registry import query
-from jobtext.session import scratch_path, shared_dir
+from jobtext.session import scratch_path, shared_dir, materialize
 from jobtext.sources import standins
 from jobtext.sources.tables import read, spread
 
@@ -26,7 +26,7 @@ def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _split(spark, sf_dir, label="category"):
     shared_dir(spark)
-    return E.stratified_split(labelled_docs(spark, sf_dir), label, "doc_id").checkpoint()
+    return materialize(E.stratified_split(labelled_docs(spark, sf_dir), label, "doc_id"))
 
 
 # Fitted artefacts are saved once per (session, input) to the shared folder and

@@ -12,7 +12,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "jobtext") -> SparkSession:
@@ -59,6 +60,22 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def materialize(df: DataFrame, persist: bool = False) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder.
+
+    An eager checkpoint evaluates the plan once to count and once more to
+    write; with ``persist=True`` (for plans that are expensive to recompute)
+    the rows are held while the checkpoint is written and released after.
+    The result keeps ``df``'s partitioning and ordering."""
+    shared_dir(df.sparkSession)
+    if not persist:
+        return df.checkpoint(eager=True)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for one written intermediate."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
