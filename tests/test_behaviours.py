@@ -73,3 +73,17 @@ def test_second_registration_conflicts(spark):
                                "email string, user_id string, ts timestamp_ntz")
     out = {r["user_id"]: r["status"] for r in H.register(df).collect()}
     assert out == {"u1": "created", "u2": "conflict", "u3": "created"}
+
+
+def test_sinks_roundtrip(spark, tmp_path):
+    from jobtext.sources import sinks
+
+    h = _history(spark).withColumn("x", F.lit(1))
+    p = str(tmp_path / "hist")
+    sinks.append_history(h, p)
+    sinks.append_history(h, p)  # a re-run appends the same ids again
+    assert sinks.read_history(spark, p).count() == 4
+    rep = spark.createDataFrame([("summary", "raw_rows", "3"), ("missing_categories", "analytics", "")],
+                                "section string, key string, value string")
+    lines = [r["line"] for r in sinks.report_lines(rep).collect()]
+    assert lines == ["## summary", "- raw_rows: 3", "## missing_categories", "- analytics"]
