@@ -41,3 +41,51 @@ def q_stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(False).alias("cached"), "model_version", F.col("ts").alias("created_at"))
 
     return ST.continuous_scoring(spark, sf_dir, "documents.parquet", DOCS_SCHEMA, score_batch)
+
+
+def _request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as a request stream (seq, user_id, ts)."""
+    ev = ST.file_stream(spark, sf_dir, "events.parquet", EVENTS_SCHEMA)
+    return ev.select(F.col("event_id").alias("seq"),
+                     F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"), "ts")
+
+
+from jobtext.plans.window_queries import _fold_sql  # noqa: E402
+
+
+@query("rate_limit_stream", sql=_fold_sql("user_id", tx.RATE_LIMIT_WINDOW_SECONDS) + f"""SELECT e.seq, e.user_id,
+  make_timestamp(r.a) AS window_start, CAST(r.n AS BIGINT) AS n, r.n <= {tx.RATE_LIMIT_REQUESTS} AS allowed
+FROM r JOIN ev e ON e.key = r.key AND e.rn = r.rn""")
+def q_rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 as a stateful stream: per-user window state across micro-batches."""
+    out = ST.run_append(ST.anchored_stream(_request_stream(spark, sf_dir), "user_id", "ts", "seq",
+                                           tx.RATE_LIMIT_WINDOW_SECONDS), spark, "rate-limit")
+    return out.select(F.col("id").alias("seq"), F.col("key").alias("user_id"), "window_start", "n",
+                      (F.col("n") <= tx.RATE_LIMIT_REQUESTS).alias("allowed"))
+
+
+from jobtext.plans.window_queries import _FP_SQL, _VALID  # noqa: E402
+
+
+@query("cache_flags_stream", sql=_fold_sql(_FP_SQL, tx.CACHE_TTL_SECONDS).replace(
+    "FROM predict_requests))", f"FROM predict_requests WHERE {_VALID}))", 1) + """SELECT e.seq, e.key AS fingerprint,
+  make_timestamp(r.a) AS window_start, CAST(r.n AS BIGINT) AS n, r.n > 1 AS cached
+FROM r JOIN ev e ON e.key = r.key AND e.rn = r.rn""")
+def q_cache_flags_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 as a stateful stream: requests (stream) joined to their texts
+    (static table), validated, fingerprinted, cache windows kept as state."""
+    from jobtext.functions.text import fingerprint
+    from jobtext.operators.validate import validate_predict
+    from jobtext.sources.standins import doc_count
+    from jobtext.sources.tables import read
+
+    ev = ST.file_stream(spark, sf_dir, "events.parquet", EVENTS_SCHEMA)
+    n_docs = doc_count(spark, sf_dir).first()[0]  # one number
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    req = ev.withColumn("doc_id", F.pmod("event_id", F.lit(n_docs))).join(docs, "doc_id") \
+        .select(F.col("event_id").alias("seq"), "text", "ts")
+    req = validate_predict(req).filter("accepted").withColumn("fingerprint", fingerprint("text", tx.MODEL_VERSION))
+    out = ST.run_append(ST.anchored_stream(req.select("seq", "fingerprint", "ts"), "fingerprint", "ts", "seq",
+                                           tx.CACHE_TTL_SECONDS, watermark="2 days"), spark, "cache-flags")
+    return out.select(F.col("id").alias("seq"), F.col("key").alias("fingerprint"), "window_start", "n",
+                      (F.col("n") > 1).alias("cached"))

@@ -69,3 +69,60 @@ def continuous_scoring(spark: SparkSession, folder: str, file_glob: str, schema:
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(sink).drop("batch_id")
+
+
+def anchored_stream(events: DataFrame, key_col: str, ts_col: str, id_col: str, length_seconds: int,
+                    watermark: str = "10 minutes") -> DataFrame:
+    """T1/T2 on a stream: per key, state = (window start, count) carried across
+    micro-batches with ``applyInPandasWithState``; each batch's events of a
+    key are folded in (ts, id) order.  State expires by event-time timeout
+    once the watermark passes the window end, so it stays bounded by the
+    number of keys with an open window.  Output: id, key, window_start, n.
+
+    Events older than the watermark are dropped by Spark before the fold; in
+    time order (the request log) nothing is dropped and the result equals the
+    batch operator.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    length_us = int(length_seconds) * 1_000_000
+    from jobtext.operators.windows import micros
+
+    # t: zone-independent microseconds of the wall-clock time; ts_l only drives the watermark
+    ev = events.select(
+        F.col(key_col).cast("string").alias("key"), F.col(ts_col).cast("timestamp").alias("ts_l"),
+        micros(ts_col).alias("t"), F.col(id_col).cast("long").alias("id"),
+    ).withColumn("wm_ms", F.expr("unix_millis(ts_l)")).withWatermark("ts_l", watermark)
+
+    def fold(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["t", "id"], kind="mergesort")
+        start, n = state.get if state.exists else (None, 0)
+        starts, counts = [], []
+        for t in pdf["t"].to_numpy():
+            if start is None or t >= start + length_us:
+                start, n = int(t), 0
+            n += 1
+            starts.append(start)
+            counts.append(n)
+        state.update((start, n))
+        # ms on the watermark clock; the window is closed once the watermark passes its end
+        last = pdf.iloc[-1]
+        state.setTimeoutTimestamp(int(last["wm_ms"]) + (start + length_us - int(last["t"])) // 1000)
+        yield pd.DataFrame({"id": pdf["id"].to_numpy(), "key": key[0], "start_us": starts, "n": counts})
+
+    out = ev.groupBy("key").applyInPandasWithState(
+        fold, "id long, key string, start_us long, n long", "start long, n long", "append",
+        GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("window_start", F.expr("timestampadd(MICROSECOND, start_us, TIMESTAMP_NTZ'1970-01-01 00:00:00')")) \
+        .drop("start_us")
+
+
+def run_append(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """Run an append-mode stream to the end of its input; return the sink as a table."""
+    sink, ckpt = scratch_path(spark, f"{name}-sink"), scratch_path(spark, f"{name}-ckpt")
+    run_available(stream, sink, ckpt, "append")
+    return spark.read.parquet(sink).drop("batch_id")
