@@ -13,7 +13,7 @@ from jobtext.operators import curate as C
 from jobtext.operators import quality as Q
 from jobtext.plans import standin_sql as S
 from jobtext.plans.registry import query
-from jobtext.session import scratch_path
+from jobtext.session import materialize, scratch_path
 from jobtext.sources import standins
 from jobtext.sources.tables import spread
 
@@ -252,7 +252,7 @@ f AS (
 def q_drop_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A7 + A9: rows lost per curation step, in order, zero steps omitted."""
     raw = _raw(spark, sf_dir)
-    tagged = C.tag_rows(raw)
+    tagged = materialize(C.tag_rows(raw), persist=True)  # every count below reads it
     return Q.drop_funnel(raw, tagged, C.dataset(tagged))
 
 
@@ -273,9 +273,38 @@ def q_union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ds.unionByName(other)
 
 
-@query("quality_report")
+def _pct_sql(num: str, den: str) -> str:
+    return f"printf('%.1f', CASE WHEN {den} > 0 THEN floor(({num} * 2000 + {den}) / (2 * {den})) / 10.0 ELSE 0.0 END)"
+
+
+_REPORT_SQL = _FUNNEL_SQL.replace("WITH ", f"WITH {_CATS},\n", 1) + f""", mv AS (
+  """ + " UNION ALL ".join(
+    f"SELECT '{c}' AS key, count(*) FILTER (WHERE {c} IS NULL) AS m, count(*) AS n FROM raw_resume"
+    for c in Q.REPORT_COLUMNS) + f"""),
+st AS (SELECT round(avg(matched_score), 4) AS mean, round(stddev_samp(matched_score), 4) AS std,
+              round(min(matched_score), 4) AS min, round(max(matched_score), 4) AS max FROM raw_resume)
+SELECT 'summary' AS section, 'raw_rows' AS key, CAST(raw_rows AS VARCHAR) AS value FROM c
+UNION ALL SELECT 'summary', 'duplicate_rows', CAST(raw_rows - distinct_rows AS VARCHAR) FROM c
+UNION ALL SELECT 'summary', 'final_rows', CAST(final_rows AS VARCHAR) FROM c
+UNION ALL SELECT 'summary', 'retention_pct', {_pct_sql('final_rows', 'raw_rows')} FROM c
+UNION ALL SELECT 'summary', 'categories', CAST((SELECT count(DISTINCT category) FROM ds) AS VARCHAR)
+UNION ALL SELECT 'summary', 'levels', CAST((SELECT count(DISTINCT level) FROM ds) AS VARCHAR)
+UNION ALL SELECT 'missing_values', key, CAST(m AS VARCHAR) || ' (' || {_pct_sql('m', 'n')} || '%)' FROM mv
+UNION ALL SELECT 'drop_funnel', step, '-' || CAST(dropped AS VARCHAR) FROM f WHERE dropped > 0
+UNION ALL SELECT 'matched_score', 'mean', CAST(mean AS VARCHAR) FROM st
+UNION ALL SELECT 'matched_score', 'std', CAST(std AS VARCHAR) FROM st
+UNION ALL SELECT 'matched_score', 'min', CAST(min AS VARCHAR) FROM st
+UNION ALL SELECT 'matched_score', 'max', CAST(max AS VARCHAR) FROM st
+UNION ALL SELECT 'category_distribution', category, CAST(count(*) AS VARCHAR) FROM ds GROUP BY category
+UNION ALL SELECT 'level_distribution', level, CAST(count(*) AS VARCHAR) FROM ds GROUP BY level
+UNION ALL SELECT 'missing_categories', category, '' FROM cats WHERE category NOT IN (SELECT category FROM ds)
+UNION ALL SELECT 'level_fallback', job_position_name, CAST(count(*) AS VARCHAR) || ' rows' FROM tagged
+  WHERE step IS NULL AND level_fallback AND job_position_name IS NOT NULL GROUP BY job_position_name"""
+
+
+@query("quality_report", sql=_REPORT_SQL)
 def q_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S4 + A8: the data-quality report as (section, key, value) rows."""
     raw = _raw(spark, sf_dir)
-    tagged = C.tag_rows(raw)
+    tagged = materialize(C.tag_rows(raw), persist=True)  # every section below reads it
     return Q.report(raw, tagged, C.dataset(tagged))
