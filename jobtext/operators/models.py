@@ -85,8 +85,9 @@ def classifier(name: str, n_rows: int, label: str = "_label", weight: str = "_w"
         svc = LinearSVC(featuresCol="features", labelCol=label, weightCol=weight, regParam=1.0 / max(n_rows, 1),
                         standardization=False, maxIter=1000, tol=1e-4)
         # (one-vs-rest keeps its scores in the default rawPrediction column)
+        # the per-class binary fits are independent: run them concurrently
         return OneVsRest(classifier=svc, featuresCol="features", labelCol=label, weightCol=weight,
-                         predictionCol="_pred")
+                         predictionCol="_pred", parallelism=8)
     if name == "multinomial_nb":
         return NaiveBayes(featuresCol="features", labelCol=label, modelType="multinomial", smoothing=1.0,
                           predictionCol="_pred", probabilityCol="_prob", rawPredictionCol="_raw")

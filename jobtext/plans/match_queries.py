@@ -12,6 +12,7 @@ from jobtext.operators.skills import extract_skills
 from jobtext.plans import standin_sql as S
 from jobtext.plans.registry import query
 from jobtext.sources import standins
+from jobtext.session import materialize
 from jobtext.sources.tables import read, spread
 
 SPACE = S.SPACE_CHARS
@@ -21,7 +22,8 @@ WORD = S.WORD_CHARS
 def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of the match request table, scored (J1 with F4–F9)."""
     texts = spread(standins.labelled_texts(spark, sf_dir))
-    analysis = M.analyse_texts(texts, standins.CORPUS_SKILLS)
+    # both joins read the analysis: materialise its small rows once instead of extracting skills twice
+    analysis = materialize(M.analyse_texts(texts, standins.CORPUS_SKILLS), persist=True)
     pairs = standins.match_requests(spark, sf_dir).select("pair_id", "user_id", "resume_id", "vacancy_id", "created_at")
     return M.match_pairs(pairs, analysis)
 
