@@ -35,7 +35,7 @@ _SAVED: dict[tuple[str, str, str], str] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str, what: str) -> tuple[str, str, str]:
-    return (spark.sparkContext.applicationId, sf_dir, what)
+    return (spark.conf.get("spark.app.id", "session"), sf_dir, what)
 
 
 def trained(spark: SparkSession, sf_dir: str) -> tuple[MD.TextModels, DataFrame]:
