@@ -18,23 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtext.functions.text import tokens as token_runs
+from jobtext.functions.text import training_text
 from jobtext.sources.tables import parallelism
 
 
-def terms(text: Column, stop_words: list[str] | None = None, bigrams: bool = True) -> Column:
-    """array<string>: unigrams (stop words removed) followed by bigrams."""
-    toks = token_runs(F.lower(text))
-    if stop_words:
-        stop = F.array(*[F.lit(w) for w in stop_words])
-        toks = F.filter(toks, lambda t: ~F.array_contains(stop, t))
-    if not bigrams:
-        return toks
-    n = F.size(toks)
-    grams = F.zip_with(F.slice(toks, 1, F.greatest(n - 1, F.lit(0))), F.slice(toks, 2, F.greatest(n - 1, F.lit(0))),
-                       lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.when(n >= 2, F.concat(toks, grams)).otherwise(toks)
-
-
 def with_terms(df: DataFrame, text_col: str, out_col: str, stop_words: list[str] | None = None) -> DataFrame:
     """Adds ``out_col`` = unigrams (stop words removed) ++ bigrams of ``text_col``.
 
@@ -42,7 +29,7 @@ def with_terms(df: DataFrame, text_col: str, out_col: str, stop_words: list[str]
     removal and bigrams use Spark ML's JVM transformers rather than
     interpreted higher-order lambdas.
     """
-    out = df.withColumn("_tok", token_runs(F.lower(F.col(text_col))))
+    out = df.withColumn("_tok", token_runs(training_text(F.col(text_col))))
     uni = "_tok"
     if stop_words:
         out = StopWordsRemover(inputCol="_tok", outputCol="_uni", stopWords=stop_words,

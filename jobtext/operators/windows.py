@@ -43,9 +43,12 @@ def micros(col: str) -> Column:
 def global_sort(df: DataFrame, order: list[Column]) -> DataFrame:
     """``df`` in total order ``order`` (must be unique), with _pid and a
     0-based global position _g; materialised."""
-    s = df.orderBy(*order).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy(*order)
-    s = materialize(s.withColumn("_pos", F.row_number().over(w) - 1))
+    # after the range sort each partition is in order, so monotonically_increasing_id
+    # (partition index << 33 | row index) already numbers the rows: no second shuffle
+    mid = F.monotonically_increasing_id()
+    s = df.orderBy(*order).withColumn("_mid", mid)
+    s = materialize(s.select("*", F.shiftright("_mid", 33).cast("int").alias("_pid"),
+                             F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("_pos")).drop("_mid"))
     sizes = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # partition-sized table: offset of each partition in the global order
     wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
