@@ -5,10 +5,11 @@ optionally without stop words, plus bigrams of consecutive remaining
 tokens.  Document frequency / corpus frequency is one ``groupBy(term)``
 (partial aggregation pre-combines hot terms map-side).  The vocabulary is
 capped (top terms by corpus frequency, ties by term), so the idf table has a
-proven size bound and is broadcast.  Term counts per document and the L2
-norm are computed after one hash repartition of the documents by id, which
-both the (doc, term) aggregate and the per-document window then reuse
-without further shuffles.
+proven size bound and is broadcast.  Documents are hash-repartitioned by id
+once, and the (doc, term) aggregate reuses that partitioning (no second
+shuffle of the token stream).  The per-document L2 norm is a window over
+doc_id on the (doc, term, weight) rows; when that table was materialised in
+between, this costs one shuffle of those rows.
 """
 
 from __future__ import annotations
