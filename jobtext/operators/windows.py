@@ -17,10 +17,11 @@ events, so nothing here groups a key into one task:
 2. ``next_at_least``: for every event, the first event of the same key at or
    after ts + L — a forward as-of join done as one more range-sorted scan
    (probes and events interleaved, "last event seen" carried backwards).
-3. Window starts are exactly the chain first-event -> next -> next …  The
-   chain is found with pointer doubling (log2 of the longest chain rounds
-   of joins on the unique event id; hot keys do not matter) and path
-   expansion from each key's first event.
+3. Window starts are exactly the chain first-event -> next -> next …  An
+   event at least L after its predecessor certainly starts a window, so the
+   chain is cut into sessions there and followed per session with pointer
+   doubling (log2 of the longest in-session chain rounds of joins on the
+   unique event id; hot keys do not matter) and path expansion.
 4. Each event's window start is the last start at or before it (a fill
    forward over the global order); n = _g(event) - _g(start) + 1.
 """
@@ -84,8 +85,8 @@ def next_at_least(ev: DataFrame, length_us: int) -> DataFrame:
     return s.select("id", nxt.alias("nxt"))
 
 
-def chain_starts(ev: DataFrame, nxt: DataFrame) -> DataFrame:
-    """(id) of window starts: the chains first-event -> nxt -> … of every key."""
+def chain_starts(roots: DataFrame, nxt: DataFrame) -> DataFrame:
+    """(id) of window starts: the chains root -> nxt -> … from every root."""
     table = materialize(nxt.select("id", F.col("nxt").alias("j")))
     jumps = [table]
     while True:  # pointer doubling: jumps[i].j = nxt^(2^i)(id)
@@ -96,8 +97,7 @@ def chain_starts(ev: DataFrame, nxt: DataFrame) -> DataFrame:
         nxt_round = materialize(last.join(b, last["j"] == b["_m"], "left").select("id", F.col("_j2").alias("j")))
         jumps.append(nxt_round)
     # every chain is shorter than 2^(len(jumps)-1) steps
-    first = ev.groupBy("key").agg(F.min_by("id", F.struct("t", "id")).alias("id"))
-    starts = first.select("id")
+    starts = roots.select("id")
     for jt in reversed(jumps[:-1]):
         step = starts.join(jt, "id").filter(F.col("j").isNotNull()).select(F.col("j").alias("id"))
         starts = materialize(starts.unionByName(step))
@@ -107,17 +107,35 @@ def chain_starts(ev: DataFrame, nxt: DataFrame) -> DataFrame:
 def anchored_windows(df: DataFrame, key_col: str, ts_col: str, id_col: str, length_seconds: int) -> DataFrame:
     """Adds window_start (timestamp of the window's first event), window_id
     and n (position of the event in its window, from 1).  ``id_col`` must be
-    unique; order within equal timestamps is by id."""
+    unique; order within equal timestamps is by id.
+
+    An event whose predecessor (same key) is at least L earlier certainly
+    opens a window: the previous window began at or before that predecessor.
+    Such events cut each key into sessions; chains are followed only inside
+    a session, so pointer doubling needs log2 of the longest in-session chain
+    rounds (one or two for sparse keys), not of the longest per-key chain.
+    """
     shared_dir(df.sparkSession)  # checkpoints go to the cluster's checkpoint folder
     length_us = int(length_seconds) * 1_000_000
     # the input is read several times below: materialise it once (callers pass narrow frames)
     base = materialize(df.filter(F.col(key_col).isNotNull() & F.col(ts_col).isNotNull()), persist=True)
     ev = base.select(F.col(key_col).cast("string").alias("key"), micros(ts_col).alias("t"),
                      F.col(id_col).cast("long").alias("id"))
-    nxt = next_at_least(ev, length_us)
-    starts = chain_starts(ev, nxt).withColumn("_start", F.lit(True))
     order = [F.col("key"), F.col("t"), F.col("id")]
-    s = global_sort(ev.join(starts, "id", "left"), order)
+    s = global_sort(ev, order)
+    # predecessor in (key, t, id) order: the row at global position _g - 1 (join on a unique key)
+    prev = s.select((F.col("_g") + 1).alias("_g"), F.col("key").alias("_pk"), F.col("t").alias("_pt"))
+    s = s.join(prev, "_g", "left")
+    certain = F.col("_pk").isNull() | (F.col("_pk") != F.col("key")) | (F.col("t") - F.col("_pt") >= F.lit(length_us))
+    s = materialize(fill_forward(s.withColumn("_cert", certain), order,
+                                 F.when(F.col("_cert"), F.col("_g")), "_sess").drop("_pk", "_pt"))
+    sess = s.select("id", "_sess")
+    # next start candidate, kept only inside the session
+    nxt = next_at_least(ev, length_us).join(sess, "id") \
+        .join(sess.select(F.col("id").alias("nxt"), F.col("_sess").alias("_nsess")), "nxt", "left")
+    nxt = nxt.select("id", F.when(F.col("_nsess") == F.col("_sess"), F.col("nxt")).alias("nxt"))
+    starts = chain_starts(s.filter("_cert").select("id"), nxt).withColumn("_start", F.lit(True))
+    s = s.join(starts, "id", "left")
     s = fill_forward(s, order, F.when(F.col("_start"), F.struct(F.col("_g").alias("g"), F.col("t").alias("t"),
                                                                   F.col("id").alias("id"))), "_w")
     res = s.select(F.col("id").alias("_id"), (F.col("_g") - F.col("_w.g") + 1).alias("n"),
