@@ -8,6 +8,8 @@ the DuckDB oracle in step.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,16 +21,22 @@ SPACE_CHARS = r"\t\n\x0b\x0c\r\x1c-\x1f\x85\p{Z}"
 WORD = f"[{WORD_CHARS}]"
 NOT_WORD = f"[^{WORD_CHARS}]"
 SPACE_RUN = f"[{SPACE_CHARS}]+"
-EDGE_SPACE = f"^[{SPACE_CHARS}]+|[{SPACE_CHARS}]+$"
 
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# The characters of SPACE_CHARS, listed: control whitespace plus every code
+# point of the Unicode separator categories (Zs, Zl, Zp) — the \\p{Z} class.
+WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85" + "".join(
+    chr(c) for c in range(0x3001) if unicodedata.category(chr(c)) in ("Zs", "Zl", "Zp"))
+
+
 def strip_unicode(col: Column | str) -> Column:
-    """Strip leading/trailing whitespace of any Unicode kind."""
-    return F.regexp_replace(_c(col), EDGE_SPACE, "")
+    """Strip leading/trailing whitespace of any Unicode kind (a two-sided trim
+    over the whitespace set: work only at the ends, not a scan of the text)."""
+    return F.trim(_c(col), F.lit(WHITESPACE))
 
 
 def collapse_spaces(col: Column | str) -> Column:
