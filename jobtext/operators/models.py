@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
@@ -171,10 +172,16 @@ def compare(spark, data: DataFrame, targets: list[str], max_features: int, model
         xtr = materialize(featurize(feat, train), persist=True)
         xte = materialize(featurize(feat, test), persist=True)
         n_test = xte.count()
-        for name in names or MODEL_NAMES:
+
+        def fit_one(name: str, xtr=xtr, target=target):
             t0 = time.perf_counter()
-            m = fit_classifier(xtr, target, name)
-            train_sec = time.perf_counter() - t0
+            return name, fit_classifier(xtr, target, name), time.perf_counter() - t0
+
+        # the candidates are independent: their Spark jobs run concurrently (like
+        # cross-validation's parallelism); train seconds are each fit's own wall time
+        with ThreadPoolExecutor(max_workers=len(names or MODEL_NAMES)) as pool:
+            fitted = list(pool.map(fit_one, names or MODEL_NAMES))
+        for name, m, train_sec in fitted:
             pred = m.transform(xte).select(F.col(target).alias("true_label"), "predicted_label")
             t1 = time.perf_counter()
             m.transform(xte).write.format("noop").mode("overwrite").save()
