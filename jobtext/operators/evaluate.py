@@ -93,7 +93,7 @@ def class_weights(df: DataFrame, label_col: str) -> DataFrame:
                     F.round(F.col("n") / (F.col("k") * F.col("n_c")), 6).alias("weight"))
 
 
-def errors(pairs: DataFrame, text_col: str = "text") -> DataFrame:
+def errors(pairs: DataFrame) -> DataFrame:
     """M8 projection: (text, true, predicted, correct)."""
     return pairs.withColumn("correct", F.col("true_label") == F.col("predicted_label"))
 
