@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from jobtext.llm import simhash
+from jobtext.llm import packing, simhash
 
 QUERIES = {
     "op4_simhash_dedup": simhash.op4_query,
+    "op5_packing": packing.op5_query,
 }
 
 ORACLE: dict[str, str] = {}
