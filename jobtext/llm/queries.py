@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from jobtext.llm import packing, simhash
+from jobtext.llm import packing, quality, simhash
 
 QUERIES = {
+    "op3_quality_rules": quality.op3_query,
     "op4_simhash_dedup": simhash.op4_query,
     "op5_packing": packing.op5_query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_quality_rules": quality.OP3_SQL,
+}
