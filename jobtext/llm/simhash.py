@@ -1,9 +1,9 @@
 """SimHash near-duplicates by a segment-popcount grid.
 
-A 64-bit fingerprint is mapped to the bit counts of its 32 two-bit segments.
-The Manhattan distance of two such vectors never exceeds the number of
-differing bits, and over two halves of 16 segments one half carries at most
-half of it. Two vectors within distance 2 on a half have a grid point within 1
+A 64-bit fingerprint is mapped to the bit counts of its segments: each half has
+16 segments of one bit and 8 of two bits. The Manhattan distance of two such
+vectors never exceeds the number of differing bits, and of the two halves one
+carries at most half of it. Two vectors within distance 2 on a half have a grid point within 1
 of both, so every fingerprint enters the grid cells within distance 1 of each
 of its halves and fingerprints that share a cell are compared exactly.
 """
@@ -25,7 +25,7 @@ from jobtext.llm.components import components
 SHINGLE, MAX_BITS = 4, 4
 #: Cells with more members than this are linked through Hamming midpoints.
 CELL = 16_384
-_LOW = 0x55555555
+_LOW = 0x5555
 _BLOCK = 16_384
 
 
@@ -64,13 +64,15 @@ def _cells(fp: Column, radius: int) -> Column:
     """Grid cells within ``radius`` (0 or 1) of both halves' bit counts."""
     out = []
     for half in (0, 1):
-        bits = F.shiftrightunsigned(fp, 32 * half).bitwiseAND(0xFFFFFFFF)
-        own = bits.bitwiseAND(_LOW) + F.shiftrightunsigned(bits, 1).bitwiseAND(_LOW)
-        base = own + F.lit(half << 32)
+        bits = F.shiftrightunsigned(fp, 32 * half)
+        narrow, wide = bits.bitwiseAND(0xFFFF), F.shiftrightunsigned(bits, 16).bitwiseAND(0xFFFF)
+        counts = wide.bitwiseAND(_LOW) + F.shiftrightunsigned(wide, 1).bitwiseAND(_LOW)
+        base = F.lit(half << 32) + F.shiftleft(counts, 16) + narrow
         out.append(base)
-        for i in range(16 * radius):
-            digit = F.shiftrightunsigned(own, 2 * i).bitwiseAND(3)
-            out += [F.when(digit < 2, base + F.lit(1 << 2 * i)), F.when(digit > 0, base - F.lit(1 << 2 * i))]
+        out += [base.bitwiseXOR(F.lit(1 << i)) for i in range(16 * radius)]
+        for i in range(8 * radius):
+            digit, unit = F.shiftrightunsigned(counts, 2 * i).bitwiseAND(3), F.lit(1 << 16 + 2 * i)
+            out += [F.when(digit < 2, base + unit), F.when(digit > 0, base - unit)]
     return F.explode(F.array_compact(F.array(*out)))
 
 
