@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from jobtext.llm import packing, quality, simhash
+from jobtext.llm import packing, quality, secrets, simhash
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_query,
     "op3_quality_rules": quality.op3_query,
     "op4_simhash_dedup": simhash.op4_query,
     "op5_packing": packing.op5_query,
