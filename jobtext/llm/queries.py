@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from jobtext.llm import packing, quality, secrets, simhash
+from jobtext.llm import linededup, packing, quality, secrets, simhash
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_query,
     "op3_quality_rules": quality.op3_query,
     "op4_simhash_dedup": simhash.op4_query,
     "op5_packing": packing.op5_query,
+    "op10_line_dedup": linededup.op10_query,
 }
 
 ORACLE: dict[str, str] = {
