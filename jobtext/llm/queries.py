@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from jobtext.llm import linededup, packing, quality, secrets, simhash
+from jobtext.llm import bpe, linededup, packing, quality, secrets, simhash, urlfilter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_query,
     "op3_quality_rules": quality.op3_query,
     "op4_simhash_dedup": simhash.op4_query,
     "op5_packing": packing.op5_query,
+    "op7_url_filter": urlfilter.op7_query,
+    "op8_byte_bpe": bpe.op8_query,
     "op10_line_dedup": linededup.op10_query,
 }
 
 ORACLE: dict[str, str] = {
     "op3_quality_rules": quality.OP3_SQL,
+    "op7_url_filter": urlfilter.OP7_SQL,
 }

@@ -17,7 +17,7 @@ import numpy as np
 #: Units that a process remembers; further ones are encoded when they come.
 CACHE_UNITS = 600_000
 #: A space inside a run of white space that is not its last character before another word.
-_INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
+INSIDE_RUN = re.compile(r"\s (?:\s|\Z)")
 _MADE: dict[str, "UnitEncoder"] = {}
 
 
@@ -39,13 +39,13 @@ class UnitEncoder(dict):
 
     def whole(self, text: str) -> np.ndarray:
         """Ids of the whole text."""
-        if _INSIDE_RUN.search(text):
+        if INSIDE_RUN.search(text):
             return np.frombuffer(self.ids(text), "<u4")
         head, *rest = text.split(" ")
         return np.frombuffer(b"".join([self.ids(head), *map(self.__getitem__, rest)]), "<u4")
 
 
-def _ranks(name: str) -> dict[bytes, int]:
+def ranks_of(name: str) -> dict[bytes, int]:
     import public_tokenizers
 
     with open(public_tokenizers.path(name), "rb") as f:
@@ -58,14 +58,14 @@ def byte_bpe(name: str) -> "UnitEncoder":
         import public_tokenizers
         import tiktoken
 
-        core = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(name), special_tokens={})
+        core = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks_of(name), special_tokens={})
         _MADE[name] = UnitEncoder(core.encode_ordinary)
     return _MADE[name]
 
 
 def sentence_ends(name: str) -> np.ndarray:
     """By id, whether the token's text ends a sentence or a line."""
-    ranks = _ranks(name)
+    ranks = ranks_of(name)
     out = np.zeros(max(ranks.values()) + 1, bool)
     for token, i in ranks.items():
         out[i] = token.rstrip(b" \"')")[-1:] in (b".", b"!", b"?", b"\n")
