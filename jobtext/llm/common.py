@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from jobtext.session import scratch_path, table_path
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
+#: Bits of the map that spares most rows a shuffle; its size does not depend on the data.
+MAP_BITS = 1 << 22
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,28 +57,31 @@ def id_edges(df: DataFrame, id_col: str, pieces: int) -> list[int]:
     return sorted(set(got or []))
 
 
-def id_range(id_col: str | Column, edges: Iterable[int]) -> Column:
-    """Number of the range an id falls in: how many edges lie below it, found
-    by halving; null ids are one range of their own, the last."""
-    edges = list(edges)
-    x = F.col(id_col) if isinstance(id_col, str) else id_col
+def id_range(id_col: str, edges: list[int]) -> Column:
+    """Number of the range that an id falls in: how many edges lie below it;
+    null ids are a range of their own, the last."""
+    table = np.array(edges, np.int64)
 
-    def half(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x <= F.lit(edges[mid]), half(lo, mid)).otherwise(half(mid + 1, hi))
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(table, ids.to_numpy(), side="left").astype("int32"))
 
-    return F.when(x.isNull(), F.lit(len(edges) + 1)).otherwise(half(0, len(edges))).cast("int")
+    known = F.coalesce(F.col(id_col).cast("long"), F.lit(0))
+    return F.when(F.col(id_col).isNull(), F.lit(len(edges) + 1)).otherwise(place(known))
 
 
-def arrow_batches(rows: Iterator[dict], schema: pa.Schema, size: int = 5000) -> Iterator[pa.RecordBatch]:
-    """Rows as record batches of at most ``size`` rows."""
-    held: list[dict] = []
-    for r in rows:
-        held.append(r)
-        if len(held) >= size:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
+def member(df: DataFrame, name: str) -> Callable[[Column], Column]:
+    """Test of longs against column ``name`` by a bit map of MAP_BITS bits:
+    true for every value of the column and, the fuller the map, for others."""
+    slot = F.pmod(F.col(name), F.lit(MAP_BITS))
+    words = df.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({name}, {MAP_BITS}) & 63 as int))")).alias("bits"))
+    dense = [0] * (MAP_BITS // 64)
+    for r in words.collect():
+        dense[r.w] = r.bits
+    table = F.split(F.lit(",".join(map(str, dense))), ",").cast("array<long>")
+
+    def test(x: Column) -> Column:
+        at = F.pmod(x, F.lit(MAP_BITS))
+        return F.call_function("shiftright", F.get(table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+    return test

@@ -18,33 +18,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtext.llm.common import BLANK_CLASS, ROW, documents, row_name, staged
+from jobtext.llm.common import BLANK_CLASS, ROW, documents, member, row_name, staged
 
 WORDS = 5
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
-#: Bits of the map that spares most rows a shuffle; its size does not depend on the data.
-MAP_BITS = 1 << 22
 POS = ["none", *ROW, "line_no"]
 
 
-def _member(df: DataFrame, name: str) -> Callable[[Column], Column]:
-    """Test of longs against column ``name`` by a bit map of MAP_BITS bits:
-    true for every value of the column and, the fuller the map, for others."""
-    slot = F.pmod(F.col(name), F.lit(MAP_BITS))
-    words = df.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({name}, {MAP_BITS}) & 63 as int))")).alias("bits"))
-    dense = [0] * (MAP_BITS // 64)
-    for r in words.collect():
-        dense[r.w] = r.bits
-    table = F.split(F.lit(",".join(map(str, dense))), ",").cast("array<long>")
-
-    def test(x: Column) -> Column:
-        at = F.pmod(x, F.lit(MAP_BITS))
-        return F.call_function("shiftright", F.get(table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
-
-    return test
-
-
 def _tokens(line: str) -> Callable[[DataFrame], DataFrame]:
     """Adds ``toks``: the line's distinct shingle digests in ascending order, empty without words."""
     step = lambda w, i: F.xxhash64(w, *[F.get("_words", i + k) for k in range(1, WORDS)])
@@ -74,7 +55,7 @@ def _candidates(lines: DataFrame) -> DataFrame:
     """(set_key, line_key, n, first): distinct sets that share a prefix token with another set, with a line of each and its first place."""
     heads = lines.select("set_key", F.explode("head").alias("tok"))
     shared = staged(heads.groupBy("tok").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("tok"), "shared")
-    some = heads.where(_member(shared, "tok")(F.col("tok"))).distinct().join(shared, "tok", "left_semi").select("set_key").distinct()
+    some = heads.where(member(shared, "tok")(F.col("tok"))).distinct().join(shared, "tok", "left_semi").select("set_key").distinct()
     firsts = lines.groupBy("set_key").agg(F.min(F.struct(*POS)).alias("first"), F.min("line_key").alias("line_key"))
     return staged(firsts.join(some, "set_key", "left_semi"), "candidates")
 
@@ -82,7 +63,7 @@ def _candidates(lines: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(set_key, first, n, toks): the candidates' whole sets, tokens (df, tok) by rarity among them."""
     every = docs.select(F.explode(F.split("text", "\n")).alias("line")).withColumn("line_key", F.xxhash64("line"))
-    found = every.where(_member(candidates, "line_key")(F.col("line_key"))).groupBy("line_key").agg(F.min("line").alias("line"))
+    found = every.where(member(candidates, "line_key")(F.col("line_key"))).groupBy("line_key").agg(F.min("line").alias("line"))
     rows = staged(found.join(candidates, "line_key").transform(_tokens("line")).select("set_key", "first", "toks"), "sets")
     loose = rows.select("set_key", F.explode("toks").alias("tok"))
     df = loose.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))

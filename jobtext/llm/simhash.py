@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtext.llm.common import ROW, documents, row_name, staged, texts_of
+from jobtext.llm.common import ROW, documents, member, row_name, staged, texts_of
 from jobtext.llm.components import components
 
 SHINGLE, MAX_BITS = 4, 4
@@ -123,10 +123,12 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cell: int = CELL) -> DataFra
     which chains of ``max_bits`` or fewer differing bits connect."""
     if not 0 <= max_bits <= 4:
         raise ValueError("the grid covers 0 to 4 differing bits")
-    grid = fps.select("fp", _cells(F.col("fp"), min(1, max_bits // 2)).alias("cell"))
+    slots = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = fps.repartition(slots, "fp").select("fp", _cells(F.col("fp"), min(1, max_bits // 2)).alias("cell"))
     full = staged(grid.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "cells")
     twos = full.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b")
-    more = grid.join(full.where("n > 2").select("cell", "n"), "cell")
+    several = full.where("n > 2").select("cell", "n")
+    more = grid.where(member(several, "cell")(F.col("cell"))).join(several, "cell")
     lists = more.where(F.col("n") <= cell).groupBy("cell").agg(F.collect_list("fp").alias("fps")).select("fps")
     out = twos.unionAll(_cell_links(lists, max_bits))
     crowded = more.where(F.col("n") > cell).select("fp").distinct()
