@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from jobtext.llm import bpe, linededup, packing, quality, secrets, simhash, urlfilter
+from jobtext.llm import bpe, chunks, linededup, packing, quality, secrets, simhash, urlfilter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_query,
+    "op2_fingerprints": chunks.op2_query,
     "op3_quality_rules": quality.op3_query,
     "op4_simhash_dedup": simhash.op4_query,
     "op5_packing": packing.op5_query,
