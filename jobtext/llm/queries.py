@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobtext.llm import bpe, chunks, linededup, packing, quality, secrets, simhash, urlfilter
+from jobtext.llm import bpe, chunks, linededup, packing, quality, secrets, simhash, suffixes, urlfilter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality.op3_query,
     "op4_simhash_dedup": simhash.op4_query,
     "op5_packing": packing.op5_query,
+    "op6_suffix_dedup": suffixes.op6_query,
     "op7_url_filter": urlfilter.op7_query,
     "op8_byte_bpe": bpe.op8_query,
     "op10_line_dedup": linededup.op10_query,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op3_quality_rules": quality.OP3_SQL,
+    "op6_suffix_dedup": suffixes.op6_query,
     "op7_url_filter": urlfilter.OP7_SQL,
 }
