@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtext.llm.common import BLANK_CLASS, ROW, documents, member, row_name, staged
+from jobtext.llm.common import BLANK_CLASS, ROW, WORD_CLASS, documents, member, row_name, staged
 
 WORDS = 5
 #: Similarity as a fraction.
@@ -47,7 +47,8 @@ def _prefix(n: Column) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """A row per line with a word: its place, the line's digest, its set's digest, size and first tokens in digest order."""
     rows = docs.select(F.col("doc_id").isNull().alias("none"), *row_name("doc_id", "text"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.transform(_tokens("line")).where(F.size("toks") > 0)
+    # a test of the line, not of its tokens: the latter would be pushed down and compute them anew
+    rows = rows.where(F.rlike("line", F.lit(WORD_CLASS))).transform(_tokens("line"))
     return rows.select(*POS, F.xxhash64("line").alias("line_key"), F.xxhash64("toks").alias("set_key"), F.size("toks").alias("n"), F.slice("toks", F.lit(1), _prefix(F.size("toks"))).alias("head"))
 
 
