@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobtext.llm import bpe, chunks, linededup, packing, quality, secrets, simhash, suffixes, urlfilter
+from jobtext.llm import bpe, chunks, linededup, mainhtml, packing, quality, secrets, simhash, suffixes, urlfilter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_suffix_dedup": suffixes.op6_query,
     "op7_url_filter": urlfilter.op7_query,
     "op8_byte_bpe": bpe.op8_query,
+    "op9_main_text": mainhtml.op9_query,
     "op10_line_dedup": linededup.op10_query,
 }
 
