@@ -12,10 +12,11 @@ ones are remembered by each process.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,10 @@ from jobtext.llm.common import documents
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Longest match, in bytes, that shares an array with others.
 SHARED_LENGTH = 64
+#: Places of an array of trees.
+SHARED_PLACES = 1 << 17
 #: Units (see tokens) that a process remembers, and characters encoded together.
-CACHE_UNITS, TOGETHER = 500_000, 1 << 20
+CACHE_UNITS, TOGETHER = 200_000, 1 << 19
 _NONE = np.int64(1) << 62
 
 
@@ -40,16 +43,15 @@ class Trees:
         self.ranks = ranks
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.texts = {i: t for t, i in ranks.items()}
         pairs = {}
         for token, rank in ranks.items():
             for k in range(1, len(token)):
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
                     pairs[a << 20 | b] = rank
-        self.pair_rank = pairs
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        self.pair_keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
+        order = np.argsort(self.pair_keys)
+        self.pair_keys, self.pair_ranks = self.pair_keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
         self.known: dict[str, bytes] = {}
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -99,6 +101,10 @@ class Trees:
             update(rows[some], left[some], self._pair(ids[rows[some], left[some]], best[some]))
         return np.split(ids[alive], np.cumsum(alive.sum(1))[:-1])
 
+    @cached_property
+    def pair_rank(self) -> dict[int, int]:
+        return dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist()))
+
     def one(self, word: bytes) -> list[int]:
         """Ids of a word of any length by a tree of its own."""
         n = len(word)
@@ -151,8 +157,9 @@ class Trees:
             else:
                 groups.setdefault(1 << (len(raw) - 1).bit_length(), []).append((w, raw))
         for width, group in groups.items():
-            for k in range(0, len(group), 20_000):
-                part = group[k : k + 20_000]
+            step = max(1, SHARED_PLACES // width)
+            for k in range(0, len(group), step):
+                part = group[k : k + step]
                 for (w, _), ids in zip(part, self.many([r for _, r in part], width)):
                     out[w] = ids.astype("<u4").tobytes()
         return out
@@ -179,9 +186,10 @@ class Trees:
         known.update(fresh)
         return [first[u[0]] + b"".join([known[x] for x in u[1:]]) for u in units]
 
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes that ids stand for."""
-        return b"".join(map(self.texts.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+def decoded(ids: bytes, table: dict[int, bytes]) -> bytes:
+    """The bytes that ids stand for."""
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @cache
@@ -189,16 +197,20 @@ def trees(ranks: str = RANKS) -> Trees:
     return Trees(tokens.ranks_of(ranks))
 
 
-def _together(texts: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= TOGETHER:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+@cache
+def token_bytes(ranks: str = RANKS) -> dict[int, bytes]:
+    return {i: t for t, i in tokens.ranks_of(ranks).items()}
+
+
+def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of ``column``, a row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
@@ -209,10 +221,10 @@ def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = trees(ranks)
-        for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            ids = [x for part in _together(texts) for x in coder.encode(part)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        for batch in batches:
+            for b in _slices(batch, "text", TOGETHER):
+                ids = coder.encode([t or "" for t in b.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, ids binary")
 
@@ -221,10 +233,11 @@ def decode(rows: DataFrame, ranks: str = RANKS) -> DataFrame:
     """(doc_id, ids) to (doc_id, ids, decoded binary)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = trees(ranks)
-        for b in batches:
-            out = pa.array([coder.decode(x) for x in b.column("ids").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), out], ["doc_id", "ids", "decoded"])
+        table = token_bytes(ranks)
+        for batch in batches:
+            for b in _slices(batch, "ids", TOGETHER):
+                out = pa.array([decoded(x, table) for x in b.column("ids").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), out], ["doc_id", "ids", "decoded"])
 
     return rows.select("doc_id", "ids").mapInArrow(work, "doc_id long, ids binary, decoded binary")
 
