@@ -8,10 +8,13 @@ the DuckDB oracle in step.
 
 from __future__ import annotations
 
+import ast
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from jobtext import taxonomy as tx
 
@@ -119,16 +122,34 @@ def is_level_fallback(title: Column | str, experience: Column | str) -> Column:
     return title_override(title).isNull() & parse_min_years(experience).isNull()
 
 
+_QUOTED = r"""(?:'[^'\\\n\r]*'|"[^"\\\n\r]*")"""
+_ITEM = rf"(?:{_QUOTED}|None)"
+# a list of plainly quoted strings and None, the usual spelling
+_PLAIN_LIST = rf"^[ \t]*\[[ \t]*(?:{_ITEM}(?:[ \t]*,[ \t]*{_ITEM})*[ \t]*,?)?[ \t]*\][ \t]*$"
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _literal_items(values: pd.Series) -> pd.Series:
+    """Items of any other list literal, as text, None left out; null if it is none."""
+    def items(v):
+        try:
+            got = ast.literal_eval(v) if v is not None else None
+        except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
+            return None
+        return [str(x) for x in got if x is not None] if isinstance(got, list) else None
+
+    return values.map(items, na_action="ignore").astype(object).where(values.notna(), None)
+
+
 def parse_list_literal(col: Column | str) -> Column:
     """a list literal such as "['A', 'B']" -> array of its non-null items;
-    anything that is not a list literal -> null."""
+    anything that is not a list literal -> null. The usual spelling is taken
+    apart by one expression with quoted strings as units; only other values
+    that begin like a list go, in Arrow batches, to an exact parser."""
     c = _c(col)
-    looks_like_list = c.rlike(r"^[ \t]*\[[\s\S]*\][" + SPACE_CHARS + r"]*$")
-    # None items are dropped; JSON spells them null.
-    jsonish = F.regexp_replace(c, r"(?<=[\[,])([ \t]*)None([ \t]*)(?=[,\]])", "$1null$2")
-    parsed = F.from_json(jsonish, "array<string>", {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
-    items = F.filter(parsed, lambda x: x.isNotNull())
-    return F.when(looks_like_list, items)
+    plain = c.rlike(_PLAIN_LIST)
+    quoted = F.transform(F.regexp_extract_all(c, F.lit(_QUOTED), F.lit(0)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+    return F.when(plain, quoted).otherwise(_literal_items(F.when(~plain & c.rlike(r"^[ \t]*\["), c)))
 
 
 def clean_value(col: Column | str) -> Column:

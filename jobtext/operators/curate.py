@@ -11,6 +11,7 @@ distinct; everything else is row-local.  The title taxonomy is a fixed
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,16 +71,48 @@ def curate(raw: DataFrame) -> DataFrame:
     return dataset(tag_rows(raw))
 
 
-def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Raw CSV with a header, quoted multi-line fields, explicit schema.
+# The strings that count as missing in a raw file.
+NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+               "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
-    The header line is skipped and columns are taken by position under the
-    explicit schema, so a byte-order mark glued to the first name is harmless.
-    """
-    return (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        .option("enforceSchema", True).schema(RAW_SCHEMA).csv(path)
-    )
+
+def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Raw CSV with a header and quoted multi-line fields, columns by name.
+
+    A byte-order mark is taken off any column name; missing-value strings are
+    null; expected columns that the file lacks are null and its other columns
+    are kept as strings. A multi-line CSV file is one task: convert large raw
+    files to Parquet once."""
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    df = df.toDF(*[c.replace("\ufeff", "") for c in df.columns])
+    df = df.select(*[F.when(~F.col(f"`{c}`").isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns])
+    wanted = [f.split() for f in RAW_SCHEMA.split(", ")]
+    for name, kind in wanted:
+        df = df.withColumn(name, F.col(name).try_cast(kind) if name in df.columns else F.lit(None).cast(kind))
+    return df.select(*[n for n, _ in wanted], *[f"`{c}`" for c in df.columns if c not in dict(wanted)])
+
+
+def training_source(spark: SparkSession, read, real: str, synthetic: str, explicit: str | None = None) -> DataFrame:
+    """The training table: an explicit path (an error if it is absent), else
+    the real and the synthetic set together, else the one that is there.
+    ``read(path)`` reads one table."""
+    def there(path: str) -> DataFrame | None:
+        try:
+            return read(path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+
+    if explicit:
+        df = there(explicit)
+        if df is None:
+            raise FileNotFoundError(f"no dataset at {explicit}")
+        return df
+    found = [d for d in map(there, (real, synthetic)) if d is not None]
+    if not found:
+        raise FileNotFoundError(f"no dataset at {real} or {synthetic}")
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True)
 
 
 def write_raw_csv(df: DataFrame, path: str) -> None:
@@ -99,4 +132,7 @@ def clean_training_set(df: DataFrame, min_len: int = tx.MIN_TRAIN_TEXT_LENGTH) -
         strip_unicode(F.col("category").cast("string")).alias("category"),
         strip_unicode(F.col("level").cast("string")).alias("level"),
     )
-    return out.filter(F.length("text") >= min_len)
+    out = out.filter(F.length("text") >= min_len)
+    if out.isEmpty():
+        raise ValueError("no training rows are left after cleaning")
+    return out

@@ -79,9 +79,12 @@ def confusion(pairs: DataFrame, labels: list[str], true_col: str = "true_label",
 
 
 def sorted_labels(pairs: DataFrame, true_col: str = "true_label", pred_col: str = "predicted_label") -> list[str]:
-    """The label set (bounded by the number of classes) for pivot columns."""
+    """The label set for pivot columns; null labels and more than MAX_CLASSES are errors."""
     u = pairs.select(F.col(true_col).alias("l")).union(pairs.select(F.col(pred_col).alias("l"))).distinct()
-    return sorted(r["l"] for r in u.collect() if r["l"] is not None)
+    found = [r["l"] for r in u.limit(MAX_CLASSES + 1).collect()]
+    if len(found) > MAX_CLASSES or None in found:
+        raise ValueError(f"labels must be non-null and of at most {MAX_CLASSES} classes")
+    return sorted(found)
 
 
 def class_weights(df: DataFrame, label_col: str) -> DataFrame:
@@ -90,7 +93,7 @@ def class_weights(df: DataFrame, label_col: str) -> DataFrame:
     w = Window.partitionBy()  # over the class table only (one row per class)
     c = c.withColumn("n", F.sum("n_c").over(w)).withColumn("k", F.count(F.lit(1)).over(w))
     return c.select(F.col(label_col).alias("label"), "n_c",
-                    F.round(F.col("n") / (F.col("k") * F.col("n_c")), 6).alias("weight"))
+                    (F.col("n") / (F.col("k") * F.col("n_c"))).alias("weight"))
 
 
 def errors(pairs: DataFrame) -> DataFrame:
@@ -107,6 +110,9 @@ def error_examples(errs: DataFrame, target: str) -> DataFrame:
     return hard.unionByName(fp).unionByName(fn)
 
 
+#: Class tables are broadcast and collected; more classes than this are no class labels.
+MAX_CLASSES = 10_000
+
 # ---------------------------------------------------------------- W4 split
 
 HASH_BITS = 20  # buckets of the hash order used to find the per-class cut
@@ -138,25 +144,25 @@ def stratified_split(df: DataFrame, label_col: str, key_col: str, test_size: flo
     """Adds ``is_test``: the first t_c rows of each class in md5 order.
 
     Exact and skew-free: instead of sorting a whole class, rows are counted
-    per (class, hash bucket) — the hash is uniform, so buckets are even —
-    the bucket holding each class's cut is found on that small count table,
-    and only rows of that one bucket are ranked.
+    per (class, hash bucket) — the hash is uniform, so buckets are even — the
+    bucket holding each class's cut is found on that small count table, only
+    rows of that one bucket are ranked, and the last test row's (hash, key)
+    becomes the class's cut.  The cuts are a class-sized table, broadcast, and
+    ``is_test`` is a comparison within the row: no other column of the data is
+    ever shuffled.  Labels must not be null, keys must be unique.
     """
-    h = df.withColumn("_h", split_order(F.col(key_col)))
-    h = h.withColumn("_b", F.shiftright("_h", 60 - HASH_BITS))
-    t = test_counts(df, label_col, test_size)
-    b = h.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("nb"))
-    wb = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keyed = df.select(F.col(label_col).alias("_l"), F.col(key_col).alias("_k"), split_order(F.col(key_col)).alias("_h"))
+    keyed = keyed.withColumn("_b", F.shiftright("_h", 60 - HASH_BITS))
+    t = test_counts(df, label_col, test_size).withColumnRenamed(label_col, "_l")
+    b = keyed.groupBy("_l", "_b").agg(F.count(F.lit(1)).alias("nb"))
+    wb = Window.partitionBy("_l").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     b = b.withColumn("cum", F.sum("nb").over(wb)).withColumn("before", F.col("cum") - F.col("nb"))
-    b = b.join(F.broadcast(t), label_col)  # class-sized table
-    cut = b.filter((F.col("before") < F.col("t_c")) & (F.col("cum") >= F.col("t_c"))) \
-        .select(label_col, F.col("_b").alias("cut_b"), F.col("before").alias("cut_before"), "t_c")
-    # classes with t_c == 0 have no cut bucket: nothing of theirs is test.
-    j = h.join(F.broadcast(cut), label_col, "left")
-    wr = Window.partitionBy(label_col).orderBy("_h", key_col)
-    ranked = j.filter(F.col("_b") == F.col("cut_b")).withColumn("_r", F.row_number().over(wr)) \
-        .select(key_col, label_col, (F.col("cut_before") + F.col("_r") <= F.col("t_c")).alias("_in"))
-    j = j.join(ranked, [key_col, label_col], "left")
-    is_test = (F.col("cut_b").isNotNull()
-               & ((F.col("_b") < F.col("cut_b")) | ((F.col("_b") == F.col("cut_b")) & F.coalesce(F.col("_in"), F.lit(False)))))
-    return j.withColumn("is_test", is_test).drop("_h", "_b", "cut_b", "cut_before", "t_c", "_in")
+    b = b.join(F.broadcast(t), "_l")  # class-sized table
+    last = b.filter((F.col("before") < F.col("t_c")) & (F.col("cum") >= F.col("t_c"))).select("_l", "_b", "before", "t_c")
+    # classes with t_c == 0 have no cut: nothing of theirs is test
+    near = keyed.join(F.broadcast(last), ["_l", "_b"])
+    rank = F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_k"))
+    cuts = near.withColumn("_r", rank).filter(F.col("before") + F.col("_r") == F.col("t_c")).select("_l", F.struct("_h", "_k").alias("_cut"))
+    j = df.join(F.broadcast(cuts), df[label_col] == cuts["_l"], "left")
+    mine = F.struct(split_order(F.col(key_col)).alias("_h"), F.col(key_col).alias("_k"))
+    return j.withColumn("is_test", F.coalesce(mine <= F.col("_cut"), F.lit(False))).drop("_l", "_cut")

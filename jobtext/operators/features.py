@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from jobtext.functions.text import tokens as token_runs
 from jobtext.functions.text import training_text
-from jobtext.sources.tables import parallelism
 
 
 def with_terms(df: DataFrame, text_col: str, out_col: str, stop_words: list[str] | None = None) -> DataFrame:
@@ -44,7 +43,7 @@ def with_terms(df: DataFrame, text_col: str, out_col: str, stop_words: list[str]
 def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               stop_words: list[str] | None = None) -> DataFrame:
     """(doc_id, term, tf): term counts per document, co-partitioned by doc_id."""
-    d = docs.select(id_col, text_col).repartition(parallelism(docs.sparkSession), id_col)
+    d = docs.select(id_col, text_col).repartition(id_col)  # no number: AQE sizes the partitions
     # explode_outer: a plain explode lets the optimizer infer size(terms) > 0 and push
     # that (a second tokenization) below the repartition, into the scan task
     e = with_terms(d, text_col, "_terms", stop_words).select(id_col, F.explode_outer("_terms").alias("term"))
@@ -77,12 +76,3 @@ def tfidf(dt: DataFrame, idf: DataFrame, id_col: str = "doc_id") -> DataFrame:
     j = j.withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return j.select(id_col, "term", (F.col("w") / norm).alias("weight"))
-
-
-def fit_tfidf(train_docs: DataFrame, max_features: int, id_col: str = "doc_id", text_col: str = "text",
-              stop_words: list[str] | None = None) -> DataFrame:
-    """Vocabulary + idf fitted on ``train_docs`` (a vocabulary-sized table)."""
-    dt = doc_terms(train_docs, id_col, text_col, stop_words)
-    stats = term_stats(dt, id_col)
-    n_docs = train_docs.agg(F.count(F.lit(1))).scalar()  # scalar subquery
-    return idf_table(vocabulary(stats, max_features), n_docs)

@@ -79,12 +79,12 @@ def upsert_feedback(accepted: DataFrame) -> DataFrame:
 
 def register(attempts: DataFrame) -> DataFrame:
     """Insert-if-absent on e-mail; the earliest attempt creates the user,
-    later attempts for the same e-mail are conflicts."""
-    first = attempts.groupBy("email").agg(F.min_by(F.struct("ts", "user_id"), F.struct("ts", "user_id")).alias("w"))
-    first = first.select("email", F.col("w.ts").alias("w_ts"), F.col("w.user_id").alias("w_user"))
+    later attempts for the same e-mail are conflicts. ``attempt_id`` is unique
+    and orders attempts of one instant."""
+    first = attempts.groupBy("email").agg(F.min(F.struct("ts", "attempt_id")).alias("w"))
     j = attempts.join(first, "email")
-    created = (F.col("ts") == F.col("w_ts")) & (F.col("user_id") == F.col("w_user"))
-    return j.select("email", "user_id", "ts", F.when(created, "created").otherwise("conflict").alias("status"))
+    created = F.col("attempt_id") == F.col("w.attempt_id")
+    return j.select("attempt_id", "email", "user_id", "ts", F.when(created, "created").otherwise("conflict").alias("status"))
 
 
 def with_feedback(history: DataFrame, feedback_rows: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobtext.session import materialize
+
 
 class NaiveBayesModel:
     def __init__(self, classes: list[tuple[str, float, float]], cells: DataFrame, alpha: float):
@@ -30,6 +32,7 @@ class NaiveBayesModel:
     def predict(self, docs: DataFrame, weights: DataFrame, id_col: str = "doc_id") -> DataFrame:
         """(doc_id, predicted_label) for every row of ``docs``; ties go to the first label."""
         la = math.log(self.alpha)
+        weights = materialize(weights)  # read twice below
         sparse = weights.join(F.broadcast(self.cells), "term") \
             .groupBy(id_col, "label").agg(F.sum(F.col("weight") * F.col("lt")).alias("s"))
         w_d = weights.groupBy(id_col).agg(F.sum("weight").alias("W"))
@@ -49,7 +52,8 @@ def fit(weights: DataFrame, labels: DataFrame, vocab_size: int, alpha: float = 1
     """``weights``: (doc_id, term, weight) of the training documents;
     ``labels``: (doc_id, label).  Collects only the class-sized parameters."""
     lab = labels.select(id_col, F.col(label_col).alias("label"))
-    fc = weights.join(lab, id_col).groupBy("label", "term").agg(F.sum("weight").alias("fc"))
+    # classes x vocabulary, read twice below
+    fc = materialize(weights.join(lab, id_col).groupBy("label", "term").agg(F.sum("weight").alias("fc")))
     la = math.log(alpha)
     cells = fc.select("label", "term", (F.log(F.col("fc") + F.lit(alpha)) - F.lit(la)).alias("lt"))
     s_c = fc.groupBy("label").agg(F.sum("fc").alias("S"))

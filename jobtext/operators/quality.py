@@ -60,9 +60,9 @@ def missing_categories(ds: DataFrame) -> DataFrame:
 
 def level_fallback(tagged: DataFrame) -> DataFrame:
     """Rows of the kept set (before the final distinct) whose level fell
-    back to 'middle', counted per raw title."""
+    back to 'middle', counted per raw title, the greatest count first."""
     kept = tagged.filter(F.col("step").isNull() & F.col("level_fallback") & F.col("job_position_name").isNotNull())
-    return kept.groupBy("job_position_name").agg(F.count(F.lit(1)).alias("n"))
+    return kept.groupBy("job_position_name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "job_position_name")
 
 
 def drop_funnel(raw: DataFrame, tagged: DataFrame, ds: DataFrame) -> DataFrame:
@@ -83,7 +83,9 @@ def drop_funnel(raw: DataFrame, tagged: DataFrame, ds: DataFrame) -> DataFrame:
 
 
 def report(raw: DataFrame, tagged: DataFrame, ds: DataFrame) -> DataFrame:
-    """S4 + A8: the whole report as (section, key, value) rows."""
+    """S4 + A8: the whole report as (section, pos, key, value) rows; ``pos`` orders
+    a section's lines: summary and funnel steps as they come, fallback titles by
+    falling count after their total, the rest by key."""
     sizes = ds.agg(F.count(F.lit(1)).alias("final_rows"), F.countDistinct("category").alias("n_categories"),
                    F.countDistinct("level").alias("n_levels"))
     s = sizes.withColumn("raw_rows", raw.agg(F.count(F.lit(1))).scalar()) \
@@ -96,11 +98,13 @@ def report(raw: DataFrame, tagged: DataFrame, ds: DataFrame) -> DataFrame:
         " 'final_rows', cast(final_rows as string), 'retention_pct', format_number(retention_pct, 1),"
         " 'categories', cast(n_categories as string), 'levels', cast(n_levels as string)) as (key, value)"
     ).withColumn("section", F.lit("summary"))
+    order = ["raw_rows", "duplicate_rows", "final_rows", "retention_pct", "categories", "levels"]
+    summary = summary.withColumn("pos", F.array_position(F.array(*[F.lit(k) for k in order]), F.col("key")))
     miss = missing_values(raw).select(
         F.lit("missing_values").alias("section"), F.col("column_name").alias("key"),
         F.concat(F.col("missing").cast("string"), F.lit(" ("), F.format_number("missing_pct", 1), F.lit("%)")).alias("value"))
     funnel = drop_funnel(raw, tagged, ds).select(
-        F.lit("drop_funnel").alias("section"), F.col("step").alias("key"), F.concat(F.lit("-"), F.col("dropped").cast("string")).alias("value"))
+        F.lit("drop_funnel").alias("section"), F.col("step").alias("key"), F.col("step_order").cast("long").alias("pos"), F.concat(F.lit("-"), F.col("dropped").cast("string")).alias("value"))
     st = score_stats(raw).selectExpr(
         "stack(4, 'mean', mean, 'std', std, 'min', min, 'max', max) as (key, v)"
     ).select(F.lit("matched_score").alias("section"), "key", F.col("v").cast("string").alias("value"))
@@ -109,10 +113,14 @@ def report(raw: DataFrame, tagged: DataFrame, ds: DataFrame) -> DataFrame:
         F.col("n").cast("string").alias("value"))
     mc = missing_categories(ds).select(F.lit("missing_categories").alias("section"), F.col("category").alias("key"),
                                        F.lit("").alias("value"))
-    fb = level_fallback(tagged).select(F.lit("level_fallback").alias("section"), F.col("job_position_name").alias("key"),
-                                       F.concat(F.col("n").cast("string"), F.lit(" rows")).alias("value"))
-    cols = ["section", "key", "value"]
+    titles = level_fallback(tagged)
+    rows_of = lambda n: F.concat(n.cast("string"), F.lit(" rows")).alias("value")
+    fb = titles.select(F.lit("level_fallback").alias("section"), F.col("job_position_name").alias("key"), (-F.col("n")).alias("pos"), rows_of(F.col("n")))
+    total = titles.agg(F.sum("n").alias("n")).where("n is not null")
+    total = total.select(F.lit("level_fallback").alias("section"), F.lit("total").alias("key"), F.lit(-(1 << 61)).alias("pos"), rows_of(F.col("n")))
+    cols = ["section", "pos", "key", "value"]
     out = summary.select(*cols)
-    for part in (miss, funnel, st, dist, mc, fb):
+    zero = F.lit(0).cast("long")
+    for part in (miss.withColumn("pos", zero), funnel, st.withColumn("pos", zero), dist.withColumn("pos", zero), mc.withColumn("pos", zero), fb, total):
         out = out.unionByName(part.select(*cols))
     return out

@@ -40,6 +40,13 @@ def validate_match(pairs: DataFrame) -> DataFrame:
     return out.withColumn("reason", F.coalesce(*reasons)).withColumn("accepted", F.col("reason").isNull())
 
 
+def validate_scores(rows: DataFrame, *score_cols: str) -> DataFrame:
+    """Scores (confidence, match_score) must be there and lie in [0, 1]."""
+    reasons = [F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.lit(f"{c}_missing"))
+               .when(~F.col(c).between(0, 1), F.lit(f"{c}_out_of_range")) for c in score_cols]
+    return rows.withColumn("reason", F.coalesce(*reasons)).withColumn("accepted", F.col("reason").isNull())
+
+
 def validate_feedback(fb: DataFrame) -> DataFrame:
     """P3 + F21: id must be a UUID; category and level in their domains or
     null; comment at most 1,000 characters or null."""

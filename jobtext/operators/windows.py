@@ -12,17 +12,19 @@ events, so nothing here groups a key into one task:
 1. ``global_sort`` range-partitions the events by (key, ts, id) — Spark
    splits a hot key across partitions by time — and numbers them with a
    global position ``_g`` (row number in partition + per-partition offset
-   from a partition-sized table).  Materialised with ``checkpoint`` in the
-   shared checkpoint folder.
-2. ``next_at_least``: for every event, the first event of the same key at or
+   from a partition-sized table).  ``_g`` names an event from here on, so ids
+   may be of any type.  Materialised in the shared checkpoint folder.
+2. An event at least L after its predecessor certainly starts a window, so
+   such events cut each key into sessions.  A session that spans less than L
+   is one window; only events of longer sessions go through steps 3 and 4.
+3. ``next_at_least``: for each of these, the first event of its session at or
    after ts + L — a forward as-of join done as one more range-sorted scan
    (probes and events interleaved, "last event seen" carried backwards).
-3. Window starts are exactly the chain first-event -> next -> next …  An
-   event at least L after its predecessor certainly starts a window, so the
-   chain is cut into sessions there and followed per session with pointer
-   doubling (log2 of the longest in-session chain rounds of joins on the
-   unique event id; hot keys do not matter) and path expansion.
-4. Each event's window start is the last start at or before it (a fill
+4. Window starts are exactly the chain first-event -> next -> next …, followed
+   with pointer doubling over the events that have a next one (log2 of the
+   longest chain rounds of joins on the unique position; hot keys do not
+   matter) and path expansion.
+5. Each event's window start is the last start at or before it (a fill
    forward over the global order); n = _g(event) - _g(start) + 1.
 """
 
@@ -31,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobtext.session import shared_dir, materialize
+from jobtext.session import materialize
 
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -72,77 +74,67 @@ def fill_forward(s: DataFrame, order: list[Column], value: Column, out: str) ->
 
 
 def next_at_least(ev: DataFrame, length_us: int) -> DataFrame:
-    """(id, nxt): the first event (by t, id) of the same key with t >= t_id + L, or null."""
-    events = ev.select("key", "t", F.lit(1).alias("kind"), "id", F.struct("key", "id").alias("hit"))
-    probes = ev.select("key", (F.col("t") + F.lit(length_us)).alias("t"), F.lit(0).alias("kind"), "id",
-                       F.lit(None).cast("struct<key:string,id:long>").alias("hit"))
+    """(g, j) of the events (g, sess, t) that have a later one of their session
+    at or after t + L: the first such, by t and g."""
+    events = ev.select("sess", "t", F.lit(1).alias("kind"), "g", F.struct("sess", "g").alias("hit"))
+    probes = ev.select("sess", (F.col("t") + F.lit(length_us)).alias("t"), F.lit(0).alias("kind"), "g",
+                       F.lit(None).cast("struct<sess:long,g:long>").alias("hit"))
     u = events.unionByName(probes)
     # descending order: the last event seen before a probe is the first one after it going forward
-    order = [F.col("key").desc(), F.col("t").desc(), F.col("kind").desc(), F.col("id").desc()]
+    order = [F.col(c).desc() for c in ("sess", "t", "kind", "g")]
     s = fill_forward(global_sort(u, order), order, F.col("hit"), "found")
-    s = s.filter(F.col("kind") == 0)
-    nxt = F.when(F.col("found.key") == F.col("key"), F.col("found.id"))
-    return s.select("id", nxt.alias("nxt"))
+    return s.filter((F.col("kind") == 0) & (F.col("found.sess") == F.col("sess"))).select("g", F.col("found.g").alias("j"))
 
 
 def chain_starts(roots: DataFrame, nxt: DataFrame) -> DataFrame:
-    """(id) of window starts: the chains root -> nxt -> … from every root."""
-    table = materialize(nxt.select("id", F.col("nxt").alias("j")))
-    jumps = [table]
-    while True:  # pointer doubling: jumps[i].j = nxt^(2^i)(id)
+    """(g) of window starts: the chains root -> j -> … from every root, over
+    the pointers (g, j)."""
+    jumps = [materialize(nxt)]
+    while not jumps[-1].isEmpty():  # pointer doubling: jumps[i].j lies 2^i steps on; short chains drop out
         last = jumps[-1]
-        if last.filter(F.col("j").isNotNull()).isEmpty():
-            break
-        b = last.select(F.col("id").alias("_m"), F.col("j").alias("_j2"))
-        nxt_round = materialize(last.join(b, last["j"] == b["_m"], "left").select("id", F.col("_j2").alias("j")))
-        jumps.append(nxt_round)
-    # every chain is shorter than 2^(len(jumps)-1) steps
-    starts = roots.select("id")
+        hop = last.select(F.col("g").alias("j"), F.col("j").alias("_far"))
+        jumps.append(materialize(last.join(hop, "j").select("g", F.col("_far").alias("j"))))
+    starts = roots.select("g")
     for jt in reversed(jumps[:-1]):
-        step = starts.join(jt, "id").filter(F.col("j").isNotNull()).select(F.col("j").alias("id"))
-        starts = materialize(starts.unionByName(step))
+        starts = materialize(starts.unionByName(starts.join(jt, "g").select(F.col("j").alias("g"))))
     return starts
 
 
 def anchored_windows(df: DataFrame, key_col: str, ts_col: str, id_col: str, length_seconds: int) -> DataFrame:
     """Adds window_start (timestamp of the window's first event), window_id
-    and n (position of the event in its window, from 1).  ``id_col`` must be
-    unique; order within equal timestamps is by id.
-
-    An event whose predecessor (same key) is at least L earlier certainly
-    opens a window: the previous window began at or before that predecessor.
-    Such events cut each key into sessions; chains are followed only inside
-    a session, so pointer doubling needs log2 of the longest in-session chain
-    rounds (one or two for sparse keys), not of the longest per-key chain.
+    (that event's id) and n (position of the event in its window, from 1).
+
+    Events are ordered by time, then id; ids may be of any orderable type.
+    Rows without key or time belong to no window: they are returned with the
+    three columns null.
     """
-    shared_dir(df.sparkSession)  # checkpoints go to the cluster's checkpoint folder
     length_us = int(length_seconds) * 1_000_000
-    # the input is read several times below: materialise it once (callers pass narrow frames)
-    base = materialize(df.filter(F.col(key_col).isNotNull() & F.col(ts_col).isNotNull()), persist=True)
-    ev = base.select(F.col(key_col).cast("string").alias("key"), micros(ts_col).alias("t"),
-                     F.col(id_col).cast("long").alias("id"))
+    known = F.col(key_col).isNotNull() & F.col(ts_col).isNotNull()
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key_col).cast("string").alias("key"),
+                     micros(ts_col).alias("t"), F.col(id_col).alias("id"), known.alias("_known"))
     order = [F.col("key"), F.col("t"), F.col("id")]
-    s = global_sort(ev, order)
-    # predecessor in (key, t, id) order: the row at global position _g - 1 (join on a unique key)
-    prev = s.select((F.col("_g") + 1).alias("_g"), F.col("key").alias("_pk"), F.col("t").alias("_pt"))
-    s = s.join(prev, "_g", "left")
-    certain = F.col("_pk").isNull() | (F.col("_pk") != F.col("key")) | (F.col("t") - F.col("_pt") >= F.lit(length_us))
-    s = materialize(fill_forward(s.withColumn("_cert", certain), order,
-                                 F.when(F.col("_cert"), F.col("_g")), "_sess").drop("_pk", "_pt"))
-    sess = s.select("id", "_sess")
-    # next start candidate, kept only inside the session
-    nxt = next_at_least(ev, length_us).join(sess, "id") \
-        .join(sess.select(F.col("id").alias("nxt"), F.col("_sess").alias("_nsess")), "nxt", "left")
-    nxt = nxt.select("id", F.when(F.col("_nsess") == F.col("_sess"), F.col("nxt")).alias("nxt"))
-    starts = chain_starts(s.filter("_cert").select("id"), nxt).withColumn("_start", F.lit(True))
-    s = s.join(starts, "id", "left")
-    s = fill_forward(s, order, F.when(F.col("_start"), F.struct(F.col("_g").alias("g"), F.col("t").alias("t"),
-                                                                  F.col("id").alias("id"))), "_w")
-    res = s.select(F.col("id").alias("_id"), (F.col("_g") - F.col("_w.g") + 1).alias("n"),
-                   F.col("_w.id").alias("window_id"), F.col("_w.t").alias("_wt"))
-    out = base.join(res, base[id_col].cast("long") == res["_id"]).drop("_id")
-    start_ts = F.expr(f"timestampadd(MICROSECOND, _wt, {_EPOCH})")
-    return out.withColumn("window_start", start_ts).drop("_wt")
+    s = global_sort(rows.filter("_known").drop("_known"), order)
+    # predecessor: the row before in the partition, or the last row of the partition before
+    here = Window.partitionBy("_pid").orderBy("_g")
+    last = s.groupBy("_pid").agg(F.max_by(F.struct("key", "t"), "_g").alias("_end"))
+    ends = last.select("_pid", F.lag("_end").over(Window.orderBy("_pid")).alias("_before"))  # partition-sized
+    s = s.withColumn("_prev", F.lag(F.struct("key", "t")).over(here)).join(F.broadcast(ends), "_pid", "left")
+    prev = F.coalesce("_prev", "_before")
+    certain = prev.isNull() | (prev["key"] != F.col("key")) | (F.col("t") - prev["t"] >= F.lit(length_us))
+    by_place = [F.col("_g")]
+    s = fill_forward(s.withColumn("_cert", certain).drop("_prev", "_before"), by_place, F.when(F.col("_cert"), F.col("_g")), "sess")
+    s = materialize(s)
+    spans = s.groupBy("sess").agg((F.max("t") - F.min("t")).alias("_span")).filter(F.col("_span") >= length_us)
+    long = materialize(s.select(F.col("_g").alias("g"), "sess", "t", "_cert").join(spans.select("sess"), "sess"))
+    starts = chain_starts(long.filter("_cert").select("g"), next_at_least(long.select("g", "sess", "t"), length_us))
+    starts = starts.select(F.col("g").alias("_g"), F.lit(True).alias("_start")).distinct()
+    s = s.join(starts, "_g", "left")
+    first = F.when(F.col("_cert") | F.col("_start"), F.struct(F.col("_g").alias("g"), F.col("t").alias("t"), F.col("id").alias("id")))
+    s = fill_forward(s, by_place, first, "_w")
+    start_ts = F.expr(f"timestampadd(MICROSECOND, _w.t, {_EPOCH})")
+    out = s.select("_row.*", (F.col("_g") - F.col("_w.g") + 1).alias("n"), F.col("_w.id").alias("window_id"), start_ts.alias("window_start"))
+    rest = rows.filter(~F.col("_known")).select("_row.*")
+    return out.unionByName(rest, allowMissingColumns=True)
 
 
 def cache_flags(requests: DataFrame, key_col: str, ts_col: str, id_col: str, ttl_seconds: int) -> DataFrame:

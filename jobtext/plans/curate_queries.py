@@ -15,7 +15,8 @@ from jobtext.plans import standin_sql as S
 from jobtext.plans.registry import query
 from jobtext.session import materialize, scratch_path
 from jobtext.sources import standins
-from jobtext.sources.tables import spread
+from jobtext.sources.sinks import write_report, write_table
+from jobtext.sources.tables import read
 
 SPACE = S.SPACE_CHARS
 WORD = S.WORD_CHARS
@@ -97,7 +98,7 @@ TAGGED_SQL = S.with_(
 
 
 def _raw(spark, sf_dir):
-    return spread(standins.raw_resume(spark, sf_dir))
+    return standins.raw_resume(spark, sf_dir)
 
 
 def _tagged(spark, sf_dir):
@@ -110,11 +111,12 @@ _RAW_COLS = ["career_objective", "skills", "major_field_of_studies", "positions"
 
 @query("scan_raw", sql=S.with_(S.RAW_RESUME) + "SELECT * FROM raw_resume")
 def q_scan_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw rows written as a quoted multi-line CSV with a BOM-prefixed
-    header to the shared folder, then read back with the explicit schema."""
+    """Raw rows written as a quoted multi-line CSV with other columns among
+    them, in another order and with a BOM on one name, then read back by name."""
     path = scratch_path(spark, "raw_resume_csv")
     raw = _raw(spark, sf_dir)
-    C.write_raw_csv(raw.withColumnRenamed("career_objective", "﻿career_objective"), path)
+    mixed = raw.select(F.lit("x, y").alias("address"), *reversed(_RAW_COLS), F.lit("N/A").alias("passing_years"))
+    C.write_raw_csv(mixed.withColumnRenamed("job_position_name", "\ufeffjob_position_name"), path)
     return C.read_raw_csv(spark, path).select(*_RAW_COLS)
 
 
@@ -136,6 +138,46 @@ def q_parse_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _edge_lists_sql() -> str:
+    """Values and, built beside them, the items that they spell."""
+    lang, src, n = "lang", "source", "CAST(n_chars AS VARCHAR)"
+    shapes = [
+        (f"concat('[''', {lang}, ', None'', ''', {src}, ''']')", f"[concat({lang}, ', None'), {src}]"),
+        (f"concat('[''', {lang}, ''',]')", f"[{lang}]"),
+        (f"concat('[\"', {lang}, '''s\", ''', {src}, ''']')", f"[concat({lang}, '''s'), {src}]"),
+        (f"concat('[''', {lang}, '''] tail]')", "NULL"),
+        (f"concat('[True, ', {n}, ', None]')", f"['True', {n}]"),
+        (f"concat('[''', {lang}, ''' ''', {src}, ''']')", f"[concat({lang}, {src})]"),
+        (f"concat('[[''', {lang}, '''], ''', {src}, ''']')", f"[concat('[''', {lang}, ''']'), {src}]"),
+        ("'[]'", "[]::VARCHAR[]"),
+    ]
+    case = lambda k: "CASE n_chars % 8 " + " ".join(f"WHEN {i} THEN {s[k]}" for i, s in enumerate(shapes)) + " END"
+    return f"SELECT doc_id, {case(0)} AS value, {case(1)} AS items FROM documents"
+
+
+@query("parse_list_edge", sql=_edge_lists_sql())
+def q_parse_list_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F15 on unusual literals: commas and None inside quotes, trailing commas,
+    other quotes, tails, other values, adjacent strings, nested and empty lists."""
+    d = read(spark, sf_dir, "documents", "doc_id", "lang", "source", "n_chars")
+    lang, src, n = F.col("lang"), F.col("source"), F.col("n_chars")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    shapes = [text("['", lang, ", None', '", src, "']"), text("['", lang, "',]"), text('["', lang, "'s\", '", src, "']"), text("['", lang, "'] tail]"),
+              text("[True, ", n.cast("string"), ", None]"), text("['", lang, "' '", src, "']"), text("[['", lang, "'], '", src, "']"), F.lit("[]")]
+    value = F.element_at(F.array(*shapes), (n % 8 + 1).cast("int"))
+    return d.select("doc_id", value.alias("value")).select("doc_id", "value", parse_list_literal("value").alias("items"))
+
+
+@query("report_text")
+def q_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + A6: the report as markdown lines, written as text and read back."""
+    raw = _raw(spark, sf_dir)
+    tagged = materialize(C.tag_rows(raw))
+    path = scratch_path(spark, "report")
+    write_report(Q.report(raw, tagged, C.dataset(tagged)), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 @query("assemble_text", sql=S.with_(S.RAW_RESUME) + f"""SELECT {clean_value_sql('skills')} AS skills_clean,
   {clean_value_sql('responsibilities')} AS responsibilities_clean, {assemble_sql(_TEXT_COLS)} AS text FROM raw_resume""")
 def q_assemble_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,8 +229,10 @@ def q_detect_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("curate_dataset", sql=TAGGED_SQL + "SELECT * FROM ds")
 def q_curate_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E3 (S3, P6, P7, P9, U3): the curated (text, category, level) set."""
-    return C.dataset(_tagged(spark, sf_dir))
+    """E3 (P6, P7, P9, U3) + S3: the curated (text, category, level) set, written and read back."""
+    path = scratch_path(spark, "curated")
+    write_table(C.dataset(_tagged(spark, sf_dir)), path)
+    return spark.read.parquet(path)
 
 
 @query("missing_values", sql=S.with_(S.RAW_RESUME) + "SELECT column_name, missing, "
@@ -252,7 +296,7 @@ f AS (
 def q_drop_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A7 + A9: rows lost per curation step, in order, zero steps omitted."""
     raw = _raw(spark, sf_dir)
-    tagged = materialize(C.tag_rows(raw), persist=True)  # every count below reads it
+    tagged = materialize(C.tag_rows(raw))  # every count below reads it
     return Q.drop_funnel(raw, tagged, C.dataset(tagged))
 
 
@@ -299,12 +343,14 @@ UNION ALL SELECT 'category_distribution', category, CAST(count(*) AS VARCHAR) FR
 UNION ALL SELECT 'level_distribution', level, CAST(count(*) AS VARCHAR) FROM ds GROUP BY level
 UNION ALL SELECT 'missing_categories', category, '' FROM cats WHERE category NOT IN (SELECT category FROM ds)
 UNION ALL SELECT 'level_fallback', job_position_name, CAST(count(*) AS VARCHAR) || ' rows' FROM tagged
-  WHERE step IS NULL AND level_fallback AND job_position_name IS NOT NULL GROUP BY job_position_name"""
+  WHERE step IS NULL AND level_fallback AND job_position_name IS NOT NULL GROUP BY job_position_name
+UNION ALL SELECT 'level_fallback', 'total', CAST(count(*) AS VARCHAR) || ' rows' FROM tagged
+  WHERE step IS NULL AND level_fallback AND job_position_name IS NOT NULL HAVING count(*) > 0"""
 
 
 @query("quality_report", sql=_REPORT_SQL)
 def q_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S4 + A8: the data-quality report as (section, key, value) rows."""
     raw = _raw(spark, sf_dir)
-    tagged = materialize(C.tag_rows(raw), persist=True)  # every section below reads it
-    return Q.report(raw, tagged, C.dataset(tagged))
+    tagged = materialize(C.tag_rows(raw))  # every section below reads it
+    return Q.report(raw, tagged, C.dataset(tagged)).select("section", "key", "value")

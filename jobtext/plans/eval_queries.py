@@ -12,8 +12,9 @@ from jobtext.operators import naive_bayes as NB
 from jobtext.plans import standin_sql as S
 from jobtext.plans.registry import query
 from jobtext.sources import standins
-from jobtext.session import shared_dir, materialize
-from jobtext.sources.tables import read, spread
+from jobtext.session import shared_dir, materialize, scratch_path
+from jobtext.sources.sinks import write_table
+from jobtext.sources.tables import read
 
 WORD = S.WORD_CHARS
 TARGET_CLASS = "1"
@@ -101,7 +102,7 @@ def q_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced class weights of the document categories."""
     d = read(spark, sf_dir, "documents", "lang")
-    return E.class_weights(d, "lang")
+    return E.class_weights(d, "lang").withColumn("weight", F.round("weight", 6))
 
 
 @query("error_table", sql=S.with_(S.EVAL_PAIRS) + """SELECT doc_id, text, true_label, predicted_label,
@@ -118,9 +119,13 @@ UNION ALL SELECT 'false_positive', doc_id, text, true_label, predicted_label, fa
 UNION ALL SELECT 'false_negative', doc_id, text, true_label, predicted_label, false FROM eval_pairs
   WHERE true_label <> predicted_label AND true_label = '{TARGET_CLASS}'""")
 def q_error_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P10–P12 (S6): wrong rows, false positives and false negatives of one class."""
+    """P10–P12 + S6: wrong rows, false positives and false negatives of one
+    class, written as CSV and read back."""
     ex = E.error_examples(E.errors(_pairs(spark, sf_dir)), TARGET_CLASS)
-    return ex.select("kind", "doc_id", "text", "true_label", "predicted_label", "correct")
+    ex = ex.select("kind", "doc_id", "text", "true_label", "predicted_label", "correct")
+    path = scratch_path(spark, "error-examples")
+    write_table(ex, path, "csv")
+    return spark.read.schema(ex.schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
 @query("stratified_split", sql=f"SELECT doc_id, lang, is_test FROM {split_sql('documents', 'lang')}")
@@ -130,13 +135,14 @@ def q_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.stratified_split(d, "lang", "doc_id").select("doc_id", "lang", "is_test")
 
 
-@query("tokens_ngrams", sql=f"""SELECT doc_id, len(tk) AS n_terms, len(list_distinct(tk)) AS n_distinct FROM (
+@query("tokens_ngrams", sql=f"""SELECT doc_id, len(tk) AS n_terms, len(list_distinct(tk)) AS n_distinct, sha256(array_to_string(tk, '|')) AS terms_sha256 FROM (
   SELECT doc_id, {terms_sql('text', tx.STOP_WORDS)} AS tk FROM documents)""")
 def q_tokens_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1: unigrams without stop words plus bigrams, per document (counts)."""
-    d = spread(read(spark, sf_dir, "documents", "doc_id", "text"))
+    """M1: unigrams without stop words plus bigrams, per document: counts and a digest of the whole list."""
+    d = read(spark, sf_dir, "documents", "doc_id", "text")
     t = FT.with_terms(d, "text", "t", tx.STOP_WORDS)
-    return t.select("doc_id", F.size("t").alias("n_terms"), F.size(F.array_distinct("t")).alias("n_distinct"))
+    return t.select("doc_id", F.size("t").alias("n_terms"), F.size(F.array_distinct("t")).alias("n_distinct"),
+                    F.sha2(F.array_join("t", "|"), 256).alias("terms_sha256"))
 
 
 @query("term_stats", sql=f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM ({doc_terms_sql('documents')}) GROUP BY term")
@@ -167,7 +173,7 @@ def q_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2: smooth-idf TF-IDF weights (L2-normalised) over the 5,000-term vocabulary."""
     shared_dir(spark)
     d = read(spark, sf_dir, "documents", "doc_id", "text")
-    dt = materialize(FT.doc_terms(d, stop_words=tx.STOP_WORDS), persist=True)  # read for the vocabulary and the weights
+    dt = materialize(FT.doc_terms(d, stop_words=tx.STOP_WORDS))  # read for the vocabulary and the weights
     idf = FT.idf_table(FT.vocabulary(FT.term_stats(dt), tx.VOCAB_TRAIN), d.agg(F.count(F.lit(1))).scalar())
     return FT.tfidf(dt, idf).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
@@ -179,7 +185,7 @@ def nb_split_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     sp = materialize(E.stratified_split(d, "lang", "doc_id"))
     train = sp.filter(~F.col("is_test"))
     test = sp.filter(F.col("is_test"))
-    dt_train = materialize(FT.doc_terms(train), persist=True)  # read for the vocabulary and the weights
+    dt_train = materialize(FT.doc_terms(train))  # read for the vocabulary and the weights
     idf = materialize(FT.idf_table(FT.vocabulary(FT.term_stats(dt_train), tx.VOCAB_COMPARE),
                                    train.agg(F.count(F.lit(1))).scalar()))
     v = idf.count()  # vocabulary size (a number)

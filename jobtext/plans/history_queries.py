@@ -40,6 +40,9 @@ ACCEPTED_SQL = S.with_(S.PREDICTION_HISTORY, S.FEEDBACK_EVENTS, """accepted AS (
            min(ts) OVER (PARTITION BY prediction_id) AS created_at
     FROM accepted) WHERE rn = 1)""")
 
+# read several times below: one evaluation each
+ACCEPTED_SQL = ACCEPTED_SQL.replace(" AS (\n", " AS MATERIALIZED (\n")
+
 
 def _accepted(spark, sf_dir):
     hist = standins.prediction_history(spark, sf_dir)
@@ -119,8 +122,8 @@ def q_feedback_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.upsert_feedback(acc)
 
 
-@query("register_dedup", sql=S.with_(S.REGISTRATIONS) + """SELECT email, user_id, ts,
-  CASE WHEN row_number() OVER (PARTITION BY email ORDER BY ts, user_id) = 1 THEN 'created' ELSE 'conflict' END AS status
+@query("register_dedup", sql=S.with_(S.REGISTRATIONS) + """SELECT attempt_id, email, user_id, ts,
+  CASE WHEN row_number() OVER (PARTITION BY email ORDER BY ts, attempt_id) = 1 THEN 'created' ELSE 'conflict' END AS status
 FROM registrations""")
 def q_register_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First registration per e-mail creates the user, later ones conflict."""

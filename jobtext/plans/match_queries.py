@@ -13,7 +13,7 @@ from jobtext.plans import standin_sql as S
 from jobtext.plans.registry import query
 from jobtext.sources import standins
 from jobtext.session import materialize
-from jobtext.sources.tables import read, spread
+from jobtext.sources.tables import read
 
 SPACE = S.SPACE_CHARS
 WORD = S.WORD_CHARS
@@ -21,9 +21,9 @@ WORD = S.WORD_CHARS
 
 def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of the match request table, scored (J1 with F4–F9)."""
-    texts = spread(standins.labelled_texts(spark, sf_dir))
+    texts = standins.labelled_texts(spark, sf_dir)
     # both joins read the analysis: materialise its small rows once instead of extracting skills twice
-    analysis = materialize(M.analyse_texts(texts, standins.CORPUS_SKILLS), persist=True)
+    analysis = materialize(M.analyse_texts(texts, standins.CORPUS_SKILLS))
     pairs = standins.match_requests(spark, sf_dir).select("pair_id", "user_id", "resume_id", "vacancy_id", "created_at")
     return M.match_pairs(pairs, analysis)
 
@@ -148,14 +148,14 @@ def q_match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("extract_skills", sql=f"SELECT doc_id, {S.skills_sql('text', tx.SKILLS_DICTIONARY)} AS skills FROM documents")
 def q_extract_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3 with the built-in skill dictionary over every document."""
-    d = spread(read(spark, sf_dir, "documents", "doc_id", "text"))
+    d = read(spark, sf_dir, "documents", "doc_id", "text")
     return extract_skills(d).select("doc_id", "skills")
 
 
 @query("extract_corpus_skills", sql=f"SELECT doc_id, {S.skills_sql('text', standins.CORPUS_SKILLS)} AS skills FROM documents")
 def q_extract_corpus_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3 with a dictionary of words frequent in the test corpus (phrase and token paths)."""
-    d = spread(read(spark, sf_dir, "documents", "doc_id", "text"))
+    d = read(spark, sf_dir, "documents", "doc_id", "text")
     return extract_skills(d, dictionary=standins.CORPUS_SKILLS).select("doc_id", "skills")
 
 
@@ -164,5 +164,5 @@ def q_extract_corpus_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM documents""")
 def q_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 over every document."""
-    d = spread(read(spark, sf_dir, "documents", "doc_id", "text"))
+    d = read(spark, sf_dir, "documents", "doc_id", "text")
     return d.select("doc_id", clean_text("text").alias("cleaned"))

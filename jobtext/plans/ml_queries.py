@@ -1,4 +1,4 @@
-"""Model queries (rows-only checks): M3–M5, M7–M9, M11, O2, O3, F19, J7, S5, S7."""
+"""Model queries: M3–M5, M7–M9, M11, O2, O3, F19, J7, S5, S7; fits are checked by rows, the relational parts over given rows."""
 
 from __future__ import annotations
 
@@ -7,55 +7,64 @@ from pyspark.sql import functions as F
 
 from jobtext import taxonomy as tx
 from jobtext.functions.text import fingerprint
+from jobtext.functions.scoring import blended_confidence
 from jobtext.operators import evaluate as E
 from jobtext.operators import models as MD
 from jobtext.operators.skills import extract_skills
 from jobtext.operators.validate import validate_predict
+from jobtext.plans import standin_sql as S
 from jobtext.plans.registry import query
-from jobtext.session import scratch_path, shared_dir, materialize
+from jobtext.plans.window_queries import _FP_SQL
+from jobtext.session import materialize, scratch_path, table_path
 from jobtext.sources import standins
-from jobtext.sources.tables import read, spread
+from jobtext.sources.sinks import write_table
+from jobtext.sources.tables import read
 
 
 def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, category, level): documents with the stand-in labels."""
-    d = spread(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "n_chars"))
+    d = read(spark, sf_dir, "documents", "doc_id", "text", "lang", "n_chars")
     return d.select("doc_id", "text", F.col("lang").alias("category"),
                     standins.level_of_length(F.col("n_chars")).alias("level"))
 
 
-def _split(spark, sf_dir, label="category"):
-    shared_dir(spark)
-    return materialize(E.stratified_split(labelled_docs(spark, sf_dir), label, "doc_id"))
+def held_out(spark: SparkSession, sf_dir: str, label: str = "category") -> DataFrame:
+    """The test part of the split that the models are not trained on."""
+    return E.stratified_split(labelled_docs(spark, sf_dir), label, "doc_id").filter("is_test")
 
 
 # Fitted artefacts are saved once per (session, input) to the shared folder and
 # loaded by later queries — the model bundle is loaded once per process.
-_SAVED: dict[tuple[str, str, str], str] = {}
+_SAVED: dict[tuple, str] = {}
 
 
-def _key(spark: SparkSession, sf_dir: str, what: str) -> tuple[str, str, str]:
-    return (spark.conf.get("spark.app.id", "session"), sf_dir, what)
+def _key(spark: SparkSession, sf_dir: str, what: str) -> tuple:
+    """Names an artefact by session, path and the input files' sizes and times."""
+    files = spark.read.parquet(table_path(sf_dir, "documents")).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count(F.lit(1)), F.sum("file_size"), F.max("file_modification_time")).first()
+    return (spark.conf.get("spark.app.id", "session"), sf_dir, what, *state)
 
 
-def trained(spark: SparkSession, sf_dir: str) -> tuple[MD.TextModels, DataFrame]:
-    """Trainer config: 5,000 terms with stop words, split stratified on category."""
-    sp = _split(spark, sf_dir)
-    test = sp.filter(F.col("is_test"))
+def saved_models(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the trained bundle: 5,000 terms with stop words, split stratified on category."""
     key = _key(spark, sf_dir, "models")
-    if key in _SAVED:
-        return MD.TextModels.load(_SAVED[key], tx.MODEL_VERSION), test
-    models = MD.TextModels.train(sp.filter(~F.col("is_test")), tx.VOCAB_TRAIN, tx.STOP_WORDS, tx.MODEL_VERSION)
-    path = scratch_path(spark, f"models-{tx.MODEL_VERSION}")
-    models.save(path)
-    _SAVED[key] = path
-    return models, test
+    if key not in _SAVED:
+        sp = materialize(E.stratified_split(labelled_docs(spark, sf_dir), "category", "doc_id"))
+        models = MD.TextModels.train(sp.filter(~F.col("is_test")), tx.VOCAB_TRAIN, tx.STOP_WORDS, tx.MODEL_VERSION)
+        path = scratch_path(spark, f"models-{tx.MODEL_VERSION}")
+        models.save(path)
+        _SAVED[key] = path
+    return _SAVED[key]
+
+
+def trained(spark: SparkSession, sf_dir: str) -> MD.TextModels:
+    return MD.TextModels.load(saved_models(spark, sf_dir), tx.MODEL_VERSION)
 
 
 @query("train_category")
 def q_train_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: category logistic regression (balanced, 5,000 TF-IDF terms); test-split metrics."""
-    models, test = trained(spark, sf_dir)
+    models, test = trained(spark, sf_dir), held_out(spark, sf_dir)
     x = MD.predict_with_confidence(models.category, MD.featurize(models.featurizer, test), "predicted")
     return E.metrics(x.select(F.col("category").alias("true_label"), F.col("predicted").alias("predicted_label")))
 
@@ -63,7 +72,7 @@ def q_train_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("train_level")
 def q_train_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4: level logistic regression on the same features and split; test-split metrics."""
-    models, test = trained(spark, sf_dir)
+    models, test = trained(spark, sf_dir), held_out(spark, sf_dir)
     x = MD.predict_with_confidence(models.level, MD.featurize(models.featurizer, test), "predicted")
     return E.metrics(x.select(F.col("level").alias("true_label"), F.col("predicted").alias("predicted_label")))
 
@@ -71,7 +80,7 @@ def q_train_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("error_table_model")
 def q_error_table_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8: held-out rows of the category model with true/predicted label and correct flag."""
-    models, test = trained(spark, sf_dir)
+    models, test = trained(spark, sf_dir), held_out(spark, sf_dir)
     x = MD.predict_with_confidence(models.category, MD.featurize(models.featurizer, test), "predicted")
     return x.select("doc_id", "text", F.col("category").alias("true_label"), F.col("predicted").alias("predicted_label"),
                     (F.col("category") == F.col("predicted")).alias("correct"))
@@ -81,8 +90,7 @@ def q_error_table_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9 + F19 + S7: models saved to the shared folder, loaded back, and every
     document scored with category, level, skills and blended confidence."""
-    trained(spark, sf_dir)  # fits and saves once per input
-    loaded = MD.TextModels.load(_SAVED[_key(spark, sf_dir, "models")], tx.MODEL_VERSION)
+    loaded = trained(spark, sf_dir)
     docs = labelled_docs(spark, sf_dir).select("doc_id", "text")
     scored = extract_skills(loaded.score(docs), "text", "skills")
     return scored.select("doc_id", "category", "level", "skills", "confidence", "model_version")
@@ -92,13 +100,75 @@ def q_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_dedup_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted requests are scored once per distinct fingerprint and the
     result is joined back to every request with that fingerprint."""
-    models, _ = trained(spark, sf_dir)
+    models = trained(spark, sf_dir)
     req = validate_predict(standins.predict_requests(spark, sf_dir)).filter("accepted")
-    req = req.withColumn("fingerprint", fingerprint("text", tx.MODEL_VERSION))
-    distinct = req.groupBy("fingerprint").agg(F.min_by("text", "seq").alias("text"))
-    scored = extract_skills(models.score(distinct), "text", "skills") \
-        .select("fingerprint", "category", "level", "skills", "confidence")
-    return req.select("seq", "user_id", "fingerprint").join(scored, "fingerprint")
+    req = req.select("seq", "user_id", fingerprint("text", tx.MODEL_VERSION).alias("fingerprint"), "text")
+    out = MD.score_once(req, "fingerprint", "seq", lambda d: extract_skills(models.score(d), "text", "skills").drop("model_version", "category_confidence", "level_confidence"))
+    return out.select("seq", "user_id", "fingerprint", "category", "level", "skills", "confidence")
+
+
+@query("dedup_given", sql=S.with_(S.PREDICT_REQUESTS.replace("SELECT ", "SELECT d.lang, d.n_chars, ", 1)) + f"""SELECT r.seq, r.fingerprint, f.category, f.level, f.confidence
+FROM (SELECT seq, {_FP_SQL} AS fingerprint FROM predict_requests) r JOIN (
+  SELECT {_FP_SQL} AS fingerprint, min_by(lang, seq) AS category, min_by({S.LEVEL_OF_LENGTH}, seq) AS level,
+    CAST(round(0.6 * CAST(min_by({S.DEC_CONFIDENCE}, seq) AS DECIMAL(12,4)) + 0.4 * CAST(0.5 AS DECIMAL(12,4)), 4) AS DOUBLE) AS confidence
+  FROM predict_requests GROUP BY 1) f ON f.fingerprint = r.fingerprint""")
+def q_dedup_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7 + F19 with given labels and confidences: one scoring per distinct
+    fingerprint, joined back; 0.6 category and 0.4 level confidence."""
+    d = read(spark, sf_dir, "documents", "doc_id", "text", "lang", "n_chars")
+    e = read(spark, sf_dir, "events", "event_id").withColumn("doc_id", F.pmod("event_id", standins.doc_count(spark, sf_dir).scalar()))
+    req = e.join(d, "doc_id").select(F.col("event_id").alias("seq"), fingerprint("text", tx.MODEL_VERSION).alias("fingerprint"), "lang", "n_chars")
+
+    def given(first: DataFrame) -> DataFrame:
+        return first.select("fingerprint", F.col("lang").alias("category"), standins.level_of_length(F.col("n_chars")).alias("level"),
+                            blended_confidence(standins.dec_confidence(F.col("n_chars")), F.lit(0.5)).alias("confidence"))
+
+    return MD.score_once(req, "fingerprint", "seq", given).select("seq", "fingerprint", "category", "level", "confidence")
+
+
+EXPERIMENTS_SQL = """experiments AS (
+  SELECT event_type AS target, 'm' || CAST(user_id % 5 AS VARCHAR) AS model_name, 'v' || CAST(event_id % 3 AS VARCHAR) AS version,
+    CAST(count(*) AS DOUBLE) AS accuracy, CAST(count(*) % 4 AS DOUBLE) AS f1_macro, CAST(min(event_id) AS DOUBLE) AS inference_time_ms,
+    event_type || '/' || CAST(user_id % 5 AS VARCHAR) AS model_path, max(ts) AS created_at
+  FROM events GROUP BY event_type, user_id % 5, event_id % 3)"""
+
+
+def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in experiment rows from the event log, with ties in macro F1."""
+    e = read(spark, sf_dir, "events", "event_id", "event_type", "user_id", "ts")
+    g = e.groupBy(F.col("event_type").alias("target"), (F.col("user_id") % 5).alias("m"), (F.col("event_id") % 3).alias("v"))
+    r = g.agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), F.max("ts").alias("created_at"))
+    return r.select("target", F.concat(F.lit("m"), F.col("m").cast("string")).alias("model_name"), F.concat(F.lit("v"), F.col("v").cast("string")).alias("version"),
+                    F.col("n").cast("double").alias("accuracy"), (F.col("n") % 4).cast("double").alias("f1_macro"), F.col("first").cast("double").alias("inference_time_ms"),
+                    F.concat("target", F.lit("/"), F.col("m").cast("string")).alias("model_path"), "created_at")
+
+
+@query("leaderboard_given", sql=S.with_(EXPERIMENTS_SQL) + """SELECT *, row_number() OVER (ORDER BY target, f1_macro DESC, inference_time_ms) AS place FROM experiments""")
+def q_leaderboard_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2 over given experiment rows: their order, as a place from 1."""
+    ordered = MD.leaderboard(experiments(spark, sf_dir))
+    # the sorted result is a report of a few rows; its order becomes a column to be compared
+    return ordered.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+@query("best_given", sql=S.with_(EXPERIMENTS_SQL) + """SELECT * EXCLUDE (k) FROM (
+  SELECT *, row_number() OVER (PARTITION BY target ORDER BY f1_macro DESC, inference_time_ms, model_name) AS k FROM experiments) WHERE k = 1""")
+def q_best_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3 over given experiment rows: written as JSON, the report's form (S5), and read back."""
+    path = scratch_path(spark, "best-models")
+    best = MD.best_models(experiments(spark, sf_dir))
+    write_table(best, path, "json")
+    return spark.read.schema(best.schema).json(path)
+
+
+@query("registry_active", sql=S.with_(EXPERIMENTS_SQL) + """SELECT target, 'v2' AS version, model_path AS path FROM (
+  SELECT *, row_number() OVER (PARTITION BY target ORDER BY f1_macro DESC, inference_time_ms, model_name) AS k FROM experiments WHERE version = 'v2') WHERE k = 1""")
+def q_registry_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions registered one after another; the last is active."""
+    rows, registry = experiments(spark, sf_dir), None
+    for version in ("v0", "v1", "v2"):
+        registry = MD.register(registry, MD.best_models(rows.filter(F.col("version") == version)), version)
+    return MD.active_version(registry)
 
 
 def _compare(spark, sf_dir):

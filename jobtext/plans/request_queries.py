@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtext import taxonomy as tx
-from jobtext.functions.scoring import argmax_index, top_confidence
+from jobtext.functions.scoring import argmax_index, softmax, top_confidence
 from jobtext.functions.text import fingerprint
 from jobtext.operators import metrics as MX
 from jobtext.operators import validate as V
@@ -110,6 +110,22 @@ def q_softmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", argmax_index(x).cast("int").alias("best_index"), top_confidence(x).alias("confidence"))
 
 
+@query("softmax_vectors", sql="""SELECT vec_id, CAST(i AS INTEGER) AS class_index, round(exp(e[i + 1] - list_max(e)) / list_sum(list_transform(e, lambda v: exp(v - list_max(e)))), 6) AS probability
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, unnest(range(len(embedding))) AS i FROM embeddings)""")
+def q_softmax_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the whole softmax vector of every score vector."""
+    e = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return e.select("vec_id", F.posexplode(softmax(F.col("embedding"))).alias("class_index", "p")).select("vec_id", "class_index", F.round("p", 6).alias("probability"))
+
+
+@query("validate_scores", sql="""SELECT event_id, CASE WHEN value IS NULL THEN 'confidence_missing' WHEN NOT (value / 50 BETWEEN 0 AND 1) THEN 'confidence_out_of_range' END AS reason,
+  coalesce(value / 50 BETWEEN 0 AND 1, false) AS accepted FROM events""")
+def q_validate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores outside [0, 1] are rejected."""
+    e = read(spark, sf_dir, "events", "event_id", "value").withColumn("confidence", F.col("value") / 50)
+    return V.validate_scores(e, "confidence").select("event_id", "reason", "accepted")
+
+
 @query("prediction_counts", sql=S.with_(S.PREDICTION_HISTORY) + """SELECT category, level, count(*) AS n
 FROM prediction_history WHERE NOT cached GROUP BY category, level""")
 def q_prediction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ FEEDBACK_EVENTS = """feedback_events AS (
   FROM events WHERE event_type = 'click')"""
 
 REGISTRATIONS = """registrations AS (
-  SELECT 'u' || CAST(user_id AS VARCHAR) AS user_id, 'user' || CAST(user_id AS VARCHAR) || '@mail.test' AS email, ts
+  SELECT event_id AS attempt_id, 'u' || CAST(user_id AS VARCHAR) AS user_id, 'user' || CAST(user_id AS VARCHAR) || '@mail.test' AS email, ts
   FROM events WHERE event_type = 'signup')"""
 
 USERS = """users AS (

@@ -1,4 +1,4 @@
-"""Streaming queries: T3 (tumbling metrics, oracle-checked), T4 (continuous scoring)."""
+"""Streaming queries: T1, T2 (windows), T3 (interval metrics), T4 (continuous scoring and matching)."""
 
 from __future__ import annotations
 
@@ -6,9 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtext import taxonomy as tx
+from jobtext.functions.text import fingerprint
+from jobtext.operators import match as M
 from jobtext.operators.history import with_row_ids
 from jobtext.operators.skills import extract_skills
+from jobtext.operators.validate import validate_predict
+from jobtext.plans import standin_sql as S
+from jobtext.plans.match_queries import _MATCH_COLS, _MATCH_SQL_BODY, _out, _sql_out
 from jobtext.plans.registry import query
+from jobtext.plans.window_queries import _FP_SQL, _VALID, _fold_sql
+from jobtext.session import materialize, scratch_path
+from jobtext.sources import standins
+from jobtext.sources.sinks import append_history, read_history
 from jobtext.streaming import stream as ST
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -30,7 +39,7 @@ def q_stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     with deterministic ids."""
     from jobtext.plans.ml_queries import trained
 
-    models, _ = trained(spark, sf_dir)
+    models = trained(spark, sf_dir)
 
     def score_batch(batch: DataFrame) -> DataFrame:
         req = batch.select(F.col("doc_id").alias("seq"), F.col("source").alias("user_id"), "text",
@@ -43,28 +52,30 @@ def q_stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.continuous_scoring(spark, sf_dir, "documents.parquet", DOCS_SCHEMA, score_batch)
 
 
-def _request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log as a request stream (seq, user_id, ts)."""
-    ev = ST.file_stream(spark, sf_dir, "events.parquet", EVENTS_SCHEMA)
-    return ev.select(F.col("event_id").alias("seq"),
-                     F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"), "ts")
+#: Rows may arrive this much out of order.
+DELAY_SECONDS = 600
 
 
-from jobtext.plans.window_queries import _fold_sql  # noqa: E402
+def _day_cuts(col: str) -> list:
+    """The stand-in log arrives in four files, by time."""
+    return [F.col(col) < F.expr(f"TIMESTAMP_NTZ'2024-01-{d:02d} 00:00:00'") for d in (8, 15, 22)]
+
+
+def _arriving(spark: SparkSession, rows: DataFrame, cuts: list) -> DataFrame:
+    """``rows`` as a stream of several files."""
+    path = standins.as_files(rows, scratch_path(spark, "requests"), cuts)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("rate_limit_stream", sql=_fold_sql("user_id", tx.RATE_LIMIT_WINDOW_SECONDS) + f"""SELECT e.seq, e.user_id,
   make_timestamp(r.a) AS window_start, CAST(r.n AS BIGINT) AS n, r.n <= {tx.RATE_LIMIT_REQUESTS} AS allowed
 FROM r JOIN ev e ON e.key = r.key AND e.rn = r.rn""")
 def q_rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T2 as a stateful stream: per-user window state across micro-batches."""
-    out = ST.run_append(ST.anchored_stream(_request_stream(spark, sf_dir), "user_id", "ts", "seq",
-                                           tx.RATE_LIMIT_WINDOW_SECONDS), spark, "rate-limit")
-    return out.select(F.col("id").alias("seq"), F.col("key").alias("user_id"), "window_start", "n",
-                      (F.col("n") <= tx.RATE_LIMIT_REQUESTS).alias("allowed"))
-
-
-from jobtext.plans.window_queries import _FP_SQL, _VALID  # noqa: E402
+    """T2 as a stream of several files: windows carried across micro-batches."""
+    req = standins.predict_requests(spark, sf_dir).select("seq", "user_id", "ts")
+    job = ST.AnchoredStream(spark, scratch_path(spark, "rate-limit"), "user_id", "ts", "seq", tx.RATE_LIMIT_WINDOW_SECONDS, DELAY_SECONDS)
+    out, _ = job.run(_arriving(spark, req, _day_cuts("ts")))
+    return out.select("seq", "user_id", "window_start", "n", (F.col("n") <= tx.RATE_LIMIT_REQUESTS).alias("allowed"))
 
 
 @query("cache_flags_stream", sql=_fold_sql(_FP_SQL, tx.CACHE_TTL_SECONDS).replace(
@@ -72,20 +83,51 @@ from jobtext.plans.window_queries import _FP_SQL, _VALID  # noqa: E402
   make_timestamp(r.a) AS window_start, CAST(r.n AS BIGINT) AS n, r.n > 1 AS cached
 FROM r JOIN ev e ON e.key = r.key AND e.rn = r.rn""")
 def q_cache_flags_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T1 as a stateful stream: requests (stream) joined to their texts
-    (static table), validated, fingerprinted, cache windows kept as state."""
-    from jobtext.functions.text import fingerprint
-    from jobtext.operators.validate import validate_predict
-    from jobtext.sources.standins import doc_count
-    from jobtext.sources.tables import read
-
-    ev = ST.file_stream(spark, sf_dir, "events.parquet", EVENTS_SCHEMA)
-    n_docs = doc_count(spark, sf_dir).first()[0]  # one number
-    docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    req = ev.withColumn("doc_id", F.pmod("event_id", F.lit(n_docs))).join(docs, "doc_id") \
-        .select(F.col("event_id").alias("seq"), "text", "ts")
-    req = validate_predict(req).filter("accepted").withColumn("fingerprint", fingerprint("text", tx.MODEL_VERSION))
-    out = ST.run_append(ST.anchored_stream(req.select("seq", "fingerprint", "ts"), "fingerprint", "ts", "seq",
-                                           tx.CACHE_TTL_SECONDS, watermark="2 days"), spark, "cache-flags")
-    return out.select(F.col("id").alias("seq"), F.col("key").alias("fingerprint"), "window_start", "n",
-                      (F.col("n") > 1).alias("cached"))
+    """T1 as a stream of several files: requests are validated and
+    fingerprinted as they arrive, cache windows carried across micro-batches."""
+    req = _arriving(spark, standins.predict_requests(spark, sf_dir).select("seq", "text", "ts"), _day_cuts("ts"))
+    ok = validate_predict(req).filter("accepted").select("seq", fingerprint("text", tx.MODEL_VERSION).alias("fingerprint"), "ts")
+    job = ST.AnchoredStream(spark, scratch_path(spark, "cache-flags"), "fingerprint", "ts", "seq", tx.CACHE_TTL_SECONDS, DELAY_SECONDS)
+    out, _ = job.run(ok)
+    return out.select("seq", "fingerprint", "window_start", "n", (F.col("n") > 1).alias("cached"))
+
+
+_BUCKET_SQL = ", ".join(f"count(*) FILTER (WHERE NOT cached AND confidence <= {b})" for b in tx.HISTOGRAM_BOUNDS)
+
+
+@query("service_metrics_stream", sql=S.with_(S.PREDICTION_HISTORY) + f"""SELECT make_timestamp(epoch_us(created_at) // 5000000 * 5000000) AS window_start,
+  category, level, count(*) FILTER (WHERE cached) AS hits, count(*) FILTER (WHERE NOT cached) AS misses,
+  array_to_string([{_BUCKET_SQL}], ',') AS buckets, round(sum(confidence) FILTER (WHERE NOT cached), 6) AS confidence_sum
+FROM prediction_history GROUP BY 1, 2, 3""")
+def q_service_metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction history as a stream: hits, misses, predictions per
+    class and confidence buckets of every 5 s interval."""
+    rows = standins.prediction_history(spark, sf_dir)
+    agg = ST.service_metrics(_arriving(spark, rows, _day_cuts("created_at")), tx.HISTOGRAM_BOUNDS)
+    sink = scratch_path(spark, "service-metrics")
+    ST.run_available(agg, sink, scratch_path(spark, "service-metrics-ckpt"), "update")
+    out = ST.latest_per_key(spark.read.parquet(sink), ["window_start", "category", "level"])
+    return out.select("window_start", "category", "level", "hits", "misses",
+                      F.array_join(F.transform("buckets", lambda n: n.cast("string")), ",").alias("buckets"), F.round("confidence_sum", 6).alias("confidence_sum"))
+
+
+@query("match_stream", sql=_MATCH_SQL_BODY + f"SELECT {_sql_out(_MATCH_COLS)} FROM x")
+def q_match_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 + S9 + S11: match requests arrive as a stream of several files; each
+    micro-batch is analysed, scored and written to the match history, which is
+    read back."""
+    texts = standins.labelled_texts(spark, sf_dir).select("text_id", "category", "level", "confidence")
+    req = standins.match_requests(spark, sf_dir)
+    rows = _arriving(spark, req, [F.col("pair_id") % 3 == 0, F.col("pair_id") % 3 == 1])
+    history = scratch_path(spark, "match-history")
+
+    def score(batch: DataFrame, batch_id: int) -> None:
+        sides = [batch.select(F.col(f"{s}_id").alias("text_id"), F.col(f"{s}_text").alias("text")) for s in ("resume", "vacancy")]
+        given = sides[0].unionByName(sides[1]).dropDuplicates(["text_id"]).join(texts, "text_id")
+        pairs = batch.select("pair_id", "user_id", "resume_id", "vacancy_id", "created_at")
+        scored = M.match_pairs(pairs, materialize(M.analyse_texts(given, standins.CORPUS_SKILLS)))
+        append_history(scored, history)
+
+    q = rows.writeStream.foreachBatch(score).option("checkpointLocation", scratch_path(spark, "match-ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return _out(read_history(spark, history), _MATCH_COLS)

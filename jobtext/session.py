@@ -1,22 +1,22 @@
 """Session helpers: a local session for tests/bench, and the shared folder.
 
-Jobs never pick a machine-local temp folder on their own: intermediate tables
-and checkpoints go under the folder the cluster names in
-``spark.checkpoint.dir``.  Only when that setting is absent (local tests) is
-a scratch folder created and registered.
+Intermediate tables, models, stream sinks and checkpoints go under the folder
+the cluster names in ``spark.checkpoint.dir``. A cluster session without that
+setting is an error; only a local session gets a folder of its own.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "jobtext") -> SparkSession:
+def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "jobtext",
+                  read_partitions: int | None = None, scratch: str | None = None) -> SparkSession:
+    """A local session. ``read_partitions`` deals every table read out to that
+    many tasks: the test tables are one row group each, which no task can share."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -32,48 +32,37 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if read_partitions:
+        spark.conf.set("jobtext.read.partitions", str(read_partitions))
     shared_dir(spark)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster-shared folder for checkpoints and written intermediates.
-
-    Reads ``spark.checkpoint.dir`` (or the SparkContext checkpoint dir).  If
-    neither is set — a local test session — a scratch folder is created and
-    registered on the session so later calls agree.
-    """
+    """The cluster-shared folder for checkpoints and written intermediates:
+    ``spark.checkpoint.dir`` or the SparkContext's checkpoint folder. A local
+    session without either gets one beside its warehouse."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         try:
             d = spark.sparkContext.getCheckpointDir()
-        except Exception:  # pragma: no cover - API differences
+        except Exception:  # a session without a SparkContext handle
             d = None
     if not d:
-        d = tempfile.mkdtemp(prefix="jobtext-ckpt-")
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex[:12]}"
         spark.sparkContext.setCheckpointDir(d)
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # static conf on some deployments
-            pass
         d = spark.sparkContext.getCheckpointDir() or d
     return d.rstrip("/")
 
 
-def materialize(df: DataFrame, persist: bool = False) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
-
-    An eager checkpoint evaluates the plan once to count and once more to
-    write; with ``persist=True`` (for plans that are expensive to recompute)
-    the rows are held while the checkpoint is written and released after.
-    The result keeps ``df``'s partitioning and ordering."""
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder: the plan is
+    evaluated once, and the result keeps its partitioning and ordering."""
     shared_dir(df.sparkSession)
-    if not persist:
-        return df.checkpoint(eager=True)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
+    return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -1,15 +1,17 @@
 """S3–S6, S8, S9 — sinks.
 
 Tables are written in parallel (no coalesce to one file); history tables
-are appended partitioned by day, and a job re-run with the same
-deterministic ids can be de-duplicated by ``id`` on read.
+are appended partitioned by day, without the ids that are already there.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobtext.session import materialize
+
 REPORT_ORDER = ["summary", "missing_values", "drop_funnel", "matched_score", "category_distribution",
                 "missing_categories", "level_distribution", "level_fallback"]
 
@@ -18,28 +20,39 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     """S3 (curated set), S6 (CSV with header), S5 (JSON lines)."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w = w.option("header", True).option("escape", '"')
+        w = (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+             .option("ignoreTrailingWhiteSpace", False))
     w.format(fmt).save(path)
 
 
-def append_history(df: DataFrame, path: str, ts_col: str = "created_at") -> None:
-    """Append rows to a history table partitioned by day."""
-    df.withColumn("dt", F.to_date(ts_col)).write.mode("append").partitionBy("dt").parquet(path)
+def append_history(df: DataFrame, path: str, ts_col: str = "created_at", id_col: str | None = None) -> None:
+    """Append rows to a history table partitioned by day. Rows already
+    there are left out by an anti join on the id and only the touched days are
+    read, so writing a batch again changes nothing."""
+    spark, key = df.sparkSession, id_col or ("id" if "id" in df.columns else "pair_id")
+    df = materialize(df.withColumn("dt", F.to_date(ts_col)))
+    try:
+        old = spark.read.parquet(path).select(key, "dt")
+    except AnalysisException:  # the table does not exist yet
+        old = None
+    if old is not None:
+        df = df.join(old, [key, "dt"], "left_anti")
+    df.write.mode("append").partitionBy("dt").parquet(path)
 
 
 def read_history(spark, path: str) -> DataFrame:
-    """History with re-run duplicates removed (same deterministic id)."""
-    return spark.read.parquet(path).dropDuplicates(["id"])
+    return spark.read.parquet(path).drop("dt")
 
 
 def report_lines(report: DataFrame) -> DataFrame:
-    """The (section, key, value) report as ordered markdown lines."""
+    """The (section, pos, key, value) report as markdown lines, by section,
+    pos (the funnel's order, the greatest count first) and key."""
     order = F.array_position(F.array(*[F.lit(s) for s in REPORT_ORDER]), F.col("section"))
     line = F.when(F.col("value") == "", F.concat(F.lit("- "), F.col("key"))) \
         .otherwise(F.concat(F.lit("- "), F.col("key"), F.lit(": "), F.col("value")))
     heads = report.select("section").distinct().select(
-        "section", F.lit(0).alias("pos"), F.lit("").alias("key"), F.concat(F.lit("## "), F.col("section")).alias("line"))
-    body = report.select("section", F.lit(1).alias("pos"), "key", line.alias("line"))
+        "section", F.lit(-(1 << 62)).alias("pos"), F.lit("").alias("key"), F.concat(F.lit("## "), F.col("section")).alias("line"))
+    body = report.select("section", "pos", "key", line.alias("line"))
     return heads.unionByName(body).withColumn("_o", order).orderBy("_o", "pos", "key").select("line")
 
 

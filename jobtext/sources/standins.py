@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtext.sources.tables import read, spread
+from jobtext.sources.tables import read
 
 # Stand-in parameter: a dictionary of words that are frequent in the driver's
 # invented prose (the real skill dictionary hits almost nothing there).  It
@@ -132,7 +132,7 @@ def predict_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, user_id, text, ts): the event log as prediction requests; the
     request text is a document picked by the event id."""
     e = read(spark, sf_dir, "events", "event_id", "user_id", "ts")
-    d = spread(read(spark, sf_dir, "documents", "doc_id", "text"))
+    d = read(spark, sf_dir, "documents", "doc_id", "text")
     e = e.withColumn("doc_id", F.pmod("event_id", doc_count(spark, sf_dir).scalar()))
     return e.join(d, "doc_id").select(
         F.col("event_id").alias("seq"),
@@ -180,9 +180,10 @@ def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, email, ts): signup events as registration attempts."""
-    e = read(spark, sf_dir, "events", "user_id", "ts", "event_type").filter(F.col("event_type") == "signup")
+    """(attempt_id, user_id, email, ts): signup events as registration attempts."""
+    e = read(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type").filter(F.col("event_type") == "signup")
     return e.select(
+        F.col("event_id").alias("attempt_id"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"),
         F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@mail.test")).alias("email"),
         "ts",
@@ -212,3 +213,14 @@ def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality").cast("string").alias("true_label"),
         (F.lit(1) - F.col("toxic")).cast("string").alias("predicted_label"),
     )
+
+
+def as_files(df: DataFrame, path: str, cuts: list) -> str:
+    """Write ``df`` as a folder of several files that arrive one after the
+    other: the rows below each cut of ``cuts`` (conditions, in turn), then the
+    rest. Input of the stream jobs."""
+    rest = F.lit(True)
+    for k, cut in enumerate([*cuts, F.lit(True)]):
+        df.filter(rest & cut).coalesce(1).write.mode("append").parquet(path)
+        rest = rest & ~F.coalesce(cut, F.lit(False))
+    return path

@@ -13,27 +13,11 @@ TABLES = [
 ]
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Task slots to fill: the larger of default parallelism and shuffle partitions."""
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        return max(spark.sparkContext.defaultParallelism, shuffle)
-    except Exception:  # sessions without a local SparkContext handle
-        return shuffle
-
-
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The named columns of a table. ``jobtext.read.partitions``, set by tests
+    and bench for their one-row-group files, deals the rows to that many tasks;
+    unset, as on a cluster, the file splits stay as they are."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan over all task slots when it has fewer input splits
-    than slots (a file written as one row group).  With many splits — the
-    normal case on a cluster — this is a no-op and adds no shuffle."""
-    n = parallelism(df.sparkSession)
-    try:
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view of the plan: leave the scan as it is
-        return df
-    return df if splits >= n else df.repartition(n)
+    df = df.select(*columns) if columns else df
+    n = spark.conf.get("jobtext.read.partitions", None)
+    return df.repartition(int(n)) if n else df

@@ -1,11 +1,11 @@
-"""T3, T4, S8, S11 — Structured Streaming jobs.
-
-Sources are file streams over the request tables; sinks are Parquet folders
-in the shared checkpoint location, written from ``foreachBatch`` so every
-micro-batch lands in its own ``batch_id=`` folder (overwritten on replay,
-hence idempotent after a failure).  Aggregates run in update mode with a
-watermark, so state holds only windows still open; the final value of a
-window is its latest update.
+"""T1–T4, S8, S9, S11 — Structured Streaming jobs.
+
+Sources are file streams over request tables; sinks are Parquet folders in the
+shared checkpoint location, written from ``foreachBatch`` so every micro-batch
+lands in its own ``batch_id=`` folder (overwritten on replay, hence idempotent
+after a failure).  Aggregates run in update mode with a watermark, so state
+holds only windows still open; the final value of a window is its latest
+update.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobtext.session import scratch_path
+from jobtext.operators.windows import anchored_windows, micros
+from jobtext.session import materialize, scratch_path
 
 
 def _batch_writer(path: str):
@@ -55,6 +56,18 @@ def tumbling_metrics(spark: SparkSession, folder: str, file_glob: str, schema: s
     return latest_per_key(spark.read.parquet(sink), ["window_start", "event_type"])
 
 
+def service_metrics(history: DataFrame, bounds: list[float], width: str = "5 seconds", watermark: str = "1 minute") -> DataFrame:
+    """Per tumbling window and (category, level) of a prediction-history
+    stream: cache hits, misses (= predictions) and, over the predictions, the
+    cumulative confidence buckets and the sum of confidences."""
+    ev = history.withColumn("ts_l", F.col("created_at").cast("timestamp")).withWatermark("ts_l", watermark)
+    fresh = F.when(~F.col("cached"), F.col("confidence"))
+    agg = ev.groupBy(F.window("ts_l", width).alias("w"), "category", "level").agg(
+        F.count_if("cached").alias("hits"), F.count_if(~F.col("cached")).alias("misses"),
+        F.array(*[F.count_if(fresh <= b) for b in bounds]).alias("buckets"), F.sum(fresh).alias("confidence_sum"))
+    return agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "category", "level", "hits", "misses", "buckets", "confidence_sum")
+
+
 def continuous_scoring(spark: SparkSession, folder: str, file_glob: str, schema: str, score_batch) -> DataFrame:
     """T4 + S8 + S11: a request stream scored batch by batch into the history
     table; ``score_batch(df) -> df`` is the batch scorer (models loaded once)."""
@@ -71,58 +84,77 @@ def continuous_scoring(spark: SparkSession, folder: str, file_glob: str, schema:
     return spark.read.parquet(sink).drop("batch_id")
 
 
-def anchored_stream(events: DataFrame, key_col: str, ts_col: str, id_col: str, length_seconds: int,
-                    watermark: str = "10 minutes") -> DataFrame:
-    """T1/T2 on a stream: per key, state = (window start, count) carried across
-    micro-batches with ``applyInPandasWithState``; each batch's events of a
-    key are folded in (ts, id) order.  State expires by event-time timeout
-    once the watermark passes the window end, so it stays bounded by the
-    number of keys with an open window.  Output: id, key, window_start, n.
+class AnchoredStream:
+    """T1/T2 on a stream: the batch operator on the rows that are complete.
+
+    Rows wait until the watermark (the greatest time seen less ``delay``) has
+    passed them; those it passes are settled by ``anchored_windows`` together
+    with each key's open window, so the result does not depend on how rows are
+    dealt into files. A row behind the watermark of an earlier micro-batch
+    would change results that are already written: it goes to ``late`` instead.
+    Rows without key or time are settled at once with null windows.
 
-    Events older than the watermark are dropped by Spark before the fold; in
-    time order (the request log) nothing is dropped and the result equals the
-    batch operator.
+    Folders under ``root``: out, late, and the state after each micro-batch
+    (pending, open, mark); a replayed batch starts from the state before it.
     """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    length_us = int(length_seconds) * 1_000_000
-    from jobtext.operators.windows import micros
-
-    # t: zone-independent microseconds of the wall-clock time; ts_l only drives the watermark
-    ev = events.select(
-        F.col(key_col).cast("string").alias("key"), F.col(ts_col).cast("timestamp").alias("ts_l"),
-        micros(ts_col).alias("t"), F.col(id_col).cast("long").alias("id"),
-    ).withColumn("wm_ms", F.expr("unix_millis(ts_l)")).withWatermark("ts_l", watermark)
-
-    def fold(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["t", "id"], kind="mergesort")
-        start, n = state.get if state.exists else (None, 0)
-        starts, counts = [], []
-        for t in pdf["t"].to_numpy():
-            if start is None or t >= start + length_us:
-                start, n = int(t), 0
-            n += 1
-            starts.append(start)
-            counts.append(n)
-        state.update((start, n))
-        # ms on the watermark clock; the window is closed once the watermark passes its end
-        last = pdf.iloc[-1]
-        state.setTimeoutTimestamp(int(last["wm_ms"]) + (start + length_us - int(last["t"])) // 1000)
-        yield pd.DataFrame({"id": pdf["id"].to_numpy(), "key": key[0], "start_us": starts, "n": counts})
-
-    out = ev.groupBy("key").applyInPandasWithState(
-        fold, "id long, key string, start_us long, n long", "start long, n long", "append",
-        GroupStateTimeout.EventTimeTimeout)
-    return out.withColumn("window_start", F.expr("timestampadd(MICROSECOND, start_us, TIMESTAMP_NTZ'1970-01-01 00:00:00')")) \
-        .drop("start_us")
-
-
-def run_append(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Run an append-mode stream to the end of its input; return the sink as a table."""
-    sink, ckpt = scratch_path(spark, f"{name}-sink"), scratch_path(spark, f"{name}-ckpt")
-    run_available(stream, sink, ckpt, "append")
-    return spark.read.parquet(sink).drop("batch_id")
+
+    def __init__(self, spark: SparkSession, root: str, key_col: str, ts_col: str, id_col: str, length_seconds: int, delay_seconds: int):
+        self.spark, self.root, self.length = spark, root, length_seconds
+        self.key, self.ts, self.id, self.delay_us = key_col, ts_col, id_col, delay_seconds * 1_000_000
+
+    def _write(self, df: DataFrame, what: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/{what}/batch_id={batch_id}")
+
+    def _settled(self, ready: DataFrame, open_: DataFrame) -> DataFrame:
+        """``ready`` with window_start and n; ``open_``: (key, window_start, n) of windows that earlier rows opened."""
+        seeds = open_.select(F.col(self.key), F.col("window_start").alias(self.ts), F.lit(True).alias("_seed"))
+        both = ready.withColumn("_seed", F.lit(False)).unionByName(seeds, allowMissingColumns=True)
+        # a seed is earlier than every ready row, so it opens the key's first window
+        rows = anchored_windows(both, self.key, self.ts, self.id, self.length).drop("window_id")
+        carried = open_.select(F.col(self.key).alias("_k"), F.col("window_start").alias("_w"), F.col("n").alias("_n"))
+        rows = rows.join(carried, (rows[self.key] == carried["_k"]) & (rows["window_start"] == carried["_w"]), "left")
+        return rows.withColumn("n", F.when(F.col("_n").isNull(), F.col("n")).otherwise(F.col("n") + F.col("_n") - 1)).drop("_k", "_w", "_n")
+
+    def _step(self, rows: DataFrame, batch_id: int, last: bool = False) -> None:
+        spark, cols = self.spark, rows.columns
+        before = f"batch_id={batch_id - 1}"
+        if batch_id:
+            pending = spark.read.schema(rows.schema).parquet(f"{self.root}/pending/{before}")
+            open_ = spark.read.parquet(f"{self.root}/open/{before}")
+            mark = spark.read.parquet(f"{self.root}/mark/{before}").first()[0]
+        else:
+            pending, mark = rows.limit(0), None
+            open_ = rows.limit(0).select(self.key, F.col(self.ts).alias("window_start"), F.lit(0).cast("long").alias("n"))
+        known = F.col(self.key).isNotNull() & F.col(self.ts).isNotNull()
+        t = micros(self.ts)
+        late = known & (t < F.lit(mark)) if mark is not None else F.lit(False)
+        rows = materialize(rows)
+        self._write(rows.filter(late), "late", batch_id)
+        seen = rows.filter(known).agg(F.max(t)).first()[0]
+        now = max((x for x in (mark, None if seen is None else seen - self.delay_us) if x is not None), default=None)
+        every = pending.unionByName(rows.filter(known & ~late))
+        complete = F.lit(True) if last else (t < F.lit(now)) if now is not None else F.lit(False)
+        done = materialize(self._settled(every.filter(complete), open_))
+        loose = rows.filter(~known).withColumn("window_start", F.lit(None).cast("timestamp_ntz")).withColumn("n", F.lit(None).cast("long"))
+        self._write(done.filter(~F.col("_seed")).select(*cols, "window_start", "n").unionByName(loose), "out", batch_id)
+        self._write(every.filter(~complete), "pending", batch_id)
+        newest = done.groupBy(self.key).agg(F.max(F.struct("window_start", "n")).alias("w")).select(self.key, "w.window_start", "w.n")
+        self._write(newest.filter(micros("window_start") + self.length * 1_000_000 > F.lit(now if now is not None else 0)), "open", batch_id)
+        self._write(spark.createDataFrame([(now,)], "mark long"), "mark", batch_id)
+
+    def run(self, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Process everything available, settle what still waits, and return
+        (rows with window_start and n, late rows)."""
+        done = []
+
+        def step(batch: DataFrame, batch_id: int) -> None:
+            self._step(batch, batch_id)
+            done.append(batch_id)
+
+        q = (events.writeStream.foreachBatch(step).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
+        if done:
+            schema = self.spark.read.parquet(f"{self.root}/pending/batch_id={done[-1]}").schema
+            self._step(self.spark.createDataFrame([], schema), done[-1] + 1, last=True)
+        read = lambda what: self.spark.read.parquet(f"{self.root}/{what}").drop("batch_id")
+        return read("out"), read("late")

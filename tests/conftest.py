@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -13,6 +14,7 @@ SF001 = "/root/testdata/sf0.01"
 def spark():
     from jobtext.session import build_session
 
-    s = build_session(cores="*", shuffle_partitions=8, app="jobtext-tests")
+    s = build_session(cores="*", shuffle_partitions=8, app="jobtext-tests", read_partitions=8,
+                      scratch=tempfile.mkdtemp(prefix="jobtext-tests-"))
     yield s
     s.stop()

@@ -69,10 +69,10 @@ def test_feedback_unknown_rejected(spark):
 
 
 def test_second_registration_conflicts(spark):
-    df = spark.createDataFrame([("a@x", "u1", T0), ("a@x", "u2", T0 + dt.timedelta(seconds=1)), ("b@x", "u3", T0)],
-                               "email string, user_id string, ts timestamp_ntz")
-    out = {r["user_id"]: r["status"] for r in H.register(df).collect()}
-    assert out == {"u1": "created", "u2": "conflict", "u3": "created"}
+    df = spark.createDataFrame([(1, "a@x", "u1", T0), (2, "a@x", "u1", T0), (3, "a@x", "u2", T0 + dt.timedelta(seconds=1)), (4, "b@x", "u3", T0)],
+                               "attempt_id long, email string, user_id string, ts timestamp_ntz")
+    out = {r["attempt_id"]: r["status"] for r in H.register(df).collect()}
+    assert out == {1: "created", 2: "conflict", 3: "conflict", 4: "created"}
 
 
 def test_sinks_roundtrip(spark, tmp_path):
@@ -83,7 +83,8 @@ def test_sinks_roundtrip(spark, tmp_path):
     sinks.append_history(h, p)
     sinks.append_history(h, p)  # a re-run appends the same ids again
     assert sinks.read_history(spark, p).count() == 4
-    rep = spark.createDataFrame([("summary", "raw_rows", "3"), ("missing_categories", "analytics", "")],
-                                "section string, key string, value string")
+    rep = spark.createDataFrame([("summary", 1, "raw_rows", "3"), ("drop_funnel", 1, "short_text", "-2"), ("drop_funnel", 0, "zz_rows", "-1"), ("missing_categories", 0, "analytics", ""),
+                                 ("level_fallback", -9, "B", "9 rows"), ("level_fallback", -1, "A", "1 rows")], "section string, pos long, key string, value string")
     lines = [r["line"] for r in sinks.report_lines(rep).collect()]
-    assert lines == ["## summary", "- raw_rows: 3", "## missing_categories", "- analytics"]
+    assert lines == ["## summary", "- raw_rows: 3", "## drop_funnel", "- zz_rows: -1", "- short_text: -2", "## missing_categories", "- analytics",
+                     "## level_fallback", "- B: 9 rows", "- A: 1 rows"]
