@@ -17,7 +17,7 @@ from jobtext.plans.registry import query
 from jobtext.plans.window_queries import _FP_SQL
 from jobtext.session import materialize, scratch_path, table_path
 from jobtext.sources import standins
-from jobtext.sources.sinks import write_table
+from jobtext.sources.sinks import JSON_TIME, write_table
 from jobtext.sources.tables import read
 
 
@@ -158,7 +158,7 @@ def q_best_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "best-models")
     best = MD.best_models(experiments(spark, sf_dir))
     write_table(best, path, "json")
-    return spark.read.schema(best.schema).json(path)
+    return spark.read.schema(best.schema).option("timestampNTZFormat", JSON_TIME).json(path)
 
 
 @query("registry_active", sql=S.with_(EXPERIMENTS_SQL) + """SELECT target, 'v2' AS version, model_path AS path FROM (

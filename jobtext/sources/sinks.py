@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from jobtext.session import materialize
 
+#: Keeps microseconds, which the default format drops.
+JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
 REPORT_ORDER = ["summary", "missing_values", "drop_funnel", "matched_score", "category_distribution",
                 "missing_categories", "level_distribution", "level_fallback"]
 
@@ -22,6 +25,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if fmt == "csv":
         w = (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
              .option("ignoreTrailingWhiteSpace", False))
+    if fmt == "json":
+        w = w.option("timestampNTZFormat", JSON_TIME).option("timestampFormat", JSON_TIME)
     w.format(fmt).save(path)
 
 
