@@ -6,9 +6,9 @@ removed if any earlier line of the corpus (by document, then line) matches it.
 
 Equal sets are one member of the join. A first prefix filter, with the tokens
 in digest order, leaves the sets that share a prefix token with another set;
-only their tokens are counted and ordered by rarity. Prefix, positional and
-length filters then act on classes (token, length, position) before any pair
-is formed, and each surviving pair is verified on the whole sets.
+only their tokens are counted, by a sketch of fixed size, and ordered by rarity.
+Prefix, positional and length filters then act on classes (token, length,
+position) before any pair is formed, and each pair is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from jobtext.llm.common import BLANK_CLASS, ROW, WORD_CLASS, documents, member,
 WORDS = 5
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
+#: Counters of the rarity sketch, a power of two; its size does not depend on the data.
+SKETCH = 1 << 17
 POS = ["none", *ROW, "line_no"]
 
 
@@ -53,56 +55,76 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(lines: DataFrame) -> DataFrame:
-    """(set_key, line_key, n, first): distinct sets that share a prefix token with another set, with a line of each and its first place."""
+    """(place, set_key, line_key): distinct sets that share a prefix token with
+    another set, a line of each, and their order by first occurrence."""
     heads = lines.select("set_key", F.explode("head").alias("tok"))
-    shared = staged(heads.groupBy("tok").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("tok"), "shared")
-    some = heads.where(member(shared, "tok")(F.col("tok"))).distinct().join(shared, "tok", "left_semi").select("set_key").distinct()
+    shared = heads.groupBy("tok").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("tok")
+    shared = staged(shared, "shared")
+    some = heads.where(member(shared, "tok")(F.col("tok"))).join(shared, "tok", "left_semi").select("set_key").distinct()
     firsts = lines.groupBy("set_key").agg(F.min(F.struct(*POS)).alias("first"), F.min("line_key").alias("line_key"))
-    return staged(firsts.join(some, "set_key", "left_semi"), "candidates")
+    ordered = firsts.join(some, "set_key", "left_semi").orderBy("first", "set_key")
+    return staged(ordered.select(F.monotonically_increasing_id().alias("place"), "set_key", "line_key"), "candidates")
 
 
 def _sets(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(set_key, first, n, toks): the candidates' whole sets, tokens (df, tok) by rarity among them."""
+    """(place, n, toks): the candidates' whole sets, tokens by rarity.
+
+    Rarity is a token's count among the candidates, taken from a sketch of
+    SKETCH counters: those of its counter's tokens together. A rank of the
+    counter replaces the token's bits that name the counter, so a token stays
+    one number and distinct tokens stay distinct."""
     every = docs.select(F.explode(F.split("text", "\n")).alias("line")).withColumn("line_key", F.xxhash64("line"))
     found = every.where(member(candidates, "line_key")(F.col("line_key"))).groupBy("line_key").agg(F.min("line").alias("line"))
-    rows = staged(found.join(candidates, "line_key").transform(_tokens("line")).select("set_key", "first", "toks"), "sets")
-    loose = rows.select("set_key", F.explode("toks").alias("tok"))
-    df = loose.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    ordered = loose.join(df, "tok").groupBy("set_key").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("toks"))
-    return staged(rows.select("set_key", "first").join(ordered, "set_key").select("set_key", "first", F.size("toks").alias("n"), "toks"), "ordered")
+    rows = staged(found.join(candidates.select("place", "line_key"), "line_key").transform(_tokens("line")).select("place", "toks"), "sets")
+    rest = 64 - SKETCH.bit_length() + 1
+    counter = lambda t: F.shiftrightunsigned(t, rest).cast("int")
+    counts = rows.select(F.explode("toks").alias("t")).groupBy(counter(F.col("t")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    seen = {r.c: r.n for r in counts.collect()}
+    rank = [0] * SKETCH
+    for place, c in enumerate(sorted(range(SKETCH), key=lambda c: seen.get(c, 0))):
+        rank[c] = place - SKETCH // 2
+    ranks = F.split(F.lit(",".join(map(str, rank))), ",").cast("array<long>")
+    low = (1 << rest) - 1
+    recoded = F.transform("toks", lambda t: F.shiftleft(F.get(ranks, counter(t)), rest).bitwiseOR(t.bitwiseAND(low)))
+    return rows.select("place", F.size("toks").alias("n"), F.sort_array(recoded).alias("toks"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of (late, early) pairs the late ones whose pair reaches the similarity."""
-    late = sets.select(F.col("set_key").alias("late"), F.col("toks.tok").alias("x"))
-    early = sets.select(F.col("set_key").alias("early"), F.col("toks.tok").alias("y"))
+    late = sets.select(F.col("place").alias("late"), F.col("toks").alias("x"))
+    early = sets.select(F.col("place").alias("early"), F.col("toks").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    met = pairs.distinct().join(late, "late").join(early, "early").where(DEN * both >= NUM * (F.size("x") + F.size("y") - both))
-    return met.select("late").distinct()
+    met = pairs.join(late, "late").join(early, "early").where(DEN * both >= NUM * (F.size("x") + F.size("y") - both))
+    return staged(met.select("late").distinct(), "matched")
 
 
 def _preceded(sets: DataFrame) -> DataFrame:
-    """Sets (set_key) that match a set with an earlier first place.
-
-    Classes (token, n, i) of prefix places are paired first: lengths within the
-    similarity, and no more tokens missing before and after the meeting than it
-    allows. Every member is then compared with the earliest member of each class
-    that its own may meet; only members without a match there go on to all."""
-    index = sets.select("set_key", "first", "n", F.posexplode(F.slice("toks", F.lit(1), _prefix(F.col("n")))).alias("i", "t")).where("t.df > 1")
-    index = staged(index.select("set_key", "first", "n", "i", F.col("t.tok").alias("tok")), "index")
-    classes = index.groupBy("tok", "n", "i").agg(F.min(F.struct("first", "set_key")).alias("head"))
+    """(place) of the sets that match a set with an earlier place.
+
+    Classes (token, length, position) of prefix places are paired first:
+    lengths within the similarity, and no more tokens missing before and after
+    the meeting than it allows. A set is compared with the earliest member of
+    all classes that its own may meet; without a match there, with the earliest
+    of each of them; and without one again, with all their members."""
+    keys = ["tok", "n", "i"]
+    index = sets.select("place", "n", F.posexplode(F.slice("toks", F.lit(1), _prefix(F.col("n")))).alias("i", "tok"))
+    shared = index.groupBy("tok").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("tok")
+    index = staged(index.join(shared, "tok", "left_semi"), "index")
+    classes = index.groupBy(*keys).agg(F.min("place").alias("head"))
     other = classes.select("tok", F.col("n").alias("m"), F.col("i").alias("j"), "head")
     overlap = F.floor((NUM * (F.col("n") + F.col("m")) + (NUM + DEN - 1)) / (NUM + DEN))
     meets = (DEN * F.col("m") >= NUM * F.col("n")) & (DEN * F.col("n") >= NUM * F.col("m"))
     meets = meets & (1 + F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1) >= overlap)
     allowed = staged(classes.drop("head").join(other, "tok").where(meets), "classes")
-    keys = ["tok", "n", "i"]
-    heads = index.join(allowed, keys).where("head.first < first").select(F.col("set_key").alias("late"), F.col("head.set_key").alias("early"))
-    sure = staged(_verified(heads, sets), "preceded")
-    open_ = index.join(sure, index["set_key"] == sure["late"], "left_anti").join(allowed.drop("head"), keys)
-    early = index.select("tok", F.col("n").alias("m"), F.col("i").alias("j"), F.col("first").alias("before"), F.col("set_key").alias("early"))
-    pairs = open_.join(early, ["tok", "m", "j"]).where("before < first").select(F.col("set_key").alias("late"), "early")
-    return sure.unionAll(_verified(pairs, sets)).select(F.col("late").alias("set_key")).distinct()
+    heads = index.join(allowed, keys).where("head < place").select(F.col("place").alias("late"), F.col("head").alias("early"))
+    heads = staged(heads.distinct(), "heads")
+    one = _verified(heads.groupBy("late").agg(F.min("early").alias("early")), sets)
+    each = _verified(heads.join(one, "late", "left_anti"), sets)
+    sure = one.unionAll(each)
+    left = index.join(sure, index["place"] == sure["late"], "left_anti").select(F.col("place").alias("late"), *keys)
+    early = index.select("tok", F.col("n").alias("m"), F.col("i").alias("j"), F.col("place").alias("early"))
+    pairs = left.join(allowed.drop("head"), keys).select("late", "tok", "m", "j").join(early, ["tok", "m", "j"]).where("early < late").select("late", "early").distinct()
+    return sure.unionAll(_verified(pairs.join(heads, ["late", "early"], "left_anti"), sets)).select(F.col("late").alias("place"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -113,8 +135,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     text are one document. Lines without words stay; null and empty texts have
     none to remove. Other columns are ignored; empty in, empty out."""
     lines = staged(lines_of(docs.select("doc_id", "text")), "lines")
-    sets = _sets(docs, _candidates(lines))
-    gone = _preceded(sets).withColumn("gone", F.lit(True))
+    candidates = _candidates(lines)
+    gone = _preceded(_sets(docs, candidates)).join(candidates, "place").select("set_key", F.lit(True).alias("gone"))
     firsts = lines.groupBy("set_key").agg(F.min(F.struct(*POS)).alias("first"))
     known = firsts.join(gone, "set_key", "left")
     out = lines.join(known, "set_key").where((F.struct(*POS) > F.col("first")) | F.col("gone"))
