@@ -16,13 +16,12 @@ from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtext.llm import tokens
-from jobtext.llm.common import documents
+from jobtext.llm.common import documents, slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Longest match, in bytes, that shares an array with others.
@@ -202,17 +201,6 @@ def token_bytes(ranks: str = RANKS) -> dict[int, bytes]:
     return {i: t for t, i in tokens.ranks_of(ranks).items()}
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``most`` bytes of ``column``, a row at least."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        before = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """(doc_id, text, ...) to (doc_id, ids binary: little-endian unsigned 32-bit),
     a row for each row. Null text is empty and has no ids; special tokens'
@@ -222,7 +210,7 @@ def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = trees(ranks)
         for batch in batches:
-            for b in _slices(batch, "text", TOGETHER):
+            for b in slices(batch, "text", TOGETHER):
                 ids = coder.encode([t or "" for t in b.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -235,7 +223,7 @@ def decode(rows: DataFrame, ranks: str = RANKS) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(ranks)
         for batch in batches:
-            for b in _slices(batch, "ids", TOGETHER):
+            for b in slices(batch, "ids", TOGETHER):
                 out = pa.array([decoded(x, table) for x in b.column("ids").to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), out], ["doc_id", "ids", "decoded"])
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtext.llm.common import ROW, documents, member, row_name, staged, texts_of
+from jobtext.llm.common import ROW, documents, member, row_name, slices, staged, texts_of
 from jobtext.llm.components import components
 
 SHINGLE, MAX_BITS = 4, 4
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text) to (doc_id, id_key, text_key, fp), a row for each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch)):
             fp = pa.array([fingerprint(t, shingle) for t in texts_of(b)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", *ROW)] + [fp], ["doc_id", *ROW, "fp"])
 

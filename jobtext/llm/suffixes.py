@@ -23,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtext.llm.common import ROW, documents, member, row_name, staged, texts_of
+from jobtext.llm.common import ROW, documents, member, row_name, slices, staged, texts_of
 
 LENGTH, FIRST, GRAM = 200, 25, 50
 #: Windows whose arrays are held at once; a run may be cut there, which the refinement mends.
 BLOCK = 1 << 18
 #: Contexts of a bucket that one task refines together; larger buckets are shuffled by window.
 TOGETHER = 4096
+#: Bytes of contexts, of whole buckets, that are refined at once.
+TOGETHER_BYTES = 1 << 18
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -104,7 +106,7 @@ def _run_table(docs: DataFrame) -> DataFrame:
     names = ["bucket", "context", *ROW, "start", "n", "twice"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch)):
             held, size = [], 0
             for i, k, t in zip(b.column("id_key").to_pylist(), b.column("text_key").to_pylist(), texts_of(b)):
                 for starts, counts, buckets, twice, contexts in runs(t):
@@ -121,21 +123,21 @@ def _run_table(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(bucket, id_key, text_key, start, n, alone, many, bytes) of the wanted runs."""
-    schema = "bucket long, id_key long, text_key long, start long, n int, alone boolean, many boolean, bytes binary"
+    """(bucket, id_key, text_key, start, n, alone, bytes) of the wanted runs."""
+    schema = "bucket long, id_key long, text_key long, start long, n int, alone boolean, bytes binary"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch)):
             rows = []
             for i, k, t, runs_ in zip(b.column("id_key").to_pylist(), b.column("text_key").to_pylist(), texts_of(b), b.column("runs").to_pylist()):
-                rows += [(r["bucket"], i, k, r["start"], r["n"], r["alone"], r["many"], t[r["start"] : r["start"] + r["n"] + LENGTH - 1]) for r in runs_]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
-            for at in range(0, len(rows), 20_000):
-                cols = zip(*rows[at : at + 20_000])
+                rows += [(r["bucket"], i, k, r["start"], r["n"], r["alone"], t[r["start"] : r["start"] + r["n"] + LENGTH - 1]) for r in runs_]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+            for at in range(0, len(rows), 4000):
+                cols = zip(*rows[at : at + 4000])
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds)], names)
 
-    lists = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("bucket", "start", "n", "alone", "many")).alias("runs"))
+    lists = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("bucket", "start", "n", "alone")).alias("runs"))
     return docs.join(lists, ROW).select(*ROW, "text", "runs").mapInArrow(work, schema)
 
 
@@ -184,10 +186,10 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.array(begin[:upto])[of]
         return _spans(doc, start, of, hit)
 
-    for b in batches:
+    for b in (s for batch in batches for s in slices(batch, "bytes")):
         out = []
         for row in zip(*(b.column(c).to_pylist() for c in ("bucket", *ROW, "start", "n", "alone", "bytes"))):
-            if size >= 1 << 20 and row[0] != bucket[-1]:
+            if size >= TOGETHER_BYTES and row[0] != bucket[-1]:
                 out += settle(len(parts))
                 for x in (bucket, doc, begin, counts, alone, parts):
                     x.clear()
@@ -211,8 +213,8 @@ def _by_window(many: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = {c: b.column(c).to_pylist() for c in ("bucket", *ROW, "start", "n", "alone", "bytes")}
-            for k in range(0, b.num_rows, 2000):
-                at = slice(k, k + 2000)
+            for k in range(0, b.num_rows, 500):
+                at = slice(k, k + 500)
                 own, of = _windows(cols["bytes"][at], cols["n"][at])
                 n = np.array(cols["n"][at])
                 start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.array(cols["start"][at])[of]
@@ -234,12 +236,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     kinds = rows.where("mixed").groupBy("bucket", "context").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(*ROW, "start", "n")).alias("r"))
     kinds = staged(kinds.select("bucket", "context", "k", "r.*"), "contexts")
     crowd = kinds.groupBy("bucket").agg((F.count(F.lit(1)) > TOGETHER).alias("many"))
-    wanted = kinds.join(crowd, "bucket").select("bucket", *ROW, "start", "n", (F.col("k") == 1).alias("alone"), "many")
-    contexts = _contexts(docs, wanted)
-    few = contexts.where("not many").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine, _SPAN)
+    wanted = staged(kinds.join(crowd, "bucket").select("bucket", *ROW, "start", "n", (F.col("k") == 1).alias("alone"), "many"), "wanted")
+    few, many = (_contexts(docs, wanted.where(c).drop("many")) for c in ("not many", "many"))
+    few = few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine, _SPAN)
     whole = rows.where("not mixed").select(*_SPAN_NAMES)
     copies = rows.join(kinds.where("k > 1").select("bucket", "context"), ["bucket", "context"]).select(*_SPAN_NAMES)
-    return whole.unionAll(copies).unionAll(few).unionAll(_by_window(contexts.where("many")))
+    return whole.unionAll(copies).unionAll(few).unionAll(_by_window(many))
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -253,7 +255,7 @@ def remove(docs: DataFrame) -> DataFrame:
     character, so ``kept`` is binary."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch)):
             sizes, spans, kept = [], [], []
             for t, found in zip(texts_of(b), b.column("found")):
                 sizes.append(len(t))
