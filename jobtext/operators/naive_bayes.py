@@ -20,6 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobtext.operators.evaluate import MAX_CLASSES
 from jobtext.session import materialize
 
 
@@ -58,7 +59,9 @@ def fit(weights: DataFrame, labels: DataFrame, vocab_size: int, alpha: float = 1
     cells = fc.select("label", "term", (F.log(F.col("fc") + F.lit(alpha)) - F.lit(la)).alias("lt"))
     s_c = fc.groupBy("label").agg(F.sum("fc").alias("S"))
     n_c = lab.groupBy("label").agg(F.count(F.lit(1)).alias("n_c"))
-    cls = n_c.join(s_c, "label", "left").fillna(0.0, subset=["S"]).collect()  # one row per class
+    cls = n_c.join(s_c, "label", "left").fillna(0.0, subset=["S"]).limit(MAX_CLASSES + 1).collect()  # one row per class
+    if len(cls) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     total = sum(r["n_c"] for r in cls)
     classes = sorted(
         (r["label"], math.log(r["n_c"] / total), math.log(r["S"] + alpha * vocab_size)) for r in cls

@@ -22,7 +22,7 @@ MATCH_REQUESTS = """match_requests AS (
   SELECT r.doc_id AS pair_id, r.source AS user_id, r.doc_id AS resume_id, r.text AS resume_text,
          v.doc_id AS vacancy_id, v.text AS vacancy_text,
          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(r.doc_id) AS created_at
-  FROM documents r JOIN documents v ON v.doc_id = r.doc_id + 1)"""
+  FROM documents r JOIN documents v ON v.doc_id = (r.doc_id + 1) % (SELECT max(doc_id) + 1 FROM documents))"""
 
 
 def _sql_str(s: str | None) -> str:

@@ -86,11 +86,13 @@ def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair_id, user_id, resume_id, resume_text, vacancy_id, vacancy_text, created_at):
-    each document is a resume paired with the following document as vacancy."""
+    each document is a resume paired with the following document as vacancy,
+    the last with the first."""
     d = read(spark, sf_dir, "documents", "doc_id", "text", "source")
     r = d.select(F.col("doc_id").alias("resume_id"), F.col("source").alias("user_id"), F.col("text").alias("resume_text"))
     v = d.select(F.col("doc_id").alias("vacancy_id"), F.col("text").alias("vacancy_text"))
-    j = r.join(v, v["vacancy_id"] == r["resume_id"] + 1)
+    after = F.pmod(F.col("resume_id") + 1, doc_count(spark, sf_dir).scalar())
+    j = r.withColumn("vacancy_id", after).join(v, "vacancy_id")
     return j.select(
         F.col("resume_id").alias("pair_id"), "user_id", "resume_id", "resume_text", "vacancy_id", "vacancy_text",
         F.expr(f"timestampadd(MINUTE, resume_id, {T0})").alias("created_at"),

@@ -148,16 +148,3 @@ FUNNEL_STEPS: list[str] = [
     "low_matched_score",
     "duplicate_dataset_rows",
 ]
-
-# ---------------------------------------------------------------------------
-# Derived helpers (no fixed values below this line).
-# ---------------------------------------------------------------------------
-
-
-def skill_variants() -> list[tuple[int, str, str]]:
-    """(skill position, skill name, variant) in dictionary order."""
-    out = []
-    for pos, (name, variants) in enumerate(SKILLS_DICTIONARY.items()):
-        for v in variants:
-            out.append((pos, name, v))
-    return out
