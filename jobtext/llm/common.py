@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from jobtext.session import scratch_path, table_path
 
-#: The six white space characters that separate words.
-BLANKS = " \t\n\x0b\x0c\r"
+#: The six white space characters that separate words, and all others.
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 #: Bits of the map that spares most rows a shuffle; its size does not depend on the data.
