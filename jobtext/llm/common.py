@@ -83,16 +83,17 @@ def id_range(id_col: str, edges: list[int]) -> Column:
 
 def member(df: DataFrame, name: str) -> Callable[[Column], Column]:
     """Test of longs against column ``name`` by a bit map of MAP_BITS bits:
-    true for every value of the column and, the fuller the map, for others."""
+    true for every value of the column and, the fuller the map, for others.
+    The map is a scalar subquery of one array, of the same size for any data."""
     slot = F.pmod(F.col(name), F.lit(MAP_BITS))
-    words = df.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({name}, {MAP_BITS}) & 63 as int))")).alias("bits"))
-    dense = [0] * (MAP_BITS // 64)
-    for r in words.collect():
-        dense[r.w] = r.bits
-    table = F.split(F.lit(",".join(map(str, dense))), ",").cast("array<long>")
+    bits = F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({name}, {MAP_BITS}) & 63 as int))"))
+    words = df.groupBy(F.shiftright(slot, 6).alias("id")).agg(bits.alias("bits"))
+    dense = df.sparkSession.range(MAP_BITS // 64).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    table = dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda w: w.bits)).scalar()
 
     def test(x: Column) -> Column:
         at = F.pmod(x, F.lit(MAP_BITS))
-        return F.call_function("shiftright", F.get(table, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+        word = F.get(table, F.shiftright(at, 6).cast("int"))
+        return F.call_function("shiftright", word, at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
 
     return test

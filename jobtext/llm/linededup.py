@@ -24,7 +24,7 @@ WORDS = 5
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
 #: Counters of the rarity sketch, a power of two; its size does not depend on the data.
-SKETCH = 1 << 17
+SKETCH = 1 << 14
 POS = ["none", *ROW, "line_no"]
 
 
