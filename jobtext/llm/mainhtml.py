@@ -3,7 +3,8 @@
 A page is cut into blocks of text at block-level tags. A classifier, trained on
 blocks whose semantic elements tell their kind, and hints of the enclosing
 elements give each block a cost of being kept and of being dropped; these are
-the capacities to the two terminals. Blocks that follow each other, or that are
+the capacities to the two terminals. ``nav``, ``aside``, ``form`` and an article
+settle a block; class words and other elements are soft and can be outvoted. Blocks that follow each other, or that are
 children of one element, are joined by smoothness edges. The minimum cut,
 found by maximum flow, labels the blocks.
 """
@@ -15,6 +16,7 @@ import math
 import re
 from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,33 +37,53 @@ SKIP = frozenset("script style noscript template title textarea select option bu
 RAW = frozenset("script style textarea title iframe noscript".split())
 #: Elements a new one of the same set closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-#: Boilerplate by element; ``aside`` and ``nav`` and readers' comments also hold for an article inside.
-PLAIN_DROP, FIRM_DROP = frozenset("header footer form dialog menu search".split()), frozenset("aside nav".split())
+#: Elements that settle that a block goes, ``aside`` and ``nav`` also an article inside, and those that only point to it.
+PLAIN_DROP, FIRM_DROP, SOFT_DROP = frozenset(["form"]), frozenset("aside nav".split()), frozenset("header footer dialog menu search".split())
+#: Elements whose text is a child of the element around them.
+LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre".split())
 WORDS_DROP = frozenset("""ad ads advert adverts advertisement banner breadcrumb breadcrumbs byline consent cookie cookies copyright disclaimer disqus footer gdpr header
  login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager paginate pagination popup promo promoted promotion recommended
  related share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget""".split())
-WORDS_FIRM = frozenset("comment comments commentlist reply replies respond".split())
+WORDS_READERS = frozenset("comment comments commentlist reply replies respond".split())
 WORDS_KEEP = frozenset("article".split())
-ROLES_DROP = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
-
-#: Log odds of a block under a hint to keep or drop, and weights of the edges.
-HINT = 8.0
+ROLES_DROP = frozenset("alert alertdialog banner contentinfo dialog menu menubar search".split())
+
+#: Log odds of a block under a firm hint, and the most that the classifier says.
+HINT, CLIP = 8.0, 4.0
+#: A soft hint is an element's, not each of its blocks': the element is a node of the cut, of
+#: log odds SOFT_ALL, joined to each block in it by SOFT, both times the hint's units. A block
+#: of its own pays SOFT to differ, many of them SOFT_ALL at most. A class word has one unit,
+#: an element of SOFT_DROP and readers' comments two.
+SOFT, SOFT_ALL = 2.5, 5.0
+#: Weights of the edges between blocks.
 NEXT_SAME, NEXT_OTHER, SIBLING = 1.0, 0.25, 0.5
 #: Pages (about) that the classifier is fitted on, and the blocks of them at most.
 TRAIN_PAGES, TRAIN_BLOCKS = 1000, 50_000
 
 
+class Hint(NamedTuple):
+    """``kind``: 1 keep, 0 unknown, -1 drop, -2 drop an article inside too;
+    ``soft``: (number, units towards drop) of the two innermost elements with
+    soft hints; ``readers``: inside readers' comments; ``label``: the kind that
+    elements, not class words, tell the classifier's training."""
+
+    kind: int = 0
+    soft: tuple[tuple[int, int], ...] = ()
+    readers: bool = False
+    label: int = 0
+
+
 class Block:
     __slots__ = ("parts", "links", "tag", "parent", "hint")
 
-    def __init__(self, tag: str, parent: int, hint: int):
+    def __init__(self, tag: str, parent: int, hint: Hint):
         self.parts, self.links, self.tag, self.parent, self.hint = [], 0, tag, parent, hint
 
 
-def _hint(tag: str, attrs: str, hint: int) -> int:
-    """Hint of an element inside one of ``hint``: 1 keep, 0 unknown, -1 drop, -2 drop firmly."""
-    if hint == -2:
-        return -2
+def _hint(tag: str, attrs: str, hint: Hint, number: int) -> Hint:
+    """Hint of the element ``number`` inside one of ``hint``."""
+    if hint.kind == -2:
+        return hint
     words, role, hidden = set(), "", False
     for name, value in _ATTR.findall(attrs) if attrs and attrs != "/" else ():
         name, value = name.lower(), value.strip("\"'")
@@ -73,26 +95,33 @@ def _hint(tag: str, attrs: str, hint: int) -> int:
             hidden = hidden or "display:none" in value.replace(" ", "").lower()
         else:
             hidden = hidden or name == "hidden" or value.lower() == "true"
-    if words & WORDS_FIRM and tag not in ("body", "html", "main"):
-        return -2
     if tag in FIRM_DROP or hidden or role in ("navigation", "complementary"):
-        return -2
+        return Hint(-2, label=-1)
+    more = lambda units: (*hint.soft, (number, units))[-2:]
+    if words & WORDS_READERS and tag not in ("body", "html", "main"):
+        return Hint(min(0, hint.kind), more(2), True, min(0, hint.label))
     if tag in ("article", "main") or role in ("article", "main"):
-        return 1
+        return hint if hint.readers else Hint(1, label=1)
     if tag in ("body", "html"):
         return hint
-    if tag == "header" and hint == 1:
+    if tag == "header" and hint.kind == 1:
+        return hint
+    if tag in PLAIN_DROP or role == "form":
+        return Hint(-1, readers=hint.readers, label=-1)
+    if tag in SOFT_DROP or role in ROLES_DROP:
+        return Hint(min(0, hint.kind), more(2), hint.readers, -1)
+    if tag not in BLOCK and hint.soft and hint.kind != 1:
         return hint
-    if tag in PLAIN_DROP or role in ROLES_DROP or words & WORDS_DROP:
-        return -1
-    return 1 if words & WORDS_KEEP and hint == 0 else hint
+    if words & WORDS_DROP:
+        return Hint(min(0, hint.kind), more(1), hint.readers, min(0, hint.label))
+    return Hint(soft=more(-1)) if words & WORDS_KEEP and hint == Hint() else hint
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order; text inside one has its references decoded."""
     out: list[Block] = []
     # (tag, number, hint, skipped) of open elements
-    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
+    stack: list[tuple[str, int, Hint, bool]] = [("", 0, Hint(), False)]
     now, number, link, at, n = None, 0, False, 0, len(page)
 
     def text(raw: str) -> None:
@@ -103,8 +132,9 @@ def blocks(page: str) -> list[Block]:
         if now is None:
             if not raw.strip():
                 return
-            holder = next(e for e in reversed(stack) if e[0] in BLOCK or not e[0])
-            now = Block(holder[0], holder[1], stack[-1][2])
+            around = (e for e in reversed(stack) if e[0] in BLOCK or not e[0])
+            holder = next(around)
+            now = Block(holder[0], (next(around) if holder[0] in LEAF else holder)[1], stack[-1][2])
             out.append(now)
         now.parts.append(raw)
         if link:
@@ -153,7 +183,7 @@ def blocks(page: str) -> list[Block]:
                     break
         if not attrs.endswith("/") or name in BLOCK:
             number += 1
-            hint = _hint(name, attrs, stack[-1][2])
+            hint = _hint(name, attrs, stack[-1][2], number)
             if hint != stack[-1][2]:
                 now = None
             stack.append((name, number, hint, stack[-1][3] or name in SKIP))
@@ -251,7 +281,7 @@ def extract(page: str, weights: np.ndarray) -> list[str]:
     if not found:
         return []
     score = np.array([features(t, b) for b, t in found]) @ weights
-    odds = [max(-4.0, min(4.0, float(x))) + HINT * max(-1, b.hint) for x, (b, _) in zip(score, found)]
+    odds = [max(-CLIP, min(CLIP, float(x))) + HINT * max(-1, b.hint.kind) for x, (b, _) in zip(score, found)]
     edges, last = [], {}
     for i, (b, _) in enumerate(found):
         if i:
@@ -259,22 +289,32 @@ def extract(page: str, weights: np.ndarray) -> list[str]:
         if b.parent in last and last[b.parent] < i - 1:
             edges.append((last[b.parent], i, SIBLING))
         last[b.parent] = i
+    around: dict[int, int] = {}
+    for i, (b, _) in enumerate(found):
+        for element, units in () if b.hint.kind else b.hint.soft:
+            if element not in around:
+                around[element] = len(odds)
+                odds.append(-SOFT_ALL * units)
+            edges.append((i, around[element], SOFT * abs(units)))
     return [t for keep, (_, t) in zip(min_cut(odds, edges), found) if keep]
 
 
 def train(pages: DataFrame) -> np.ndarray:
     """Weights of the classifier from about TRAIN_PAGES pages, picked by the
     digest of their html, and at most TRAIN_BLOCKS blocks of them, labelled by
-    the enclosing elements' hints. The driver gets the feature rows alone."""
+    the enclosing elements; class words label none. Blocks of one kind alone
+    tell nothing: PRIOR stays. The driver gets the feature rows alone."""
     every = max(1, pages.count() // TRAIN_PAGES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(float(k.hint > 0), features(t, k)) for p in b.column("html").to_pylist() for k in blocks(p or "") if k.hint and (t := _text(k))]
+            rows = [(float(k.hint.label > 0), features(t, k)) for p in b.column("html").to_pylist() for k in blocks(p or "") if k.hint.label and (t := _text(k))]
             yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.float64()), pa.array([x for _, x in rows], pa.list_(pa.float64()))], ["y", "x"])
 
     picked = pages.select("html").where(F.pmod(F.xxhash64("html"), F.lit(every)) == 0)
     rows = picked.mapInArrow(work, "y double, x array<double>").limit(TRAIN_BLOCKS).collect()
+    if len({r.y for r in rows}) < 2:
+        return PRIOR.copy()
     return fit(np.array([r.x for r in rows]).reshape(-1, len(PRIOR)), np.array([r.y for r in rows]))
 
 

@@ -27,6 +27,24 @@ def test_hand_made():
         mainhtml.extract(broken, mainhtml.PRIOR)
 
 
+def test_drop_words_on_a_content_wrapper(spark):
+    long = "A long sentence, with some words in it. " * 8
+    rest = "<nav><ul><li><a href=/a>Home</a></ul></nav>", '<div class="ad">Buy now</div><aside><p>' + long + "</p></aside><footer><p>Rights reserved, all of them.</p></footer>"
+    body = f"<h2>A heading of it</h2><p>1 {long}</p><p>Short one here.</p><p>2 {long}</p><p>3 {long}</p><p>4 {long}</p>"
+    want = ["A heading of it", f"1 {long}".strip(), "Short one here.", f"2 {long}".strip(), f"3 {long}".strip(), f"4 {long}".strip()]
+    page = lambda attr: f"<html><body>{rest[0]}<div {attr}>{body}</div>{rest[1]}</body></html>"
+    attrs = [f'class="content {w}"' for w in ("has-sidebar", "header", "social", "notice", "widget", "comments-open")]
+    for attr in attrs:
+        assert mainhtml.extract(page(attr), mainhtml.PRIOR) == want, attr
+    weights = [mainhtml.PRIOR, mainhtml.train(spark.read.parquet(f"{SMOKE}/pages.parquet"))]
+    for w in weights:
+        for firm in ("<nav>", "<aside>", "<form>", "<div hidden>"):
+            assert mainhtml.extract(f"{firm}{body}</{firm.strip('<> ').split()[0]}>", w) == []
+        assert mainhtml.extract(f'<section class="comments"><article class="comment"><p>1 {long}</p></article></section>', w) == []
+    pages = spark.createDataFrame([(i, "u", page(a)) for i, a in enumerate(attrs)], "page_id long, url string, html string")
+    assert {r.text for r in mainhtml.main_text(pages).collect()} == {"\n".join(want)}
+
+
 def test_min_cut():
     rng = random.Random(3)
     for _ in range(150):
