@@ -2,14 +2,16 @@
 
 Two first-order models over the characters of identifier-like runs are trained
 from samples that the patterns label: matched values are random strings, other
-words are ordinary. A run whose log-likelihood ratio favours the random model
-by a margin is a span of kind ``markov``. All steps are SQL expressions; only
+words are ordinary. What base spans leave of a run is a span of kind ``markov``
+if its log-likelihood ratio favours the random model by a margin; if not, its
+stretches that do are. All steps are SQL expressions; only
 two tables of character-pair counts, bounded by the alphabet, reach the driver.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +24,9 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 LEAST_VALUE = 6
 
-#: Runs that the models judge.
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Runs that the models judge, and the least length of a span.
+LEAST_RUN = 20
+RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
 #: Words from which ordinary pairs are counted.
 WORD = r"[A-Za-z0-9+/_=-]{4,}"
 #: Documents (about) sampled for ordinary words; the values come from all documents.
@@ -33,6 +36,11 @@ TRAIN_DOCS = 2000
 BACKOFF, RANDOM_UNIFORM, ORDINARY_UNIFORM = 5.0, 0.5, 0.001
 #: Least log-likelihood ratio, in nats, in all and per character.
 MARGIN, PER_CHAR = 10.0, 0.5
+#: Least ratio, beyond PER_CHAR each, of a stretch of a run: there are many in one, and rare
+#: pairs of ordinary words reach 15 nats; 20 random characters have 25 or more.
+STRETCH = 20.0
+#: Ratio of a character like the two before it: repetition tells it, chance one of 64.
+REPEAT = -4.0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 _CHUNK = 256
 
@@ -63,14 +71,37 @@ def with_matches(df: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
     return df.withColumn(out, spans).drop("_found", "_between", "_steps", "_before")
 
 
+def _with_cover(rows: DataFrame, text: str, spans: str, out: str, cover: Column | None) -> DataFrame:
+    """Adds the string ``out``: ``text`` with what each group of overlapping
+    ``spans`` (sorted) covers replaced by ``cover``, or by as many blanks if
+    that is None; ``text`` itself if ``spans`` is null or empty."""
+    rows = rows.withColumn("_ends", F.transform(spans, lambda s: s.end))
+    rows = with_running(rows, "_ends", "_upto", largest=True)
+
+    def piece(s: Column, i: Column) -> Column:
+        upto = F.get("_upto", i)
+        before = F.substr(text, upto + 1, s.start - upto)
+        if cover is None:
+            return F.concat(F.when(s.start > upto, before).otherwise(F.lit("")), F.repeat(F.lit(" "), s.end - F.greatest(s.start, upto)))
+        return F.when(s.start >= upto, F.concat(before, cover)).otherwise(F.lit(""))
+
+    rest = F.substr(text, F.array_max("_ends") + 1, F.length(text))
+    covered = F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(spans, piece), ""), rest)).otherwise(F.col(text))
+    return rows.withColumn(out, covered).drop("_ends", "_upto")
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text, ...) to doc_id, id_key, text_key, the three arrays of base
-    spans (assign, access, hex) and the runs to judge; null text is empty."""
+    spans (assign, access, hex), ``base`` with all of them sorted, and the runs
+    to judge, from which base spans are cut out; null text is empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_name("doc_id", "text"), F.coalesce("text", F.lit("")).alias("text"))
-    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("runs", RUN)):
+    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)):
         rows = with_matches(rows, "text", pattern, name)
     long_enough = F.filter("assign", lambda s: F.length(F.regexp_extract(s.found, ASSIGN, 2)) >= LEAST_VALUE)
-    return rows.withColumn("assign", long_enough).drop("text")
+    rows = rows.withColumn("assign", long_enough)
+    rows = rows.withColumn("base", F.sort_array(F.concat(*[_placed(k, rank, k) for rank, k in enumerate(("assign", "access", "hex"))])))
+    rows = _with_cover(rows, "text", "base", "left_over", None)
+    return with_matches(rows, "left_over", RUN, "runs").drop("text", "left_over")
 
 
 def _pairs(words: DataFrame) -> dict[tuple[int, int], int]:
@@ -111,10 +142,58 @@ def train(docs: DataFrame, spans: DataFrame) -> dict[tuple[int, int], float]:
     return {k: v - ordinary[k] for k, v in random.items()}
 
 
-def _ratio(word: Column, table: str) -> Column:
-    """Summed log ratio of a run's characters; ``table`` holds 128 x 128 values."""
-    step = lambda i: F.get(table, F.when(i > 0, F.ascii(F.substr(word, i, F.lit(1)))).otherwise(0) * 128 + F.ascii(F.substr(word, i + 1, F.lit(1))))
-    return F.aggregate(F.sequence(F.lit(0), F.length(word) - 1), F.lit(0.0), lambda a, i: a + step(i))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _random(word: Column, table: Column) -> Column:
+    """Places (start, end) in a run that the random model wins; ``table`` holds
+    the log ratios of 128 x 128 pairs. The whole run if its sum has the margin;
+    if not, the stretches that have STRETCH. One ends where the running sum of
+    the ratios, less PER_CHAR each, is used up or STRETCH below its largest value,
+    and reaches from its start to that value; pairs with a separator, which may
+    just be rare, never speak for it. Both ends then move out to the next separator, for
+    a secret's last characters may look ordinary."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    place = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+    state = lambda i, s, start, best, end, found: F.struct(i.alias("i"), s.alias("s"), start.alias("start"), best.alias("best"), end.alias("end"), found.alias("found"))
+    zero = state(F.lit(0), F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0), none)
+    upto = lambda a: F.when(a.best >= STRETCH, F.concat(a.found, F.array(place(a.start, a.end)))).otherwise(a.found)
+
+    def step(a: Column, x: Column) -> Column:
+        after = a.i + 1
+        over = lambda s: (s <= 0) | (s < a.best - STRETCH)
+        return _let(a.s + x - PER_CHAR, lambda s: F.when(over(s), state(after, F.lit(0.0), after, F.lit(0.0), after, upto(a)))
+                    .when(s > a.best, state(after, s, a.start, s, after, a.found)).otherwise(state(after, s, a.start, a.best, a.end, a.found)))
+
+    def widened(p: Column) -> Column:
+        parts = lambda text: F.translate(text, "_=-", "///")
+        left = F.substring_index(parts(F.substr(word, F.lit(1), p.start)), "/", -1)
+        right = F.substring_index(parts(F.substr(word, p.end + 1, F.length(word))), "/", 1)
+        return place(p.start - F.length(left), p.end + F.length(right))
+
+    def joined(out: Column, p: Column) -> Column:
+        last = F.element_at(out, -1)
+        both = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(place(F.least(last.start, p.start), F.greatest(last.end, p.end))))
+        return F.when(F.size(out) == 0, F.array(p)).when(last.end + 1 >= p.start, both).otherwise(F.concat(out, F.array(p)))
+
+    def places(codes: Column, steps: Column) -> Column:
+        whole = F.aggregate(steps, F.lit(0.0), lambda total, y: total + y) >= F.greatest(F.lit(MARGIN), PER_CHAR * F.size(steps))
+        between = lambda j: at(codes, j, 0).isin(*map(ord, "/_=-")) | at(codes, j, 1).isin(*map(ord, "/_=-"))
+        local = F.transform(steps, lambda y, j: F.when((y > 0) & between(j), F.lit(0.0)).otherwise(y))
+        parts = F.transform(F.aggregate(local, zero, step, upto), widened)
+        merged = F.filter(F.aggregate(parts, none, joined), lambda q: q.end - q.start >= LEAST_RUN)
+        return F.when(whole, F.array(place(F.lit(0), F.size(steps)))).otherwise(merged)
+
+    at = lambda codes, j, k: F.when(j >= k, F.get(codes, j - k)).otherwise(0)
+
+    def ratios(codes: Column) -> Column:
+        before = lambda j, k: at(codes, j, k)
+        pair = lambda code, j: F.get(table, before(j, 1) * 128 + code)
+        return F.transform(codes, lambda code, j: F.when((code == before(j, 1)) & (code == before(j, 2)), F.lit(REPEAT)).otherwise(pair(code, j)))
+
+    return _let(F.transform(F.split(word, ""), lambda c: F.ascii(c)), lambda codes: _let(ratios(codes), lambda steps: places(codes, steps)))
 
 
 def _placed(found: str | Column, rank: int, kind: str) -> Column:
@@ -135,12 +214,8 @@ def scan(docs: DataFrame) -> DataFrame:
     for (a, b), v in model.items():
         dense[a * 128 + b] = round(v, 6)
     table = F.split(F.lit(",".join(map(str, dense))), ",").cast("array<double>")
-    base = F.concat(*[_placed(k, rank, k) for rank, k in enumerate(("assign", "access", "hex"))])
-    rows = found.withColumn("base", F.sort_array(base))
-    free = F.filter("runs", lambda s: ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end)))
-    rows = rows.withColumn("free", free)
-    random = F.filter("free", lambda s: _ratio(s.found, table) >= F.greatest(F.lit(MARGIN), PER_CHAR * F.length(s.found)))
-    rows = rows.withColumn("markov", _placed(random, 3, "markov"))
+    markov = F.flatten(F.transform("runs", lambda r: F.transform(_random(r.found, table), lambda p: F.struct((r.start + p.start).alias("start"), (r.start + p.end).alias("end")))))
+    rows = found.withColumn("markov", _placed(markov, 3, "markov"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex", "markov")]
     return rows.select("doc_id", "id_key", "text_key", *counts, "base", F.sort_array(F.concat("base", "markov")).alias("spans"))
 
@@ -155,12 +230,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     spans = scan(docs).where(F.size("spans") > 0).select("id_key", "text_key", F.col("spans").alias("_spans")).dropDuplicates(["id_key", "text_key"])
     rows = docs.select(F.struct(*docs.columns).alias("_row")).select("_row", *row_name("_row.doc_id", "_row.text"))
     rows = rows.join(spans, ["id_key", "text_key"], "left")
-    rows = rows.withColumn("_ends", F.transform("_spans", lambda s: s.end))
-    rows = with_running(rows, "_ends", "_upto", largest=True)
-    piece = lambda s, i: F.when(s.start >= F.get("_upto", i), F.concat(F.substr("_row.text", F.get("_upto", i) + 1, s.start - F.get("_upto", i)), F.lit(mask))).otherwise(F.lit(""))
-    rest = F.substr("_row.text", F.array_max("_ends") + 1, F.length("_row.text"))
-    text = F.when(F.col("_spans").isNull(), F.col("_row.text")).otherwise(F.concat(F.array_join(F.transform("_spans", piece), ""), rest))
-    rows = rows.withColumn("_text", text)
+    rows = _with_cover(rows.withColumn("_old", F.col("_row.text")), "_old", "_spans", "_text", F.lit(mask))
     out = {"text": F.col("_text"), "n_chars": F.coalesce(F.length("_text"), F.lit(0)).cast("long")}
     return rows.select(*[out.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 

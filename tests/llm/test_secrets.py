@@ -69,3 +69,25 @@ def test_redaction_and_empty(spark, rows):
         assert texts[str(i)] == want + t[at:] or i == 16
     assert texts["None"] == "hex [SECRET]"
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_runs_that_hold_more_than_a_secret(spark, rows):
+    rng = random.Random(8)
+    words = ["get", "user", "name", "account", "balance", "interest", "value", "configuration"]
+    path = lambda n: "".join(rng.choice(words) + rng.choice("/_-=") for _ in range(n))
+    akia = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+    planted = []
+    for n in (4, 12, 20, 60) * 5:
+        a, b = b64(rng, 24), b64(rng, 32)
+        planted += [(f"see {path(n)}{a}", [a]), (f"see {path(n)}{a}/{path(n)}end", [a]), (f"see {path(n)}{a}/{path(n + 20)}{b}-{path(n)}end", [a, b]), (f"é {akia()}/{b}{a}", [b + a])]
+    plain = [(f"see {path(n)}end and {akia()}/{path(8)}end", []) for n in (12, 20, 60)]
+    more = [(1000 + i, t, 9, "n") for i, (t, _) in enumerate(planted + plain)]
+    df = frame(spark, rows + more)
+    spans = {r.doc_id: r.spans for r in secrets.scan(df).where("doc_id >= 1000").collect()}
+    texts = {r.doc_id: r.text for r in secrets.redact(df).where("doc_id >= 1000").collect()}
+    for (i, t, _, _), (_, want) in zip(more, planted + plain):
+        new = [t[s.start : s.end] for s in spans[i] if s.kind == "markov"]
+        assert len(new) == len(want) or len(new) == 1 < len(want), t
+        assert all(any(w[3:-3] in x for x in new) for w in want), (t, new)
+        assert not any(w[3:-3] in texts[i] for w in want), texts[i]
+        assert all(s.end <= b.start or b.end <= s.start for s in spans[i] for b in spans[i] if s.kind == "markov" != b.kind)
