@@ -19,6 +19,5 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op3_quality_rules": quality.OP3_SQL,
-    "op6_suffix_dedup": suffixes.op6_query,
     "op7_url_filter": urlfilter.OP7_SQL,
 }
