@@ -136,8 +136,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cell: int = CELL) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, cell: int = CELL) -> DataFrame:
-    """(doc_id, text, ...) to (doc_id, id_key, text_key, fp, component_id), a
-    row for each input row.
+    """(doc_id, text, ...) to (doc_id, id_key, text_key, fp, root, component_id),
+    a row for each input row; ``root`` is a fingerprint that names the component.
 
     Null or wordless text has fingerprint zero and is linked like any other.
     Equal texts share a fingerprint, so copies are one member of the grid.
@@ -149,8 +149,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     roots = components(links(fps.select("fp"), max_bits, cell))
     placed = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", *ROW, "fp", "component_id")
+    named = placed.join(least, "root").select("fp", "root", "component_id")
+    return own.join(named, "fp").select("doc_id", *ROW, "fp", "root", "component_id")
 
 
 def survivors(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -159,8 +159,7 @@ def survivors(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS)
     null ids last); of rows equal in id and text, one."""
     found = near_duplicates(docs, shingle, max_bits)
     order = F.struct(F.col("doc_id").isNull().alias("none"), *ROW)
-    group = F.when(F.col("component_id").isNull(), F.col("fp"))
-    keep = found.groupBy("component_id", group.alias("fp")).agg(F.min(order).alias("k")).select("k.id_key", "k.text_key").distinct()
+    keep = found.groupBy("root").agg(F.min(order).alias("k")).select("k.id_key", "k.text_key").distinct()
     rows = docs.select(F.struct(*docs.columns).alias("row")).select("row", *row_name("row.doc_id", "row.text"))
     return rows.join(keep, ROW, "left_semi").dropDuplicates(ROW).select("row.*")
 

@@ -69,6 +69,22 @@ def test_matches_brute_force(spark):
     assert kept.count() == len(set(comp.values()))
 
 
+def test_survivors_of_near_texts_with_null_ids(spark):
+    rng = random.Random(11)
+    words = ["w%d" % rng.randrange(500) for _ in range(400)]
+    near = [" ".join(words)]
+    for i in range(0, 400, 7):
+        t = " ".join([*words[:i], "zz", *words[i + 1 :]])
+        if 1 <= bin(slow_fp(t) ^ slow_fp(near[0])).count("1") <= 4:
+            near.append(t)
+    assert len(near) > 3
+    rows = [(None, t) for t in near] + [(None, "another text of its own " * 9), (7, near[0][::-1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    comp = slow_components({slow_fp(t) for _, t in rows}, 4)
+    kept = simhash.survivors(docs).collect()
+    assert len(kept) == len(set(comp.values())) == len({comp[slow_fp(r.text)] for r in kept})
+
+
 def test_crowded_cells_and_other_limits(spark):
     rng = random.Random(3)
     centre = [rng.getrandbits(64) for _ in range(3)]
