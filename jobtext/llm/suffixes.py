@@ -1,9 +1,11 @@
-"""Removal of repeated passages by bucket-pointer refinement of suffixes.
-
-Suffixes are put in buckets by their first 25 bytes. Bucket identifiers are
-digests, so refining a bucket by the identifier at a later offset is one step
-on a text's own array and is used again at each doubling: 25, 50, 100 and 200
-bytes. Two 200-byte strings are equal if they share a bucket at 200.
+"""Removal of repeated passages by doubled hashes and a minimiser.
+
+Not bucket-pointer refinement: no bucket is sorted by the identifiers at a later
+offset. Every place has a digest of its first 25 bytes, and the digest of twice
+the length is mixed from those at the place and that length later: 25, 50, 100
+and 200 bytes. That is arithmetic on a text's own array, where ranks of sorted
+buckets would need a shuffle of all suffixes at each doubling. Places with equal
+digests are a bucket; two 200-byte strings are equal if they share one at 200.
 
 Only suffixes that can repeat are refined that far. A 200-byte window belongs
 to the least 50-byte bucket inside it, equal windows to the same one. A run is
