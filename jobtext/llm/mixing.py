@@ -15,6 +15,7 @@ source's words are its target, rounded.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 from typing import NamedTuple
 
 import numpy as np
@@ -27,8 +28,8 @@ from jobtext.llm.common import BLANK_CLASS, ROW, WORD_CLASS, documents, row_name
 
 #: Weights of the sources in order, repeating; words of the mix by those of the table; times a document is used at most.
 WEIGHTS, SHARE, MOST = (3, 1, 2), (3, 2), 2
-#: Words of a block, slots of a shard, documents (about) of a chunk of a source, shards of a group.
-BLOCK, SHARD, CHUNK, GROUP = 1024, 1024, 1 << 16, 1024
+#: Words of a block, slots of a shard.
+BLOCK, SHARD = 1024, 1024
 SEED = 11
 #: More sources than this are an error: their sizes and weights are known to every task.
 MOST_SOURCES = 100_000
@@ -151,12 +152,13 @@ def laid(rows: DataFrame, sources: list[Source]) -> DataFrame:
     """(doc_id, id_key, text_key, size, copy, source_no, start): a row for each
     row of the table; ``start`` is the source's words before it.
 
-    A source is dealt into chunks by digest, in number by the rows of the
-    table, so that a source with most of the rows is summed up by many tasks."""
+    A source is dealt into chunks by digest, as many as the root of the rows of
+    the table: a source with most of the rows is summed up by many tasks, and
+    neither a chunk nor the list of chunks is long."""
     spark = rows.sparkSession
     numbers = spark.createDataFrame([(s.name, i) for i, s in enumerate(sources)], "name string, source_no int")
     rows = rows.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
-    chunks = 1 + rows.count() // CHUNK
+    chunks = 1 + isqrt(rows.count())
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64(*ROW), F.lit(chunks)))
     words = F.col("size") * F.col("copies")
     before = lambda part, order: F.sum("words").over(Window.partitionBy(*part).orderBy(*order)) - F.col("words")
@@ -199,11 +201,12 @@ def slots(spark: SparkSession, sources: list[Source], shard: int = SHARD, seed:
     """(source_no, block, turn, words, shard, slot): each slot of the mix with
     the block it takes and how many of the block's words, null for all.
 
-    Draws are numbered by a running sum over groups of shards and one within
-    each. What lies beyond a source's quota is dropped from the draws, and the
+    Draws are numbered by a running sum over groups of shards, as many as the
+    root of the shards, and one within each. What lies beyond a source's quota is dropped from the draws, and the
     slots that sources lack, about the square root of all, fill shards of their
     own at the end; their rows are as many as sources and such shards."""
-    drawn = staged(_shards(spark, sources, shard, seed), "drawn").withColumn("group", F.expr(f"shard div {GROUP}"))
+    last = -(-sum(s.quota for s in sources) // shard)
+    drawn = staged(_shards(spark, sources, shard, seed), "drawn").withColumn("group", F.expr(f"shard div {1 + isqrt(last)}"))
     sums = drawn.groupBy("source_no", "group").agg(F.sum("n").alias("n"))
     base = sums.select("source_no", "group", (F.sum("n").over(Window.partitionBy("source_no").orderBy("group")) - F.col("n")).alias("base"))
     inside = F.sum("n").over(Window.partitionBy("source_no", "group").orderBy("shard")) - F.col("n")
@@ -212,7 +215,7 @@ def slots(spark: SparkSession, sources: list[Source], shard: int = SHARD, seed:
     rows = rows.select("source_no", "shard", (F.col("base") + F.col("inside")).alias("before"), "n", "quota")
     rows = rows.withColumn("n", F.least("n", F.col("quota") - F.col("before"))).where("n > 0").drop("quota")
     got = {r.source_no: r.n for r in sums.groupBy("source_no").agg(F.sum("n").alias("n")).collect()}
-    extra, place, last = [], 0, -(-sum(s.quota for s in sources) // shard)
+    extra, place = [], 0
     for i, s in enumerate(sources):
         have = min(s.quota, got.get(i, 0))
         while have < s.quota:
@@ -221,6 +224,8 @@ def slots(spark: SparkSession, sources: list[Source], shard: int = SHARD, seed:
             have, place = have + n, place + n
     if extra:
         rows = rows.unionAll(spark.createDataFrame(extra, "source_no int, shard long, before long, n long"))
+    # each row becomes as many as n: its few bytes say nothing about how many tasks it needs
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
     rows = rows.withColumn("slot", F.sum("n").over(Window.partitionBy("shard").orderBy("source_no")) - F.col("n"))
     rows = rows.withColumn("of", F.sum("n").over(Window.partitionBy("shard")))
 
@@ -272,7 +277,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     rows = sized(docs)
     sources = plan(sources_of(rows), block, seed, weights, share, most)
     rows = laid(rows, sources)
-    taken = slots(docs.sparkSession, sources, shard, seed).join(pieces(rows, block), ["source_no", "block"])
+    # the slots grow with the table: never broadcast, whatever their estimate
+    taken = slots(docs.sparkSession, sources, shard, seed).hint("merge").join(pieces(rows, block), ["source_no", "block"])
     length = F.least("length", F.coalesce(F.col("words") - F.col("at"), F.col("length")))
     names = ["source_no", "block", "turn", "doc_id", *ROW, "copy", "start", "first"]
     return Mix(sources, rows, taken.where("words is null or at < words").select("shard", "slot", "at", *names, length.alias("length")))
