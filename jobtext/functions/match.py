@@ -36,17 +36,22 @@ def skill_match_cols(resume_skills: Column, vacancy_skills: Column) -> dict[str,
     extra = F.array_sort(F.array_except(r, v))
     k = F.size(matched).cast("long")
     n = F.size(v).cast("long")
-    # half-up of k/n at 4 decimals == floor((20000k + n) / 2n) / 10^4, exact in integers
-    q = F.when(has_req, _int_div(k * 20000 + n, n * 2)).otherwise(F.lit(0).cast("long"))
-    score = (q.cast("decimal(20,0)") / F.lit(10000).cast("decimal(20,0)")).cast(DEC4)
     return {
         "matched_skills": F.when(has_req, matched).otherwise(empty),
         "missing_skills": F.when(has_req, missing).otherwise(empty),
         "extra_resume_skills": F.when(has_req, extra).otherwise(F.array_sort(r)),
-        "skill_score": score,
+        "skill_score": skill_share(k, n),
     }
 
 
+def skill_share(common: Column, required: Column) -> Column:
+    """share of the required skills, 4 decimals; zero if none is required."""
+    k, n = common.cast("long"), required.cast("long")
+    # half-up of k/n at 4 decimals == floor((20000k + n) / 2n) / 10^4, exact in integers
+    q = F.when(n > 0, _int_div(k * 20000 + n, n * 2)).otherwise(F.lit(0).cast("long"))
+    return (q.cast("decimal(20,0)") / F.lit(10000).cast("decimal(20,0)")).cast(DEC4)
+
+
 def _int_div(a: Column, b: Column) -> Column:
     """Exact integer division of non-negative longs."""
     return ((a - F.pmod(a, b)) / b).cast("long")  # exact: numerator is a multiple of b

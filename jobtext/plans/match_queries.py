@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jobtext import taxonomy as tx
 from jobtext.functions.text import clean_text
 from jobtext.operators import match as M
+from jobtext.operators import rank as R
 from jobtext.operators.skills import extract_skills
 from jobtext.plans import standin_sql as S
 from jobtext.plans.registry import query
@@ -145,6 +146,29 @@ def q_match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.match_report(matched_pairs(spark, sf_dir))
 
 
+#: Vacancies listed for each resume.
+TOP_VACANCIES = 10
+
+_RANK_SQL = S.with_(S.LABELLED_TEXTS, f"""a AS MATERIALIZED (
+  SELECT text_id, category, level, confidence, list_distinct(list_transform({S.skills_sql('text', standins.CORPUS_SKILLS)}, lambda s: lower(s))) AS s
+  FROM labelled_texts)""", """p AS (
+  SELECT r.text_id AS resume_id, v.text_id AS vacancy_id, v.confidence AS vc, r.confidence AS rc, r.category = v.category AS cm, r.level = v.level AS lm,
+    len(v.s) AS n, len(list_intersect(r.s, v.s)) AS m FROM a r, a v)""", """q AS (
+  SELECT *, CAST(CAST(CASE WHEN n = 0 THEN 0 ELSE (20000 * m + n) // (2 * n) END AS DECIMAL(12,0)) * 0.0001 AS DECIMAL(12,4)) AS skill_score FROM p)""", """x AS (
+  SELECT *, CAST(round((0.6 * skill_score + 0.3 * CAST(CASE WHEN cm THEN 1 ELSE 0 END AS DECIMAL(1,0)) + 0.1 * CAST(CASE WHEN lm THEN 1 ELSE 0 END AS DECIMAL(1,0)))
+    * ((rc + vc) * 0.5), 4) AS DECIMAL(12,4)) AS score FROM q)""")
+
+
+@query("rank_candidates", sql=_RANK_SQL + f"""SELECT resume_id, (row_number() OVER w)::INTEGER AS rank, vacancy_id,
+  skill_score::DOUBLE AS skill_score, score::DOUBLE AS match_score FROM x
+WINDOW w AS (PARTITION BY resume_id ORDER BY score DESC, vc DESC, vacancy_id) QUALIFY rank <= {TOP_VACANCIES}""")
+def q_rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best vacancies for every resume; each document is both."""
+    analysis = materialize(M.analyse_texts(standins.labelled_texts(spark, sf_dir), standins.CORPUS_SKILLS))
+    out = R.rank_vacancies(analysis, analysis, TOP_VACANCIES)
+    return out.select("resume_id", "rank", "vacancy_id", F.col("skill_score").cast("double").alias("skill_score"), F.col("match_score").cast("double").alias("match_score"))
+
+
 @query("extract_skills", sql=f"SELECT doc_id, {S.skills_sql('text', tx.SKILLS_DICTIONARY)} AS skills FROM documents")
 def q_extract_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3 with the built-in skill dictionary over every document."""
