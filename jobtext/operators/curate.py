@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from jobtext import taxonomy as tx
 from jobtext.functions.text import assemble_text, detect_level, is_level_fallback, normalize_title
+from jobtext.sources.csvfiles import read_csv
 
 RAW_SCHEMA = (
     "career_objective string, skills string, major_field_of_studies string, positions string, "
@@ -81,9 +82,8 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
 
     A byte-order mark is taken off any column name; missing-value strings are
     null; expected columns that the file lacks are null and its other columns
-    are kept as strings. A multi-line CSV file is one task: convert large raw
-    files to Parquet once."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    are kept as strings. A file is read in blocks by many tasks."""
+    df = read_csv(spark, path)
     df = df.toDF(*[c.replace("\ufeff", "") for c in df.columns])
     df = df.select(*[F.when(~F.col(f"`{c}`").isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns])
     wanted = [f.split() for f in RAW_SCHEMA.split(", ")]

@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 
 from jobtext.session import materialize
 
-_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def micros(col: str) -> Column:
     """Epoch microseconds of a timestamp (with or without zone), zone-independent for NTZ."""
-    return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, cast({col} as timestamp_ntz))")
+    return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, cast({col} as timestamp_ntz))")
 
 
 def global_sort(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -131,7 +131,7 @@ def anchored_windows(df: DataFrame, key_col: str, ts_col: str, id_col: str, leng
     s = s.join(starts, "_g", "left")
     first = F.when(F.col("_cert") | F.col("_start"), F.struct(F.col("_g").alias("g"), F.col("t").alias("t"), F.col("id").alias("id")))
     s = fill_forward(s, by_place, first, "_w")
-    start_ts = F.expr(f"timestampadd(MICROSECOND, _w.t, {_EPOCH})")
+    start_ts = F.expr(f"timestampadd(MICROSECOND, _w.t, {EPOCH})")
     out = s.select("_row.*", (F.col("_g") - F.col("_w.g") + 1).alias("n"), F.col("_w.id").alias("window_id"), start_ts.alias("window_start"))
     rest = rows.filter(~F.col("_known")).select("_row.*")
     return out.unionByName(rest, allowMissingColumns=True)

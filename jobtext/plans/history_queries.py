@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from jobtext.operators import history as H
 from jobtext.plans import standin_sql as S
 from jobtext.plans.registry import query
+from jobtext.session import scratch_path
 from jobtext.sources import standins
+from jobtext.sources.sinks import append_history, delete_history, read_history
 from jobtext.sources.tables import read
 
 PAGE_LIMIT, PAGE_OFFSET = 5, 2
@@ -168,3 +170,17 @@ def q_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(p.select(F.lit("predictions").alias("table_name"), F.col("id").alias("key")))
             .unionByName(f.select(F.lit("feedback").alias("table_name"), F.col("prediction_id").alias("key")))
             .unionByName(mm.select(F.lit("matches").alias("table_name"), F.col("pair_id").cast("string").alias("key"))))
+
+
+@query("history_sink", sql=S.with_(S.PREDICTION_HISTORY, S.USERS) + """SELECT id, user_id, category, level, confidence, cached, model_version, created_at
+FROM prediction_history WHERE user_id NOT IN (SELECT id FROM users WHERE NOT is_active)""")
+def q_history_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions are appended to the history table day by day, one
+    batch of them a second time; inactive users' rows are then deleted from it."""
+    rows, path = standins.prediction_history(spark, sf_dir), scratch_path(spark, "predictions")
+    cut = F.col("created_at") < F.expr("TIMESTAMP_NTZ'2024-01-15 00:00:00'")
+    for batch in (*standins.arrivals(rows, [cut]), rows.filter(cut)):
+        append_history(batch, path)
+    gone = standins.users(spark, sf_dir).filter(~F.col("is_active")).select(F.col("id").alias("user_id"))
+    delete_history(spark, path, gone, "user_id")
+    return read_history(spark, path)

@@ -57,25 +57,33 @@ DELAY_SECONDS = 600
 
 
 def _day_cuts(col: str) -> list:
-    """The stand-in log arrives in four files, by time."""
+    """The stand-in log arrives in four parts, by time."""
     return [F.col(col) < F.expr(f"TIMESTAMP_NTZ'2024-01-{d:02d} 00:00:00'") for d in (8, 15, 22)]
 
 
-def _arriving(spark: SparkSession, rows: DataFrame, cuts: list) -> DataFrame:
-    """``rows`` as a stream of several files."""
-    path = standins.as_files(rows, scratch_path(spark, "requests"), cuts)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def _arriving(spark: SparkSession, rows: DataFrame, cuts: list) -> ST.Arriving:
+    """``rows`` as a stream that arrives in parts."""
+    return ST.Arriving(spark, standins.arrivals(rows, cuts), scratch_path(spark, "requests"))
+
+
+def _run(job: ST.AnchoredStream, requests: ST.Arriving, prepare=lambda rows: rows) -> tuple[DataFrame, DataFrame]:
+    """The windows of all parts, and the late rows."""
+    rows = prepare(requests.stream)
+    requests.each(lambda: job.advance(rows))
+    job.finish(rows)
+    return job.read()
 
 
 @query("rate_limit_stream", sql=_fold_sql("user_id", tx.RATE_LIMIT_WINDOW_SECONDS) + f"""SELECT e.seq, e.user_id,
   make_timestamp(r.a) AS window_start, CAST(r.n AS BIGINT) AS n, r.n <= {tx.RATE_LIMIT_REQUESTS} AS allowed
 FROM r JOIN ev e ON e.key = r.key AND e.rn = r.rn""")
 def q_rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T2 as a stream of several files: windows carried across micro-batches."""
+    """T2 as a stream that arrives in parts: windows carried across micro-batches, late requests (none here) beside."""
     req = standins.predict_requests(spark, sf_dir).select("seq", "user_id", "ts")
     job = ST.AnchoredStream(spark, scratch_path(spark, "rate-limit"), "user_id", "ts", "seq", tx.RATE_LIMIT_WINDOW_SECONDS, DELAY_SECONDS)
-    out, _ = job.run(_arriving(spark, req, _day_cuts("ts")))
-    return out.select("seq", "user_id", "window_start", "n", (F.col("n") <= tx.RATE_LIMIT_REQUESTS).alias("allowed"))
+    out, late = _run(job, _arriving(spark, req, _day_cuts("ts")))
+    rows = out.select("seq", "user_id", "window_start", "n").unionByName(late.select("seq", "user_id"), allowMissingColumns=True)
+    return rows.withColumn("allowed", F.col("n") <= tx.RATE_LIMIT_REQUESTS)
 
 
 @query("cache_flags_stream", sql=_fold_sql(_FP_SQL, tx.CACHE_TTL_SECONDS).replace(
@@ -83,13 +91,42 @@ def q_rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
   make_timestamp(r.a) AS window_start, CAST(r.n AS BIGINT) AS n, r.n > 1 AS cached
 FROM r JOIN ev e ON e.key = r.key AND e.rn = r.rn""")
 def q_cache_flags_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T1 as a stream of several files: requests are validated and
-    fingerprinted as they arrive, cache windows carried across micro-batches."""
+    """T1 as a stream that arrives in parts: requests are validated and
+    fingerprinted as they arrive, cache windows carried across micro-batches,
+    late requests (none here) beside."""
     req = _arriving(spark, standins.predict_requests(spark, sf_dir).select("seq", "text", "ts"), _day_cuts("ts"))
-    ok = validate_predict(req).filter("accepted").select("seq", fingerprint("text", tx.MODEL_VERSION).alias("fingerprint"), "ts")
     job = ST.AnchoredStream(spark, scratch_path(spark, "cache-flags"), "fingerprint", "ts", "seq", tx.CACHE_TTL_SECONDS, DELAY_SECONDS)
-    out, _ = job.run(ok)
-    return out.select("seq", "fingerprint", "window_start", "n", (F.col("n") > 1).alias("cached"))
+    out, late = _run(job, req, lambda rows: _valid(rows).drop("text"))
+    rows = out.select("seq", "fingerprint", "window_start", "n").unionByName(late.select("seq", "fingerprint"), allowMissingColumns=True)
+    return rows.withColumn("cached", F.col("n") > 1)
+
+
+def _valid(requests: DataFrame) -> DataFrame:
+    """Accepted requests with their fingerprint."""
+    ok = validate_predict(requests).filter("accepted")
+    return ok.select(*requests.columns, fingerprint("text", tx.MODEL_VERSION).alias("fingerprint"))
+
+
+@query("predict_stream", sql=_fold_sql(_FP_SQL, tx.CACHE_TTL_SECONDS).replace(
+    "FROM predict_requests))", f"FROM predict_requests WHERE {_VALID}))", 1) + f""",
+labels AS (SELECT doc_id, lang AS category, {S.LEVEL_OF_LENGTH} AS level, {S.DEC_CONFIDENCE} AS confidence FROM documents)
+SELECT e.seq, e.user_id, e.key AS fingerprint, l.category, l.level, CAST(l.confidence AS DOUBLE) AS confidence, r.n > 1 AS cached, e.ts AS created_at
+FROM r JOIN ev e ON e.key = r.key AND e.rn = r.rn JOIN r o ON o.key = r.key AND o.a = r.a AND o.n = 1
+JOIN labels l ON l.doc_id = o.seq % (SELECT max(doc_id) + 1 FROM documents)""")
+def q_predict_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2 (T1 + T4 + S8) as one stream: validate, fingerprint, cache hit or
+    score, history; the scorer is the given labels of the request's document."""
+    given = standins.labelled_texts(spark, sf_dir).drop("text")
+
+    def score(rows: DataFrame) -> DataFrame:
+        return rows.join(given, "text_id").drop("text_id").withColumn("confidence", F.col("confidence").cast("double"))
+
+    req = standins.predict_requests(spark, sf_dir).withColumn("text_id", F.pmod("seq", standins.doc_count(spark, sf_dir).scalar()))
+    req = _valid(req).drop("text").withColumnRenamed("ts", "created_at")
+    history = scratch_path(spark, "prediction-history")
+    job = ST.AnchoredStream(spark, scratch_path(spark, "predict"), "fingerprint", "created_at", "seq", tx.CACHE_TTL_SECONDS, DELAY_SECONDS)
+    ST.predict_stream(job, _arriving(spark, req, _day_cuts("created_at")), score, history)
+    return read_history(spark, history).select("seq", "user_id", "fingerprint", "category", "level", "confidence", "cached", "created_at")
 
 
 _BUCKET_SQL = ", ".join(f"count(*) FILTER (WHERE NOT cached AND confidence <= {b})" for b in tx.HISTOGRAM_BOUNDS)
@@ -103,9 +140,10 @@ def q_service_metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prediction history as a stream: hits, misses, predictions per
     class and confidence buckets of every 5 s interval."""
     rows = standins.prediction_history(spark, sf_dir)
-    agg = ST.service_metrics(_arriving(spark, rows, _day_cuts("created_at")), tx.HISTOGRAM_BOUNDS)
-    sink = scratch_path(spark, "service-metrics")
-    ST.run_available(agg, sink, scratch_path(spark, "service-metrics-ckpt"), "update")
+    arriving = _arriving(spark, rows, _day_cuts("created_at"))
+    agg = ST.service_metrics(arriving.stream, tx.HISTOGRAM_BOUNDS)
+    sink, checkpoint = scratch_path(spark, "service-metrics"), scratch_path(spark, "service-metrics-ckpt")
+    arriving.each(lambda: ST.run_available(agg, sink, checkpoint, "update"))
     out = ST.latest_per_key(spark.read.parquet(sink), ["window_start", "category", "level"])
     return out.select("window_start", "category", "level", "hits", "misses",
                       F.array_join(F.transform("buckets", lambda n: n.cast("string")), ",").alias("buckets"), F.round("confidence_sum", 6).alias("confidence_sum"))
@@ -113,7 +151,7 @@ def q_service_metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("match_stream", sql=_MATCH_SQL_BODY + f"SELECT {_sql_out(_MATCH_COLS)} FROM x")
 def q_match_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4 + S9 + S11: match requests arrive as a stream of several files; each
+    """T4 + S9 + S11: match requests arrive as a stream in parts; each
     micro-batch is analysed, scored and written to the match history, which is
     read back."""
     texts = standins.labelled_texts(spark, sf_dir).select("text_id", "category", "level", "confidence")
@@ -128,6 +166,6 @@ def q_match_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         scored = M.match_pairs(pairs, materialize(M.analyse_texts(given, standins.CORPUS_SKILLS)))
         append_history(scored, history)
 
-    q = rows.writeStream.foreachBatch(score).option("checkpointLocation", scratch_path(spark, "match-ckpt")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    checkpoint = scratch_path(spark, "match-ckpt")
+    rows.each(lambda: ST.run_available(rows.stream, score, checkpoint, "append"))
     return _out(read_history(spark, history), _MATCH_COLS)

@@ -7,7 +7,7 @@ are appended partitioned by day, without the ids that are already there.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtext.session import materialize
@@ -30,22 +30,60 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w.format(fmt).save(path)
 
 
+def _of_days(days: list) -> Column:
+    """Partition filter for the days, null (no time) among them."""
+    known = [d for d in days if d is not None]
+    return F.col("dt").isin(known) | F.col("dt").isNull() if None in days else F.col("dt").isin(known)
+
+
+def _days(df: DataFrame) -> list:
+    """The days that ``df`` touches: a row for each day reaches the driver."""
+    return [r.dt for r in df.select("dt").distinct().collect()]
+
+
+def read_days(spark: SparkSession, path: str, days: list) -> DataFrame | None:
+    """The rows of a history table of the given days, ``dt`` among the columns;
+    other days' files are not read. None if there is no table or no row yet."""
+    try:
+        return spark.read.parquet(path).where(_of_days(days))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+
+
 def append_history(df: DataFrame, path: str, ts_col: str = "created_at", id_col: str | None = None) -> None:
-    """Append rows to a history table partitioned by day. Rows already
-    there are left out by an anti join on the id and only the touched days are
-    read, so writing a batch again changes nothing."""
+    """Append rows to a history table partitioned by day. Rows whose id
+    is already there on their day are left out, so writing a batch again
+    changes nothing; only the days of the batch are read, and of them only the
+    ids. Rows without time are a day of their own; rows without id are always
+    appended."""
     spark, key = df.sparkSession, id_col or ("id" if "id" in df.columns else "pair_id")
     df = materialize(df.withColumn("dt", F.to_date(ts_col)))
-    try:
-        old = spark.read.parquet(path).select(key, "dt")
-    except AnalysisException:  # the table does not exist yet
-        old = None
+    old = read_days(spark, path, _days(df))
     if old is not None:
-        df = df.join(old, [key, "dt"], "left_anti")
+        old = old.select(F.col(key).alias("_key"), F.col("dt").alias("_dt"))
+        df = df.join(old, (F.col(key) == F.col("_key")) & F.col("dt").eqNullSafe(F.col("_dt")), "left_anti")
     df.write.mode("append").partitionBy("dt").parquet(path)
 
 
-def read_history(spark, path: str) -> DataFrame:
+def delete_history(spark: SparkSession, path: str, gone: DataFrame, key: str) -> None:
+    """J6 on a history table: rows whose ``key`` is in ``gone`` go, copy on
+    write. The days that hold such rows are found from the key alone; only
+    these are read whole, and their partitions are replaced."""
+    names = gone.select(F.col(key)).distinct()
+    days = _days(spark.read.parquet(path).select(key, "dt").join(names, key, "left_semi"))
+    if not days:
+        return
+    left = materialize(read_days(spark, path, days).join(names, key, "left_anti"))
+    left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+    full = set(_days(left))
+    for day in days:
+        if day not in full:  # a day without rows is not among the partitions just written: an empty file takes its place
+            left.limit(0).drop("dt").write.mode("overwrite").parquet(f"{path}/dt={day or '__HIVE_DEFAULT_PARTITION__'}")
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("dt")
 
 

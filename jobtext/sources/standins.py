@@ -217,12 +217,11 @@ def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def as_files(df: DataFrame, path: str, cuts: list) -> str:
-    """Write ``df`` as a folder of several files that arrive one after the
-    other: the rows below each cut of ``cuts`` (conditions, in turn), then the
-    rest. Input of the stream jobs."""
-    rest = F.lit(True)
-    for k, cut in enumerate([*cuts, F.lit(True)]):
-        df.filter(rest & cut).coalesce(1).write.mode("append").parquet(path)
+def arrivals(df: DataFrame, cuts: list) -> list[DataFrame]:
+    """``df`` in parts that arrive one after the other: the rows below each cut
+    of ``cuts`` (conditions, in turn), then the rest. Input of the stream jobs."""
+    out, rest = [], F.lit(True)
+    for cut in [*cuts, F.lit(True)]:
+        out.append(df.filter(rest & cut))
         rest = rest & ~F.coalesce(cut, F.lit(False))
-    return path
+    return out

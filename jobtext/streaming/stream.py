@@ -10,11 +10,20 @@ update.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from jobtext.operators.windows import anchored_windows, micros
+from jobtext.operators.windows import EPOCH, micros
 from jobtext.session import materialize, scratch_path
+from jobtext.sources.sinks import append_history, read_days, read_history
+
+#: A time that no row reaches (the year 9000), in microseconds.
+LAST_TICK = 221_845_392_000_000_000
 
 
 def _batch_writer(path: str):
@@ -24,9 +33,9 @@ def _batch_writer(path: str):
     return write
 
 
-def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "update") -> None:
+def run_available(stream: DataFrame, sink: str | Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> None:
     """Process everything available now, then stop (a bounded run of a stream)."""
-    q = (stream.writeStream.outputMode(mode).foreachBatch(_batch_writer(sink))
+    q = (stream.writeStream.outputMode(mode).foreachBatch(_batch_writer(sink) if isinstance(sink, str) else sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
@@ -37,10 +46,26 @@ def latest_per_key(sink_df: DataFrame, keys: list[str]) -> DataFrame:
     return sink_df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "batch_id")
 
 
-def file_stream(spark: SparkSession, folder: str, file_glob: str, schema: str) -> DataFrame:
-    """A file stream over ``folder`` restricted to files matching ``file_glob``."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-            .option("pathGlobFilter", file_glob).parquet(folder))
+def file_stream(spark: SparkSession, folder: str, file_glob: str, schema: str, max_bytes: int | None = None) -> DataFrame:
+    """A file stream over ``folder`` restricted to files matching ``file_glob``;
+    ``max_bytes`` (64 GiB, say) is what a micro-batch takes in, all by default."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    return (reader.option("maxBytesPerTrigger", max_bytes) if max_bytes else reader).parquet(folder)
+
+
+class Arriving:
+    """Rows that arrive part by part in a folder, each part as the files its
+    tasks write; ``step`` runs a stream job on what is there after each part."""
+
+    def __init__(self, spark: SparkSession, parts: list[DataFrame], folder: str):
+        self.spark, self.parts, self.folder = spark, parts, folder
+        parts[0].limit(0).write.parquet(folder)
+        self.stream = spark.readStream.schema(parts[0].schema).parquet(folder)
+
+    def each(self, step: Callable[[], None]) -> None:
+        for part in self.parts:
+            part.write.mode("append").parquet(self.folder)
+            step()
 
 
 def tumbling_metrics(spark: SparkSession, folder: str, file_glob: str, schema: str, width: str = "5 seconds",
@@ -72,89 +97,169 @@ def continuous_scoring(spark: SparkSession, folder: str, file_glob: str, schema:
     """T4 + S8 + S11: a request stream scored batch by batch into the history
     table; ``score_batch(df) -> df`` is the batch scorer (models loaded once)."""
     src = file_stream(spark, folder, file_glob, schema)
-    sink, ckpt = scratch_path(spark, "history-sink"), scratch_path(spark, "history-ckpt")
+    history, ckpt = scratch_path(spark, "history"), scratch_path(spark, "history-ckpt")
+    q = (src.writeStream.foreachBatch(lambda batch, _: append_history(score_batch(batch), history))
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return read_history(spark, history)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        score_batch(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-            .parquet(f"{sink}/batch_id={batch_id}")
 
-    q = (src.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(sink).drop("batch_id")
+class _Anchored(StatefulProcessor):
+    """State of a key: its open window (start, count, the next timer) and the
+    rows that the watermark has not passed yet. A timer at the earliest of them
+    settles all that have become complete; one at the window's end clears it."""
+
+    def __init__(self, schema: StructType, id_at: int, time_at: int, length_us: int):
+        self.schema, self.id_at, self.time_at, self.length = schema, id_at, time_at, length_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.row = handle, Row(*self.schema.names, "_w", "n", "late")
+        self.window = handle.getValueState("window", "start long, n long, timer long")
+        self.waiting = handle.getListState("waiting", self.schema)
+
+    def _set(self, start: int | None, n: int, timer: int | None, due_us: int) -> None:
+        """Keep the window, with a timer for ``due_us`` unless an earlier one is set."""
+        due = due_us // 1000 + 1
+        if timer is None or due < timer:
+            self.handle.registerTimer(due)
+            timer = due
+        self.window.update((start, n, timer))
+
+    def handleInputRows(self, key, rows, timerValues):
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        fresh = []
+        for row in rows:
+            *row, tick = tuple(row)[-len(self.schema) - 1 :]
+            t = row[self.time_at]
+            if tick:
+                continue
+            if key[0] is None:
+                yield self.row(*row, None, None, False)
+            elif t < mark:
+                yield self.row(*row, None, None, True)
+            else:
+                fresh.append(tuple(row))
+        if fresh:
+            self.waiting.appendList(fresh)
+            self._set(*(self.window.get() or (None, 0, None)), min(r[self.time_at] for r in fresh))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        start, n, _ = self.window.get() or (None, 0, None)
+        rows = [tuple(r) for r in self.waiting.get()]
+        ready = sorted((r for r in rows if r[self.time_at] < mark), key=lambda r: (r[self.time_at], r[self.id_at] is not None, r[self.id_at]))
+        for row in ready:
+            t = row[self.time_at]
+            start, n = (start, n + 1) if start is not None and t < start + self.length else (t, 1)
+            yield self.row(*row, start, n, False)
+        rest = [r for r in rows if r[self.time_at] >= mark]
+        if ready:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        if start is not None and start + self.length < mark:
+            start, n = None, 0
+        due = min([r[self.time_at] for r in rest] + ([] if start is None else [start + self.length]), default=None)
+        if due is None:
+            self.window.clear()
+        else:
+            self._set(start, n, None, due)
+
+    def close(self) -> None:
+        pass
 
 
 class AnchoredStream:
-    """T1/T2 on a stream: the batch operator on the rows that are complete.
+    """T1/T2 on a stream, on the engine's watermark, state store and timers.
 
-    Rows wait until the watermark (the greatest time seen less ``delay``) has
-    passed them; those it passes are settled by ``anchored_windows`` together
-    with each key's open window, so the result does not depend on how rows are
-    dealt into files. A row behind the watermark of an earlier micro-batch
-    would change results that are already written: it goes to ``late`` instead.
-    Rows without key or time are settled at once with null windows.
+    A row waits until the watermark (the greatest time seen less the delay) has
+    passed it and is then counted in order of time and id, so the result does
+    not depend on how rows are dealt into files and equals the batch operator's.
+    A row that comes behind the watermark of an earlier micro-batch would change
+    results that are already written: it is returned as late. Rows without key
+    or time are returned at once with null windows. A key's state is its open
+    window and the rows of the delay; both go when the watermark has passed them.
 
-    Folders under ``root``: out, late, and the state after each micro-batch
-    (pending, open, mark); a replayed batch starts from the state before it.
-    """
+    ``root`` holds the checkpoint, the output and ``ticks``, a second source of
+    rows that carry a time alone: one far ahead settles what still waits."""
+
+    STORE = "spark.sql.streaming.stateStore.providerClass"
+    ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
     def __init__(self, spark: SparkSession, root: str, key_col: str, ts_col: str, id_col: str, length_seconds: int, delay_seconds: int):
-        self.spark, self.root, self.length = spark, root, length_seconds
-        self.key, self.ts, self.id, self.delay_us = key_col, ts_col, id_col, delay_seconds * 1_000_000
-
-    def _write(self, df: DataFrame, what: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{what}/batch_id={batch_id}")
-
-    def _settled(self, ready: DataFrame, open_: DataFrame) -> DataFrame:
-        """``ready`` with window_start and n; ``open_``: (key, window_start, n) of windows that earlier rows opened."""
-        seeds = open_.select(F.col(self.key), F.col("window_start").alias(self.ts), F.lit(True).alias("_seed"))
-        both = ready.withColumn("_seed", F.lit(False)).unionByName(seeds, allowMissingColumns=True)
-        # a seed is earlier than every ready row, so it opens the key's first window
-        rows = anchored_windows(both, self.key, self.ts, self.id, self.length).drop("window_id")
-        carried = open_.select(F.col(self.key).alias("_k"), F.col("window_start").alias("_w"), F.col("n").alias("_n"))
-        rows = rows.join(carried, (rows[self.key] == carried["_k"]) & (rows["window_start"] == carried["_w"]), "left")
-        return rows.withColumn("n", F.when(F.col("_n").isNull(), F.col("n")).otherwise(F.col("n") + F.col("_n") - 1)).drop("_k", "_w", "_n")
-
-    def _step(self, rows: DataFrame, batch_id: int, last: bool = False) -> None:
-        spark, cols = self.spark, rows.columns
-        before = f"batch_id={batch_id - 1}"
-        if batch_id:
-            pending = spark.read.schema(rows.schema).parquet(f"{self.root}/pending/{before}")
-            open_ = spark.read.parquet(f"{self.root}/open/{before}")
-            mark = spark.read.parquet(f"{self.root}/mark/{before}").first()[0]
-        else:
-            pending, mark = rows.limit(0), None
-            open_ = rows.limit(0).select(self.key, F.col(self.ts).alias("window_start"), F.lit(0).cast("long").alias("n"))
-        known = F.col(self.key).isNotNull() & F.col(self.ts).isNotNull()
-        t = micros(self.ts)
-        late = known & (t < F.lit(mark)) if mark is not None else F.lit(False)
-        rows = materialize(rows)
-        self._write(rows.filter(late), "late", batch_id)
-        seen = rows.filter(known).agg(F.max(t)).first()[0]
-        now = max((x for x in (mark, None if seen is None else seen - self.delay_us) if x is not None), default=None)
-        every = pending.unionByName(rows.filter(known & ~late))
-        complete = F.lit(True) if last else (t < F.lit(now)) if now is not None else F.lit(False)
-        done = materialize(self._settled(every.filter(complete), open_))
-        loose = rows.filter(~known).withColumn("window_start", F.lit(None).cast("timestamp_ntz")).withColumn("n", F.lit(None).cast("long"))
-        self._write(done.filter(~F.col("_seed")).select(*cols, "window_start", "n").unionByName(loose), "out", batch_id)
-        self._write(every.filter(~complete), "pending", batch_id)
-        newest = done.groupBy(self.key).agg(F.max(F.struct("window_start", "n")).alias("w")).select(self.key, "w.window_start", "w.n")
-        self._write(newest.filter(micros("window_start") + self.length * 1_000_000 > F.lit(now if now is not None else 0)), "open", batch_id)
-        self._write(spark.createDataFrame([(now,)], "mark long"), "mark", batch_id)
+        self.spark, self.root, self.length_us, self.delay = spark, root, length_seconds * 1_000_000, delay_seconds
+        self.key, self.ts, self.id = key_col, ts_col, id_col
+
+    def windows(self, events: DataFrame) -> DataFrame:
+        """The streaming DataFrame: the rows with window_start, n and late."""
+        rows = events.withColumn("_t", micros(self.ts)).withColumn("_tick", F.lit(False))
+        tick = StructType([StructField("_t", LongType())])
+        try:
+            ticks = self.spark.readStream.schema(tick).parquet(f"{self.root}/ticks")
+        except AnalysisException:  # the first start
+            self.spark.createDataFrame([], tick).write.mode("ignore").parquet(f"{self.root}/ticks")
+            ticks = self.spark.readStream.schema(tick).parquet(f"{self.root}/ticks")
+        rows = rows.unionByName(ticks.withColumn("_tick", F.lit(True)), allowMissingColumns=True)
+        rows = rows.withColumn("_ts", F.timestamp_micros("_t")).withWatermark("_ts", f"{self.delay} seconds")
+        # the watermark's column ends here, so the engine keeps late rows; rows without key or time are dealt out by id.
+        # ticks are left out by the processor: a filter on them would be pushed below the watermark
+        loose = F.col(self.key).isNull() | F.col("_t").isNull()
+        rows = rows.withColumn("_salt", F.when(loose, F.pmod(F.xxhash64(F.col(self.id)), F.lit(1024))))
+        rows = rows.withColumn("_key", F.when(~loose, F.col(self.key))).drop("_ts")
+        kept = StructType([f for f in rows.schema if f.name not in ("_key", "_salt", "_tick")])
+        out = StructType([*kept, StructField("_w", LongType()), StructField("n", LongType()), StructField("late", BooleanType())])
+        work = _Anchored(kept, kept.names.index(self.id), kept.names.index("_t"), self.length_us)
+        picked = rows.select("_key", "_salt", *kept.names, "_tick").groupBy("_key", "_salt")
+        done = picked.transformWithState(work, out, "Append", "EventTime")
+        return done.select(*events.columns, F.expr(f"timestampadd(MICROSECOND, _w, {EPOCH})").alias("window_start"), "n", "late")
+
+    def advance(self, events: DataFrame, write: Callable[[DataFrame, int], None] | None = None) -> None:
+        """Process everything that is available; a later call, also of another
+        process after a failure, goes on from the checkpoint. ``write`` gets each
+        micro-batch's rows and number in place of the output folder, and must
+        bear a repeated batch."""
+        before = self.spark.conf.get(self.STORE, None)
+        self.spark.conf.set(self.STORE, self.ROCKS)
+        try:
+            run_available(self.windows(events), write or f"{self.root}/out", f"{self.root}/checkpoint", "append")
+        finally:
+            self.spark.conf.set(self.STORE, before) if before else self.spark.conf.unset(self.STORE)
+
+    def finish(self, events: DataFrame, write: Callable[[DataFrame, int], None] | None = None) -> None:
+        """Settle what still waits; every row that comes after this is late."""
+        self.spark.createDataFrame([(LAST_TICK,)], "_t long").coalesce(1).write.mode("append").parquet(f"{self.root}/ticks")
+        self.advance(events, write)
+
+    def read(self) -> tuple[DataFrame, DataFrame]:
+        """(rows with window_start and n, late rows) written so far."""
+        out = self.spark.read.parquet(f"{self.root}/out").drop("batch_id")
+        return out.where(~F.col("late")).drop("late"), out.where("late").drop("late", "window_start", "n")
 
     def run(self, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Process everything available, settle what still waits, and return
-        (rows with window_start and n, late rows)."""
-        done = []
-
-        def step(batch: DataFrame, batch_id: int) -> None:
-            self._step(batch, batch_id)
-            done.append(batch_id)
-
-        q = (events.writeStream.foreachBatch(step).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start())
-        q.awaitTermination()
-        if done:
-            schema = self.spark.read.parquet(f"{self.root}/pending/batch_id={done[-1]}").schema
-            self._step(self.spark.createDataFrame([], schema), done[-1] + 1, last=True)
-        read = lambda what: self.spark.read.parquet(f"{self.root}/{what}").drop("batch_id")
-        return read("out"), read("late")
+        """Process everything available and settle it; see ``read``."""
+        self.advance(events)
+        self.finish(events)
+        return self.read()
+
+
+def predict_stream(job: AnchoredStream, requests: Arriving, score: Callable[[DataFrame], DataFrame], history: str) -> None:
+    """T1 + T4 + S8: requests with their fingerprint (the job's key) become rows
+    of the prediction history. The request that opens a cache window is scored;
+    the others of the window take its result from the same micro-batch or from
+    the history of the day on which the window opened.
+
+    ``score`` adds category, level and confidence; late requests are scored and
+    open no window. The history's key is the job's id column."""
+    result = ["category", "level", "confidence"]
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch = materialize(batch.withColumn("cached", F.coalesce(F.col("n") > 1, F.lit(False))))
+        fresh = materialize(score(batch.where(~F.col("cached"))).drop("n"))
+        append_history(fresh, history, job.ts, job.id)
+        hits = batch.where("cached").drop("n")
+        days = [r.dt for r in hits.select(F.to_date("window_start").alias("dt")).distinct().collect()]
+        if days:  # the opening requests, those of this batch among them, are in the history now
+            opened = read_days(batch.sparkSession, history, days).where(~F.col("cached") & F.col("window_start").isNotNull())
+            opened = opened.select(job.key, "window_start", *result)
+            append_history(hits.join(opened, [job.key, "window_start"]).select(*fresh.columns), history, job.ts, job.id)
+
+    requests.each(lambda: job.advance(requests.stream, write))
+    job.finish(requests.stream, write)
