@@ -181,8 +181,11 @@ class AnchoredStream:
     ``root`` holds the checkpoint, the output and ``ticks``, a second source of
     rows that carry a time alone: one far ahead settles what still waits."""
 
-    STORE = "spark.sql.streaming.stateStore.providerClass"
-    ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    #: The store that the stateful operator needs; a micro-batch uploads what it changed, not the whole state.
+    STORE = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
 
     def __init__(self, spark: SparkSession, root: str, key_col: str, ts_col: str, id_col: str, length_seconds: int, delay_seconds: int):
         self.spark, self.root, self.length_us, self.delay = spark, root, length_seconds * 1_000_000, delay_seconds
@@ -216,12 +219,15 @@ class AnchoredStream:
         process after a failure, goes on from the checkpoint. ``write`` gets each
         micro-batch's rows and number in place of the output folder, and must
         bear a repeated batch."""
-        before = self.spark.conf.get(self.STORE, None)
-        self.spark.conf.set(self.STORE, self.ROCKS)
+        conf = self.spark.conf
+        before = {name: conf.get(name, None) for name in self.STORE}
+        for name, value in self.STORE.items():
+            conf.set(name, value)
         try:
             run_available(self.windows(events), write or f"{self.root}/out", f"{self.root}/checkpoint", "append")
         finally:
-            self.spark.conf.set(self.STORE, before) if before else self.spark.conf.unset(self.STORE)
+            for name, value in before.items():
+                conf.unset(name) if value is None else conf.set(name, value)
 
     def finish(self, events: DataFrame, write: Callable[[DataFrame, int], None] | None = None) -> None:
         """Settle what still waits; every row that comes after this is late."""
