@@ -52,6 +52,11 @@ def read_days(spark: SparkSession, path: str, days: list) -> DataFrame | None:
         return None
 
 
+def _by_day(df: DataFrame) -> DataFrame:
+    """Few files for each day, more for a large one."""
+    return df.hint("rebalance", "dt")
+
+
 def append_history(df: DataFrame, path: str, ts_col: str = "created_at", id_col: str | None = None) -> None:
     """Append rows to a history table partitioned by day. Rows whose id
     is already there on their day are left out, so writing a batch again
@@ -64,7 +69,7 @@ def append_history(df: DataFrame, path: str, ts_col: str = "created_at", id_col:
     if old is not None:
         old = old.select(F.col(key).alias("_key"), F.col("dt").alias("_dt"))
         df = df.join(old, (F.col(key) == F.col("_key")) & F.col("dt").eqNullSafe(F.col("_dt")), "left_anti")
-    df.write.mode("append").partitionBy("dt").parquet(path)
+    _by_day(df).write.mode("append").partitionBy("dt").parquet(path)
 
 
 def delete_history(spark: SparkSession, path: str, gone: DataFrame, key: str) -> None:
@@ -76,7 +81,7 @@ def delete_history(spark: SparkSession, path: str, gone: DataFrame, key: str) ->
     if not days:
         return
     left = materialize(read_days(spark, path, days).join(names, key, "left_anti"))
-    left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+    _by_day(left).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
     full = set(_days(left))
     for day in days:
         if day not in full:  # a day without rows is not among the partitions just written: an empty file takes its place

@@ -181,10 +181,12 @@ class AnchoredStream:
     ``root`` holds the checkpoint, the output and ``ticks``, a second source of
     rows that carry a time alone: one far ahead settles what still waits."""
 
-    #: The store that the stateful operator needs; a micro-batch uploads what it changed, not the whole state.
+    #: The store that the stateful operator needs; a micro-batch uploads what it changed, not the whole
+    #: state, and executors soon drop the local copies of runs that have ended.
     STORE = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
     }
 
     def __init__(self, spark: SparkSession, root: str, key_col: str, ts_col: str, id_col: str, length_seconds: int, delay_seconds: int):
