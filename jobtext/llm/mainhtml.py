@@ -4,9 +4,11 @@ A page is cut into blocks of text at block-level tags. A classifier, trained on
 blocks whose semantic elements tell their kind, and hints of the enclosing
 elements give each block a cost of being kept and of being dropped; these are
 the capacities to the two terminals. ``nav``, ``aside``, ``form`` and an article
-settle a block; class words and other elements are soft and can be outvoted. Blocks that follow each other, or that are
-children of one element, are joined by smoothness edges. The minimum cut,
-found by maximum flow, labels the blocks.
+settle a block. Class words and other elements weigh more than the classifier
+can, unless the element holds most of a page without an article: then it wraps
+the content and its weight falls to nothing. Blocks that follow each other, or
+that are children of one element, are joined by smoothness edges. The minimum
+cut, found by maximum flow, labels the blocks.
 """
 
 from __future__ import annotations
@@ -45,16 +47,17 @@ WORDS_DROP = frozenset("""ad ads advert adverts advertisement banner breadcrumb
  login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager paginate pagination popup promo promoted promotion recommended
  related share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget""".split())
 WORDS_READERS = frozenset("comment comments commentlist reply replies respond".split())
+#: Words beside those that leave an element named for readers' comments alone, which settles it.
+WORDS_PLAIN = frozenset("area body box container form item list section text thread wrap wrapper".split())
 WORDS_KEEP = frozenset("article".split())
 ROLES_DROP = frozenset("alert alertdialog banner contentinfo dialog menu menubar search".split())
 
 #: Log odds of a block under a firm hint, and the most that the classifier says.
 HINT, CLIP = 8.0, 4.0
-#: A soft hint is an element's, not each of its blocks': the element is a node of the cut, of
-#: log odds SOFT_ALL, joined to each block in it by SOFT, both times the hint's units. A block
-#: of its own pays SOFT to differ, many of them SOFT_ALL at most. A class word has one unit,
-#: an element of SOFT_DROP and readers' comments two.
-SOFT, SOFT_ALL = 2.5, 5.0
+#: Log odds towards drop for each unit of a soft hint, before the element's share of the page
+#: is counted: a class word has one unit, an element of SOFT_DROP and readers' comments two.
+#: And those towards keep for a class word that names an article.
+SOFT, SOFT_KEEP = 5.0, 2.5
 #: Weights of the edges between blocks.
 NEXT_SAME, NEXT_OTHER, SIBLING = 1.0, 0.25, 0.5
 #: Pages (about) that the classifier is fitted on, and the blocks of them at most.
@@ -63,8 +66,8 @@ TRAIN_PAGES, TRAIN_BLOCKS = 1000, 50_000
 
 class Hint(NamedTuple):
     """``kind``: 1 keep, 0 unknown, -1 drop, -2 drop an article inside too;
-    ``soft``: (number, units towards drop) of the two innermost elements with
-    soft hints; ``readers``: inside readers' comments; ``label``: the kind that
+    ``soft``: (number, units towards drop, below 0 towards keep) of the two
+    innermost elements with soft hints; ``readers``: inside readers' comments; ``label``: the kind that
     elements, not class words, tell the classifier's training."""
 
     kind: int = 0
@@ -99,6 +102,8 @@ def _hint(tag: str, attrs: str, hint: Hint, number: int) -> Hint:
         return Hint(-2, label=-1)
     more = lambda units: (*hint.soft, (number, units))[-2:]
     if words & WORDS_READERS and tag not in ("body", "html", "main"):
+        if words <= WORDS_READERS | WORDS_PLAIN:
+            return Hint(-1, readers=True, label=min(0, hint.label))
         return Hint(min(0, hint.kind), more(2), True, min(0, hint.label))
     if tag in ("article", "main") or role in ("article", "main"):
         return hint if hint.readers else Hint(1, label=1)
@@ -117,24 +122,75 @@ def _hint(tag: str, attrs: str, hint: Hint, number: int) -> Hint:
     return Hint(soft=more(-1)) if words & WORDS_KEEP and hint == Hint() else hint
 
 
+class _Stack:
+    """Open elements (tag, number, hint, skipped), the places of each tag, of
+    block-level elements and of those that an unmatched end tag does not close,
+    so that no step looks through the elements between."""
+
+    EDGES = frozenset(["article", "main", "body"])
+
+    def __init__(self):
+        self.open: list[tuple[str, int, Hint, bool]] = [("", 0, Hint(), False)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks, self.edges = [0], [0]
+
+    def push(self, tag: str, number: int, hint: Hint, skipped: bool) -> None:
+        at = len(self.open)
+        self.open.append((tag, number, hint, skipped))
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCK:
+            self.blocks.append(at)
+        if tag in self.EDGES:
+            self.edges.append(at)
+
+    def cut(self, at: int) -> bool:
+        """Close the element at this place and all in it; whether a hint ended."""
+        changed = False
+        while len(self.open) > at:
+            last = len(self.open) - 1
+            tag, _, hint, _ = self.open.pop()
+            changed = changed or hint != self.open[-1][2]
+            self.places[tag].pop()
+            for list_ in (self.blocks, self.edges):
+                if list_[-1] == last:
+                    list_.pop()
+        return changed
+
+    def end(self, tag: str) -> bool:
+        """An end tag: closes the innermost element of its name, if there is one
+        and, unless the tag is such a one itself, inside the innermost article."""
+        found = self.places.get(tag)
+        if not found or (self.edges[-1] > found[-1] and tag not in self.EDGES and tag != "html"):
+            return False
+        return self.cut(found[-1])
+
+    def close(self, tags: set[str]) -> None:
+        """Close the innermost block-level element if it is one of ``tags``."""
+        if self.open[self.blocks[-1]][0] in tags:
+            self.cut(self.blocks[-1])
+
+    def holder(self) -> tuple[str, int]:
+        """Tag of the innermost block-level element, and the number of the element that text in it is a child of."""
+        tag = self.open[self.blocks[-1]][0]
+        at = self.blocks[-2] if tag in LEAF else self.blocks[-1]
+        return tag, self.open[at][1]
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order; text inside one has its references decoded."""
     out: list[Block] = []
-    # (tag, number, hint, skipped) of open elements
-    stack: list[tuple[str, int, Hint, bool]] = [("", 0, Hint(), False)]
+    stack = _Stack()
     now, number, link, at, n = None, 0, False, 0, len(page)
 
     def text(raw: str) -> None:
         nonlocal now
-        if stack[-1][3] or not raw:
+        if stack.open[-1][3] or not raw:
             return
         raw = html.unescape(raw) if "&" in raw else raw
         if now is None:
             if not raw.strip():
                 return
-            around = (e for e in reversed(stack) if e[0] in BLOCK or not e[0])
-            holder = next(around)
-            now = Block(holder[0], (next(around) if holder[0] in LEAF else holder)[1], stack[-1][2])
+            now = Block(*stack.holder(), stack.open[-1][2])
             out.append(now)
         now.parts.append(raw)
         if link:
@@ -158,35 +214,22 @@ def blocks(page: str) -> list[Block]:
         elif name == "a":
             link = not closing
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    if any(e[2] != stack[k - 1][2] for e in stack[k:]):
-                        now = None
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("article", "main", "body") and name not in ("article", "main", "body", "html"):
-                    break
+            if stack.end(name):
+                now = None
             continue
         if name in VOID:
             continue
-        if stack[-1][0] == "head" and name in BLOCK:
-            stack.pop()
-        closes = CLOSES.get(name)
-        if name in BLOCK and closes is None:
-            closes = {"p"}
-        if closes:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closes:
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK:
-                    break
+        if stack.open[-1][0] == "head" and name in BLOCK:
+            stack.cut(len(stack.open) - 1)
+        if name in BLOCK:
+            stack.close(CLOSES.get(name, {"p"}))
         if not attrs.endswith("/") or name in BLOCK:
             number += 1
-            hint = _hint(name, attrs, stack[-1][2], number)
-            if hint != stack[-1][2]:
+            around = stack.open[-1]
+            hint = _hint(name, attrs, around[2], number)
+            if hint != around[2]:
                 now = None
-            stack.append((name, number, hint, stack[-1][3] or name in SKIP))
+            stack.push(name, number, hint, around[3] or name in SKIP)
         if name in RAW:
             end = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
             at = end.start() if end else n
@@ -197,14 +240,24 @@ def _text(b: Block) -> str:
     return " ".join("".join(b.parts).split())
 
 
-def features(text: str, b: Block) -> list[float]:
-    """What the classifier sees: no hint of the enclosing elements."""
-    n = max(1, len(text))
-    return [1.0, math.log1p(n), min(1.0, b.links / n), min(10, text.count(",")) / 10, float(text[-1:] in ".!?…:\"»”"), float(b.tag == "p"), float(b.tag in ("li", "td", "th", "dd", "dt")), float(b.tag[:1] == "h" and b.tag[1:].isdigit())]
+def features(found: list[tuple[Block, str]]) -> list[list[float]]:
+    """What the classifier sees of the blocks of a page: their text, links and
+    neighbours, and no tag, as an advert's paragraph has the same as the article's."""
+    own = []
+    for b, text in found:
+        n, words = max(1, len(text)), text.split()
+        lower = sum(w[0].islower() for w in words) / max(1, len(words))
+        own.append((math.log1p(n), min(1.0, b.links / n), min(10, text.count(",")) / 10, float(text[-1:] in ".!?…:\"»”"), lower))
+    rows, last = [], len(own) - 1
+    for i, x in enumerate(own):
+        near = [own[j] for j in (i - 1, i + 1) if 0 <= j <= last]
+        longest, fewest_links = max((y[0] for y in near), default=0.0), min((y[1] for y in near), default=0.0)
+        rows.append([1.0, *x, longest, fewest_links, abs(2 * (i + 0.5) / (last + 1) - 1)])
+    return rows
 
 
-#: Weights before any sample: longer text, fewer links.
-PRIOR = np.array([-2.0, 0.5, -4.0, 0.5, 1.0, 0.5, -0.5, 0.5])
+#: Weights before any sample: longer text of sentences, fewer links, such a neighbour, less at the page's ends.
+PRIOR = np.array([-2.2, 0.45, -4.0, 0.5, 1.0, 0.5, 0.15, -1.0, -0.5])
 
 
 def fit(x: np.ndarray, y: np.ndarray, pull: float = 1.0, steps: int = 25) -> np.ndarray:
@@ -275,13 +328,30 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
             u = to[e]
 
 
+def _soft(found: list[tuple[Block, str]]) -> list[float]:
+    """Log odds that soft hints give each block. An element counts in full if
+    the page has an article, which is never under a soft hint, or if it holds
+    half of the undecided text or less; from there on less, and nothing if it
+    holds all: it is the wrapper of the content."""
+    size = [len(t) for _, t in found]
+    article = any(b.hint.kind > 0 for b, _ in found)
+    every = sum(n for (b, _), n in zip(found, size) if not b.hint.kind)
+    inside: dict[int, int] = {}
+    for (b, _), n in zip(found, size):
+        for element, _ in () if b.hint.kind else b.hint.soft:
+            inside[element] = inside.get(element, 0) + n
+    weight = {e: 1.0 if article else min(1.0, 2 * (1 - n / every)) for e, n in inside.items()}
+    told = lambda e, units: -SOFT * units * weight[e] if units > 0 else SOFT_KEEP * -units
+    return [0.0 if b.hint.kind else sum(told(*x) for x in b.hint.soft) for b, _ in found]
+
+
 def extract(page: str, weights: np.ndarray) -> list[str]:
     """Texts of the kept blocks."""
     found = [(b, t) for b in blocks(page) if (t := _text(b))]
     if not found:
         return []
-    score = np.array([features(t, b) for b, t in found]) @ weights
-    odds = [max(-CLIP, min(CLIP, float(x))) + HINT * max(-1, b.hint.kind) for x, (b, _) in zip(score, found)]
+    score = np.array(features(found)) @ weights
+    odds = [max(-CLIP, min(CLIP, float(x))) + HINT * max(-1, b.hint.kind) + soft for x, (b, _), soft in zip(score, found, _soft(found))]
     edges, last = [], {}
     for i, (b, _) in enumerate(found):
         if i:
@@ -289,30 +359,29 @@ def extract(page: str, weights: np.ndarray) -> list[str]:
         if b.parent in last and last[b.parent] < i - 1:
             edges.append((last[b.parent], i, SIBLING))
         last[b.parent] = i
-    around: dict[int, int] = {}
-    for i, (b, _) in enumerate(found):
-        for element, units in () if b.hint.kind else b.hint.soft:
-            if element not in around:
-                around[element] = len(odds)
-                odds.append(-SOFT_ALL * units)
-            edges.append((i, around[element], SOFT * abs(units)))
     return [t for keep, (_, t) in zip(min_cut(odds, edges), found) if keep]
 
 
 def train(pages: DataFrame) -> np.ndarray:
     """Weights of the classifier from about TRAIN_PAGES pages, picked by the
-    digest of their html, and at most TRAIN_BLOCKS blocks of them, labelled by
-    the enclosing elements; class words label none. Blocks of one kind alone
+    digest of their html, and at most TRAIN_BLOCKS blocks of them, the first by
+    digest and place, labelled by the enclosing elements; class words label none. Blocks of one kind alone
     tell nothing: PRIOR stays. The driver gets the feature rows alone."""
     every = max(1, pages.count() // TRAIN_PAGES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(float(k.hint.label > 0), features(t, k)) for p in b.column("html").to_pylist() for k in blocks(p or "") if k.hint.label and (t := _text(k))]
-            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.float64()), pa.array([x for _, x in rows], pa.list_(pa.float64()))], ["y", "x"])
-
-    picked = pages.select("html").where(F.pmod(F.xxhash64("html"), F.lit(every)) == 0)
-    rows = picked.mapInArrow(work, "y double, x array<double>").limit(TRAIN_BLOCKS).collect()
+            rows = []
+            for digest, p in zip(b.column("digest").to_pylist(), b.column("html").to_pylist()):
+                found = [(k, t) for k in blocks(p or "") if (t := _text(k))]
+                rows += [(digest, i, float(k.hint.label > 0), x) for i, ((k, _), x) in enumerate(zip(found, features(found))) if k.hint.label]
+            cols = list(zip(*rows)) or [()] * 4
+            kinds = (pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["digest", "i", "y", "x"])
+
+    picked = pages.select("html", F.xxhash64("html").alias("digest")).where(F.pmod("digest", F.lit(every)) == 0)
+    found = picked.mapInArrow(work, "digest long, i int, y double, x array<double>")
+    rows = found.orderBy("digest", "i", "x").limit(TRAIN_BLOCKS).collect()
     if len({r.y for r in rows}) < 2:
         return PRIOR.copy()
     return fit(np.array([r.x for r in rows]).reshape(-1, len(PRIOR)), np.array([r.y for r in rows]))

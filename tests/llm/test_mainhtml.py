@@ -4,6 +4,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 from jobtext.llm import mainhtml
 
@@ -45,6 +46,39 @@ def test_drop_words_on_a_content_wrapper(spark):
     assert {r.text for r in mainhtml.main_text(pages).collect()} == {"\n".join(want)}
 
 
+def fitted(spark):
+    return mainhtml.train(spark.read.parquet(f"{SMOKE}/pages.parquet"))
+
+
+def test_boilerplate_in_paragraphs(spark):
+    """Paragraphs beside an article, or beside more text, stay out whatever the classifier has learnt of paragraphs."""
+    p = lambda k, n=6: f"<p>{k} " + "A long sentence, with some words in it. " * n + "</p>"
+    texts = lambda *ks, n=6: [f"{k} " + ("A long sentence, with some words in it. " * n).strip() for k in ks]
+    extra = [f'<div class="sidebar">{p("S")}</div>', f'<div class="cookie-notice">{p("C")}</div>', f"<footer>{p(1)}{p(2)}{p(3)}</footer>",
+             f'<section id="comments">{p(1)}{p(2)}{p(3)}{p(4)}{p(5)}{p(6)}</section>', f'<div class="newsletter signup">{p("N")}{p("M")}</div>', f'<div role="dialog">{p("D")}</div>']
+    for w in (mainhtml.PRIOR, fitted(spark)):
+        assert mainhtml.extract(PAGE, w) == mainhtml.extract(PAGE, mainhtml.PRIOR)
+        for x in extra:
+            for body, inner in (("article", ""), ("article", f'<div class="ad">{p("AD")}</div>'), ("div", "")):
+                many = p("A") + p("B") + inner + "".join(p(k) for k in "EFGHIJ")
+                page = f"<html><body>{x}<{body}>{many}</{body}>{x}</body></html>"
+                assert mainhtml.extract(page, w) == texts("A", "B", *"EFGHIJ"), (x, body)
+
+
+def test_many_unmatched_tags():
+    for page in ("<b>x" * 20_000 + "</i>" * 20_000, "<i><article>" + "<b>x" * 20_000 + "</i>" * 20_000, "<b>" * 20_000 + "<p>x</p>" * 20_000, "<b>" * 20_000 + "<li>x" * 20_000):
+        start = time.perf_counter()
+        mainhtml.blocks(page)
+        assert time.perf_counter() - start < 2
+
+
+def test_training_does_not_depend_on_the_split(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SMOKE}/pages.parquet")
+    monkeypatch.setattr(mainhtml, "TRAIN_BLOCKS", 300)
+    a, b = (mainhtml.train(pages.repartition(n)) for n in (1, 7))
+    assert (a == b).all()
+
+
 def test_min_cut():
     rng = random.Random(3)
     for _ in range(150):
