@@ -2,8 +2,9 @@
 
 A sketch counts values in buckets of equal ratio (GROWTH), so a quantile is
 known within half that ratio, two sketches merge by adding counts, and the
-result does not depend on the order of rows. A small group borrows the merged
-sketch of its language, then that of all documents.
+result does not depend on the order of rows. A group's quartiles are blended
+with those of its language's merged sketch, and these with those of all, with
+weights that change smoothly with the number of documents.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ GROWTH = 1.02
 #: A value is out if it lies further than FENCE spreads above the upper (below the lower)
 #: quartile; the spread is the quartiles' distance, but at least the feature's floor.
 FENCE = 7.0
-#: Groups with fewer documents borrow from their language, and such languages from all.
-LEAST_DOCS = 200
+#: A group's quartiles weigh as its documents, those of its language as so many more, and a
+#: language's beside those of all likewise: the fewer documents, the more is borrowed.
+BORROWED = 200
 SYMBOLS = "[#*$%&|<>]"
 #: name: (numerator, denominator, least spread, whether low values are out too)
 FEATURES = {
@@ -92,8 +94,9 @@ def thresholds(counts: DataFrame) -> DataFrame:
     every = _quartiles(counts, [])
     renamed = [d.select(*k, "feature", *[F.col(c).alias(f"{c}_{s}") for c in ("total", "q1", "q3")]) for d, k, s in ((lang, ["lang"], "l"), (every, [], "a"))]
     joined = own.join(renamed[0], ["lang", "feature"]).join(renamed[1], "feature")
-    pick = lambda c: F.when(F.col("total") >= LEAST_DOCS, F.col(c)).when(F.col("total_l") >= LEAST_DOCS, F.col(f"{c}_l")).otherwise(F.col(f"{c}_a"))
-    q = joined.select("lang", "source", "feature", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    blend = lambda n, own, other: (n * own + BORROWED * other) / (n + BORROWED)
+    q_of = lambda c: blend(F.col("total"), F.col(c), blend(F.col("total_l"), F.col(f"{c}_l"), F.col(f"{c}_a")))
+    q = joined.select("lang", "source", "feature", q_of("q1").alias("q1"), q_of("q3").alias("q3"))
     out = []
     for f, (_, _, floor, both) in FEATURES.items():
         spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(floor)) * FENCE
@@ -142,7 +145,8 @@ def _oracle() -> str:
                 f"(SELECT {k}feature, CASE WHEN bucket = -10000 THEN 0.0 ELSE pow({GROWTH}, bucket) END AS value, sum(n) OVER (PARTITION BY {k}feature ORDER BY bucket) AS upto, "
                 f"sum(n) OVER (PARTITION BY {k}feature) AS total FROM (SELECT {k}feature, bucket, count(*) AS n FROM buckets GROUP BY {k}feature, bucket)) GROUP BY {k}feature)")
 
-    pick = lambda c: f"CASE WHEN o.total >= {LEAST_DOCS} THEN o.{c} WHEN l.total >= {LEAST_DOCS} THEN l.{c} ELSE a.{c} END AS {c}"
+    blend = lambda n, own, other: f"({n} * {own} + {BORROWED} * {other}) / ({n} + {BORROWED})"
+    pick = lambda c: blend("o.total", f"o.{c}", blend("l.total", f"l.{c}", f"a.{c}")) + f" AS {c}"
     floor = "CASE feature " + " ".join(f"WHEN '{f}' THEN {x[2]}" for f, x in FEATURES.items()) + " END"
     value = "CASE t.feature " + " ".join(f"WHEN '{f}' THEN d.{f}" for f in FEATURES) + " END"
     low = ", ".join(f"'{f}'" for f, x in FEATURES.items() if x[3])
