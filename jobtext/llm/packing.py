@@ -23,8 +23,8 @@ from jobtext.llm import tokens
 from jobtext.llm.common import ROW, documents, row_name, staged
 
 WINDOW = 2048
-#: The rank file of byte_bpe_50k.json, and the id that ends a document.
-RANKS, END_ID = "byte_bpe_50k.tiktoken", 1
+#: The tokenizer, the ranks of its vocabulary, and the id that ends a document.
+TOKENIZER, RANKS, END_ID = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 1
 #: Costs in tokens of padding: of a window, of a cut at a sentence end, of a cut elsewhere in a document.
 PER_WINDOW, AT_SENTENCE, INSIDE = 1, 4, 64
 #: Tokens gathered before their windows are settled; the last, open window is carried on.
@@ -111,7 +111,7 @@ def _windows(parts: list[tuple], ends: np.ndarray, window: int, last: bool) -> t
     return out[:-1], [r[:4] for r in out[-1]]
 
 
-def pack(docs: DataFrame, window: int = WINDOW, ranks: str = RANKS, end_id: int = END_ID, blocks: int | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, ranks: str = RANKS, tokenizer: str = TOKENIZER, end_id: int = END_ID, blocks: int | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, text, ...) to one row per piece: doc_id, id_key, text_key, start, length,
     ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
@@ -128,8 +128,8 @@ def pack(docs: DataFrame, window: int = WINDOW, ranks: str = RANKS, end_id: int
     names = [c.split()[0] for c in schema.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokens.byte_bpe(ranks)
-        ends = tokens.sentence_ends(ranks)
+        coder = tokens.byte_bpe(ranks, tokenizer)
+        ends = tokens.sentence_ends(ranks, tokenizer)
         block, seq, parts, held = TaskContext.get().partitionId(), 0, [], 0
         rows: list[tuple] = []
 
