@@ -45,16 +45,22 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.
 _CHUNK = 256
 
 
-def with_running(df: DataFrame, values: str, out: str, largest: bool = False) -> DataFrame:
-    """Adds the array ``out``: at each place the sum (or the largest, at least
-    0) of ``values`` before it, by way of sums of chunks."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once. A column of an earlier
+    projection may be put in its place by the optimizer, into a lambda too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, largest: bool = False) -> Column:
+    """An array: at each place the sum (or the largest, at least 0) of
+    ``values`` before it, by way of those of chunks."""
     op = (lambda a, x: F.greatest(a, x)) if largest else (lambda a, x: a + x)
     fold = lambda c: F.aggregate(c, F.lit(0), op)
-    parts = f"_{out}_parts"
-    df = df.withColumn(parts, F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / _CHUNK).cast("int")), lambda c: fold(F.slice(values, c * _CHUNK + 1, F.lit(_CHUNK)))))
     chunk = lambda i: F.floor(i / _CHUNK).cast("int")
-    both = lambda i: F.array(fold(F.slice(parts, F.lit(1), chunk(i))), fold(F.slice(values, chunk(i) * _CHUNK + 1, i % _CHUNK)))
-    return df.withColumn(out, F.transform(values, lambda _, i: fold(both(i)))).drop(parts)
+    numbers = lambda v: F.sequence(F.lit(0), chunk(F.size(v)))
+    parts = lambda v: F.transform(numbers(v), lambda c: fold(F.slice(v, c * _CHUNK + 1, F.lit(_CHUNK))))
+    upto = lambda p, v, i: fold(F.array(fold(F.slice(p, F.lit(1), chunk(i))), fold(F.slice(v, chunk(i) * _CHUNK + 1, i % _CHUNK))))
+    return _let(values, lambda v: _let(parts(v), lambda p: F.transform(v, lambda _, i: upto(p, v, i))))
 
 
 def with_matches(df: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
@@ -64,30 +70,32 @@ def with_matches(df: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
     some, none = F.rlike(text, F.lit(pattern)), F.array().cast("array<string>")
     df = df.withColumn("_found", F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
     df = df.withColumn("_between", F.when(F.size("_found") > 0, F.transform(F.split(text, pattern), lambda x: F.length(x))))
-    df = df.withColumn("_steps", F.transform("_found", lambda m, i: F.length(m) + F.get("_between", i)))
-    df = with_running(df, "_steps", "_before")
-    at = lambda i: F.get("_before", i) + F.get("_between", i)
-    spans = F.transform("_found", lambda m, i: F.struct(at(i).alias("start"), (at(i) + F.length(m)).alias("end"), m.alias("found")))
-    return df.withColumn(out, spans).drop("_found", "_between", "_steps", "_before")
+
+    def places(found: Column, between: Column) -> Column:
+        before = running(F.transform(found, lambda m, i: F.length(m) + F.get(between, i)))
+        span = lambda m, at: F.struct(at.alias("start"), (at + F.length(m)).alias("end"), m.alias("found"))
+        return _let(before, lambda b: F.transform(found, lambda m, i: span(m, F.get(b, i) + F.get(between, i))))
+
+    spans = _let(F.col("_found"), lambda found: _let(F.col("_between"), lambda between: places(found, between)))
+    return df.withColumn(out, spans).drop("_found", "_between")
 
 
 def _with_cover(rows: DataFrame, text: str, spans: str, out: str, cover: Column | None) -> DataFrame:
     """Adds the string ``out``: ``text`` with what each group of overlapping
     ``spans`` (sorted) covers replaced by ``cover``, or by as many blanks if
     that is None; ``text`` itself if ``spans`` is null or empty."""
-    rows = rows.withColumn("_ends", F.transform(spans, lambda s: s.end))
-    rows = with_running(rows, "_ends", "_upto", largest=True)
+    rows = rows.withColumn("_upto", running(F.transform(spans, lambda s: s.end), largest=True))
 
-    def piece(s: Column, i: Column) -> Column:
-        upto = F.get("_upto", i)
+    def piece(s: Column, upto: Column) -> Column:
         before = F.substr(text, upto + 1, s.start - upto)
         if cover is None:
             return F.concat(F.when(s.start > upto, before).otherwise(F.lit("")), F.repeat(F.lit(" "), s.end - F.greatest(s.start, upto)))
         return F.when(s.start >= upto, F.concat(before, cover)).otherwise(F.lit(""))
 
-    rest = F.substr(text, F.array_max("_ends") + 1, F.length(text))
-    covered = F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(spans, piece), ""), rest)).otherwise(F.col(text))
-    return rows.withColumn(out, covered).drop("_ends", "_upto")
+    rest = F.substr(text, F.array_max(F.transform(spans, lambda s: s.end)) + 1, F.length(text))
+    pieces = _let(F.col("_upto"), lambda upto: F.transform(spans, lambda s, i: piece(s, F.get(upto, i))))
+    covered = F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))
+    return rows.withColumn(out, covered).drop("_upto")
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -142,11 +150,6 @@ def train(docs: DataFrame, spans: DataFrame) -> dict[tuple[int, int], float]:
     return {k: v - ordinary[k] for k, v in random.items()}
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _random(word: Column, table: Column) -> Column:
     """Places (start, end) in a run that the random model wins; ``table`` holds
     the log ratios of 128 x 128 pairs. The whole run if its sum has the margin;
