@@ -1,23 +1,25 @@
-"""Removal of repeated passages by doubled hashes and a minimiser.
-
-Not bucket-pointer refinement: no bucket is sorted by the identifiers at a later
-offset. Every place has a digest of its first 25 bytes, and the digest of twice
-the length is mixed from those at the place and that length later: 25, 50, 100
-and 200 bytes. That is arithmetic on a text's own array, where ranks of sorted
-buckets would need a shuffle of all suffixes at each doubling. Places with equal
-digests are a bucket; two 200-byte strings are equal if they share one at 200.
-
-Only suffixes that can repeat are refined that far. A 200-byte window belongs
-to the least 50-byte bucket inside it, equal windows to the same one. A run is
-a maximal stretch of windows of one bucket; its context is the text they cover.
-Runs whose bucket no other run shares are done. Of the others, equal contexts
-are repeated whole; unequal ones are refined to 200 bytes, a bucket at a time,
-and buckets with very many contexts window by window over the cluster.
+"""Removal of repeated passages by bucket-pointer refinement behind a minimiser.
+
+Only suffixes that can repeat are refined. Every place has a digest of its
+first 25 bytes, mixed with the one 25 bytes on to that of 50. A 200-byte window
+belongs to the least such digest inside it, equal windows to the same one. A
+run is a maximal stretch of windows of one digest; its context is the text they
+cover. Runs whose digest no other run shares are done, and equal contexts are
+repeated whole.
+
+The unequal contexts of a shared digest are refined together: their places
+start in buckets of equal 5 bytes, and the members of each bucket are sorted by
+the bucket pointers of the places 5, 10, 20 ... bytes on, which tell 10, 20, 40
+... bytes. A pointer is the rank of its bucket's first member, so a bucket that
+is split leaves all others as they are; those with one member are not sorted
+again, and every later round reads the pointers of the rounds before. Windows
+that share a bucket at 200 bytes are equal, byte for byte. Digests with very
+many contexts, or long ones, are settled window by window over the cluster.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,12 @@ from jobtext.llm.common import ROW, documents, member, row_name, slices, staged,
 LENGTH, FIRST, GRAM = 200, 25, 50
 #: Windows whose arrays are held at once; a run may be cut there, which the refinement mends.
 BLOCK = 1 << 18
-#: Contexts of a bucket that one task refines together; larger buckets are shuffled by window.
-TOGETHER = 4096
-#: Bytes of contexts, of whole buckets, that are refined at once.
+#: Contexts with one digest, and their bytes, that one task refines together; beyond, they are shuffled by window.
+TOGETHER, MOST_BYTES = 4096, 1 << 21
+#: Bytes of contexts, those of a digest together, that are refined at once.
 TOGETHER_BYTES = 1 << 18
+#: Bytes of the first buckets of the refinement.
+Q = 5
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -46,12 +50,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def first_buckets(data: np.ndarray) -> np.ndarray:
-    """Bucket identifiers of the first 25 bytes at each place."""
+def _fives(data: np.ndarray) -> np.ndarray:
+    """The five bytes at each place as one number."""
     y = data.astype(np.uint64)
     five = y[:-4].copy()
     for k in range(1, 5):
         five |= y[k : len(y) - 4 + k] << np.uint64(8 * k)
+    return five
+
+
+def first_buckets(data: np.ndarray) -> np.ndarray:
+    """Digests of the first 25 bytes at each place."""
+    five = _fives(data)
     n = len(five) - 20
     out = five[:n].copy()
     for k in range(1, 5):
@@ -62,13 +72,51 @@ def first_buckets(data: np.ndarray) -> np.ndarray:
 
 
 def refined(buckets: np.ndarray, length: int) -> np.ndarray:
-    """Identifiers for twice ``length`` bytes from those at a place and ``length`` later."""
+    """Digests of twice ``length`` bytes from those at a place and ``length`` later."""
     later = buckets[length:]
     out = buckets[: len(later)] * _K[1]
     out += later ^ (later >> np.uint64(17))
     return _mixed(out)
 
 
+def _sorted_buckets(pointers: np.ndarray, later: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """Splits the buckets of ``members`` by the pointers ``later`` on: writes their
+    new pointers and returns the members of buckets that still have several."""
+    order = np.argsort((pointers[members] << 32) | later[members], kind="stable")
+    members = members[order]
+    bucket, key = pointers[members], later[members]
+    old = np.concatenate(([True], bucket[1:] != bucket[:-1]))
+    new = old | np.concatenate(([True], key[1:] != key[:-1]))
+    at = np.arange(len(members))
+    first = lambda edge: np.maximum.accumulate(np.where(edge, at, 0))
+    pointers[members] = bucket + first(new) - first(old)
+    return members[~(new & np.append(new[1:], True))]
+
+
+def refinement(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Bucket pointers by the first ``length`` bytes (5, 10, 20, ... or a sum of
+    such) at each place that has as many; equal pointers mean equal bytes."""
+    five = _fives(data)
+    order = np.argsort(five, kind="stable")
+    edge = np.concatenate(([True], five[order][1:] != five[order][:-1]))
+    pointers = np.empty(len(five), np.int64)
+    pointers[order] = np.maximum.accumulate(np.where(edge, np.arange(len(five)), 0))
+    members = order[~(edge & np.append(edge[1:], True))]
+    depth, rest = Q, length
+    while rest - depth >= depth:
+        depth *= 2
+    depth, rest, kept = Q, length - depth, None
+    while depth < length and len(members):
+        if depth == rest:
+            kept = pointers.copy()
+        # what a round reads tells as many bytes as are missing, no more: 200 are 160 and 40
+        told, step = (pointers, depth) if 2 * depth <= length else (kept, rest)
+        later = np.append(told[depth:], np.zeros(min(depth, len(five)), np.int64))
+        members = _sorted_buckets(pointers, later, members)
+        depth += step
+    return pointers
+
+
 def _sliding(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
     span = 1
     while 2 * span <= width:
@@ -143,9 +191,14 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(lists, ROW).select(*ROW, "text", "runs").mapInArrow(work, schema)
 
 
-def _windows(parts: list[bytes], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket identifiers at 200 bytes of every window of the contexts laid end to end, and each window's context."""
-    whole = refined(refined(refined(first_buckets(np.frombuffer(b"".join(parts), np.uint8)), FIRST), 2 * FIRST), 4 * FIRST)
+def _digests(data: np.ndarray) -> np.ndarray:
+    """Digests of the 200 bytes at each place."""
+    return refined(refined(refined(first_buckets(data), FIRST), 2 * FIRST), 4 * FIRST)
+
+
+def _windows(parts: list[bytes], counts: list[int], buckets: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket at 200 bytes of every window of the contexts laid end to end, and each window's context."""
+    whole = buckets(np.frombuffer(b"".join(parts), np.uint8))
     n = np.array(counts)
     begin = np.cumsum([0, *map(len, parts[:-1])])
     of = np.repeat(np.arange(len(n)), n)
@@ -172,13 +225,11 @@ def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by bucket: spans of the lone ones' windows that lie elsewhere in the bucket."""
+    """Contexts sorted by digest: spans of the lone ones' windows that lie elsewhere among them."""
     bucket, doc, begin, counts, alone, parts, size = [], [], [], [], [], [], 0
 
     def settle(upto: int) -> list[tuple]:
-        own, of = _windows(parts[:upto], counts[:upto])
-        group = np.unique(np.array(bucket[:upto]), return_inverse=True)[1].astype(np.uint64)
-        key = own ^ (group[of] * _K[2])
+        key, of = _windows(parts[:upto], counts[:upto], refinement)
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
         hit = np.zeros(len(key), bool)
@@ -208,16 +259,25 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _span_batch(settle(len(parts)))
 
 
+def _slices_of(sizes: list[int]) -> Iterator[slice]:
+    """Slices of 500 items, or fewer whose sizes come to TOGETHER_BYTES."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        total += n + LENGTH
+        if i + 1 - start == 500 or total >= TOGETHER_BYTES or i + 1 == len(sizes):
+            yield slice(start, i + 1)
+            start, total = i + 1, 0
+
+
 def _by_window(many: DataFrame) -> DataFrame:
     """The same for buckets of many contexts: every window is a row, counted by its identifier."""
     names = ["bucket", "window", *ROW, "start", "alone"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "bytes")):
             cols = {c: b.column(c).to_pylist() for c in ("bucket", *ROW, "start", "n", "alone", "bytes")}
-            for k in range(0, b.num_rows, 500):
-                at = slice(k, k + 500)
-                own, of = _windows(cols["bytes"][at], cols["n"][at])
+            for at in _slices_of(cols["n"]):
+                own, of = _windows(cols["bytes"][at], cols["n"][at], _digests)
                 n = np.array(cols["n"][at])
                 start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.array(cols["start"][at])[of]
                 take = [np.array(cols[c][at])[of] for c in ("bucket", *ROW, "alone")]
@@ -237,7 +297,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     rows = staged(table.where(member(shared, "bucket")(F.col("bucket"))).join(shared, "bucket"), "again")
     kinds = rows.where("mixed").groupBy("bucket", "context").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(*ROW, "start", "n")).alias("r"))
     kinds = staged(kinds.select("bucket", "context", "k", "r.*"), "contexts")
-    crowd = kinds.groupBy("bucket").agg((F.count(F.lit(1)) > TOGETHER).alias("many"))
+    crowd = kinds.groupBy("bucket").agg(((F.count(F.lit(1)) > TOGETHER) | (F.sum(F.col("n").cast("long") + LENGTH - 1) > MOST_BYTES)).alias("many"))
     wanted = staged(kinds.join(crowd, "bucket").select("bucket", *ROW, "start", "n", (F.col("k") == 1).alias("alone"), "many"), "wanted")
     few, many = (_contexts(docs, wanted.where(c).drop("many")) for c in ("not many", "many"))
     few = few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine, _SPAN)
