@@ -42,7 +42,8 @@ STRETCH = 20.0
 #: Ratio of a character like the two before it: repetition tells it, chance one of 64.
 REPEAT = -4.0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
-_CHUNK = 256
+#: Places of a chunk of a running sum, code points of a part of a text.
+_CHUNK, _PART = 256, 512
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -80,20 +81,32 @@ def with_matches(df: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
     return df.withColumn(out, spans).drop("_found", "_between")
 
 
+def _between(parts: Column, start: Column, end: Column) -> Column:
+    """Code points from ``start`` to ``end`` of a text in parts of _PART: finding
+    a place in a part takes the part's length, in the text the place's."""
+    number = lambda i: F.floor(i / _PART).cast("int")
+    first, last = number(start), number(end - 1)
+    one = F.substr(F.get(parts, first), start % _PART + 1, end - start)
+    more = F.concat(F.substr(F.get(parts, first), start % _PART + 1, F.lit(_PART)), F.array_join(F.slice(parts, first + 2, last - first - 1), ""),
+                    F.substr(F.get(parts, last), F.lit(1), (end - 1) % _PART + 1))
+    return F.when(end <= start, F.lit("")).when(first == last, one).otherwise(more)
+
+
 def _with_cover(rows: DataFrame, text: str, spans: str, out: str, cover: Column | None) -> DataFrame:
     """Adds the string ``out``: ``text`` with what each group of overlapping
     ``spans`` (sorted) covers replaced by ``cover``, or by as many blanks if
     that is None; ``text`` itself if ``spans`` is null or empty."""
     rows = rows.withColumn("_upto", running(F.transform(spans, lambda s: s.end), largest=True))
 
-    def piece(s: Column, upto: Column) -> Column:
-        before = F.substr(text, upto + 1, s.start - upto)
+    def piece(s: Column, upto: Column, parts: Column) -> Column:
+        before = _between(parts, upto, s.start)
         if cover is None:
             return F.concat(F.when(s.start > upto, before).otherwise(F.lit("")), F.repeat(F.lit(" "), s.end - F.greatest(s.start, upto)))
         return F.when(s.start >= upto, F.concat(before, cover)).otherwise(F.lit(""))
 
     rest = F.substr(text, F.array_max(F.transform(spans, lambda s: s.end)) + 1, F.length(text))
-    pieces = _let(F.col("_upto"), lambda upto: F.transform(spans, lambda s, i: piece(s, F.get(upto, i))))
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0))
+    pieces = _let(F.col("_upto"), lambda upto: _let(parts, lambda p: F.transform(spans, lambda s, i: piece(s, F.get(upto, i), p))))
     covered = F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))
     return rows.withColumn(out, covered).drop("_upto")
 
