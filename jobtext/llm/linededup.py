@@ -4,8 +4,8 @@ A line is the set of its five-word shingles (64-bit digests; a shorter line is
 one shingle of all its words). Lines match at Jaccard 0.8 or more. A line is
 removed if any earlier line of the corpus (by document, then line) matches it.
 
-Equal sets are one member of the join. A first prefix filter, with the tokens
-in digest order, leaves the sets that share a prefix token with another set;
+Equal sets are one member of the join; sets of fewer than LEAST tokens match
+only equal ones. A first prefix filter, with the tokens in digest order, leaves the sets that share a prefix token with another set;
 only their tokens are counted, by a sketch of fixed size, and ordered by rarity.
 Prefix, positional and length filters then act on classes (token, length,
 position) before any pair is formed, and each pair is verified on whole sets.
@@ -23,19 +23,22 @@ from jobtext.llm.common import BLANK_CLASS, ROW, WORD_CLASS, documents, member,
 WORDS = 5
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
+#: Fewest tokens of a set that another one matches: 4 of 5 are the first to reach the similarity.
+LEAST = NUM // (DEN - NUM)
 #: Counters of the rarity sketch, a power of two; its size does not depend on the data.
 SKETCH = 1 << 14
 POS = ["none", *ROW, "line_no"]
 
 
 def _tokens(line: str) -> Callable[[DataFrame], DataFrame]:
-    """Adds ``toks``: the line's distinct shingle digests in ascending order, empty without words."""
+    """Adds ``toks``: the distinct shingle digests, in ascending order, of a line that has words."""
     step = lambda w, i: F.xxhash64(w, *[F.get("_words", i + k) for k in range(1, WORDS)])
 
     def add(df: DataFrame) -> DataFrame:
         df = df.withColumn("_words", F.filter(F.split(line, f"{BLANK_CLASS}+"), lambda w: w != ""))
         n = F.size("_words")
-        all_of = F.when(n >= WORDS, F.transform(F.slice("_words", F.lit(1), n - (WORDS - 1)), step)).when(n > 0, F.array(F.xxhash64("_words"))).otherwise(F.array().cast("array<long>"))
+        # one type without nulls, so that the numbers are sorted as such
+        all_of = F.when(n >= WORDS, F.transform(F.slice("_words", F.lit(1), n - (WORDS - 1)), step)).otherwise(F.array(F.xxhash64("_words")))
         return df.withColumn("toks", F.sort_array(F.array_distinct(all_of))).drop("_words")
 
     return add
@@ -57,7 +60,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def _candidates(lines: DataFrame) -> DataFrame:
     """(place, set_key, line_key): distinct sets that share a prefix token with
     another set, a line of each, and their order by first occurrence."""
-    heads = lines.select("set_key", F.explode("head").alias("tok"))
+    heads = lines.where(F.col("n") >= LEAST).select("set_key", F.explode("head").alias("tok"))
     shared = heads.groupBy("tok").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("tok")
     shared = staged(shared, "shared")
     some = heads.where(member(shared, "tok")(F.col("tok"))).join(shared, "tok", "left_semi").select("set_key").distinct()
