@@ -12,7 +12,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 from pathlib import Path
 
@@ -23,7 +22,7 @@ HEADLINE = [
     "tfidf", "nb_predict", "stratified_split", "eval_metrics",
     "history_page", "feedback_upsert", "register_dedup",
     "cache_flags", "rate_limit", "confidence_histogram",
-    "rate_limit_stream", "match_stream", "train_category", "score_texts", "stream_score",
+    "rank_candidates", "rate_limit_stream", "predict_stream", "match_stream", "train_category", "score_texts", "stream_score",
 ]
 
 
@@ -35,8 +34,7 @@ def main() -> None:
     from jobtext.plans import QUERIES
     from jobtext.session import build_session
 
-    spark = build_session(cores=cpus, shuffle_partitions=max(2 * cpus, 8), app="jobtext-bench", read_partitions=cpus,
-                          scratch=tempfile.mkdtemp(prefix="jobtext-bench-"))
+    spark = build_session(cores=cpus, shuffle_partitions=max(2 * cpus, 8), app="jobtext-bench", read_partitions=cpus)
     for name in ("class_weights", "skill_match"):  # warm-up: JVM, readers, joins and the skill expressions
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
 

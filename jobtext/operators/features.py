@@ -14,12 +14,18 @@ between, this costs one shuffle of those rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtext.functions.text import tokens as token_runs
 from jobtext.functions.text import training_text
+from jobtext.session import materialize
+
+#: Counters of the sketch of term frequencies.
+COUNTERS = 1 << 20
 
 
 def with_terms(df: DataFrame, text_col: str, out_col: str, stop_words: list[str] | None = None) -> DataFrame:
@@ -40,14 +46,15 @@ def with_terms(df: DataFrame, text_col: str, out_col: str, stop_words: list[str]
     return out.drop(*[c for c in ("_tok", "_uni", "_bi") if c != out_col])
 
 
-def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-              stop_words: list[str] | None = None) -> DataFrame:
-    """(doc_id, term, tf): term counts per document, co-partitioned by doc_id."""
+def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stop_words: list[str] | None = None,
+              keep: Callable[[DataFrame], DataFrame] = lambda terms: terms) -> DataFrame:
+    """(doc_id, term, tf): term counts per document, co-partitioned by doc_id;
+    ``keep`` filters the occurrences before they are counted."""
     d = docs.select(id_col, text_col).repartition(id_col)  # no number: AQE sizes the partitions
     # explode_outer: a plain explode lets the optimizer infer size(terms) > 0 and push
     # that (a second tokenization) below the repartition, into the scan task
     e = with_terms(d, text_col, "_terms", stop_words).select(id_col, F.explode_outer("_terms").alias("term"))
-    e = e.filter(F.col("term").isNotNull())
+    e = keep(e.filter(F.col("term").isNotNull()))
     return e.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -61,6 +68,34 @@ def vocabulary(stats: DataFrame, max_features: int) -> DataFrame:
     return stats.orderBy(F.col("cf").desc(), F.col("term")).limit(max_features)
 
 
+def top_terms(docs: DataFrame, max_features: int, id_col: str = "doc_id", text_col: str = "text",
+              stop_words: list[str] | None = None, counters: int = COUNTERS) -> DataFrame:
+    """A17 + O4: (term, df, cf) of the vocabulary, exactly, without a shuffle of
+    all distinct terms.
+
+    Occurrences are summed in ``counters`` counters by the digest of the term, a
+    sketch that merges by addition; a counter bounds each of its terms from
+    above. The terms of the largest counters, four for each place, are then
+    counted exactly. If the last place's count is at least the smallest of these
+    counters, no other term can reach it; if not, that count is a bound from
+    below, and a second count of all counters that reach it misses none."""
+    counter = F.pmod(F.xxhash64("term"), F.lit(counters)).alias("counter")
+    occurrences = with_terms(docs.select(text_col), text_col, "_terms", stop_words).select(F.explode("_terms").alias("term"))
+    sums = materialize(occurrences.groupBy(counter).agg(F.count(F.lit(1)).alias("n")))
+
+    def counted(least: int) -> DataFrame:
+        # at most ``counters`` numbers
+        large = F.broadcast(sums.where(F.col("n") >= least).select("counter"))
+        terms = doc_terms(docs, id_col, text_col, stop_words, lambda e: e.withColumn("counter", counter).join(large, "counter", "left_semi"))
+        return materialize(vocabulary(term_stats(terms, id_col), max_features))
+
+    least = sums.orderBy(F.col("n").desc()).limit(4 * max_features).agg(F.min("n")).first()[0] or 0
+    found = counted(least)
+    n, last = found.agg(F.count(F.lit(1)), F.min("cf")).first()
+    reached = last if n == max_features else 0
+    return found if reached >= least else counted(reached)
+
+
 def idf_table(vocab: DataFrame, n_docs: Column | int) -> DataFrame:
     """Smooth idf: ln((1 + n) / (1 + df)) + 1, per vocabulary term."""
     n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs

@@ -69,9 +69,10 @@ def featurize(featurizer: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label_col: str) -> DataFrame:
-    """Balanced weights joined from the class-sized weight table."""
+    """Balanced weights joined from the class-sized weight table (A13), which
+    AQE broadcasts if it is small when it is there."""
     w = E.class_weights(df, label_col).select(F.col("label").alias(label_col), F.col("weight").alias("_w"))
-    return df.join(F.broadcast(w), label_col)
+    return df.join(w, label_col)
 
 
 def classifier(name: str, n_rows: int, label: str = "_label", weight: str = "_w"):

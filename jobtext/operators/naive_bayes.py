@@ -8,9 +8,10 @@ log(fc + a) = log(a) for the many zero cells, a document's score splits into
 
     prior[c] + W_d * (log a - log(S_c + a*V)) + sum_{t: fc[c,t] > 0} w_dt * (log(fc[c,t] + a) - log a)
 
-so only the non-zero (class, term) cells are joined — a table bounded by
-classes x vocabulary (capped), hence broadcast — and the per-class
-constants are a class-sized parameter list, as in any fitted model.
+so only the non-zero (class, term) cells are joined — at most classes x
+vocabulary (capped), broadcast while they are few and shuffled by term
+beyond — and the per-class constants are a class-sized parameter list, as in
+any fitted model.
 """
 
 from __future__ import annotations
@@ -24,17 +25,25 @@ from jobtext.operators.evaluate import MAX_CLASSES
 from jobtext.session import materialize
 
 
+#: Cells that are broadcast at most: about 50 MB.
+MAX_CELLS = 1_000_000
+
+
 class NaiveBayesModel:
-    def __init__(self, classes: list[tuple[str, float, float]], cells: DataFrame, alpha: float):
+    def __init__(self, classes: list[tuple[str, float, float]], cells: DataFrame, alpha: float, small: bool):
         self.classes = classes  # (label, prior, log-norm) per class, sorted by label
         self.cells = cells      # (label, term, lt) non-zero cells
         self.alpha = alpha
+        self.small = small      # at most MAX_CELLS cells
 
     def predict(self, docs: DataFrame, weights: DataFrame, id_col: str = "doc_id") -> DataFrame:
         """(doc_id, predicted_label) for every row of ``docs``; ties go to the first label."""
         la = math.log(self.alpha)
         weights = materialize(weights)  # read twice below
-        sparse = weights.join(F.broadcast(self.cells), "term") \
+        # up to MAX_CELLS the cells go to every task; beyond, both sides are shuffled by term, a hot
+        # one split by AQE, and each task sums its part of a document before the next shuffle
+        cells = F.broadcast(self.cells) if self.small else self.cells.hint("merge")
+        sparse = weights.join(cells, "term") \
             .groupBy(id_col, "label").agg(F.sum(F.col("weight") * F.col("lt")).alias("s"))
         w_d = weights.groupBy(id_col).agg(F.sum("weight").alias("W"))
         base = docs.select(id_col).join(w_d, id_col, "left").fillna(0.0, subset=["W"])
@@ -66,4 +75,4 @@ def fit(weights: DataFrame, labels: DataFrame, vocab_size: int, alpha: float = 1
     classes = sorted(
         (r["label"], math.log(r["n_c"] / total), math.log(r["S"] + alpha * vocab_size)) for r in cls
     )
-    return NaiveBayesModel(classes, cells, alpha)
+    return NaiveBayesModel(classes, cells, alpha, fc.limit(MAX_CELLS + 1).count() <= MAX_CELLS)

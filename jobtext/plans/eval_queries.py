@@ -156,9 +156,9 @@ def q_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM ({doc_terms_sql('documents', tx.STOP_WORDS)}) GROUP BY term)
 ORDER BY cf DESC, term LIMIT {tx.VOCAB_TRAIN}""")
 def q_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5,000-term vocabulary (top corpus frequency, ties by term)."""
+    """The 5,000-term vocabulary (top corpus frequency, ties by term)."""
     d = read(spark, sf_dir, "documents", "doc_id", "text")
-    return FT.vocabulary(FT.term_stats(FT.doc_terms(d, stop_words=tx.STOP_WORDS)), tx.VOCAB_TRAIN)
+    return FT.top_terms(d, tx.VOCAB_TRAIN, stop_words=tx.STOP_WORDS)
 
 
 _TFIDF_SQL = f"""WITH dt AS ({doc_terms_sql('documents', tx.STOP_WORDS)}),

@@ -132,8 +132,23 @@ def q_register_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.register(standins.registrations(spark, sf_dir))
 
 
-@query("history_feedback", sql=ACCEPTED_SQL + """SELECT p.id, p.user_id, p.category, u.correct_category, u.correct_level, u.comment
-FROM prediction_history p LEFT JOIN upserted u ON u.prediction_id = p.id""")
+# the same over whole-number keys: hash joins of the log with itself, the last write by arg_max
+_FEEDBACK_SQL = f"""WITH h AS MATERIALIZED (
+  SELECT e.event_id, e.user_id, d.lang, {S.LEVEL_OF_LENGTH} AS level
+  FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT max(doc_id) + 1 FROM documents)),
+a AS MATERIALIZED (
+  SELECT c.event_id AS seq, c.event_id - c.event_id % 3 AS pid, c.ts,
+    CASE WHEN c.event_id % 5 <> 0 THEN (['backend', 'frontend', 'data_science', 'analytics'])[c.event_id % 4 + 1] END AS correct_category,
+    CASE WHEN c.event_id % 7 <> 0 THEN (['intern', 'junior', 'middle', 'senior'])[c.event_id % 4 + 1] END AS correct_level,
+    CASE WHEN c.value > 40 THEN 'comment ' || CAST(c.event_id AS VARCHAR) END AS comment
+  FROM events c SEMI JOIN h ON h.event_id = c.event_id - c.event_id % 3 AND h.user_id = c.user_id WHERE c.event_type = 'click'),
+u AS MATERIALIZED (
+  SELECT pid, arg_max(struct_pack(c := correct_category, l := correct_level, m := comment), struct_pack(t := ts, s := seq)) AS v FROM a GROUP BY pid)
+"""
+
+
+@query("history_feedback", sql=_FEEDBACK_SQL + """SELECT 'p' || CAST(event_id AS VARCHAR) AS id, 'u' || CAST(user_id AS VARCHAR) AS user_id, lang AS category,
+  u.v.c AS correct_category, u.v.l AS correct_level, u.v.m AS comment FROM h LEFT JOIN u ON u.pid = h.event_id""")
 def q_history_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions with their feedback (left join)."""
     hist, acc, _ = _accepted(spark, sf_dir)
@@ -141,9 +156,8 @@ def q_history_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("id", "user_id", "category", "correct_category", "correct_level", "comment")
 
 
-@query("retrain_set", sql=ACCEPTED_SQL + """SELECT p.id, coalesce(u.correct_category, p.category) AS category,
-  coalesce(u.correct_level, p.level) AS level, (u.correct_category IS NOT NULL OR u.correct_level IS NOT NULL) AS corrected
-FROM prediction_history p LEFT JOIN upserted u ON u.prediction_id = p.id""")
+@query("retrain_set", sql=_FEEDBACK_SQL + """SELECT 'p' || CAST(event_id AS VARCHAR) AS id, coalesce(u.v.c, lang) AS category, coalesce(u.v.l, level) AS level,
+  (u.v.c IS NOT NULL OR u.v.l IS NOT NULL) AS corrected FROM h LEFT JOIN u ON u.pid = h.event_id""")
 def q_retrain_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels corrected by feedback for retraining."""
     hist, acc, _ = _accepted(spark, sf_dir)

@@ -9,7 +9,7 @@ from jobtext import taxonomy as tx
 from jobtext.functions.text import clean_text
 from jobtext.operators import match as M
 from jobtext.operators import rank as R
-from jobtext.operators.skills import extract_skills
+from jobtext.operators.skills import extract_skills, extract_skills_by_table
 from jobtext.plans import standin_sql as S
 from jobtext.plans.registry import query
 from jobtext.sources import standins
@@ -17,6 +17,7 @@ from jobtext.session import materialize
 from jobtext.sources.tables import read
 
 SPACE = S.SPACE_CHARS
+WORD_CLASS = f"[{S.WORD_CHARS}]"
 WORD = S.WORD_CHARS
 
 
@@ -183,6 +184,24 @@ def q_extract_corpus_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_skills(d, dictionary=standins.CORPUS_SKILLS).select("doc_id", "skills")
 
 
+_PAIR = f"^({WORD_CLASS}+) ({WORD_CLASS}+) "
+
+
+@query("extract_skills_by_table", sql=f"""WITH d AS MATERIALIZED (
+  SELECT DISTINCT 'item ' || CAST(item_id AS VARCHAR) AS name, regexp_extract(lower(text), '{_PAIR}', 1) || ' ' || regexp_extract(lower(text), '{_PAIR}', 2) AS spelling
+  FROM benchmark WHERE regexp_matches(lower(text), '{_PAIR}')),
+t AS MATERIALIZED (SELECT doc_id, '|' || regexp_replace(lower(text), '[^{WORD} ]', '|', 'g') || '|' AS t FROM documents),
+m AS (SELECT doc_id, name FROM t, d WHERE contains(t, '|' || spelling || '|') OR contains(t, '|' || spelling || ' ') OR contains(t, ' ' || spelling || '|') OR contains(t, ' ' || spelling || ' '))
+SELECT doc_id, coalesce(list_sort(list(name) FILTER (name IS NOT NULL)), []::VARCHAR[]) AS skills FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id""")
+def q_extract_skills_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3 with a dictionary table: the first two words of each benchmark item as a phrase."""
+    low = F.lower("text")
+    items = read(spark, sf_dir, "benchmark", "item_id", "text").where(F.rlike(low, F.lit(_PAIR)))
+    spelling = F.concat_ws(" ", F.regexp_extract(low, _PAIR, 1), F.regexp_extract(low, _PAIR, 2))
+    dictionary = items.select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("name"), spelling.alias("spelling"))
+    return extract_skills_by_table(read(spark, sf_dir, "documents", "doc_id", "text"), dictionary)
+
+
 @query("clean_text", sql=f"""SELECT doc_id,
   trim(regexp_replace(regexp_replace(lower(text), '[^{WORD}{SPACE}+#./\\\\-]', ' ', 'g'), '[{SPACE}]+', ' ', 'g')) AS cleaned
 FROM documents""")

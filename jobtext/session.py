@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "jobtext",
-                  read_partitions: int | None = None, scratch: str | None = None) -> SparkSession:
+                  read_partitions: int | None = None) -> SparkSession:
     """A local session. ``read_partitions`` deals every table read out to that
     many tasks: the test tables are one row group each, which no task can share."""
     spark = (

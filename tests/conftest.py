@@ -1,5 +1,4 @@
 import sys
-import tempfile
 from pathlib import Path
 
 import pytest
@@ -14,7 +13,6 @@ SF001 = "/root/testdata/sf0.01"
 def spark():
     from jobtext.session import build_session
 
-    s = build_session(cores="*", shuffle_partitions=8, app="jobtext-tests", read_partitions=8,
-                      scratch=tempfile.mkdtemp(prefix="jobtext-tests-"))
+    s = build_session(cores="*", shuffle_partitions=8, app="jobtext-tests", read_partitions=8)
     yield s
     s.stop()
