@@ -5,8 +5,9 @@ one shingle of all its words). Lines match at Jaccard 0.8 or more. A line is
 removed if any earlier line of the corpus (by document, then line) matches it.
 
 Equal sets are one member of the join; sets of fewer than LEAST tokens match
-only equal ones. A first prefix filter, with the tokens in digest order, leaves the sets that share a prefix token with another set;
-only their tokens are counted, by a sketch of fixed size, and ordered by rarity.
+only equal ones. A first prefix filter, with the tokens in digest order, leaves
+the sets that share a prefix token with another set; their tokens are counted
+and ordered by rarity, the rarest first.
 Prefix, positional and length filters then act on classes (token, length,
 position) before any pair is formed, and each pair is verified on whole sets.
 """
@@ -25,8 +26,6 @@ WORDS = 5
 NUM, DEN = 4, 5
 #: Fewest tokens of a set that another one matches: 4 of 5 are the first to reach the similarity.
 LEAST = NUM // (DEN - NUM)
-#: Counters of the rarity sketch, a power of two; its size does not depend on the data.
-SKETCH = 1 << 14
 POS = ["none", *ROW, "line_no"]
 
 
@@ -70,26 +69,17 @@ def _candidates(lines: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(place, n, toks): the candidates' whole sets, tokens by rarity.
-
-    Rarity is a token's count among the candidates, taken from a sketch of
-    SKETCH counters: those of its counter's tokens together. A rank of the
-    counter replaces the token's bits that name the counter, so a token stays
-    one number and distinct tokens stay distinct."""
+    """(place, n, toks): the candidates' whole sets, tokens by rarity: by the
+    number of candidates that have them, then by digest. A token that no other
+    has counts one and needs no row in the table of counts."""
     every = docs.select(F.explode(F.split("text", "\n")).alias("line")).withColumn("line_key", F.xxhash64("line"))
     found = every.where(member(candidates, "line_key")(F.col("line_key"))).groupBy("line_key").agg(F.min("line").alias("line"))
-    rows = staged(found.join(candidates.select("place", "line_key"), "line_key").transform(_tokens("line")).select("place", "toks"), "sets")
-    rest = 64 - SKETCH.bit_length() + 1
-    counter = lambda t: F.shiftrightunsigned(t, rest).cast("int")
-    counts = rows.select(F.explode("toks").alias("t")).groupBy(counter(F.col("t")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    seen = {r.c: r.n for r in counts.collect()}
-    rank = [0] * SKETCH
-    for place, c in enumerate(sorted(range(SKETCH), key=lambda c: seen.get(c, 0))):
-        rank[c] = place - SKETCH // 2
-    ranks = F.split(F.lit(",".join(map(str, rank))), ",").cast("array<long>")
-    low = (1 << rest) - 1
-    recoded = F.transform("toks", lambda t: F.shiftleft(F.get(ranks, counter(t)), rest).bitwiseOR(t.bitwiseAND(low)))
-    return rows.select("place", F.size("toks").alias("n"), F.sort_array(recoded).alias("toks"))
+    # explode_outer: of a plain explode the optimizer infers a test of the tokens, which it would compute anew for each of them
+    rows = found.join(candidates.select("place", "line_key"), "line_key").transform(_tokens("line")).select("place", F.explode_outer("toks").alias("t"))
+    rows = staged(rows, "tokens")
+    counts = rows.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    known = rows.join(counts, "t", "left").groupBy("place").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "t"))).alias("s"))
+    return staged(known.select("place", F.size("s").alias("n"), F.col("s.t").alias("toks")), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
