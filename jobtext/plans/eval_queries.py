@@ -9,6 +9,7 @@ from jobtext import taxonomy as tx
 from jobtext.operators import evaluate as E
 from jobtext.operators import features as FT
 from jobtext.operators import naive_bayes as NB
+from jobtext.operators import squared_hinge as SVM
 from jobtext.plans import standin_sql as S
 from jobtext.plans.registry import query
 from jobtext.sources import standins
@@ -178,8 +179,8 @@ def q_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FT.tfidf(dt, idf).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-def nb_split_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train on the stratified train split, predict the test split."""
+def _split_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The stratified split's train and test rows, the vocabulary's idf from the train part, and both parts' TF-IDF weights."""
     shared_dir(spark)
     d = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     sp = materialize(E.stratified_split(d, "lang", "doc_id"))
@@ -188,14 +189,32 @@ def nb_split_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     dt_train = materialize(FT.doc_terms(train))  # read for the vocabulary and the weights
     idf = materialize(FT.idf_table(FT.vocabulary(FT.term_stats(dt_train), tx.VOCAB_COMPARE),
                                    train.agg(F.count(F.lit(1))).scalar()))
+    return train, test, idf, FT.tfidf(dt_train, idf), FT.tfidf(FT.doc_terms(test), idf)
+
+
+def nb_split_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train on the stratified train split, predict the test split."""
+    train, test, idf, w_train, w_test = _split_features(spark, sf_dir)
     v = idf.count()  # vocabulary size (a number)
-    w_train = FT.tfidf(dt_train, idf)
     model = NB.fit(w_train, train.select("doc_id", F.col("lang").alias("label")), v)
-    w_test = FT.tfidf(FT.doc_terms(test), idf)
     pred = model.predict(test.select("doc_id"), w_test)
     return test.select("doc_id", F.col("lang").alias("true_label")).join(pred, "doc_id")
 
 
+@query("svm_predict")
+def q_svm_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: squared-hinge SVM with balanced weights on the train split; labels and
+    largest decision value of the test split."""
+    train, test, idf, w_train, w_test = _split_features(spark, sf_dir)
+    terms = sorted(r.term for r in idf.select("term").collect())  # the capped vocabulary
+    classes = E.class_weights(train, "lang").select(F.col("label").alias("lang"), "weight")
+    rows = train.select("doc_id", "lang").join(classes, "lang").join(SVM.sparse_rows(w_train, terms), "doc_id", "left")
+    model = SVM.fit(rows, len(terms), label_col="lang", weight_col="weight")
+    found = model.decide(test.select("doc_id").join(SVM.sparse_rows(w_test, terms), "doc_id", "left"))
+    found = found.select("doc_id", "predicted_label", F.round(F.array_max("scores"), 4).alias("score"))
+    return test.select("doc_id", F.col("lang").alias("true_label")).join(found, "doc_id")
+
+
 _NB_SQL = f"""WITH sp AS {split_sql('documents', 'lang')},
 train AS (SELECT doc_id, text, lang FROM sp WHERE NOT is_test),
 test AS (SELECT doc_id, text, lang FROM sp WHERE is_test),
