@@ -5,10 +5,11 @@ one shingle of all its words). Lines match at Jaccard 0.8 or more. A line is
 removed if any earlier line of the corpus (by document, then line) matches it.
 
 Equal sets are one member of the join; sets of fewer than LEAST tokens match
-only equal ones. A first prefix filter, with the tokens in digest order, leaves the sets that share a prefix token with another set;
-only their tokens are counted, by a sketch of fixed size, and ordered by rarity.
-Prefix, positional and length filters then act on classes (token, length,
-position) before any pair is formed, and each pair is verified on whole sets.
+only equal ones. A first prefix filter, with the tokens in digest order, leaves
+the sets that share a prefix token with another set; only their tokens are
+counted, by a sketch of fixed size, and ordered by rarity. Prefix, positional
+and length filters then act on classes (token, length, position) before any
+pair is formed, and each pair is verified on whole sets.
 """
 
 from __future__ import annotations
