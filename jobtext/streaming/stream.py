@@ -11,6 +11,7 @@ update.
 from __future__ import annotations
 
 from collections.abc import Callable
+from fnmatch import fnmatch
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, Window
@@ -47,10 +48,15 @@ def latest_per_key(sink_df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def file_stream(spark: SparkSession, folder: str, file_glob: str, schema: str, max_bytes: int | None = None) -> DataFrame:
-    """A file stream over ``folder`` restricted to files matching ``file_glob``;
-    ``max_bytes`` (64 GiB, say) is what a micro-batch takes in, all by default."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-    return (reader.option("maxBytesPerTrigger", max_bytes) if max_bytes else reader).parquet(folder)
+    """A file stream over what matches ``file_glob`` in ``folder``: files, or
+    tables that are folders of part files; ``max_bytes`` (64 GiB, say) is what a
+    micro-batch takes in, all by default."""
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxBytesPerTrigger", max_bytes) if max_bytes else reader
+    files = spark.read.schema(schema).parquet(f"{folder}/{file_glob}").inputFiles()
+    if files and fnmatch(files[0].rsplit("/", 2)[-2], file_glob):
+        return reader.parquet(f"{folder}/{file_glob}")
+    return reader.option("pathGlobFilter", file_glob).parquet(folder)
 
 
 class Arriving:
