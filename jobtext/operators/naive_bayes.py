@@ -60,10 +60,12 @@ class NaiveBayesModel:
 def fit(weights: DataFrame, labels: DataFrame, vocab_size: int, alpha: float = 1.0,
         id_col: str = "doc_id", label_col: str = "label") -> NaiveBayesModel:
     """``weights``: (doc_id, term, weight) of the training documents;
-    ``labels``: (doc_id, label).  Collects only the class-sized parameters."""
+    ``labels``: (doc_id, label), joined to the weights unless these carry the
+    label.  Collects only the class-sized parameters."""
     lab = labels.select(id_col, F.col(label_col).alias("label"))
     # classes x vocabulary, read twice below
-    fc = materialize(weights.join(lab, id_col).groupBy("label", "term").agg(F.sum("weight").alias("fc")))
+    known = weights if "label" in weights.columns else weights.join(lab, id_col)
+    fc = materialize(known.groupBy("label", "term").agg(F.sum("weight").alias("fc")))
     la = math.log(alpha)
     cells = fc.select("label", "term", (F.log(F.col("fc") + F.lit(alpha)) - F.lit(la)).alias("lt"))
     s_c = fc.groupBy("label").agg(F.sum("fc").alias("S"))

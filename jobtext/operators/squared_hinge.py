@@ -34,14 +34,6 @@ GROUPS, MAX_WEIGHTS = 16, 10_000_000
 MEMORY, TOLERANCE, MAX_STEPS = 10, 1e-5, 500
 
 
-def sparse_rows(weights: DataFrame, vocabulary: list[str], id_col: str = "doc_id") -> DataFrame:
-    """(id, term, weight) to (id, indices, values) by the terms' places in ``vocabulary``."""
-    spark = weights.sparkSession
-    places = spark.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
-    found = weights.join(places, "term").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("x"))
-    return found.select(id_col, F.col("x.i").alias("indices"), F.col("x.weight").alias("values"))
-
-
 class SquaredHinge:
     """``labels``: the classes, sorted; ``weights``: a row for each, the intercept last."""
 

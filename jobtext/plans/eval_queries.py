@@ -174,30 +174,29 @@ def q_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2: smooth-idf TF-IDF weights (L2-normalised) over the 5,000-term vocabulary."""
     shared_dir(spark)
     d = read(spark, sf_dir, "documents", "doc_id", "text")
-    dt = materialize(FT.doc_terms(d, stop_words=tx.STOP_WORDS))  # read for the vocabulary and the weights
-    idf = FT.idf_table(FT.vocabulary(FT.term_stats(dt), tx.VOCAB_TRAIN), d.agg(F.count(F.lit(1))).scalar())
-    return FT.tfidf(dt, idf).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    idf = FT.idf_table(FT.top_terms(d, tx.VOCAB_TRAIN, stop_words=tx.STOP_WORDS), d.count())
+    rows, terms = FT.tfidf_rows(d, idf, stop_words=tx.STOP_WORDS)
+    return FT.by_term(rows, terms, "doc_id").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-def _split_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The stratified split's train and test rows, the vocabulary's idf from the train part, and both parts' TF-IDF weights."""
+def _split_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list[str]]:
+    """The stratified split's train and test rows, both parts' TF-IDF rows with their label, and the vocabulary of the train part."""
     shared_dir(spark)
     d = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     sp = materialize(E.stratified_split(d, "lang", "doc_id"))
     train = sp.filter(~F.col("is_test"))
     test = sp.filter(F.col("is_test"))
-    dt_train = materialize(FT.doc_terms(train))  # read for the vocabulary and the weights
-    idf = materialize(FT.idf_table(FT.vocabulary(FT.term_stats(dt_train), tx.VOCAB_COMPARE),
-                                   train.agg(F.count(F.lit(1))).scalar()))
-    return train, test, idf, FT.tfidf(dt_train, idf), FT.tfidf(FT.doc_terms(test), idf)
+    idf = FT.idf_table(FT.top_terms(train, tx.VOCAB_COMPARE), train.count())
+    x_train, terms = FT.tfidf_rows(train, idf, "lang")
+    return train, test, x_train, FT.tfidf_rows(test, idf, "lang")[0], terms
 
 
 def nb_split_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the stratified train split, predict the test split."""
-    train, test, idf, w_train, w_test = _split_features(spark, sf_dir)
-    v = idf.count()  # vocabulary size (a number)
-    model = NB.fit(w_train, train.select("doc_id", F.col("lang").alias("label")), v)
-    pred = model.predict(test.select("doc_id"), w_test)
+    train, test, x_train, x_test, terms = _split_features(spark, sf_dir)
+    weights = FT.by_term(x_train, terms, "doc_id", "lang").withColumnRenamed("lang", "label")
+    model = NB.fit(weights, train.select("doc_id", F.col("lang").alias("label")), len(terms))
+    pred = model.predict(test.select("doc_id"), FT.by_term(x_test, terms, "doc_id"))
     return test.select("doc_id", F.col("lang").alias("true_label")).join(pred, "doc_id")
 
 
@@ -205,12 +204,10 @@ def nb_split_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_svm_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: squared-hinge SVM with balanced weights on the train split; labels and
     largest decision value of the test split."""
-    train, test, idf, w_train, w_test = _split_features(spark, sf_dir)
-    terms = sorted(r.term for r in idf.select("term").collect())  # the capped vocabulary
+    train, test, x_train, x_test, terms = _split_features(spark, sf_dir)
     classes = E.class_weights(train, "lang").select(F.col("label").alias("lang"), "weight")
-    rows = train.select("doc_id", "lang").join(classes, "lang").join(SVM.sparse_rows(w_train, terms), "doc_id", "left")
-    model = SVM.fit(rows, len(terms), label_col="lang", weight_col="weight")
-    found = model.decide(test.select("doc_id").join(SVM.sparse_rows(w_test, terms), "doc_id", "left"))
+    model = SVM.fit(x_train.join(classes, "lang"), len(terms), label_col="lang", weight_col="weight")
+    found = model.decide(x_test)
     found = found.select("doc_id", "predicted_label", F.round(F.array_max("scores"), 4).alias("score"))
     return test.select("doc_id", F.col("lang").alias("true_label")).join(found, "doc_id")
 
