@@ -2,11 +2,12 @@
 
 Featurizer (fitted on the training split only):
   RegexTokenizer (runs of >= 2 word characters, lower-cased) -> optional
-  StopWordsRemover -> NGram(2) -> unigrams ++ bigrams -> CountVectorizer
-  (vocabulary = top terms by corpus frequency) -> tf * (idf + 1) -> L2 norm.
-Spark's IDF is ln((n+1)/(df+1)); the smooth idf being reproduced adds 1, so
-the fitted idf vector (vocabulary-sized) is shifted and applied with
-ElementwiseProduct.
+  StopWordsRemover -> NGram(2) -> unigrams ++ bigrams -> counts over the
+  vocabulary (top terms by corpus frequency, ties by term) -> tf * idf -> L2
+  norm.
+The vocabulary and its df come from ``features.top_terms``: CountVectorizer's
+own fit keeps every distinct term of the corpus as an object in memory. The
+smooth idf ln((n+1)/(df+1)) + 1 is applied with ElementwiseProduct.
 
 Classifiers, with balanced class weights n / (k * n_c) as a weight column:
   logistic regression (multinomial, L2, regParam = 1/N: the C = 1 objective
@@ -17,12 +18,13 @@ Classifiers, with balanced class weights n / (k * n_c) as a weight column:
 
 from __future__ import annotations
 
+import math
 import time
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.feature import (
-    CountVectorizer, ElementwiseProduct, IDF, IndexToString, NGram, Normalizer, RegexTokenizer,
+    CountVectorizerModel, ElementwiseProduct, IndexToString, NGram, Normalizer, RegexTokenizer,
     SQLTransformer, StopWordsRemover, StringIndexer,
 )
 from pyspark.ml.functions import vector_to_array
@@ -35,6 +37,7 @@ from jobtext.session import materialize
 from jobtext.functions.scoring import blended_confidence, softmax
 from jobtext.functions.text import WORD
 from jobtext.operators import evaluate as E
+from jobtext.operators import features as FT
 
 MODEL_NAMES = ["logistic_regression", "linear_svc", "multinomial_nb"]
 
@@ -48,15 +51,13 @@ def fit_featurizer(train: DataFrame, max_features: int, stop_words: list[str] |
     if stop_words:
         stages.append(StopWordsRemover(inputCol="_tok", outputCol="_uni", stopWords=stop_words, caseSensitive=True))
         uni = "_uni"
-    stages += [
+    vocab = FT.top_terms(train, max_features, text_col=text_col, stop_words=stop_words).orderBy(F.col("cf").desc(), "term").collect()
+    n = train.count()
+    scale = Vectors.dense([math.log((n + 1) / (r.df + 1)) + 1.0 for r in vocab])  # vocabulary-sized
+    return PipelineModel(stages=stages + [
         NGram(n=2, inputCol=uni, outputCol="_bi"),
         SQLTransformer(statement=f"SELECT *, concat({uni}, _bi) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features, minDF=1.0),
-    ]
-    counts = Pipeline(stages=stages).fit(train)
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(counts.transform(train)).idf.toArray()
-    scale = Vectors.dense(idf + 1.0)  # vocabulary-sized
-    return PipelineModel(stages=counts.stages + [
+        CountVectorizerModel.from_vocabulary([r.term for r in vocab], inputCol="_terms", outputCol="_tf"),
         ElementwiseProduct(scalingVec=scale, inputCol="_tf", outputCol="_tfidf"),
         Normalizer(p=2.0, inputCol="_tfidf", outputCol="features"),
     ])
@@ -96,12 +97,12 @@ def classifier(name: str, n_rows: int, label: str = "_label", weight: str = "_w"
 
 def fit_classifier(features: DataFrame, label_col: str, name: str) -> PipelineModel:
     """Label indexer (alphabetical) + classifier + label decoder, fitted on featurized rows."""
-    data = with_class_weights(features, label_col).cache()
+    # the classifiers keep their own blocks of the rows in memory: no second copy here
+    data = with_class_weights(features.select(label_col, "features"), label_col)
     n = data.count()
     indexer = StringIndexer(inputCol=label_col, outputCol="_label", stringOrderType="alphabetAsc").fit(data)
     decode = IndexToString(inputCol="_pred", outputCol="predicted_label", labels=indexer.labels)
     model = classifier(name, n).fit(indexer.transform(data))
-    data.unpersist()
     return PipelineModel(stages=[model, decode])
 
 
@@ -128,7 +129,7 @@ class TextModels:
     def train(train: DataFrame, max_features: int, stop_words: list[str] | None, version: str,
               name: str = "logistic_regression") -> "TextModels":
         feat = fit_featurizer(train, max_features, stop_words)
-        x = materialize(featurize(feat, train))  # fitted twice below; cut lineage once
+        x = materialize(featurize(feat, train).select("category", "level", "features"))  # fitted twice below; cut lineage once
         return TextModels(feat, fit_classifier(x, "category", name), fit_classifier(x, "level", name), version)
 
     def score(self, texts: DataFrame) -> DataFrame:
@@ -172,7 +173,7 @@ def compare(spark, data: DataFrame, targets: list[str], max_features: int, model
         train, test = sp.filter(~F.col("is_test")), sp.filter(F.col("is_test"))
         t0 = time.perf_counter()
         feat = fit_featurizer(train, max_features)
-        xtr = materialize(featurize(feat, train))
+        xtr = materialize(featurize(feat, train).select(target, "features"))
         feat_sec = time.perf_counter() - t0
         n_test = test.count()
         for name in names or MODEL_NAMES:
