@@ -6,16 +6,20 @@ For every class c it minimises
 
 with y_ic = 1 if row i is of class c, else -1, s_i the row's weight and the
 intercept as the weight of one more feature that is always 1. The classes share
-no weights, so one L-BFGS run over all of them is as good as one for each. A
-step reads the rows once: every task adds up its rows' part of the gradient, an
-array of classes × features, and the tasks' parts are added in a few groups
-before the driver adds those. Rows are sparse and stay where they were written.
+no weights, but each pass over the rows serves all of them.
+
+Newton steps with halving; a step solves the Newton system by conjugate gradients,
+whose products with the Hessian see only the rows inside the margin of some
+class. These are picked exactly from all rows at each step and kept for its
+products. In a pass every task adds up its rows' part, an array of classes ×
+features, and the driver adds the tasks' parts, or those of a few groups of them
+if they are large. Rows are packed, thousands to a row of a few byte strings, and
+stay where they were written.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,10 +32,17 @@ from pyspark.sql import functions as F
 from jobtext.operators.evaluate import MAX_CLASSES
 from jobtext.session import materialize
 
-#: Groups in which the tasks' gradients are added; weights (classes × features) at most, some 80 MB.
+#: Groups in which the tasks' parts are added; weights (classes × features) at most, some 80 MB.
 GROUPS, MAX_WEIGHTS = 16, 10_000_000
-#: Remembered steps; a gradient this much smaller than the first ends the search; steps at most.
-MEMORY, TOLERANCE, MAX_STEPS = 10, 1e-5, 500
+#: A gradient this much smaller than the first ends the search; steps at most.
+TOLERANCE, MAX_STEPS = 1e-5, 500
+#: A step's system is solved to this share of the gradient, or by so many products.
+FORCING, MAX_PRODUCTS = 0.1, 200
+#: Entries of a packed block; bytes of all tasks' parts that go to the driver ungrouped.
+BLOCK_ENTRIES, UNGROUPED = 1 << 20, 64 << 20
+
+_PACKED = ["y", "s", "sizes", "indices", "values"]
+_TYPES = dict(zip([*_PACKED, "curve"], [np.int32, np.float64, np.int32, np.int32, np.float64, np.float64]))
 
 
 class SquaredHinge:
@@ -66,52 +77,145 @@ def _scores(row: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int, w:
     return np.stack([np.bincount(row, value * wk[feature], n) for wk in w])
 
 
-def _part(batch: pa.RecordBatch, w: np.ndarray, c: float) -> tuple[float, np.ndarray]:
-    """Loss and gradient of a batch of rows (y, s, indices, values)."""
-    row, feature, value = _matrix(batch, w.shape[1] - 1)
-    own, s = batch.column("y").to_numpy(), batch.column("s").to_numpy()
-    y = np.where(np.arange(len(w))[:, None] == own, 1.0, -1.0)
-    gap = np.maximum(0.0, 1.0 - y * _scores(row, feature, value, batch.num_rows, w))
-    pull = -2.0 * c * s * y * gap
-    return float(c * (s * gap * gap).sum()), np.stack([np.bincount(feature, pull_k[row] * value, w.shape[1]) for pull_k in pull])
+class _Block:
+    """Rows as flat arrays: class, weight and number of entries of each row, then the entries."""
+
+    def __init__(self, y: np.ndarray, s: np.ndarray, sizes: np.ndarray, indices: np.ndarray, values: np.ndarray, curve: np.ndarray | None = None):
+        self.y, self.s, self.sizes, self.indices, self.values, self.curve = y, s, sizes, indices.astype(np.int64), values, curve
+        self.full = np.flatnonzero(sizes)
+        self.starts = (np.cumsum(sizes) - sizes)[self.full]
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        out = np.repeat(w[:, -1:], len(self.sizes), axis=1)
+        if len(self.full):
+            for k, wk in enumerate(w):
+                out[k, self.full] += np.add.reduceat(wk[self.indices] * self.values, self.starts)
+        return out
+
+    def summed(self, pull: np.ndarray, n_features: int) -> np.ndarray:
+        """Σ pull_i x_i for each row of ``pull``."""
+        return np.stack([np.append(np.bincount(self.indices, np.repeat(p, self.sizes) * self.values, n_features), p.sum()) for p in pull])
+
+    def gaps(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sign = np.where(np.arange(len(w))[:, None] == self.y, 1.0, -1.0)
+        return sign, np.maximum(0.0, 1.0 - sign * self.scores(w))
+
+    def inside(self, w: np.ndarray, c: float) -> "_Block | None":
+        """The rows inside the margin of some class, with the loss's curvature 2 c s there and zero elsewhere, by class."""
+        curve = 2.0 * c * self.s * (self.gaps(w)[1] > 0)
+        some = curve.any(axis=0)
+        if not some.any():
+            return None
+        entries = np.repeat(some, self.sizes)
+        return _Block(self.y[some], self.s[some], self.sizes[some], self.indices[entries], self.values[entries], curve[:, some])
+
+
+def _packed(blocks: list[_Block], names: list[str]) -> pa.RecordBatch:
+    cells = [pa.array([np.ascontiguousarray(getattr(b, x), _TYPES[x]).tobytes() for b in blocks], pa.binary()) for x in names]
+    return pa.RecordBatch.from_arrays(cells, names)
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[_Block]:
+    """The blocks of a batch of packed rows, or of plain ones (y, s, indices, values)."""
+    if "sizes" in batch.schema.names:
+        for cells in zip(*[batch.column(x) for x in batch.schema.names]):
+            found = {x: np.frombuffer(v.as_buffer(), _TYPES[x]) for x, v in zip(batch.schema.names, cells)}
+            if "curve" in found:
+                found["curve"] = found["curve"].reshape(-1, len(found["sizes"]))
+            yield _Block(**found)
+        return
+    sizes = pc.fill_null(pc.list_value_length(batch.column("indices")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = [batch.column(x).flatten().to_numpy(zero_copy_only=False).astype(_TYPES[x]) for x in ("indices", "values")]
+    y, s, end = batch.column("y").to_numpy(), batch.column("s").to_numpy(), np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        low = end[first] - sizes[first]
+        last = max(first + 1, int(np.searchsorted(end, low + BLOCK_ENTRIES, "right")))
+        yield _Block(y[first:last], s[first:last], sizes[first:last], *[x[low : end[last - 1]] for x in flat])
+        first = last
 
 
-def _evaluate(rows: DataFrame, w: np.ndarray, c: float) -> tuple[float, np.ndarray]:
-    """The objective and its gradient at ``w``."""
-    shape = w.shape
+def _each(rows: DataFrame, names: list[str], change: Callable[[_Block], "_Block | None"] = lambda block: block) -> DataFrame:
+    """Packed rows: each block after ``change``, none for None."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loss, grad = 0.0, np.zeros(shape)
         for b in batches:
-            one, part = _part(b, w, c)
-            loss, grad = loss + one, grad + part
-        which = TaskContext.get().partitionId() % GROUPS
-        yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([loss]), pa.array([grad.tobytes()], pa.binary())], ["part", "loss", "grad"])
+            for block in _blocks(b):
+                new = change(block)
+                if new is not None:
+                    yield _packed([new], names)
+
+    return rows.mapInArrow(work, ", ".join(f"{x} binary" for x in names))
+
+
+def _added(rows: DataFrame, shape: tuple[int, int], add: Callable[[_Block, np.ndarray], None], ungrouped: bool = False) -> np.ndarray:
+    """An array to which ``add`` has added every block's part."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(shape)
+        for b in batches:
+            for block in _blocks(b):
+                add(block, out)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["part", "out"])
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
-        grad = np.sum([np.frombuffer(g) for g in group["grad"]], axis=0)
-        return pd.DataFrame({"part": [group["part"].iloc[0]], "loss": [group["loss"].sum()], "grad": [grad.tobytes()]})
+        group = group.sort_values("part")
+        return pd.DataFrame({"part": [group["part"].iloc[0]], "out": [np.sum([np.frombuffer(x) for x in group["out"]], axis=0).tobytes()]})
 
-    kind = "part int, loss double, grad binary"
-    parts = rows.mapInArrow(work, kind).groupBy("part").applyInPandas(total, kind).collect()
+    kind = "part int, out binary"
+    parts = rows.mapInArrow(work, kind)
+    if not ungrouped:
+        parts = parts.groupBy(F.col("part") % GROUPS).applyInPandas(total, kind)
     # in one order, so that the sum does not depend on which part came first
-    parts = sorted(parts, key=lambda r: r.part)
-    return 0.5 * float((w * w).sum()) + sum(r.loss for r in parts), w + sum((np.frombuffer(r.grad).reshape(shape) for r in parts), np.zeros(shape))
+    return sum((np.frombuffer(r.out).reshape(shape) for r in sorted(parts.collect(), key=lambda r: r.part)), np.zeros(shape))
+
+
+def _by_class(rows: DataFrame, w: np.ndarray, c: float, ungrouped: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The objective of each class and its gradient at ``w``."""
+    n_features = w.shape[1] - 1
 
+    def add(block: _Block, out: np.ndarray) -> None:
+        sign, gap = block.gaps(w)
+        out[:, 0] += c * (block.s * gap * gap).sum(axis=1)
+        out[:, 1:] += block.summed(-2.0 * c * block.s * sign * gap, n_features)
 
-def _direction(grad: np.ndarray, steps: deque) -> np.ndarray:
-    """The two-loop product of the remembered steps (s, y) with the gradient."""
-    q, kept = grad.copy(), []
-    for s, y in reversed(steps):
-        a = (s * q).sum() / (s * y).sum()
-        q -= a * y
-        kept.append(a)
-    if steps:
-        s, y = steps[-1]
-        q *= (s * y).sum() / (y * y).sum()
-    for (s, y), a in zip(steps, reversed(kept)):
-        q += s * (a - (y * q).sum() / (s * y).sum())
-    return -q
+    out = _added(rows, (len(w), n_features + 2), add, ungrouped)
+    return 0.5 * (w * w).sum(axis=1) + out[:, 0], w + out[:, 1:]
+
+
+def _evaluate(rows: DataFrame, w: np.ndarray, c: float) -> tuple[float, np.ndarray]:
+    """The objective of all classes and its gradient at ``w``."""
+    loss, grad = _by_class(rows, w, c)
+    return float(loss.sum()), grad
+
+
+def _products(inside: DataFrame, v: np.ndarray, which: np.ndarray, ungrouped: bool = False) -> np.ndarray:
+    """The Hessian of each class of ``which`` times its row of ``v``."""
+    n_features = v.shape[1] - 1
+
+    def add(block: _Block, out: np.ndarray) -> None:
+        out += block.summed(block.curve[which] * block.scores(v), n_features)
+
+    return v + _added(inside, v.shape, add, ungrouped)
+
+
+def _newton(inside: DataFrame, grad: np.ndarray, ungrouped: bool) -> np.ndarray:
+    """A step for each class by conjugate gradients; none where the gradient is zero."""
+    step, rest = np.zeros_like(grad), -grad
+    way, size = rest.copy(), (rest * rest).sum(axis=1)
+    enough = FORCING**2 * size
+    for _ in range(MAX_PRODUCTS):
+        which = np.flatnonzero(size > enough)
+        if not len(which):
+            break
+        bent = _products(inside, way[which], which, ungrouped)
+        by = (size[which] / (way[which] * bent).sum(axis=1))[:, None]
+        step[which] += by * way[which]
+        rest[which] -= by * bent
+        new = (rest[which] * rest[which]).sum(axis=1)
+        way[which] = rest[which] + (new / size[which])[:, None] * way[which]
+        size[which] = new
+    return step
 
 
 def fit(rows: DataFrame, n_features: int, c: float = 1.0, label_col: str = "label", weight_col: str | None = None) -> SquaredHinge:
@@ -125,23 +229,25 @@ def fit(rows: DataFrame, n_features: int, c: float = 1.0, label_col: str = "labe
     places = known.sparkSession.createDataFrame(list(zip(labels, range(len(labels)))), "_label string, y int")
     s = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     data = known.join(F.broadcast(places), F.col(label_col) == F.col("_label"))  # at most MAX_CLASSES rows
-    data = materialize(data.select("y", s.alias("s"), "indices", "values"))
+    data = materialize(_each(data.select("y", s.alias("s"), "indices", "values"), _PACKED))
     w = np.zeros((len(labels), n_features + 1))
-    loss, grad = _evaluate(data, w, c)
-    first, steps = np.abs(grad).max(), deque(maxlen=MEMORY)
+    ungrouped = data.rdd.getNumPartitions() * w.nbytes <= UNGROUPED
+    loss, grad = _by_class(data, w, c, ungrouped)
+    enough = TOLERANCE * max(np.abs(grad).max(), 1e-300)
     for _ in range(MAX_STEPS):
-        if np.abs(grad).max() <= TOLERANCE * max(first, 1e-300):
+        open_ = np.abs(grad).max(axis=1) > enough
+        if not open_.any():
             break
-        way = _direction(grad, steps)
-        slope, size = float((way * grad).sum()), 1.0 if steps else 1.0 / np.abs(grad).sum()
+        inside = _each(data, [*_PACKED, "curve"], lambda block, w=w: block.inside(w, c)).persist()
+        step = _newton(inside, np.where(open_[:, None], grad, 0.0), ungrouped)
+        inside.unpersist()
+        slope, size = (step * grad).sum(axis=1), np.ones(len(labels))
         while True:
-            new = w + size * way
-            new_loss, new_grad = _evaluate(data, new, c)
-            if new_loss <= loss + 1e-4 * size * slope or size < 1e-12:
+            new = w + size[:, None] * step
+            new_loss, new_grad = _by_class(data, new, c, ungrouped)
+            far = (new_loss > loss + 1e-4 * size * slope) & (size >= 1e-12) & open_
+            if not far.any():
                 break
-            size /= 2
-        step, change = new - w, new_grad - grad
-        if (step * change).sum() > 0:
-            steps.append((step, change))
+            size[far] /= 2
         w, loss, grad = new, new_loss, new_grad
     return SquaredHinge(labels, w)

@@ -206,7 +206,7 @@ def q_svm_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     largest decision value of the test split."""
     train, test, x_train, x_test, terms = _split_features(spark, sf_dir)
     classes = E.class_weights(train, "lang").select(F.col("label").alias("lang"), "weight")
-    model = SVM.fit(x_train.join(classes, "lang"), len(terms), label_col="lang", weight_col="weight")
+    model = SVM.fit(x_train.join(F.broadcast(classes), "lang"), len(terms), label_col="lang", weight_col="weight")
     found = model.decide(x_test)
     found = found.select("doc_id", "predicted_label", F.round(F.array_max("scores"), 4).alias("score"))
     return test.select("doc_id", F.col("lang").alias("true_label")).join(found, "doc_id")
