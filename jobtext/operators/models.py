@@ -11,9 +11,9 @@ smooth idf ln((n+1)/(df+1)) + 1 is applied with ElementwiseProduct.
 
 Classifiers, with balanced class weights n / (k * n_c) as a weight column:
   logistic regression (multinomial, L2, regParam = 1/N: the C = 1 objective
-  divided by the total weight), one-vs-rest linear SVM, multinomial naive
-  Bayes.  Labels are indexed alphabetically, so arg-max ties go to the first
-  label in alphabetical order.
+  divided by the total weight), one-vs-rest linear SVM on the squared hinge
+  (``squared_hinge``), multinomial naive Bayes.  Labels are indexed
+  alphabetically, so arg-max ties go to the first label in alphabetical order.
 """
 
 from __future__ import annotations
@@ -21,14 +21,18 @@ from __future__ import annotations
 import math
 import time
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import (
     CountVectorizerModel, ElementwiseProduct, IndexToString, NGram, Normalizer, RegexTokenizer,
     SQLTransformer, StopWordsRemover, StringIndexer,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +42,7 @@ from jobtext.functions.scoring import blended_confidence, softmax
 from jobtext.functions.text import WORD
 from jobtext.operators import evaluate as E
 from jobtext.operators import features as FT
+from jobtext.operators import squared_hinge as SVM
 
 MODEL_NAMES = ["logistic_regression", "linear_svc", "multinomial_nb"]
 
@@ -70,10 +75,34 @@ def featurize(featurizer: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label_col: str) -> DataFrame:
-    """Balanced weights joined from the class-sized weight table (A13), which
-    AQE broadcasts if it is small when it is there."""
+    """Balanced weights joined from the class-sized weight table (A13). It is
+    broadcast: dealt by label, the rows of a large class would go to one task."""
     w = E.class_weights(df, label_col).select(F.col("label").alias(label_col), F.col("weight").alias("_w"))
-    return df.join(w, label_col)
+    return df.join(F.broadcast(w), label_col)
+
+
+class DecisionScores(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Decision scores of one linear function for each class, and the class of
+    the largest (the first of equal ones); ``weights`` holds the classes' weights
+    one after the other, each with its intercept last."""
+
+    weights = Param(Params._dummy(), "weights", "weights and intercept of each class in turn", typeConverter=TypeConverters.toListFloat)
+    classes = Param(Params._dummy(), "classes", "number of classes", typeConverter=TypeConverters.toInt)
+
+    @staticmethod
+    def of(weights: np.ndarray) -> "DecisionScores":
+        return DecisionScores()._set(weights=weights.ravel().tolist(), classes=len(weights))
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        w = np.array(self.getOrDefault("weights")).reshape(self.getOrDefault("classes"), -1)
+
+        def decide(indices: pa.Array, values: pa.Array) -> pa.Array:
+            return pa.array(list(SVM.decisions(indices, values, w).T), pa.list_(pa.float64()))
+
+        scores = F.arrow_udf(decide, "array<double>")(*SVM.entries("_x"))
+        out = dataset.withColumn("_x", F.unwrap_udt("features")).withColumn("_scores", scores)
+        best = F.array_position("_scores", F.array_max("_scores")) - 1
+        return out.withColumn("rawPrediction", array_to_vector("_scores")).withColumn("_pred", best.cast("double")).drop("_x", "_scores")
 
 
 def classifier(name: str, n_rows: int, label: str = "_label", weight: str = "_w"):
@@ -82,13 +111,6 @@ def classifier(name: str, n_rows: int, label: str = "_label", weight: str = "_w"
                                   regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False,
                                   maxIter=1000, tol=1e-4, predictionCol="_pred", probabilityCol="_prob",
                                   rawPredictionCol="_raw")
-    if name == "linear_svc":
-        svc = LinearSVC(featuresCol="features", labelCol=label, weightCol=weight, regParam=1.0 / max(n_rows, 1),
-                        standardization=False, maxIter=1000, tol=1e-4)
-        # (one-vs-rest keeps its scores in the default rawPrediction column)
-        # the per-class binary fits are independent: run them concurrently
-        return OneVsRest(classifier=svc, featuresCol="features", labelCol=label, weightCol=weight,
-                         predictionCol="_pred", parallelism=8)
     if name == "multinomial_nb":
         return NaiveBayes(featuresCol="features", labelCol=label, modelType="multinomial", smoothing=1.0,
                           predictionCol="_pred", probabilityCol="_prob", rawPredictionCol="_raw")
@@ -99,6 +121,10 @@ def fit_classifier(features: DataFrame, label_col: str, name: str) -> PipelineMo
     """Label indexer (alphabetical) + classifier + label decoder, fitted on featurized rows."""
     # the classifiers keep their own blocks of the rows in memory: no second copy here
     data = with_class_weights(features.select(label_col, "features"), label_col)
+    if name == "linear_svc":
+        x = data.select(label_col, "_w", F.unwrap_udt("features").alias("_x")).select(label_col, "_w", *SVM.entries("_x"))
+        found = SVM.fit(x, data.select("features").first()[0].size, label_col=label_col, weight_col="_w")
+        return PipelineModel(stages=[DecisionScores.of(found.weights), IndexToString(inputCol="_pred", outputCol="predicted_label", labels=found.labels)])
     n = data.count()
     indexer = StringIndexer(inputCol=label_col, outputCol="_label", stringOrderType="alphabetAsc").fit(data)
     decode = IndexToString(inputCol="_pred", outputCol="predicted_label", labels=indexer.labels)
@@ -112,7 +138,7 @@ def predict_with_confidence(model: PipelineModel, features: DataFrame, prefix: s
     out = model.transform(features)
     if "_prob" in out.columns:
         p = vector_to_array("_prob")
-    else:  # one-vs-rest writes its scores to rawPrediction whatever the setting
+    else:
         p = softmax(vector_to_array("_raw" if "_raw" in out.columns else "rawPrediction"))
     out = out.withColumn(f"{prefix}_confidence", F.round(F.array_max(p), 4))
     out = out.withColumnRenamed("predicted_label", prefix)

@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtext.operators.evaluate import MAX_CLASSES
@@ -57,7 +57,7 @@ class SquaredHinge:
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                scores = _scores(*_matrix(b, w.shape[1] - 1), b.num_rows, w)
+                scores = decisions(b.column("indices"), b.column("values"), w)
                 best = pa.array([labels[k] for k in scores.argmax(0)], pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(scores.T.tolist(), pa.list_(pa.float64())), best], [id_col, "scores", "predicted_label"])
 
@@ -65,22 +65,30 @@ class SquaredHinge:
         return rows.select(id_col, "indices", "values").mapInArrow(work, f"{id_col} {kind}, scores array<double>, predicted_label string")
 
 
-def _matrix(batch: pa.RecordBatch, n_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, feature and value of every entry, the intercept's among them."""
-    sizes = pc.fill_null(pc.list_value_length(batch.column("indices")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.append(np.repeat(np.arange(len(sizes)), sizes), np.arange(len(sizes)))
-    flat = lambda name, kind: batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(kind)
-    return row, np.append(flat("indices", np.int64), np.full(len(sizes), n_features)), np.append(flat("values", np.float64), np.ones(len(sizes)))
+def entries(vector: str) -> list[Column]:
+    """(indices, values) of an unwrapped ML vector."""
+    # a dense vector has no indices
+    indices = F.coalesce(F.col(f"{vector}.indices"), F.sequence(F.lit(0), F.size(f"{vector}.values") - 1))
+    return [indices.alias("indices"), F.col(f"{vector}.values").alias("values")]
 
 
-def _scores(row: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int, w: np.ndarray) -> np.ndarray:
-    return np.stack([np.bincount(row, value * wk[feature], n) for wk in w])
+def decisions(indices: pa.Array, values: pa.Array, w: np.ndarray) -> np.ndarray:
+    """The decision values of rows, by class."""
+    sizes, *flat = _flat(indices, values)
+    return _Block(None, None, sizes, *flat).scores(w)
+
+
+def _flat(indices: pa.Array, values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of entries of each row, and the entries; a null array has none."""
+    sizes = pc.fill_null(pc.list_value_length(indices), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lambda x, kind: x.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    return sizes, flat(indices, np.int32), flat(values, np.float64)
 
 
 class _Block:
     """Rows as flat arrays: class, weight and number of entries of each row, then the entries."""
 
-    def __init__(self, y: np.ndarray, s: np.ndarray, sizes: np.ndarray, indices: np.ndarray, values: np.ndarray, curve: np.ndarray | None = None):
+    def __init__(self, y: np.ndarray | None, s: np.ndarray | None, sizes: np.ndarray, indices: np.ndarray, values: np.ndarray, curve: np.ndarray | None = None):
         self.y, self.s, self.sizes, self.indices, self.values, self.curve = y, s, sizes, indices.astype(np.int64), values, curve
         self.full = np.flatnonzero(sizes)
         self.starts = (np.cumsum(sizes) - sizes)[self.full]
@@ -124,8 +132,7 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[_Block]:
                 found["curve"] = found["curve"].reshape(-1, len(found["sizes"]))
             yield _Block(**found)
         return
-    sizes = pc.fill_null(pc.list_value_length(batch.column("indices")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = [batch.column(x).flatten().to_numpy(zero_copy_only=False).astype(_TYPES[x]) for x in ("indices", "values")]
+    sizes, *flat = _flat(batch.column("indices"), batch.column("values"))
     y, s, end = batch.column("y").to_numpy(), batch.column("s").to_numpy(), np.cumsum(sizes)
     first = 0
     while first < len(sizes):
