@@ -61,6 +61,10 @@ class Trees:
 
     def many(self, words: list[bytes], width: int) -> list[np.ndarray]:
         """Ids of words of 2 to ``width`` bytes; ``width`` is a power of two."""
+        return [np.frombuffer(ids, "<u4") for ids in self.many_bytes(words, width)]
+
+    def many_bytes(self, words: list[bytes], width: int) -> list[bytes]:
+        """Ids of words as ``many``, as little-endian unsigned 32-bit bytes."""
         n = len(words)
         size = np.array([len(w) for w in words])
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
@@ -98,7 +102,9 @@ class Trees:
             left = before[rows, at]
             some = left >= 0
             update(rows[some], left[some], self._pair(ids[rows[some], left[some]], best[some]))
-        return np.split(ids[alive], np.cumsum(alive.sum(1))[:-1])
+        # one conversion for all words, cut at their ends
+        flat, ends = ids[alive].astype("<u4").tobytes(), (4 * np.cumsum(alive.sum(1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     @cached_property
     def pair_rank(self) -> dict[int, int]:
@@ -159,8 +165,7 @@ class Trees:
             step = max(1, SHARED_PLACES // width)
             for k in range(0, len(group), step):
                 part = group[k : k + step]
-                for (w, _), ids in zip(part, self.many([r for _, r in part], width)):
-                    out[w] = ids.astype("<u4").tobytes()
+                out.update(zip([w for w, _ in part], self.many_bytes([r for _, r in part], width)))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
