@@ -110,64 +110,71 @@ def continuous_scoring(spark: SparkSession, folder: str, file_glob: str, schema:
     return read_history(spark, history)
 
 
+#: Groups that keys are dealt into by their digest. The engine calls Python for each group, not for
+#: each key, and a group's state goes over once a micro-batch. The number is part of a checkpoint.
+GROUPS = 2048
+
+
 class _Anchored(StatefulProcessor):
-    """State of a key: its open window (start, count, the next timer) and the
-    rows that the watermark has not passed yet. A timer at the earliest of them
-    settles all that have become complete; one at the window's end clears it."""
+    """State of a group of keys: their open windows (start, count), the rows
+    that must wait, and the next timer. A timer at the earliest row settles all
+    that have become complete; one at the first window's end clears it.
 
-    def __init__(self, schema: StructType, id_at: int, time_at: int, length_us: int):
-        self.schema, self.id_at, self.time_at, self.length = schema, id_at, time_at, length_us
+    Rows are (_key, _t, the events' columns)."""
+
+    def __init__(self, schema: StructType, id_at: int, length_us: int, delay_us: int):
+        self.schema, self.id_at, self.length, self.delay = schema, id_at, length_us, delay_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.row = handle, Row(*self.schema.names, "_w", "n", "late")
-        self.window = handle.getValueState("window", "start long, n long, timer long")
+        self.handle, self.row = handle, Row(*self.schema.names[2:], "_w", "n", "late")
+        self.window = handle.getListState("window", "key string, start long, n long")
         self.waiting = handle.getListState("waiting", self.schema)
-
-    def _set(self, start: int | None, n: int, timer: int | None, due_us: int) -> None:
-        """Keep the window, with a timer for ``due_us`` unless an earlier one is set."""
-        due = due_us // 1000 + 1
-        if timer is None or due < timer:
-            self.handle.registerTimer(due)
-            timer = due
-        self.window.update((start, n, timer))
+        self.timer = handle.getValueState("timer", "due long")
 
     def handleInputRows(self, key, rows, timerValues):
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        fresh = []
+        mark, fresh = timerValues.getCurrentWatermarkInMs(), []
         for row in rows:
-            *row, tick = tuple(row)[-len(self.schema) - 1 :]
-            t = row[self.time_at]
+            tick, *row = tuple(row)[-len(self.schema) - 1 :]
             if tick:
                 continue
-            if key[0] is None:
-                yield self.row(*row, None, None, False)
-            elif t < mark:
-                yield self.row(*row, None, None, True)
+            if row[0] is None:
+                yield self.row(*row[2:], None, None, False)
+            elif row[1] < mark * 1000:
+                yield self.row(*row[2:], None, None, True)
             else:
                 fresh.append(tuple(row))
         if fresh:
-            self.waiting.appendList(fresh)
-            self._set(*(self.window.get() or (None, 0, None)), min(r[self.time_at] for r in fresh))
+            # the next watermark is at least the delay behind the last of these rows (to the millisecond), so
+            # a later row that precedes what lies behind that is late: it can be settled in this micro-batch
+            passed = max(r[1] for r in fresh) // 1000 * 1000 - self.delay
+            yield from self._settle(max(mark * 1000, passed), mark, fresh)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        start, n, _ = self.window.get() or (None, 0, None)
-        rows = [tuple(r) for r in self.waiting.get()]
-        ready = sorted((r for r in rows if r[self.time_at] < mark), key=lambda r: (r[self.time_at], r[self.id_at] is not None, r[self.id_at]))
-        for row in ready:
-            t = row[self.time_at]
-            start, n = (start, n + 1) if start is not None and t < start + self.length else (t, 1)
-            yield self.row(*row, start, n, False)
-        rest = [r for r in rows if r[self.time_at] >= mark]
-        if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        if start is not None and start + self.length < mark:
-            start, n = None, 0
-        due = min([r[self.time_at] for r in rest] + ([] if start is None else [start + self.length]), default=None)
+        mark = timerValues.getCurrentWatermarkInMs()
+        yield from self._settle(mark * 1000, mark, [])
+
+    def _settle(self, until: int, mark: int, fresh: list):
+        """Count the rows before ``until``; keep the others, the windows that are open then, and a timer."""
+        held, windows = [tuple(r) for r in self.waiting.get()], [tuple(w) for w in self.window.get()]
+        rows, open_ = held + fresh, {k: (start, n) for k, start, n in windows}
+        for row in sorted((r for r in rows if r[1] < until), key=lambda r: (r[1], r[self.id_at] is not None, r[self.id_at])):
+            start, n = open_.get(row[0], (None, 0))
+            start, n = (start, n + 1) if start is not None and row[1] < start + self.length else (row[1], 1)
+            open_[row[0]] = start, n
+            yield self.row(*row[2:], start, n, False)
+        rest = [r for r in rows if r[1] >= until]
+        still = [(k, start, n) for k, (start, n) in open_.items() if start + self.length > until]
+        for state, before, now in ((self.waiting, held, rest), (self.window, windows, still)):
+            if now != before:
+                state.put(now) if now else state.clear()
+        timer = self.timer.get()
+        timer = timer[0] if timer and timer[0] > mark else None  # one that the watermark has passed is gone
+        due = min([r[1] for r in rest] + [start + self.length for _, start, _ in still], default=None)
         if due is None:
-            self.window.clear()
-        else:
-            self._set(start, n, None, due)
+            self.timer.clear()
+        elif timer is None or due // 1000 + 1 < timer:
+            self.handle.registerTimer(due // 1000 + 1)
+            self.timer.update((due // 1000 + 1,))
 
     def close(self) -> None:
         pass
@@ -177,12 +184,14 @@ class AnchoredStream:
     """T1/T2 on a stream, on the engine's watermark, state store and timers.
 
     A row waits until the watermark (the greatest time seen less the delay) has
-    passed it and is then counted in order of time and id, so the result does
-    not depend on how rows are dealt into files and equals the batch operator's.
-    A row that comes behind the watermark of an earlier micro-batch would change
-    results that are already written: it is returned as late. Rows without key
-    or time are returned at once with null windows. A key's state is its open
-    window and the rows of the delay; both go when the watermark has passed them.
+    passed it, or is sure to when the micro-batch ends, and is then counted in
+    order of time and id, so the result does not depend on how rows are dealt
+    into files and equals the batch operator's. A row that comes behind the
+    watermark of an earlier micro-batch would change results that are already
+    written: it is returned as late. Rows without key or time are returned at
+    once with null windows. Keys are told apart as strings. State is the keys'
+    open windows and the rows of the delay; both go when the watermark has
+    passed them.
 
     ``root`` holds the checkpoint, the output and ``ticks``, a second source of
     rows that carry a time alone: one far ahead settles what still waits."""
@@ -212,14 +221,14 @@ class AnchoredStream:
         rows = rows.withColumn("_ts", F.timestamp_micros("_t")).withWatermark("_ts", f"{self.delay} seconds")
         # the watermark's column ends here, so the engine keeps late rows; rows without key or time are dealt out by id.
         # ticks are left out by the processor: a filter on them would be pushed below the watermark
-        loose = F.col(self.key).isNull() | F.col("_t").isNull()
-        rows = rows.withColumn("_salt", F.when(loose, F.pmod(F.xxhash64(F.col(self.id)), F.lit(1024))))
-        rows = rows.withColumn("_key", F.when(~loose, F.col(self.key))).drop("_ts")
-        kept = StructType([f for f in rows.schema if f.name not in ("_key", "_salt", "_tick")])
-        out = StructType([*kept, StructField("_w", LongType()), StructField("n", LongType()), StructField("late", BooleanType())])
-        work = _Anchored(kept, kept.names.index(self.id), kept.names.index("_t"), self.length_us)
-        picked = rows.select("_key", "_salt", *kept.names, "_tick").groupBy("_key", "_salt")
-        done = picked.transformWithState(work, out, "Append", "EventTime")
+        known = F.col(self.key).isNotNull() & F.col("_t").isNotNull()
+        rows = rows.withColumn("_key", F.when(known, F.col(self.key).cast("string")))
+        digest = F.when(known, F.xxhash64("_key")).otherwise(F.xxhash64(F.col(self.id)))
+        rows = rows.withColumn("_group", F.pmod(digest, F.lit(GROUPS))).select("_group", "_tick", "_key", "_t", *events.columns)
+        kept = StructType([f for f in rows.schema if f.name not in ("_group", "_tick")])
+        out = StructType([*kept.fields[2:], StructField("_w", LongType()), StructField("n", LongType()), StructField("late", BooleanType())])
+        work = _Anchored(kept, 2 + events.columns.index(self.id), self.length_us, self.delay * 1_000_000)
+        done = rows.groupBy("_group").transformWithState(work, out, "Append", "EventTime")
         return done.select(*events.columns, F.expr(f"timestampadd(MICROSECOND, _w, {EPOCH})").alias("window_start"), "n", "late")
 
     def advance(self, events: DataFrame, write: Callable[[DataFrame, int], None] | None = None) -> None:

@@ -126,3 +126,32 @@ def test_micro_batches_by_bytes(spark, tmp_path, size):
     ST.run_available(src, str(tmp_path / "out"), str(tmp_path / "ckpt"), "append")
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 60 and (out.select("batch_id").distinct().count() > 1) == (size is not None)
+
+
+def test_state_of_many_keys_is_kept_by_group(spark, tmp_path):
+    """More keys than groups: Python is called and state is kept for each group, not for each key."""
+    rows = [(f"k{i % 3000}", T0 + dt.timedelta(seconds=i // 3000 * 40), i, 0) for i in range(9000)]
+    arriving = ST.Arriving(spark, [spark.createDataFrame(rows[:6000], SCHEMA), spark.createDataFrame(rows[6000:], SCHEMA)], str(tmp_path / "in"))
+    job = ST.AnchoredStream(spark, str(tmp_path / "job"), "key", "ts", "id", 60, 120)
+    groups = []
+
+    def step():
+        job.advance(arriving.stream)
+        state = spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "job" / "checkpoint"))
+        groups.append(state.select("key").distinct().count())
+
+    arriving.each(step)
+    job.finish(arriving.stream)
+    assert all(0 < n < 2500 for n in groups)
+    out, late = job.read()
+    assert late.isEmpty() and sorted(map(tuple, out.select("id", "window_start", "n").collect())) == as_batch(spark, rows)
+
+
+def test_rows_far_behind_the_last_do_not_wait(spark, tmp_path):
+    """Rows that the next watermark is sure to pass are counted in their own micro-batch."""
+    rows = [("a", T0 + dt.timedelta(seconds=t), i, t) for i, t in enumerate((0, 30, 70, 500, 600))]
+    arriving = ST.Arriving(spark, [spark.createDataFrame(rows, SCHEMA)], str(tmp_path / "in"))
+    job = ST.AnchoredStream(spark, str(tmp_path / "job"), "key", "ts", "id", 60, 120)
+    first = []
+    arriving.each(lambda: job.advance(arriving.stream, lambda batch, number: first.append([(r.t, r.n) for r in batch.orderBy("t").collect()])))
+    assert [r for batch in first for r in batch][:3] == [(0, 1), (30, 2), (70, 1)] and first[0] == [(0, 1), (30, 2), (70, 1)]
