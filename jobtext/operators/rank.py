@@ -18,8 +18,13 @@ confident of a category and level can (``_by_label``).
    share that no round has taken yet, stops there.
 
 Pairs are made of distinct skill sets, never of rows; a round keeps k rows for
-each profile. Joins run on skills, sets and profiles as equi-joins that AQE may
-split; only the short lists by label are broadcast, whose size is checked.
+each profile. Profiles that differ in confidence alone are a group: vacancies
+that share as much with it and match its labels alike keep their order whatever
+the resume's confidence, so only the k first of them meet its profiles.
+
+These joins make many rows of few bytes, which AQE would put into one task.
+Their rows are counted before, and the joins dealt to tasks of ROWS_A_TASK rows.
+Only the short lists by label are always broadcast, whose size is checked.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ from jobtext.session import materialize
 
 #: Skill shares of the rounds; the last one takes whatever shares a skill.
 SHARES = (Fraction(1), Fraction(3, 4), Fraction(1, 2), Fraction(1, 4), Fraction(0))
+#: Rows that a task of a join makes, about.
+ROWS_A_TASK = 500_000
 #: Most (category, level) combinations: labels of a classifier, whose lists are broadcast.
 MOST_LABELS = 10_000
 
@@ -91,6 +98,8 @@ def _by_label(profiles: DataFrame, vacancies: DataFrame, k: int) -> DataFrame:
     if labels > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} combinations of category and level")
     item = F.struct(*_VACANCY, "vacancy_set")
+    # up to 4 k rows for each profile
+    profiles = profiles.repartition(1 + profiles.count() * 4 * k // ROWS_A_TASK, "pid")
     # without keys it is one row of the k best of all, a scalar
     out = profiles.withColumn("_a", lists.where("in_all").agg(F.collect_list(item)).scalar())
     for name, flag, keys in (("_cl", F.lit(True), ["category", "level"]), ("_c", F.col("in_c"), ["category"]), ("_l", F.col("in_l"), ["level"])):
@@ -111,20 +120,46 @@ def _by_rarity(sets: DataFrame) -> DataFrame:
     return lists.select("vacancy_set", F.col("s.skill").alias("rare"))
 
 
+def _tasks(counts: DataFrame, rows: Column) -> int:
+    """Tasks for a join that makes ``rows`` rows for each of ``counts``."""
+    return 1 + (counts.agg(F.sum(rows)).first()[0] or 0) // ROWS_A_TASK
+
+
+def _first_of_group(groups: DataFrame, pairs: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+    """(gid, common, vacancy columns): of the short-listed vacancies that meet a
+    group those that are among the ``k`` first, by confidence and id, of their
+    skill share and relation to its labels."""
+    size = lambda df, name: df.groupBy(name).agg(F.count(F.lit(1)).alias(f"_{name}"))
+    made = pairs.join(size(groups, "resume_set"), "resume_set").join(size(lists, "vacancy_set"), "vacancy_set")
+    n = _tasks(made, F.col("_resume_set") * F.col("_vacancy_set"))
+    rows = pairs.repartition(n, "resume_set", "vacancy_set").join(groups, "resume_set").join(lists, "vacancy_set")
+    rows = rows.where(_may_count(F.col("resume_category"), F.col("resume_level")))
+    same = [F.coalesce(F.col(f"resume_{x}") == F.col(f"vacancy_{x}"), F.lit(False)) for x in ("category", "level")]
+    alike = Window.partitionBy("gid", skill_share(F.col("common"), F.size("vacancy_set")), *same)
+    # dense: an id with two analyses keeps its place
+    rows = rows.withColumn("_p", F.dense_rank().over(alike.orderBy(F.col("vacancy_confidence").desc(), "vacancy_id"))).where(F.col("_p") <= k)
+    return rows.select("gid", "common", *_VACANCY, "vacancy_set")
+
+
 def _meeting(resume_sets: DataFrame, rare: DataFrame, share: Fraction, above: Fraction | None) -> DataFrame:
     """(resume_set, vacancy_set, common) of the sets whose share of the
     vacancy's skills is ``share`` or more (more than none for 0) and below ``above``."""
-    n = F.size("rare")
-    need = F.greatest(F.lit(1), F.ceil(n * share.numerator / share.denominator).cast("int"))
-    index = rare.select("vacancy_set", "rare", F.posexplode(F.slice("rare", F.lit(1), n - need + 1)).alias("i", "skill"))
+    size = F.size("rare")
+    need = F.greatest(F.lit(1), F.ceil(size * share.numerator / share.denominator).cast("int"))
+    index = rare.select("vacancy_set", "rare", F.posexplode(F.slice("rare", F.lit(1), size - need + 1)).alias("i", "skill"))
     seen = resume_sets.select("resume_set", F.explode("resume_set").alias("skill"))
-    pairs = index.join(seen, "skill")
+    made = index.groupBy("skill").agg(F.count(F.lit(1)).alias("a")).join(seen.groupBy("skill").agg(F.count(F.lit(1)).alias("b")), "skill")
+    n = _tasks(made, F.col("a") * F.col("b"))
+    # a frequent skill is met in parts, too
+    seen = seen.withColumn("part", F.pmod(F.xxhash64("resume_set"), F.lit(n)).cast("int"))
+    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    pairs = index.repartition(n, "part").join(seen.repartition(n, "part"), ["part", "skill"])
     # the pair is made at the rarest skill that both have, nowhere else
     pairs = pairs.where(~F.arrays_overlap(F.slice("rare", F.lit(1), F.col("i")), F.col("resume_set")))
     pairs = pairs.withColumn("common", F.size(F.array_intersect("vacancy_set", "resume_set")))
-    pairs = pairs.where(F.col("common") * share.denominator >= n * share.numerator)
+    pairs = pairs.where(F.col("common") * share.denominator >= size * share.numerator)
     if above is not None:
-        pairs = pairs.where(F.col("common") * above.denominator < n * above.numerator)
+        pairs = pairs.where(F.col("common") * above.denominator < size * above.numerator)
     return pairs.select("resume_set", "vacancy_set", "common")
 
 
@@ -139,7 +174,10 @@ def rank_vacancies(resumes: DataFrame, vacancies: DataFrame, k: int) -> DataFram
     found = _sides(resumes, "resume")
     offers = materialize(_sides(vacancies, "vacancy").distinct())
     names = ["resume_set", "resume_category", "resume_level", "resume_confidence"]
-    profiles = materialize(found.select(*names).distinct().withColumn("pid", F.monotonically_increasing_id()))
+    groups = materialize(found.select(*names[:3]).distinct().withColumn("gid", F.monotonically_increasing_id()))
+    told = groups.select("gid", *[F.col(x).alias(f"_{x}") for x in names[:3]])
+    profiles = found.select(*names).distinct().join(told, [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in names[:3]]).select(*names, "gid")
+    profiles = materialize(profiles.withColumn("pid", F.monotonically_increasing_id()))
     top = materialize(_best(_by_label(profiles, offers, k), k))
 
     lists = materialize(shortlist(offers.where(F.size("vacancy_set") > 0), ["vacancy_set"], k))
@@ -157,8 +195,11 @@ def rank_vacancies(resumes: DataFrame, vacancies: DataFrame, k: int) -> DataFram
         open_ = materialize(open_.select(*profiles.columns, F.when(F.col("n") >= k, F.col("least")).alias("least")))
         if open_.isEmpty():
             break
-        pairs = _meeting(open_.select("resume_set").distinct(), rare, share, above)
-        rows = open_.join(pairs, "resume_set").join(lists, "vacancy_set").where(_may_count(F.col("resume_category"), F.col("resume_level")))
+        pairs = materialize(_meeting(open_.select("resume_set").distinct(), rare, share, above))
+        first = materialize(_first_of_group(groups.join(open_.select("gid").distinct(), "gid", "left_semi"), pairs, lists, k))
+        made = open_.groupBy("gid").agg(F.count(F.lit(1)).alias("a")).join(first.groupBy("gid").agg(F.count(F.lit(1)).alias("b")), "gid")
+        n = _tasks(made, F.col("a") * F.col("b"))
+        rows = open_.repartition(n, "gid").join(first.repartition(n, "gid"), "gid")
         new = _scored(rows, F.col("common"), F.size("vacancy_set"), "least").where(F.col("least").isNull() | (F.col("score") >= F.col("least"))).drop("least")
         top = materialize(_best(top.drop("rank").unionByName(new), k))
         above = share

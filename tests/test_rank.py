@@ -77,3 +77,18 @@ def test_first_round_can_settle(spark, monkeypatch):
     table = [(i, "a", "x", ["S1"], D("0.9")) for i in range(20)] + [(100 + i, "b", "y", ["S1", f"T{i}"], D("0.9")) for i in range(20)]
     R.rank_vacancies(frame(spark, table[:5]), frame(spark, table), 3).collect()
     assert seen == [R.SHARES[0]]
+
+
+def test_joins_are_dealt_by_counted_rows(spark, monkeypatch):
+    """Profiles that differ in confidence alone meet k vacancies for each skill share and relation to
+    their labels, and the tasks of a join follow from the rows it makes."""
+    monkeypatch.setattr(R, "ROWS_A_TASK", 50)
+    made, real = [], R._first_of_group
+    monkeypatch.setattr(R, "_first_of_group", lambda *args: made.append(real(*args)) or made[-1])
+    resumes = [(i, "a", "x", ["S1", "S2"], D(1000 + i) / 10000) for i in range(30)] + rows(10, 5, 3)
+    vacancies = [(i, "ab"[i % 2], "x", [["S1"], ["S2"], ["S1", "S2"]][i % 3], D(5000 + i) / 10000) for i in range(60)]
+    got = R.rank_vacancies(frame(spark, resumes), frame(spark, vacancies), 2).collect()
+    assert {tuple(r) for r in got} == brute(resumes, vacancies, 2)
+    # of twenty vacancies that share all with the group, two of the label and two of the other
+    one = made[0].groupBy("gid").count().agg({"count": "max"}).first()[0]
+    assert 0 < one <= 4
