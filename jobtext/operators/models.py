@@ -36,7 +36,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtext.session import materialize
+from jobtext.session import materialize, scratch_path
 
 from jobtext.functions.scoring import blended_confidence, softmax
 from jobtext.functions.text import WORD
@@ -253,10 +253,27 @@ def active_version(registry: DataFrame) -> DataFrame:
         F.max_by("version", "created_at").alias("version"), F.max_by("path", "created_at").alias("path"))
 
 
-def score_once(requests: DataFrame, key_col: str, order_col: str, scorer) -> DataFrame:
-    """One row per distinct key (the first by ``order_col``) goes through
-    ``scorer``; its result columns are joined back to every request of the key."""
-    first = requests.groupBy(key_col).agg(F.min_by(F.struct(*[c for c in requests.columns if c != key_col]), order_col).alias("_r"))
-    scored = scorer(first.select(key_col, "_r.*"))
+def score_once(requests: DataFrame, key_col: str, order_col: str, scorer, keep: list[str] | None = None, again=None) -> DataFrame:
+    """One row per distinct key (the first by ``order_col``, null last) goes
+    through ``scorer``; its result columns are joined back to every request of
+    the key, beside the request's columns ``keep`` (all, if not given).
+
+    Keys, orders and ``keep`` are written once and settle which rows are first;
+    the other columns, texts above all, are read again for these rows alone.
+    ``again`` maps a table of orders to the requests that have them, so that a
+    caller may pick them before it makes the columns; rows beyond do no harm."""
+    keep = [c for c in (requests.columns if keep is None else keep) if c != key_col]
+    spark, path = requests.sparkSession, scratch_path(requests.sparkSession, "requests")
+    keyed = requests.select(key_col, *dict.fromkeys([order_col, *keep]))
+    keyed.write.parquet(path)
+    # a test of the written keys: before, the key would be made once for it and once more for the row
+    keyed = spark.read.schema(keyed.schema).parquet(path).where(F.col(key_col).isNotNull())
+    order = F.struct(F.col(order_col).isNull().alias("none"), F.col(order_col).alias("place"))
+    least = keyed.groupBy(key_col).agg(F.min(order).alias("_o")).select(F.col("_o.place").alias(order_col))
+    some = again(least) if again else requests.join(least.withColumnRenamed(order_col, "_place"), F.col(order_col).eqNullSafe(F.col("_place")), "left_semi")
+    # rows that are first only by another key's order go here; the key comes from the kept row, as a
+    # test of the grouping column would be pushed down to all requests
+    first = some.groupBy(F.col(key_col).alias("_g")).agg(F.min_by(F.struct(*requests.columns), order).alias("_r"))
+    scored = scorer(first.select("_r.*").where(F.col(key_col).isNotNull()))
     new = [c for c in scored.columns if c not in requests.columns]
-    return requests.join(scored.select(key_col, *new), key_col)
+    return keyed.select(key_col, *keep).join(scored.select(key_col, *new), key_col)

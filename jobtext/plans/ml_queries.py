@@ -101,9 +101,13 @@ def q_dedup_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted requests are scored once per distinct fingerprint and the
     result is joined back to every request with that fingerprint."""
     models = trained(spark, sf_dir)
-    req = validate_predict(standins.predict_requests(spark, sf_dir)).filter("accepted")
-    req = req.select("seq", "user_id", fingerprint("text", tx.MODEL_VERSION).alias("fingerprint"), "text")
-    out = MD.score_once(req, "fingerprint", "seq", lambda d: extract_skills(models.score(d), "text", "skills").drop("model_version", "category_confidence", "level_confidence"))
+
+    def requests(seqs: DataFrame | None = None) -> DataFrame:
+        req = validate_predict(standins.predict_requests(spark, sf_dir, seqs)).filter("accepted")
+        return req.select("seq", "user_id", fingerprint("text", tx.MODEL_VERSION).alias("fingerprint"), "text")
+
+    out = MD.score_once(requests(), "fingerprint", "seq", lambda d: extract_skills(models.score(d), "text", "skills").drop("model_version", "category_confidence", "level_confidence"),
+                        ["seq", "user_id"], requests)
     return out.select("seq", "user_id", "fingerprint", "category", "level", "skills", "confidence")
 
 

@@ -130,10 +130,13 @@ def doc_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents", "doc_id").agg((F.max("doc_id") + 1).alias("n_docs"))
 
 
-def predict_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predict_requests(spark: SparkSession, sf_dir: str, seqs: DataFrame | None = None) -> DataFrame:
     """(seq, user_id, text, ts): the event log as prediction requests; the
-    request text is a document picked by the event id."""
+    request text is a document picked by the event id. With ``seqs`` (seq),
+    the requests of these alone, picked before texts are joined."""
     e = read(spark, sf_dir, "events", "event_id", "user_id", "ts")
+    if seqs is not None:
+        e = e.join(seqs.select(F.col("seq").alias("event_id")), "event_id", "left_semi")
     d = read(spark, sf_dir, "documents", "doc_id", "text")
     e = e.withColumn("doc_id", F.pmod("event_id", doc_count(spark, sf_dir).scalar()))
     return e.join(d, "doc_id").select(

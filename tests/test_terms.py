@@ -60,3 +60,14 @@ def test_naive_bayes_without_broadcast(spark, monkeypatch):
         out.append({r.doc_id: r.predicted_label for r in got.collect()})
     assert len(out[0]) == 2000 and sum(out[0][i] == out[1][i] for i in out[0]) >= 1990  # sums in another order may settle near ties otherwise
     assert "Broadcast" in plans[0] and "SortMergeJoin [term" in plans[1]
+
+
+def test_counts_in_slices_without_term_rows(spark, monkeypatch):
+    stop = ["w00000", "w00003"]
+    texts = [t.replace("w00002", "été_№ ЖЖ") for t in corpus("zipf")] + ["", "w00001 " * 900]
+    left = [" ".join(w for w in t.replace("№", " ").lower().split() if w not in stop and len(w) > 1) for t in texts]
+    monkeypatch.setattr(FT, "SLICE", 50)
+    monkeypatch.delattr(FT, "with_terms")  # a row for each occurrence, before
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, FT.top_terms(df, 60, stop_words=stop, counters=512).collect()), key=lambda r: (-r[2], r[0]))
+    assert got == want(left, 60)
