@@ -14,12 +14,14 @@ pair is formed, and each pair is verified on whole sets.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from jobtext.llm.common import BLANK_CLASS, ROW, WORD_CLASS, documents, member, row_name, staged
+from jobtext.llm.common import ROW, WORD_CLASS, documents, member, row_name, staged
 
 WORDS = 5
 #: Similarity as a fraction.
@@ -31,18 +33,80 @@ SKETCH = 1 << 14
 POS = ["none", *ROW, "line_no"]
 
 
-def _tokens(line: str) -> Callable[[DataFrame], DataFrame]:
-    """Adds ``toks``: the distinct shingle digests, in ascending order, of a line that has words."""
-    step = lambda w, i: F.xxhash64(w, *[F.get("_words", i + k) for k in range(1, WORDS)])
-
-    def add(df: DataFrame) -> DataFrame:
-        df = df.withColumn("_words", F.filter(F.split(line, f"{BLANK_CLASS}+"), lambda w: w != ""))
-        n = F.size("_words")
-        # one type without nulls, so that the numbers are sorted as such
-        all_of = F.when(n >= WORDS, F.transform(F.slice("_words", F.lit(1), n - (WORDS - 1)), step)).otherwise(F.array(F.xxhash64("_words")))
-        return df.withColumn("toks", F.sort_array(F.array_distinct(all_of))).drop("_words")
-
-    return add
+#: One odd factor per word of a shingle, and those that mix a digest's bits.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+MIXERS = [np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The numbers with their bits mixed; different ones stay different."""
+    for factor in MIXERS:
+        x = (x ^ (x >> np.uint64(33))) * factor
+    return x ^ (x >> np.uint64(33))
+
+
+#: A number for each byte.
+BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * FACTORS[1])
+
+
+def _line_tokens(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of tokens of each line, and the tokens line by line: the distinct
+    digests of its shingles, ascending (unsigned); a line without words has none."""
+    # a line break before each line: none runs on into the next
+    cells = pc.binary_join_element_wise(pa.scalar(b"", pa.large_binary()), pc.fill_null(lines, "").cast(pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+    ends = np.frombuffer(cells.buffers()[1], np.int64)[cells.offset : cells.offset + len(cells) + 1]
+    text = np.frombuffer(cells.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(cells) and ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    inked = ~((text == 32) | ((text >= 9) & (text <= 13)))
+    inner = np.concatenate([inked[:1], inked[1:] & ~inked[:-1]])
+    starts, stops = np.flatnonzero(inner), np.flatnonzero(inked & ~np.append(inked[1:], False)) + 1
+    sizes = stops - starts
+    # a word's digest: the sum over its bytes of the byte's number times the place's
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    parts = BYTES[text[inked]] * _mixed(np.arange(1, sizes.max(initial=0) + 1, dtype=np.uint64))[place]
+    word = _mixed(np.add.reduceat(parts, np.cumsum(sizes) - sizes) + sizes.astype(np.uint64)) if len(parts) else parts
+    line = np.searchsorted(ends[1:] - ends[0], starts, "right")
+    count = np.bincount(line, minlength=len(cells))
+    first = np.cumsum(count) - count
+    # shingles begin where four more words of the line follow; a shorter line is one, told apart by its length
+    begins = np.flatnonzero(line[: max(len(line) - WORDS + 1, 0)] == line[WORDS - 1 :])
+    whole = sum((word[begins + k] * FACTORS[k] for k in range(WORDS)), np.zeros(len(begins), np.uint64))
+    short = np.flatnonzero((count > 0) & (count < WORDS))
+    rest = count[short].astype(np.uint64)
+    for k in range(WORDS - 1):
+        has = count[short] > k
+        rest[has] += word[first[short[has]] + k] * FACTORS[k]
+    token, line = _mixed(np.concatenate([whole, rest])), np.concatenate([line[begins], short]).astype(np.uint64)
+    # by line and the digest's upper bits in one number, if they tell all tokens of a line apart
+    key = (line << np.uint64(44)) | (token >> np.uint64(20))
+    order = np.argsort(key)
+    key, sorted_token = key[order], token[order]
+    if len(cells) > 1 << 20 or ((key[1:] == key[:-1]) & (sorted_token[1:] != sorted_token[:-1])).any():
+        order = np.lexsort([token, line])
+    token, line = token[order], line[order]
+    new = np.append(True, (token[1:] != token[:-1]) | (line[1:] != line[:-1]))[: len(token)]
+    return np.bincount(line[new].astype(np.int64), minlength=len(cells)), token[new].view(np.int64)
+
+
+def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, pa.int64()))
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _tokens(lines: pa.Array) -> pa.Array:
+    """The distinct shingle digests of each line."""
+    return _lists(*_line_tokens(lines))
+
+
+@F.arrow_udf(StructType().add("set_key", LongType()).add("n", IntegerType()).add("head", ArrayType(LongType())))
+def _heads(lines: pa.Array) -> pa.Array:
+    """Of each line's set of tokens the digest, the size and the prefix in digest order."""
+    n, token = _line_tokens(lines)
+    first = np.cumsum(n) - n
+    sums = np.append(np.uint64(0), np.cumsum(_mixed(token.view(np.uint64) + FACTORS[0]), dtype=np.uint64))
+    keys = _mixed((sums[first + n] - sums[first]) + n.astype(np.uint64)).view(np.int64)
+    prefix = np.where(n > 0, n - -(-n * NUM // DEN) + 1, 0)
+    head = token[np.arange(len(token)) - np.repeat(first, n) < np.repeat(prefix, n)]
+    return pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int32()), _lists(prefix, head)], ["set_key", "n", "head"])
 
 
 def _prefix(n: Column) -> Column:
@@ -52,10 +116,12 @@ def _prefix(n: Column) -> Column:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """A row per line with a word: its place, the line's digest, its set's digest, size and first tokens in digest order."""
-    rows = docs.select(F.col("doc_id").isNull().alias("none"), *row_name("doc_id", "text"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    # a test of the line, not of its tokens: the latter would be pushed down and compute them anew
-    rows = rows.where(F.rlike("line", F.lit(WORD_CLASS))).transform(_tokens("line"))
-    return rows.select(*POS, F.xxhash64("line").alias("line_key"), F.xxhash64("toks").alias("set_key"), F.size("toks").alias("n"), F.slice("toks", F.lit(1), _prefix(F.size("toks"))).alias("head"))
+    # split before: a text beside its lines would be copied and hashed for each of them; outer, as
+    # from a plain posexplode a test of the lines is inferred, pushed down and splits the text anew
+    rows = docs.select(F.col("doc_id").isNull().alias("none"), *row_name("doc_id", "text"), F.split("text", "\n").alias("_lines"))
+    rows = rows.select("none", *ROW, F.posexplode_outer("_lines").alias("line_no", "line"))
+    rows = rows.where(F.rlike("line", F.lit(WORD_CLASS))).withColumn("_set", _heads("line"))
+    return rows.select(*POS, F.xxhash64("line").alias("line_key"), "_set.*")
 
 
 def _candidates(lines: DataFrame) -> DataFrame:
@@ -79,7 +145,7 @@ def _sets(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     one number and distinct tokens stay distinct."""
     every = docs.select(F.explode(F.split("text", "\n")).alias("line")).withColumn("line_key", F.xxhash64("line"))
     found = every.where(member(candidates, "line_key")(F.col("line_key"))).groupBy("line_key").agg(F.min("line").alias("line"))
-    rows = staged(found.join(candidates.select("place", "line_key"), "line_key").transform(_tokens("line")).select("place", "toks"), "sets")
+    rows = staged(found.join(candidates.select("place", "line_key"), "line_key").select("place", _tokens("line").alias("toks")), "sets")
     rest = 64 - SKETCH.bit_length() + 1
     counter = lambda t: F.shiftrightunsigned(t, rest).cast("int")
     counts = rows.select(F.explode("toks").alias("t")).groupBy(counter(F.col("t")).alias("c")).agg(F.count(F.lit(1)).alias("n"))

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from jobtext.llm import linededup
 
 
@@ -58,3 +60,29 @@ def test_matches_brute_force(spark):
     key = lambda r: (r[0] is None, r[0] or 0, str(r[1]))
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted(((i, expected(i, t)) for i, t in docs), key=key)
     assert linededup.dedup(df.limit(0)).count() == 0
+
+
+def test_lines_without_their_text(spark):
+    docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    lines = linededup.lines_of(df)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and not re.search(r"Generate [^\n]*\btext#", plan)  # a text was copied and hashed for each of its lines
+    texts = {(r.id_key, r.text_key): r.text for r in df.select(*linededup.row_name("doc_id", "text"), "text").collect()}
+    keys = {}
+    for r in lines.collect():
+        s = shingles(texts[r.id_key, r.text_key].split("\n")[r.line_no])
+        assert r.n == len(s) and len(set(r.head)) == len(r.head) == r.n - -(-4 * r.n // 5) + 1
+        assert keys.setdefault(r.set_key, s) == s
+    assert len(keys) == len(set(keys.values()))
+
+
+def test_line_tokens():
+    lines = [x for _, t in corpus() if t for x in t.split("\n")] + ["", " a\tb\x0bc  d e f ", "b a", "a b", "a b c d e f", "ab", "é b", None]
+    n, tokens = linededup._line_tokens(pa.array(lines))
+    ends, keys = n.cumsum(), {}
+    for x, size, end in zip(lines, n, ends):
+        s, found = shingles(x) if x and x.strip() else frozenset(), tuple(tokens[end - size : end].tolist())
+        assert len(set(found)) == size == len(s) and keys.setdefault(found, s) == s
+        assert found == tuple(linededup._line_tokens(pa.array([x], pa.string()))[1].tolist())
+    assert len(keys) == len(set(keys.values()))
