@@ -104,6 +104,10 @@ class _Block:
         """Σ pull_i x_i for each row of ``pull``."""
         return np.stack([np.append(np.bincount(self.indices, np.repeat(p, self.sizes) * self.values, n_features), p.sum()) for p in pull])
 
+    def squares(self) -> "_Block":
+        """The rows with the squares of their values."""
+        return _Block(self.y, self.s, self.sizes, self.indices, self.values * self.values)
+
     def gaps(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sign = np.where(np.arange(len(w))[:, None] == self.y, 1.0, -1.0)
         return sign, np.maximum(0.0, 1.0 - sign * self.scores(w))
@@ -225,10 +229,8 @@ def _newton(inside: DataFrame, grad: np.ndarray, ungrouped: bool) -> np.ndarray:
     return step
 
 
-def fit(rows: DataFrame, n_features: int, c: float = 1.0, label_col: str = "label", weight_col: str | None = None) -> SquaredHinge:
-    """``rows``: (label, indices, values) with ascending indices below
-    ``n_features``; null labels are left out, null arrays have no entries. Each
-    class needs a weight for each feature: more than MAX_WEIGHTS are an error."""
+def packed_rows(rows: DataFrame, n_features: int, label_col: str, weight_col: str | None) -> tuple[list[str], DataFrame]:
+    """The classes, sorted, and the rows with a label, packed and written."""
     known = rows.where(F.col(label_col).isNotNull())
     labels = sorted(r[0] for r in known.select(label_col).distinct().limit(MAX_CLASSES + 1).collect())
     if not labels or len(labels) > MAX_CLASSES or len(labels) * (n_features + 1) > MAX_WEIGHTS:
@@ -236,9 +238,21 @@ def fit(rows: DataFrame, n_features: int, c: float = 1.0, label_col: str = "labe
     places = known.sparkSession.createDataFrame(list(zip(labels, range(len(labels)))), "_label string, y int")
     s = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     data = known.join(F.broadcast(places), F.col(label_col) == F.col("_label"))  # at most MAX_CLASSES rows
-    data = materialize(_each(data.select("y", s.alias("s"), "indices", "values"), _PACKED))
+    return labels, materialize(_each(data.select("y", s.alias("s"), "indices", "values"), _PACKED))
+
+
+def sums_ungrouped(data: DataFrame, size: int) -> bool:
+    """Whether the tasks' parts of ``size`` bytes go to the driver as they are."""
+    return data.rdd.getNumPartitions() * size <= UNGROUPED
+
+
+def fit(rows: DataFrame, n_features: int, c: float = 1.0, label_col: str = "label", weight_col: str | None = None) -> SquaredHinge:
+    """``rows``: (label, indices, values) with ascending indices below
+    ``n_features``; null labels are left out, null arrays have no entries. Each
+    class needs a weight for each feature: more than MAX_WEIGHTS are an error."""
+    labels, data = packed_rows(rows, n_features, label_col, weight_col)
     w = np.zeros((len(labels), n_features + 1))
-    ungrouped = data.rdd.getNumPartitions() * w.nbytes <= UNGROUPED
+    ungrouped = sums_ungrouped(data, w.nbytes)
     loss, grad = _by_class(data, w, c, ungrouped)
     enough = TOLERANCE * max(np.abs(grad).max(), 1e-300)
     for _ in range(MAX_STEPS):
