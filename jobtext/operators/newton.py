@@ -5,7 +5,8 @@ array that share no curvature: a product serves all of them, and each group
 stops by itself. A product is a pass over the data, so the system is
 preconditioned by what earlier passes told: a blend of the Hessian's diagonal and
 the identity, corrected as in L-BFGS by pairs (p, H p) out of the step before.
-The pairs change how many products a step takes, not what it solves.
+The pairs change how many products a step takes, not what it solves; where the
+Hessian changes much from step to step, a search does better without them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: A step's system is solved to this share of the gradient, or by so many products.
+#: A step's system is solved to this share of the gradient, if nothing else is said, or by so many products.
 FORCING, MAX_PRODUCTS = 0.1, 200
 #: Share of the Hessian's diagonal in the preconditioner.
 BLEND = 0.02
@@ -29,7 +30,8 @@ def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Newton:
     """The steps of one search; the pairs of the last are kept for the next."""
 
-    def __init__(self) -> None:
+    def __init__(self, forcing: float | None = None, keep: int = PAIRS) -> None:
+        self.forcing, self.keep = FORCING if forcing is None else forcing, keep
         self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def step(self, products: Callable[[np.ndarray, np.ndarray], np.ndarray], grad: np.ndarray, diagonal: np.ndarray, enough: float = 0.0) -> np.ndarray:
@@ -39,10 +41,10 @@ class Newton:
         that its step leaves is beyond ``enough``."""
         scale = 1.0 + BLEND * (diagonal - 1.0)
         step, rest = np.zeros_like(grad), -grad
-        limit = FORCING**2 * _dots(rest, rest)
+        limit = self.forcing**2 * _dots(rest, rest)
         near = self._solve(rest, scale)
         way, size = near.copy(), _dots(rest, near)
-        most = min(PAIRS, PAIR_BYTES // (2 * grad.nbytes))
+        most = min(self.keep, PAIR_BYTES // (2 * grad.nbytes))
         found, every = [], 1
         for k in range(MAX_PRODUCTS):
             which = np.flatnonzero((_dots(rest, rest) > limit)[:, 0] & (np.abs(rest).max(axis=1) > enough))

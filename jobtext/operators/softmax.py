@@ -9,7 +9,8 @@ zero. Newton steps with halving (``newton``), over the rows as ``squared_hinge``
 packs them; the features are not scaled, which for terms of very different
 frequency takes far fewer passes than Spark ML's search over scaled ones. A
 product makes the rows' probabilities again from the weights, so that nothing is
-kept for each row.
+kept for each row but a copy with values of four bytes, which products read: they
+shape the steps, while the objective and its gradient are of the rows as they are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from jobtext.operators.newton import Newton
-from jobtext.operators.squared_hinge import _added, _Block, packed_rows, sums_ungrouped
+from jobtext.operators.squared_hinge import _added, _Block, _each, packed_rows, short, sums_ungrouped
 
 #: The search ends when no entry of the gradient of the mean loss is larger (the reference's is 1e-4); steps at most.
 TOLERANCE, MAX_STEPS = 1e-5, 200
@@ -76,11 +77,12 @@ def fit(rows: DataFrame, n_features: int, c: float = 1.0, label_col: str = "labe
     ungrouped = sums_ungrouped(data, 2 * w.nbytes)
     total = float(_added(data, (1, 1), lambda block, out: np.add(out, block.s.sum(), out=out), True)[0, 0])
     enough, newton = TOLERANCE * c * total, Newton()
+    small = _each(data, ["s", *short(n_features)]).persist()
     loss, grad, diagonal = _evaluate(data, w, c, ungrouped)
     for _ in range(MAX_STEPS):
         if np.abs(grad).max() <= enough:
             break
-        flat = newton.step(lambda v, _, w=w: _product(data, w, v.reshape(w.shape), c, ungrouped).reshape(1, -1),
+        flat = newton.step(lambda v, _, w=w: _product(small, w, v.reshape(w.shape), c, ungrouped).reshape(1, -1),
                            grad.reshape(1, -1), diagonal.reshape(1, -1), 0.3 * enough)
         step, size = flat.reshape(w.shape), 1.0
         slope = float((step * grad).sum())
@@ -92,5 +94,6 @@ def fit(rows: DataFrame, n_features: int, c: float = 1.0, label_col: str = "labe
                 break
             size /= 2
         w, loss, grad, diagonal = new, new_loss, new_grad, new_diagonal
+    small.unpersist()
     w[:, -1] -= w[:, -1].mean()
     return Softmax(labels, w)

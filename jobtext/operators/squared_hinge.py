@@ -8,10 +8,11 @@ with y_ic = 1 if row i is of class c, else -1, s_i the row's weight and the
 intercept as the weight of one more feature that is always 1. The classes share
 no weights, but each pass over the rows serves all of them.
 
-Newton steps with halving; a step solves the Newton system by conjugate gradients,
-whose products with the Hessian see only the rows inside the margin of some
-class. These are picked exactly from all rows at each step and kept for its
-products. In a pass every task adds up its rows' part, an array of classes ×
+Newton steps with halving (``newton``); a step's products with the Hessian see
+only the rows inside the margin of some class. These are picked exactly from all
+rows at each step and kept for its products, with values of four bytes: products
+shape the steps, while the objective and its gradient, which settle the result,
+are of the rows as they are. In a pass every task adds up its rows' part, an array of classes ×
 features, and the driver adds the tasks' parts, or those of a few groups of them
 if they are large. Rows are packed, thousands to a row of a few byte strings, and
 stay where they were written.
@@ -30,19 +31,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtext.operators.evaluate import MAX_CLASSES
+from jobtext.operators.newton import Newton
 from jobtext.session import materialize
 
 #: Groups in which the tasks' parts are added; weights (classes × features) at most, some 80 MB.
 GROUPS, MAX_WEIGHTS = 16, 10_000_000
 #: A gradient this much smaller than the first ends the search; steps at most.
 TOLERANCE, MAX_STEPS = 1e-5, 500
-#: A step's system is solved to this share of the gradient, or by so many products.
-FORCING, MAX_PRODUCTS = 0.1, 200
+#: A step's system is solved to this share of the gradient.
+FORCING = 0.3
 #: Entries of a packed block; bytes of all tasks' parts that go to the driver ungrouped.
 BLOCK_ENTRIES, UNGROUPED = 1 << 20, 64 << 20
 
 _PACKED = ["y", "s", "sizes", "indices", "values"]
-_TYPES = dict(zip([*_PACKED, "curve"], [np.int32, np.float64, np.int32, np.int32, np.float64, np.float64]))
+_TYPES = dict(zip([*_PACKED, "curve", "indices2", "values4"], [np.int32, np.float64, np.int32, np.int32, np.float64, np.float64, np.uint16, np.float32]))
 
 
 class SquaredHinge:
@@ -122,8 +124,13 @@ class _Block:
         return _Block(self.y[some], self.s[some], self.sizes[some], self.indices[entries], self.values[entries], curve[:, some])
 
 
+def short(n_features: int) -> list[str]:
+    """The columns of packed entries for products: values of four bytes, indices of two if they fit."""
+    return ["sizes", "indices2" if n_features <= 1 << 16 else "indices", "values4"]
+
+
 def _packed(blocks: list[_Block], names: list[str]) -> pa.RecordBatch:
-    cells = [pa.array([np.ascontiguousarray(getattr(b, x), _TYPES[x]).tobytes() for b in blocks], pa.binary()) for x in names]
+    cells = [pa.array([np.ascontiguousarray(getattr(b, x.rstrip("24")), _TYPES[x]).tobytes() for b in blocks], pa.binary()) for x in names]
     return pa.RecordBatch.from_arrays(cells, names)
 
 
@@ -131,7 +138,7 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[_Block]:
     """The blocks of a batch of packed rows, or of plain ones (y, s, indices, values)."""
     if "sizes" in batch.schema.names:
         for cells in zip(*[batch.column(x) for x in batch.schema.names]):
-            found = {x: np.frombuffer(v.as_buffer(), _TYPES[x]) for x, v in zip(batch.schema.names, cells)}
+            found = {"y": None, "s": None} | {x.rstrip("24"): np.frombuffer(v.as_buffer(), _TYPES[x]) for x, v in zip(batch.schema.names, cells)}
             if "curve" in found:
                 found["curve"] = found["curve"].reshape(-1, len(found["sizes"]))
             yield _Block(**found)
@@ -181,22 +188,23 @@ def _added(rows: DataFrame, shape: tuple[int, int], add: Callable[[_Block, np.nd
     return sum((np.frombuffer(r.out).reshape(shape) for r in sorted(parts.collect(), key=lambda r: r.part)), np.zeros(shape))
 
 
-def _by_class(rows: DataFrame, w: np.ndarray, c: float, ungrouped: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The objective of each class and its gradient at ``w``."""
-    n_features = w.shape[1] - 1
+def _by_class(rows: DataFrame, w: np.ndarray, c: float, ungrouped: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The objective of each class, its gradient and the diagonal of its Hessian at ``w``."""
+    n = w.shape[1]
 
     def add(block: _Block, out: np.ndarray) -> None:
         sign, gap = block.gaps(w)
         out[:, 0] += c * (block.s * gap * gap).sum(axis=1)
-        out[:, 1:] += block.summed(-2.0 * c * block.s * sign * gap, n_features)
+        out[:, 1 : n + 1] += block.summed(-2.0 * c * block.s * sign * gap, n - 1)
+        out[:, n + 1 :] += block.squares().summed(2.0 * c * block.s * (gap > 0), n - 1)
 
-    out = _added(rows, (len(w), n_features + 2), add, ungrouped)
-    return 0.5 * (w * w).sum(axis=1) + out[:, 0], w + out[:, 1:]
+    out = _added(rows, (len(w), 2 * n + 1), add, ungrouped)
+    return 0.5 * (w * w).sum(axis=1) + out[:, 0], w + out[:, 1 : n + 1], 1.0 + out[:, n + 1 :]
 
 
 def _evaluate(rows: DataFrame, w: np.ndarray, c: float) -> tuple[float, np.ndarray]:
     """The objective of all classes and its gradient at ``w``."""
-    loss, grad = _by_class(rows, w, c)
+    loss, grad, _ = _by_class(rows, w, c)
     return float(loss.sum()), grad
 
 
@@ -210,25 +218,6 @@ def _products(inside: DataFrame, v: np.ndarray, which: np.ndarray, ungrouped: bo
     return v + _added(inside, v.shape, add, ungrouped)
 
 
-def _newton(inside: DataFrame, grad: np.ndarray, ungrouped: bool) -> np.ndarray:
-    """A step for each class by conjugate gradients; none where the gradient is zero."""
-    step, rest = np.zeros_like(grad), -grad
-    way, size = rest.copy(), (rest * rest).sum(axis=1)
-    enough = FORCING**2 * size
-    for _ in range(MAX_PRODUCTS):
-        which = np.flatnonzero(size > enough)
-        if not len(which):
-            break
-        bent = _products(inside, way[which], which, ungrouped)
-        by = (size[which] / (way[which] * bent).sum(axis=1))[:, None]
-        step[which] += by * way[which]
-        rest[which] -= by * bent
-        new = (rest[which] * rest[which]).sum(axis=1)
-        way[which] = rest[which] + (new / size[which])[:, None] * way[which]
-        size[which] = new
-    return step
-
-
 def packed_rows(rows: DataFrame, n_features: int, label_col: str, weight_col: str | None) -> tuple[list[str], DataFrame]:
     """The classes, sorted, and the rows with a label, packed and written."""
     known = rows.where(F.col(label_col).isNotNull())
@@ -252,23 +241,23 @@ def fit(rows: DataFrame, n_features: int, c: float = 1.0, label_col: str = "labe
     class needs a weight for each feature: more than MAX_WEIGHTS are an error."""
     labels, data = packed_rows(rows, n_features, label_col, weight_col)
     w = np.zeros((len(labels), n_features + 1))
-    ungrouped = sums_ungrouped(data, w.nbytes)
-    loss, grad = _by_class(data, w, c, ungrouped)
+    ungrouped, newton = sums_ungrouped(data, 2 * w.nbytes), Newton(FORCING, keep=0)  # rows enter and leave the margin at each step
+    loss, grad, diagonal = _by_class(data, w, c, ungrouped)
     enough = TOLERANCE * max(np.abs(grad).max(), 1e-300)
     for _ in range(MAX_STEPS):
         open_ = np.abs(grad).max(axis=1) > enough
         if not open_.any():
             break
-        inside = _each(data, [*_PACKED, "curve"], lambda block, w=w: block.inside(w, c)).persist()
-        step = _newton(inside, np.where(open_[:, None], grad, 0.0), ungrouped)
+        inside = _each(data, [*short(n_features), "curve"], lambda block, w=w: block.inside(w, c)).persist()
+        step = newton.step(lambda v, which, inside=inside: _products(inside, v, which, ungrouped), np.where(open_[:, None], grad, 0.0), diagonal, 0.3 * enough)
         inside.unpersist()
         slope, size = (step * grad).sum(axis=1), np.ones(len(labels))
         while True:
             new = w + size[:, None] * step
-            new_loss, new_grad = _by_class(data, new, c, ungrouped)
+            new_loss, new_grad, new_diagonal = _by_class(data, new, c, ungrouped)
             far = (new_loss > loss + 1e-4 * size * slope) & (size >= 1e-12) & open_
             if not far.any():
                 break
             size[far] /= 2
-        w, loss, grad = new, new_loss, new_grad
+        w, loss, grad, diagonal = new, new_loss, new_grad, new_diagonal
     return SquaredHinge(labels, w)
